@@ -92,6 +92,14 @@ def distinct_docs(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return with_ids(docs, twice, False, id_col).unionByName(with_ids(docs, twice, True, id_col).dropDuplicates([id_col]))
 
 
+class Numbering(dict):
+    """Numbers keys from 0 in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

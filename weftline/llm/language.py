@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from .common import utf8
 
 #: Training sample: of each language, about so many snippets of so many characters, taken by hash of the id and text.
-SNIPPETS, SNIPPET_CHARS = 400, 600
-#: Dictionaries of a language, each from other snippets, and their size. Several give finer sums than one byte count.
-DICTIONARIES, DICTIONARY_BYTES = 2, 40_000
-#: At most so many languages are learned, those with most training texts: what is broadcast stays under 41 MB.
-MAX_LANGUAGES = 512
+SNIPPETS, SNIPPET_CHARS = 600, 600
+#: Dictionaries of a language, each from other snippets, and their size. The first decides alone unless its margin is
+#: narrow; then all of them do, at a level that searches longer.
+DICTIONARIES, DICTIONARY_BYTES = 3, 110_000
+LEVELS, NARROW = (6, 12), 0.03
+#: At most so many languages are learned, those with most training texts: what is broadcast stays under 43 MB.
+MAX_LANGUAGES = 128
 #: Texts are compressed in pieces of so many bytes, each from the dictionary alone, so margins don't fade with length.
 PIECE_BYTES = 2_000
 #: Rejected: a best language that saves less than this share of the second's bytes.
@@ -58,49 +60,51 @@ def dictionaries(train: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for r in sample.limit(4 * SNIPPETS * len(counts)).collect():
         by.setdefault(r["lang"], []).append((r["o"], letters(r["s"])))
     out = {}
-    for lang, found in by.items():
-        found.sort()
+    for lang in (r[0] for r in counts if r[0] in by):
+        found = sorted(by[lang])
         parts = [b" ".join(s for _, s in found[k::DICTIONARIES])[-DICTIONARY_BYTES:] for k in range(DICTIONARIES)]
         out[lang] = [p for p in parts if len(p) >= 8] or [b" ".join(s for _, s in found).ljust(8)]
     return out
 
 
 class Identifier:
-    """Smallest encoding wins; equal sums go to the language that sorts first."""
+    """Smallest encoding wins; equal sums go to the language with more training texts, which stands first."""
 
     def __init__(self, dicts: dict[str, list[bytes]]):
+        self.langs = list(dicts)
+        self.quick = [[self._coder(dicts[lang][0], LEVELS[0])] for lang in self.langs]
+        self.slow = [[self._coder(raw, LEVELS[1]) for raw in dicts[lang]] for lang in self.langs]
+
+    @staticmethod
+    def _coder(raw: bytes, level: int):
         import zstandard
 
-        self.langs = sorted(dicts)
-        self.coders = []
-        for lang in self.langs:
-            own = []
-            for raw in dicts[lang]:
-                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=3)
-                own.append(zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
-            self.coders.append(own)
-
-    def sizes(self, text: str) -> np.ndarray:
-        raw = letters(text)
-        total = np.zeros(len(self.langs))
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+    @staticmethod
+    def _margin(raw: bytes, coders: list[list]) -> tuple[int, float]:
+        """The language with the smallest encoding, and the share that it saves against the second."""
+        sizes = np.zeros(len(coders))
         for at in range(0, max(len(raw), 1), PIECE_BYTES):
             piece = raw[at : at + PIECE_BYTES]
-            for k, own in enumerate(self.coders):
-                total[k] += sum(len(c.compress(piece)) for c in own) / len(own)
-        return total
+            for k, own in enumerate(coders):
+                sizes[k] += sum(len(c.compress(piece)) for c in own) / len(own)
+        best, second = int(np.argmin(sizes)), np.partition(sizes, 1)[1]
+        return best, float((second - sizes[best]) / second)
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the text is rejected."""
         if not text or not self.langs or not has_letter(text):
             return "und", 0.0, True
-        sizes = self.sizes(text)
-        best = int(np.argmin(sizes))
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
-        second = np.partition(sizes, 1)[1]
-        margin = (second - sizes[best]) / second
-        return self.langs[best], float(1 / (1 + np.exp(-20 * margin))), bool(margin < MIN_MARGIN)
+        raw = letters(text)
+        best, margin = self._margin(raw, self.quick)
+        if margin < NARROW:
+            best, margin = self._margin(raw, self.slow)
+        return self.langs[best], float(1 / (1 + np.exp(-20 * margin))), margin < MIN_MARGIN
 
 
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -110,7 +114,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     learned), ``score`` (0.5 for a tie, rising with the margin between the two smallest encodings; 0 with ``und``) and
     ``rejected`` (``und``, or a margin under ``MIN_MARGIN``). Only ``text_col`` of ``docs`` is an input of a prediction.
 
-    Equal sizes go to the language that sorts first. Repeated rows give repeated results, null ids stay, other columns are
+    Equal sizes go to the language with more training texts. Repeated rows give repeated results, null ids stay, other columns are
     not read, an empty table gives no rows. The dictionaries, broadcast, are bounded by the parameters above.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries(train, id_col, text_col, lang_col))
