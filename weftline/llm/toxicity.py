@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Numbering, utf8, words
+from .common import Numbering, slices, utf8, words
 
 #: Words of a window and words between the starts of windows: neighbours share a quarter.
 WINDOW, STRIDE = 32, 24
@@ -281,18 +281,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = docs.sparkSession.sparkContext.broadcast(train(*training_sample(docs, labels, id_col, text_col, label_col)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
+        for batch in slices(batches, 1):
             texts = [words(t) for t in utf8(batch.column(1))]
-            k = 0
-            while k < len(texts):  # some hundred thousand words at a time
-                to, total = k, 0
-                while to < len(texts) and (to == k or total + len(texts[to]) <= 400_000):
-                    total += len(texts[to])
-                    to += 1
-                out.append(np.where([len(t) > 0 for t in texts[k:to]], score_texts(texts[k:to], model.value), 0.0))
-                k = to
-            s = np.concatenate(out) if out else np.zeros(0)
+            s = np.where([len(t) > 0 for t in texts], score_texts(texts, model.value), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
