@@ -94,7 +94,7 @@ def with_ids(docs: DataFrame, ids: DataFrame, keep: bool, id_col: str = "doc_id"
     """
     ids = ids.toDF("__id").distinct()
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    on = docs[id_col].eqNullSafe(F.col("__id"))
+    on = docs[id_col].eqNullSafe(ids["__id"])
     return docs.join(F.broadcast(ids) if small else ids, on, "left_semi" if keep else "left_anti")
 
 

@@ -72,7 +72,7 @@ def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     A document that loses all its lines stays with an empty text; a null text stays null.
     """
     gone = repeated_units(docs, min_words, id_col, text_col).groupBy(F.col(id_col).alias("__of")).agg(F.collect_set("unit").alias("__gone"))
-    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(F.col("__gone"), i.cast("int")))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n")).alias(text_col)
-    out = docs.join(gone, docs[id_col].eqNullSafe(F.col("__of")), "left")
+    lines = F.filter(F.split(docs[text_col], "\n", -1), lambda _, i: ~F.array_contains(gone["__gone"], i.cast("int")))
+    text = F.when(gone["__gone"].isNull(), docs[text_col]).otherwise(F.array_join(lines, "\n")).alias(text_col)
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["__of"]), "left")
     return out.select(*[text if c == text_col else docs[c] for c in docs.columns])

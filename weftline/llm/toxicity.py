@@ -19,7 +19,9 @@ WINDOW, STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS, DIMS, STATE = 8_192, 8_192, 8, 8
 #: Training sample: at most so many labelled texts of each label, by hash of the id, and so many words of them in all.
 TRAIN_TEXTS, TRAIN_WORDS = 1_500, 1_200_000
-EPOCHS, ANY_WINDOW_EPOCHS, BATCH, RATE, SEED = 14, 3, 256, 0.015, 11
+EPOCHS, ANY_WINDOW_EPOCHS, BATCH, RATE, SEED = 14, 3, 128, 0.01, 11
+#: Small samples go round more often, up to about so many steps.
+LEAST_STEPS, MOST_EPOCHS = 400, 60
 
 
 def spans(n: int) -> np.ndarray:
@@ -205,6 +207,7 @@ def train(texts: list[list[bytes]], labels: list[int], epochs: int = EPOCHS) ->
     first = np.searchsorted(doc, np.arange(len(texts)))
     count = np.bincount(doc, minlength=len(texts))
     adam = Adam(p, RATE)
+    epochs = max(epochs, min(MOST_EPOCHS, LEAST_STEPS * BATCH // len(texts)))
     for epoch in range(epochs):
         some = first + (rng.random(len(texts)) * count).astype(int)
         if epoch < ANY_WINDOW_EPOCHS:
@@ -257,7 +260,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     unit = F.pmod(F.xxhash64(F.lit("toxicity"), "__of"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("__y") == 1, min(1.0, 1.1 * TRAIN_TEXTS / max(counts.get(1, 0), 1))).otherwise(min(1.0, 1.1 * TRAIN_TEXTS / max(counts.get(0, 0), 1)))
     picked = known.withColumn("__u", unit).where(F.col("__u") < share)  # at most about 2.2 * TRAIN_TEXTS ids, whatever the input
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__of")).select("__y", "__u", F.col(text_col).alias("t")).where("t is not null").limit(3 * TRAIN_TEXTS).collect()
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"))
+    rows = texts.join(F.broadcast(picked), F.col("__id") == F.col("__of")).select("__y", "__u", "t").where("t is not null").limit(3 * TRAIN_TEXTS).collect()
     texts, ys, total, of = [], [], 0, {0: 0, 1: 0}
     for r in sorted(rows, key=lambda r: (r[1], r[2])):
         w = words(r[2].encode())
