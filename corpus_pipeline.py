@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontaminate, language, neardup, packing, substring
-from weftline.llm.common import materialise, read, with_ids
+from weftline.llm.common import materialise, read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with a margin; null texts, texts without letters and ties go."""
-    found = language.identify(docs, docs.where(~language.held_out()))
-    return with_ids(docs, found.where("rejected").select("doc_id"), False)
+    return language.drop_rejected(docs, docs.where(~language.held_out()))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

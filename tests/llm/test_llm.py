@@ -265,6 +265,25 @@ def test_substring_ranks(spark, odd):
     assert substring.drop_repeated(odd.where("doc_id in (5, 6)")).where("doc_id = 6").first()["text"] == ""
 
 
+def test_filters_judge_each_row_by_its_own_text(spark, bench):
+    """Null and repeated ids: what is dropped or cut in one row leaves the others alone."""
+    other = "some quite different words that nobody else uses stand on this line as its only text"
+    rows = [(None, TEXT), (None, other), (7, TEXT), (7, f"{other} too"), (None, "12 34"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (decontaminate.BROADCAST_BYTES, 0):
+        kept = decontaminate.drop_contaminated(docs, bench.where("item_id = 1"), broadcast_bytes=limit)
+        assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.where("text is null or text not like 'the quick%'").collect())), limit
+    train = spark.createDataFrame([(1, TEXT, "en"), (2, "être où ça déjà " * 9, "fr")], "doc_id long, text string, lang string")
+    found = language.identify(docs, train)
+    kept = language.drop_rejected(docs, train)
+    # The other texts compress alike in both languages: ties, which are rejected.
+    assert found.where("not rejected").count() == 2 and [r.text for r in kept.collect()] == [TEXT, TEXT]
+    assert neardup.drop_near_duplicates(docs).where("doc_id is null").count() == 3
+    lines = spark.createDataFrame([(None, f"a\n{LINE}"), (None, f"b\n{other}"), (1, f"{LINE}\nc"), (1, f"{TEXT}\nd")], "doc_id long, text string")
+    texts = {r.text for r in substring.drop_repeated(lines).collect()}
+    assert texts == {f"a\n{LINE}", f"b\n{other}", "c", f"{TEXT}\nd"}
+
+
 def test_sql_twins(spark, small):
     import glob
     from pathlib import Path

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,13 +99,28 @@ def with_ids(docs: DataFrame, ids: DataFrame, keep: bool, id_col: str = "doc_id"
 
 
 def distinct_docs(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each id. Only ids that occur more than once are shuffled with their texts."""
-    twice = docs.groupBy(id_col).count().where("count > 1").select(id_col)
+    """One row for each id, and every row with a null id. Only ids that occur more than once are shuffled with their texts."""
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
     if twice.isEmpty():
         return docs
     return with_ids(docs, twice, False, id_col).unionByName(with_ids(docs, twice, True, id_col).dropDuplicates([id_col]))
 
 
+def keep_where(docs: DataFrame, text_col: str, accepts: Callable[[], Callable[[bytes | None], bool]]) -> DataFrame:
+    """Rows whose text is accepted, in one pass without a join, so that null and repeated ids are each judged for themselves.
+
+    ``accepts`` is called once in each task and gives the test, which takes the text as UTF-8 or null.
+    """
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepted = accepts()
+        for batch in batches:
+            yield batch.filter(pa.array([accepted(t) for t in utf8(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 class Numbering(dict):
     """Numbers keys from 0 in the order in which they are first asked for."""
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, with_ids, words
+from .common import keep_where, utf8, with_ids, words
 
 #: Window sets of up to so many bytes are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 64_000_000
@@ -150,10 +150,26 @@ def _by_join(docs: DataFrame, gram: DataFrame, id_col: str, text_col: str) -> Da
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no window of the benchmark, with their columns as they were."""
-    hit = contamination(docs, benchmark, size, id_col, text_col).where("contaminated").select(id_col)
-    return with_ids(docs, hit, False, id_col)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents that hold no window of the benchmark, with their columns as they were.
+
+    Each row is judged by its own text, so null and repeated ids take no other rows with them; null texts stay. Window
+    sets up to ``broadcast_bytes`` are broadcast and the rows filtered in one pass; beyond that, the digests of the texts
+    that hold windows are found by join.
+    """
+    gram = windows(benchmark, size)
+    if (gram.agg(F.sum(F.length("gram") + 64)).first()[0] or 0) > broadcast_bytes:
+        keyed = docs.withColumn("__digest", F.sha2(F.col(text_col), 256))
+        hit = _by_join(keyed, gram, "__digest", text_col).where("contaminated").select("__digest")
+        return with_ids(keyed, hit, False, "__digest").drop("__digest")
+    rows = [(r[0], bytes(r[1]), "") for r in gram.select("size", "gram").distinct().collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def accepts() -> Callable[[bytes | None], bool]:
+        matcher = Matcher(shared.value)
+        return lambda text: not matcher.hits(words(text))[1]
+
+    return keep_where(docs, text_col, accepts)
 
 
 def cut_spans(text: bytes, hit: np.ndarray) -> bytes:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import keep_where, utf8
 
 #: Training sample: of each language, about so many snippets of so many characters, taken by hash of the id and text.
 SNIPPETS, SNIPPET_CHARS = 600, 600
@@ -131,6 +131,17 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     return docs.select(id_col, text_col).mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
 
 
+def drop_rejected(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents that ``identify`` doesn't reject, with their columns as they were; each row is judged by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries(train, id_col, text_col, lang_col))
+
+    def accepts() -> Callable[[bytes | None], bool]:
+        which = Identifier(shared.value)
+        return lambda text: not which(text.decode() if text else None)[2]
+
+    return keep_where(docs, text_col, accepts)
+
+
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     """Whether crc32 of the id as text leaves ``part``; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))

@@ -17,11 +17,12 @@ MIN_WORDS = 10
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines of at least ``min_words`` words: the id, ``unit`` int, ``start`` and ``end`` long (characters, without the
-    line end), ``n_words`` int and ``digest``, 128 bits of the lower-cased words joined by single spaces."""
+    line end), ``n_words`` int, ``digest``, 128 bits of the lower-cased words joined by single spaces, and ``row_key``,
+    64 bits of the whole text, which tells apart the rows of one id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, unit, start, end, n, digest = [], [], [], [], [], []
+            row, unit, start, end, n, digest, keys = [], [], [], [], [], [], []
             for i, text in enumerate(utf8(batch.column(1))):
                 at = 0
                 for k, line in enumerate((text or b"").split(b"\n")):
@@ -35,12 +36,13 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
                         n.append(len(w))
                         digest.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest())
                     at += size + 1
-            ids = batch.column(0).take(pa.array(row, pa.int64()))
-            arrays = [ids, pa.array(unit, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "unit", "start", "end", "n_words", "digest"])
+            rows = pa.array(row, pa.int64())
+            arrays = [batch.column(0).take(rows), pa.array(unit, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(2).take(rows)], names=[id_col, "unit", "start", "end", "n_words", "digest", "row_key"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(cut, f"`{id_col}` {kind}, unit int, start long, end long, n_words int, digest binary")
+    keyed = docs.select(id_col, text_col, F.xxhash64(text_col))
+    return keyed.mapInArrow(cut, f"`{id_col}` {kind}, unit int, start long, end long, n_words int, digest binary, row_key long")
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,6 +57,10 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     Digests are grouped with partial sums, and the lines meet the repeated digests in a join that adaptive execution can
     split, so a line that a third of all documents share is no single task's work.
     """
+    return _repeats(docs, min_words, id_col, text_col).drop("row_key")
+
+
+def _repeats(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     all_units = units(docs, min_words, id_col, text_col)
     firsts = (
         all_units.groupBy("digest")
@@ -63,16 +69,18 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
         .select(F.col("digest").alias("__digest"), F.col("first.d").alias("first_doc_id"), F.col("first.u").alias("first_unit"))
     )
     later = ~(F.col(id_col).eqNullSafe(F.col("first_doc_id")) & (F.col("unit") == F.col("first_unit")))
-    return all_units.join(firsts, F.col("digest") == F.col("__digest")).where(later).select(id_col, "unit", "start", "end", "n_words", "first_doc_id", "first_unit")
+    return all_units.join(firsts, F.col("digest") == F.col("__digest")).where(later).select(id_col, "unit", "start", "end", "n_words", "first_doc_id", "first_unit", "row_key")
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents, without the lines that ``repeated_units`` lists (nor their line ends); other columns as they were.
 
-    A document that loses all its lines stays with an empty text; a null text stays null.
+    A document that loses all its lines stays with an empty text; a null text stays null. Rows that share an id (or have
+    none) but differ in text lose each its own lines.
     """
-    gone = repeated_units(docs, min_words, id_col, text_col).groupBy(F.col(id_col).alias("__of")).agg(F.collect_set("unit").alias("__gone"))
+    of = [F.col(id_col).alias("__of"), F.col("row_key").alias("__row_key")]
+    gone = _repeats(docs, min_words, id_col, text_col).groupBy(*of).agg(F.collect_set("unit").alias("__gone"))
     lines = F.filter(F.split(docs[text_col], "\n", -1), lambda _, i: ~F.array_contains(gone["__gone"], i.cast("int")))
     text = F.when(gone["__gone"].isNull(), docs[text_col]).otherwise(F.array_join(lines, "\n")).alias(text_col)
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["__of"]), "left")
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["__of"]) & (F.xxhash64(docs[text_col]) == gone["__row_key"]), "left")
     return out.select(*[text if c == text_col else docs[c] for c in docs.columns])
