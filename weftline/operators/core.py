@@ -162,3 +162,24 @@ def dot(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
+
+
+def minmax_in_group(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``score``: the value's place between the group's smallest and largest, from two aggregates of the group joined back."""
+    ends = df.groupBy(F.col(group).alias("__group")).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    joined = df.join(ends, F.col(group).eqNullSafe(F.col("__group")))
+    return joined.withColumn("score", (F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low") + 1e-9)).drop("__group", "__low", "__high")
+
+
+def links_topk(members: DataFrame, group: str, most: int = 24) -> DataFrame:
+    """``item_id, linked_id, rank``: the most popular other members of each item's group, ties by id.
+
+    Only the first ``most + 1`` members of a group can be linked, so each item meets those and never the whole group.
+    """
+    top = members.withColumn("__rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc("popularity"), "item_id"))).where(F.col("__rank") <= most + 1)
+    top = top.select(F.col(group).alias("__group"), F.col("item_id").alias("linked_id"), "__rank")
+    own = top.select(F.col("linked_id").alias("item_id"), F.col("__rank").alias("__own"))
+    met = members.select("item_id", group).join(top, F.col(group) == F.col("__group")).where(F.col("item_id") != F.col("linked_id")).join(own, "item_id", "left")
+    # An item that is itself among the first leaves its place to those after it.
+    rank = F.col("__rank") - F.when(F.col("__own") < F.col("__rank"), 1).otherwise(0)
+    return met.select("item_id", "linked_id", rank.cast("int").alias("rank")).where(F.col("rank") <= most)
