@@ -89,10 +89,10 @@ def _sweep() -> None:
 def with_ids(docs: DataFrame, ids: DataFrame, keep: bool, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is (``keep``) or isn't in ``ids``; columns as before. Null ids compare equal.
 
-    ``ids`` (one column, any name) is counted first: up to ``BROADCAST_IDS`` rows it is broadcast, so texts stay
-    where they are; beyond that both sides are shuffled by the id.
+    ``ids`` (one column, any name) is written out once and counted: up to ``BROADCAST_IDS`` rows it is broadcast, so
+    texts stay where they are; beyond that both sides are shuffled by the id.
     """
-    ids = ids.toDF("__id").distinct()
+    ids = materialise(ids.toDF("__id").distinct())
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     on = docs[id_col].eqNullSafe(ids["__id"])
     return docs.join(F.broadcast(ids) if small else ids, on, "left_semi" if keep else "left_anti")
