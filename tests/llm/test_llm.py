@@ -213,14 +213,55 @@ def test_quality_prefers_trusted_text(spark):
     assert sum(got[i].good for i in range(40, 60)) >= 17 and not any(got[100 + i].good for i in range(20))
 
 
-def test_kneser_ney_sums_to_one(spark):
-    docs = spark.createDataFrame([("abracadabra",), ("banana bandana",), ("a",)], "text string")
-    tables = []
-    for shares, weights in quality.fit(quality.count_grams(docs)):
-        a, b = shares.toPandas(), weights.toPandas()
-        tables.append((a["gram"].to_numpy(), a["p"].to_numpy(np.float32), b["context"].to_numpy(), b["g"].to_numpy(np.float32)))
-    p = 2.0 ** quality.Model(tables).log2.reshape(-1, quality.SYMBOLS)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+def test_kneser_ney_against_brute_force(spark):
+    """Perplexities by the textbook formula over plain dictionaries, and probabilities after each context that sum to one."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("ab cd ef gh ij kl mn op".split()) for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    new = ["ab cd zz ef", "zz", "", "kl kl kl", None, "?!"]
+    n = defaultdict(int)
+    for t in texts:
+        w = ["<", *t.split(), ">"]
+        for pair in zip(w, w[1:]):
+            n[pair] += 1
+    before = defaultdict(set)
+    for a, b in n:
+        before[b].add(a)
+    lower = {b: len(x) for b, x in before.items()}
+    hist = lambda counts: [sum(c == k for c in counts) for k in (1, 2, 3, 4)]
+    d2, d1 = quality._discounts(hist(n.values())), quality._discounts(hist(lower.values()))
+    cut = lambda d, c: d[min(c, 3) - 1]
+    all_lower, unk = sum(lower.values()), sum(cut(d1, c) for c in lower.values()) / sum(lower.values()) / (len(lower) + 1)
+    p1 = lambda b: (lower[b] - cut(d1, lower[b])) / all_lower + unk if b in lower else unk
+
+    def p2(a, b):
+        own = {y: c for (x, y), c in n.items() if x == a}
+        if not own:
+            return p1(b)
+        total = sum(own.values())
+        return max(own.get(b, 0) - (cut(d2, own[b]) if b in own else 0), 0) / total + sum(cut(d2, c) for c in own.values()) / total * p1(b)
+
+    for a in ("ab", "<", "zz"):
+        assert abs(sum(p2(a, b) for b in [*lower, "zz"]) - 1) < 1e-9
+    docs = spark.createDataFrame(list(enumerate(new + texts)), "doc_id int, text string")
+    model = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(docs, model, ("doc_id",)).collect()}
+    assert len(got) == len(new + texts)
+    for i, t in enumerate(new + texts):
+        w = ["<", *(t or "").replace("?!", "").split(), ">"]
+        if len(w) == 2:
+            assert got[i] is None
+        else:
+            assert abs(got[i] / np.exp(-np.mean([np.log(p2(a, b)) for a, b in zip(w, w[1:])])) - 1) < 1e-5
+
+
+def test_quality_without_frequent_grams(spark, monkeypatch):
+    """All grams by the join of shards give what a lookup of the frequent ones gives."""
+    docs = docs_of(spark, "/root/testdata/sf0.001")
+    one = quality.perplexities(docs, docs.where("doc_id % 3 = 0"), ("doc_id",)).withColumn("perplexity", F.round("perplexity", 2))
+    one = {r.doc_id: r.perplexity for r in one.collect()}
+    monkeypatch.setattr(quality, "HOT", 2.5)
+    two = {r.doc_id: r.perplexity for r in quality.perplexities(docs, docs.where("doc_id % 3 = 0"), ("doc_id",)).collect()}
+    assert one.keys() == two.keys() and all((one[k] is None) == (two[k] is None) and (one[k] is None or abs(one[k] - two[k]) < 0.02 + 1e-4 * one[k]) for k in one)
 
 
 def test_language_held_out(spark):

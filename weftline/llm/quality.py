@@ -1,179 +1,343 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of symbols, with language-specific thresholds (operator 6)."""
+"""Quality classifier: an interpolated modified Kneser-Ney model of word pairs, with language-specific thresholds (operator 6).
+
+The log probability of a text is a sum of one value for each of its words and word pairs, as in back-off tables: a word
+gives its lower-order probability and its weight as a context, and a pair that the trusted texts hold gives what its own
+share adds. Pairs that they don't hold add nothing. So one join of (text, gram) with (gram, value) by shards of the gram
+scores all texts, however large the model is. Both sides travel packed, sorted and compressed by shard.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import math
+import pickle
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, materialise, utf8
+from .common import BROADCAST_IDS, Numbering, materialise, slices, utf8, words
 
-#: Symbols of six bits and runs of four: a table has at most 2^24 rows, a proven bound of what is broadcast.
-BITS, ORDER = 6, 4
-SYMBOLS = 1 << BITS
 #: Texts above this quantile of the perplexities of trusted texts of their language are rejected.
 QUANTILE = 0.99
+#: One trusted text in this many isn't counted, and serves for the thresholds. Equal texts are on the same side.
+CALIBRATE = 10
 #: Relative accuracy of the quantile sketch.
 ACCURACY = 10_000
+#: Bytes of text by shard of the grams, and the least number of shards.
+SHARD_BYTES, SHARDS = 8_000_000, 16
+#: Grams of a block of texts, which is worked on at once.
+BLOCK = 4_000_000
+#: Grams with at least this share of all are looked up where the texts are: at most 2 / HOT grams, however large the input.
+HOT = 1e-5
+# Numbers of no word: start and end of a text, and the first half of the key of a single word.
+START, END, SINGLE, FIRST_WORD = 0, 1, 2, 8
+_PRIME, _TIMES = 2_147_483_647, 48_271
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes, each with the first bytes of all its numbers first, then the second bytes, and so on."""
+    raw = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in arrays]
+    return zstandard.compress(pickle.dumps(([(x.dtype.str, len(x)) for x in arrays], raw)))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    kinds, raw = pickle.loads(zstandard.decompress(data))
+    return [np.frombuffer(r, np.uint8).reshape(-1, n).T.copy().view(d).ravel() if n else np.zeros(0, d) for (d, n), r in zip(kinds, raw)]
 
-# Bytes to symbols: 0 starts a text; then letters a-z, capitals, digits, space, line end, some marks, other ASCII; the
-# lead bytes of longer characters, and their other bytes by four bits.
-_MARKS = ".,!?'\"-:;()|$#%&*@/_"
 
+def pack_grams(keys: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted keys by the words they hold: gaps between pairs of numbers of words are small."""
+    a, b = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+    known = np.unique(np.concatenate([a, b]))
+    codes = np.searchsorted(known, a) * len(known) + np.searchsorted(known, b)
+    return pack(known.astype(np.uint32), np.diff(codes, prepend=0).astype(np.uint64), *more)
 
-def _symbols() -> np.ndarray:
-    out = np.full(256, 1, np.uint32)
-    for i, b in enumerate(range(ord("a"), ord("z") + 1)):
-        out[b] = 2 + i
-    out[ord("A") : ord("Z") + 1] = 28
-    out[ord("0") : ord("9") + 1] = 29
-    out[[9, 32]] = 30
-    out[[10, 13]] = 31
-    for i, c in enumerate(_MARKS[:14]):
-        out[ord(c)] = 32 + i
-    out[[ord(c) for c in _MARKS[14:]]] = 46
-    out[0x80:0xC0] = 48 + (np.arange(0x80, 0xC0) & 15)
-    out[0xC0:0xE0] = 47
-    out[0xE0:] = 1
-    return out
 
+def unpack_grams(data: bytes) -> list[np.ndarray]:
+    known, gaps, *more = unpack(data)
+    codes, known = np.cumsum(gaps.astype(np.int64)), known.astype(np.uint64)
+    return [(known[codes // max(1, len(known))] << np.uint64(32)) | known[codes % max(1, len(known))], *more]
 
-SYMBOL_OF = _symbols()
 
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    a, b = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return (a % _PRIME * _TIMES + b) % _PRIME % shards
 
-def grams(text: bytes) -> np.ndarray:
-    """The run of ``ORDER`` symbols that ends at each byte, as a number; the start symbol stands before the text."""
-    s = np.concatenate([np.zeros(ORDER - 1, np.uint32), SYMBOL_OF[np.frombuffer(text, np.uint8)]])
-    n = len(text)
-    out = s[:n].copy()
-    for k in range(1, ORDER):
-        out = (out << np.uint32(BITS)) | s[k : k + n]
-    return out
 
+def shard_column(a: Column, b: Column, shards: int) -> Column:
+    return ((a % _PRIME * _TIMES + b) % _PRIME % shards).cast("int")
 
-def count_grams(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(gram, n)`` over all texts: each task counts first, then the counts of a gram meet by its hash."""
+
+def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all word pairs and single words of the texts, the number of the text of each, and the words of each text.
+
+    A text's words stand between a start and an end; a text without words has no keys. A word is the first 32 bits of its
+    hash, a key two of them.
+    """
+    sequences = [(b" start", *w, b" end") if (w := words(t)) else () for t in texts]
+    known = Numbering()
+    codes = np.fromiter(map(known.__getitem__, chain.from_iterable(sequences)), np.int64)
+    table = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=4).digest() for w in known), np.uint32).astype(np.uint64)
+    table[table < FIRST_WORD] += np.uint64(FIRST_WORD)
+    for special, number in ((b" start", START), (b" end", END)):
+        if special in known:
+            table[known[special]] = number
+    sizes = np.fromiter(map(len, sequences), np.int64)
+    h = table[codes] if len(codes) else np.zeros(0, np.uint64)
+    of = np.repeat(np.arange(len(texts), dtype=np.uint32), sizes)
+    pairs = (h[:-1] << np.uint64(32)) | h[1:]
+    inside = h[:-1] != END
+    singles = np.uint64(SINGLE << 32) | h
+    return np.concatenate([pairs[inside], singles]), np.concatenate([of[:-1][inside], of]), np.maximum(sizes - 2, 0)
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of about ``BLOCK`` grams without their last column, which is the text, and what ``grams`` says of them."""
+    held, size, rows = [], 0, 0
+
+    def block():
+        keys, of, n = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+        return pa.Table.from_batches([h[0] for h in held]), keys, of, n
+
+    for batch in slices(batches, -1):
+        keys, of, n = grams(utf8(batch.column(batch.num_columns - 1)))
+        held.append((batch.select(list(range(batch.num_columns - 1))), keys, of + np.uint32(rows), n))
+        size, rows = size + len(keys), rows + batch.num_rows
+        if size >= BLOCK:
+            yield block()
+            held, size, rows = [], 0, 0
+    if held:
+        yield block()
+
+
+def by_shard(keys: np.ndarray, shards: int, *more: np.ndarray) -> Iterator[tuple]:
+    """For each shard with keys: its number, its keys in order, and the other arrays in the same order."""
+    at = shard_of(keys, shards)
+    order = np.argsort(at, kind="stable")
+    edges = np.searchsorted(at[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(edges)):
+        part = order[edges[s] : edges[s + 1]]
+        part = part[np.argsort(keys[part], kind="stable")]
+        yield int(s), keys[part], *[x[part] for x in more]
+
+
+def _row(names: list[str], *values) -> pa.RecordBatch:
+    types = {"shard": pa.int32(), "block": pa.int64(), "meta": pa.binary(), "payload": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([v], types[n]) for n, v in zip(names, values)], names=names)
+
+
+def count_pairs(texts: DataFrame, shards: int) -> DataFrame:
+    """``(shard, payload)``: the distinct word pairs of a shard and how often all texts hold them, packed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
+        for _, keys, _, _ in blocks(batches):
+            keys, n = np.unique(keys[keys >> np.uint64(32) != SINGLE], return_counts=True)
+            for s, k, c in by_shard(keys, shards, n):
+                yield _row(["shard", "payload"], s, pack_grams(k, c))
+
+    def merge(group: pa.Table) -> pa.Table:
+        parts = [unpack_grams(p) for p in group["payload"].to_pylist()]
+        keys, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n = np.bincount(of, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+        return pa.Table.from_batches([_row(["shard", "payload"], group["shard"][0].as_py(), pack_grams(keys, n))])
+
+    schema = "shard int, payload binary"
+    return texts.select("text").mapInArrow(count, schema).groupBy("shard").applyInArrow(merge, schema)
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            g, of = np.unique(np.concatenate([x for x, _ in kept]), return_inverse=True)
-            return g, np.bincount(of, weights=np.concatenate([c for _, c in kept])).astype(np.int64)
 
+def pair_rows(counts: DataFrame) -> DataFrame:
+    """``(shard, a, b, n)``: the packed pairs as rows."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [grams(t) for t in utf8(batch.column(0)) if t]
-            if raw:
-                kept.append(np.unique(np.concatenate(raw), return_counts=True))
-                size += len(kept[-1][0])
-            if size > 4_000_000:
-                kept = [merged()]
-                size = len(kept[0][0])
-        if kept:
-            g, c = merged()
-            for at in range(0, len(g), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(g[at : at + 100_000].astype(np.int32)), pa.array(c[at : at + 100_000])], names=["gram", "n"])
-
-    return texts.select(text_col).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: DataFrame) -> list[float]:
+            for s, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys, n = unpack_grams(data)
+                for at in range(0, len(keys), 100_000):
+                    k = keys[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(k), s, np.int32)), pa.array((k >> np.uint64(32)).astype(np.int64)), pa.array((k & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n[at : at + 100_000])],
+                        names=["shard", "a", "b", "n"],
+                    )
+
+    return counts.select("shard", "payload").mapInArrow(rows, "shard int, a long, b long, n long")
+
+
+def _discounts(n: list[int]) -> list[float]:
     """D1, D2 and D3+ of modified Kneser-Ney from the numbers of grams that occur once to four times."""
-    n = counts.agg(*[F.coalesce(F.count_if(F.col("n") == k), F.lit(0)) for k in (1, 2, 3, 4)]).first()
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
     return [min(k, max(0.1 * k, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] and n[k] else 0.5 * k for k in (1, 2, 3)]
 
 
-def fit(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: ``(gram, p)``, the discounted share of each gram in its context, and ``(context, g)``, the
-    weight of the lower order there. Counts below the highest order are numbers of distinct symbols before the gram."""
-    by_order = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        low = F.col("gram").bitwiseAND((1 << (BITS * k)) - 1)
-        by_order[k] = by_order[k + 1].select(low.alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    out = []
-    for k in range(1, ORDER + 1):
-        d = _discounts(by_order[k])
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = by_order[k].withColumn("context", F.shiftright("gram", BITS))
-        totals = rows.groupBy("context").agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("g"))
-        shares = rows.join(totals, "context").select("gram", ((F.col("n") - cut) / F.col("total")).alias("p"))
-        out.append((shares, totals.select("context", "g")))
-    return out
-
-
-class Model:
-    """Log2 probabilities of all runs of ``ORDER`` symbols, made in each worker from the tables that were broadcast."""
-
-    _made: dict[str, Model] = {}
-
-    def __init__(self, tables: list[tuple[np.ndarray, ...]]):
-        p = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
-        for k, (gram, share, context, weight) in enumerate(tables):
-            g = np.ones(SYMBOLS**k, np.float32)
-            g[context] = weight
-            # The lower order of a context is that of its later symbols, whatever the first one.
-            lower = np.tile(p, SYMBOLS) if k else p
-            p = (lower.reshape(len(g), SYMBOLS) * g[:, None]).ravel()
-            p[gram] += share
-        self.log2 = np.log2(p)
-
-    @classmethod
-    def of(cls, key: str, tables: list[tuple[np.ndarray, ...]]) -> Model:
-        if key not in cls._made:
-            cls._made.clear()
-            cls._made[key] = cls(tables)
-        return cls._made[key]
-
-    def perplexity(self, text: bytes) -> float:
-        return float(2 ** -self.log2[grams(text)].mean(dtype=np.float64))
-
-
-def perplexities(docs: DataFrame, trusted: DataFrame, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """``keep_cols`` and ``perplexity`` of each text under a model of all ``trusted`` texts; null for null and empty texts."""
-    import uuid
-
-    counts = materialise(count_grams(trusted, text_col))
-    tables = []
-    for shares, weights in fit(counts):
-        a, b = shares.toPandas(), weights.toPandas()  # at most 2^24 rows; see ORDER
-        tables.append((a["gram"].to_numpy(np.int64), a["p"].to_numpy(np.float32), b["context"].to_numpy(np.int64), b["g"].to_numpy(np.float32)))
-    shared, key = docs.sparkSession.sparkContext.broadcast(tables), uuid.uuid4().hex
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model.of(key, shared.value)
-        for batch in batches:
-            ppl = [model.perplexity(t) if t else None for t in utf8(batch.column(batch.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ppl, pa.float64())], names=[*keep_cols, "perplexity"])
+def _cut(n: Column, d: list[float]) -> Column:
+    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+
+
+def fit(counts: DataFrame) -> tuple[DataFrame, list[float], float]:
+    """Of each word ``w``: ``p``, its lower-order probability (null for the start), ``g``, the weight of the lower order
+    after it (null for the end), and ``s``, the sum of its discounts; then the pairs' discounts, and the probability of
+    an unknown word. Lower-order counts are numbers of distinct words before a word."""
+    rows = pair_rows(counts)
+    ones = [F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    before = rows.groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("total"), F.count("*").alias("types"), *ones)
+    after = rows.groupBy(F.col("b").alias("w")).agg(F.count("*").alias("n"))
+    seen = materialise(before.join(after, "w", "full"))
+    t = seen.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in (1, 2, 3, 4)], *[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)], F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
+    pairs, lower = _discounts(list(t[:4])), _discounts(list(t[4:8]))
+    cut = _cut(F.col("n"), lower)
+    removed = seen.where("n is not null").agg(F.coalesce(F.sum(cut), F.lit(0.0))).first()[0]
+    unknown = (removed / t[8] if t[8] else 1.0) / (t[9] + 1)
+    s = pairs[0] * F.col("n1") + pairs[1] * F.col("n2") + pairs[2] * (F.col("types") - F.col("n1") - F.col("n2"))
+    return seen.select("w", ((F.col("n") - cut) / F.lit(float(t[8] or 1)) + unknown).alias("p"), (s / F.col("total")).alias("g"), s.alias("s")), pairs, unknown
+
+
+def gram_values(counts: DataFrame, word_table: DataFrame, pairs: list[float], unknown: float, shards: int) -> DataFrame:
+    """``(shard, key, value)`` of all words and pairs of the trusted texts; the values of words are relative to an unknown one."""
+    few = word_table.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    side = lambda name, *cols: (F.broadcast if few else lambda x: x)(word_table.select(F.col("w").alias(name), *cols))
+    key = lambda a, b: F.shiftleft(a, 32).bitwiseOR(b)
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    held = pair_rows(counts).join(side("a", "s"), "a").join(side("b", "p"), "b")
+    held = held.select("shard", key(a, b).alias("key"), F.log1p((n - _cut(n, pairs)) / (F.col("s") * F.col("p"))).alias("value"))
+    single, w = F.lit(SINGLE).cast("long"), F.col("w")
+    alone = F.coalesce(F.log(F.col("p")) - math.log(unknown), F.lit(0.0)) + F.coalesce(F.log("g"), F.lit(0.0))
+    return held.unionByName(word_table.select(shard_column(single, w, shards).alias("shard"), key(single, w).alias("key"), alone.alias("value")))
+
+
+def frequent(texts: DataFrame) -> DataFrame:
+    """``key`` of the grams with a share of at least ``HOT`` of all, and perhaps some with half of it.
+
+    A gram with that share has half of it in so many blocks that those hold at least half of its occurrences.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, _, _ in blocks(batches):
+            k, n = np.unique(keys, return_counts=True)
+            often = n >= HOT / 2 * len(keys)
+            # No text has the key 0: a start isn't followed by a start.
+            k, n = np.append(k[often], np.uint64(0)), np.append(n[often], len(keys))
+            for at in range(0, len(k), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], names=["key", "n"])
+
+    sums = materialise(texts.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    total = sums.where("key = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return sums.where((F.col("key") != 0) & (F.col("n") >= HOT / 2 * total)).select("key")
+
+
+def perplexities(docs: DataFrame, trusted: DataFrame, keep_cols: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+    """``keep_cols`` and ``perplexity`` (by word) of each ``text`` under a model of all ``trusted`` texts; null for texts
+    without words. Texts must be read from a table, so that a task that runs again sees the same rows."""
+    spark = docs.sparkSession
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(SHARDS, math.ceil(size / SHARD_BYTES))
+    counts = materialise(count_pairs(trusted, shards))
+    word_table, pairs, unknown = fit(counts)
+    values = gram_values(counts, word_table, pairs, unknown, shards)
+    hot = frequent(docs)
+    found = hot.join(values.join(F.broadcast(hot), "key", "left_semi"), "key", "left").toPandas()  # at most 2 / HOT rows
+    hot_keys = found["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hot_keys)
+    shared = spark.sparkContext.broadcast((hot_keys[order], found["value"].fillna(0).to_numpy(np.float64)[order]))
+    of_shard, of_block = ["shard", "block", "meta", "payload"], ["block", "meta", "payload"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, known = shared.value
+        first = TaskContext.get().partitionId() << 32
+        for i, (rows, keys, of, n) in enumerate(blocks(batches)):
+            at = np.searchsorted(often, keys)
+            here = np.zeros(len(keys), bool)
+            here[at < len(often)] = often[at[at < len(often)]] == keys[at < len(often)]
+            own = np.bincount(of[here], weights=known[at[here]], minlength=rows.num_rows).astype(np.float64)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as writer:
+                writer.write_table(rows)
+            yield _row(of_shard, (first + i) % shards, first + i, pickle.dumps((sink.getvalue().to_pybytes(), own, n)), None)
+            for s, k, d in by_shard(keys[~here], shards, of[~here]):
+                yield _row(of_shard, s, first + i, None, pack_grams(k, d))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def rows():
+            keys, v = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            for s, k, x in by_shard(keys, shards, v):
+                yield _row(["shard", "payload"], s, pack_grams(k, x))
 
+        for batch in batches:
+            held.append((batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().astype(np.float32)))
+            size += batch.num_rows
+            if size >= BLOCK:
+                yield from rows()
+                held, size = [], 0
+        if held:
+            yield from rows()
+
+    def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+        parts = [unpack_grams(p) for p in model["payload"].to_pylist()]
+        keys = np.concatenate([np.zeros(0, np.uint64), *[p[0] for p in parts]])
+        order = np.argsort(keys)
+        keys, v = keys[order], np.concatenate([np.zeros(0, np.float32), *[p[1] for p in parts]])[order]
+        out = []
+        for block, meta, data in zip(asked["block"].to_pylist(), asked["meta"].to_pylist(), asked["payload"].to_pylist()):
+            if meta is None:
+                k, d = unpack_grams(data)
+                at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
+                hit = keys[at] == k if len(keys) else np.zeros(len(k), bool)
+                sums = np.bincount(d[hit], weights=v[at[hit]])
+                which = np.unique(d[hit])
+                if not len(which):
+                    continue
+                data = pack(which, sums[which].astype(np.float32))
+            out.append(_row(of_block, block, meta, data))
+        return pa.Table.from_batches(out, pa.schema([("block", pa.int64()), ("meta", pa.binary()), ("payload", pa.binary())]))
+
+    def collect(group: pa.Table) -> pa.Table:
+        meta = next(m for m in group["meta"].to_pylist() if m is not None)
+        raw, total, n = pickle.loads(meta)
+        for data in sorted(p for p in group["payload"].to_pylist() if p is not None):
+            which, sums = unpack(data)
+            total[which] += sums
+        bits = -(total / (n + 1) + math.log(unknown))
+        return pa.ipc.open_stream(raw).read_all().append_column("perplexity", pa.array(np.exp(bits), mask=n == 0))
+
+    asked = docs.select(*keep_cols, "text").mapInArrow(ask, "shard int, block long, meta binary, payload binary")
+    model = values.mapInArrow(packed, "shard int, payload binary")
+    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, "block long, meta binary, payload binary")
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep_cols)
-    return docs.select(*keep_cols, text_col).mapInArrow(score, f"{schema}, perplexity double")
+    return answers.groupBy("block").applyInArrow(collect, f"{schema}, perplexity double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """Perplexity of each whole text under a model of the trusted texts, and whether it is good enough.
 
     Columns: the id, ``perplexity`` double, ``threshold`` double (the ``quantile`` of the perplexities of trusted texts of
-    the language) and ``good`` boolean (perplexity is at most the threshold). Trusted are all texts with label 1.
+    the language) and ``good`` boolean (perplexity is at most the threshold). Trusted are all texts with label 1. One in
+    ``CALIBRATE`` of them, by the text's hash, isn't counted; thresholds come from those, so that they hold for texts that
+    the model hasn't seen. A language without such texts takes the threshold of its counted ones.
 
-    Null and empty texts have no perplexity and aren't good. A language without trusted texts takes the threshold of all
-    trusted texts; a null language is one of its own; without trusted texts every other text is good. Repeated rows give
-    repeated results; texts with contrary labels are trusted; other columns are not read; an empty table gives no rows.
+    Null, empty and wordless texts have no perplexity and aren't good. A language without trusted texts takes the threshold
+    of all trusted texts; a null language is one of its own; without trusted texts every other text is good. Repeated rows
+    give repeated results; texts with contrary labels are trusted; other columns are not read; an empty table gives no rows.
 
-    Counting and scoring are one pass over the texts each; counts are summed in tasks, then by shards of their hash, and
-    joined with their contexts' totals. What reaches the workers is bounded by the number of possible runs.
+    Pairs of words are counted in blocks, then by shards; texts' pairs are joined with the counts' values by shard. Only
+    words under a checked bound and a bounded number of frequent grams reach all workers.
     """
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__of")).distinct()
     good = good.withColumn("__trusted", F.lit(True))
     few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     marked = marked.join(F.broadcast(good) if few else good, F.col("id") == F.col("__of"), "left").drop("__of").withColumnRenamed("__trusted", "trusted")
-    scored = materialise(perplexities(marked, marked.where("trusted"), "text", ("id", "lang", "trusted")))
+    marked = marked.withColumn("held", F.coalesce(F.crc32("text") % CALIBRATE == 0, F.lit(False)))
+    marked = marked.select("id", "lang", "trusted", "held", "text")
+    scored = materialise(perplexities(marked, marked.where("trusted and not held"), ("id", "lang", "trusted", "held")))
     known = scored.where("trusted and perplexity is not null")
-    cut = F.percentile_approx("perplexity", quantile, ACCURACY)
+    of = lambda rows: F.percentile_approx(rows, quantile, ACCURACY)
+    cut = F.coalesce(of(F.when(F.col("held"), F.col("perplexity"))), of(F.col("perplexity")))
     own = known.groupBy(F.col("lang").alias("__lang")).agg(cut.alias("__own"))
     every = known.agg(cut.alias("__all"))
     out = scored.join(own, F.col("lang").eqNullSafe(F.col("__lang")), "left").crossJoin(F.broadcast(every))  # `every` is one row
