@@ -42,7 +42,7 @@ _PRIME, _TIMES = 2_147_483_647, 48_271
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as compressed bytes, each with the first bytes of all its numbers first, then the second bytes, and so on."""
-    raw = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in arrays]
+    raw = [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes() for x in arrays]
     return zstandard.compress(pickle.dumps(([(x.dtype.str, len(x)) for x in arrays], raw)))
 
 
