@@ -203,6 +203,23 @@ def test_neighbours_recall(spark, small):
     assert neighbours.nearest(rows.limit(0), rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [1e-6, 3e-3])
+def test_neighbours_recall_among_near_copies(spark, noise):
+    """Thousands of slightly different copies, with equal codes and with codes that differ: their order is that of the exact scores."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((4_000, 16))
+    x[1_000:] = x[0] + noise * rng.standard_normal((3_000, 16))
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = list(range(1_000, 4_000, 200))
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(rows, rows.where(F.col("vec_id").isin(asked))).collect()}
+    truth = set()
+    for q in asked:
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        truth |= {(q, int(j)) for j in np.lexsort((np.arange(len(x)), -s))[:20]}
+    assert len(truth & got) >= 0.95 * len(truth)
+
+
 def test_quality_prefers_trusted_text(spark):
     rng = random.Random(4)
     good = [(i, " ".join(rng.choice(["the", "house", "stands", "on", "a", "hill"]) for _ in range(60)) + ".", "en") for i in range(60)]

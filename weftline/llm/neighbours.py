@@ -16,7 +16,7 @@ TRAIN_ROWS = 20_000
 SUB_DIMS, CENTRES = 2, 16
 #: Weight of the residual along the vector against the residual across it, for inner products of at least this cosine.
 THRESHOLD = 0.2
-#: Rows of a block of the index, queries of a block, and candidates that each block reranks exactly for a query.
+#: Rows of a block of the index, queries of a block, and candidates that each block first scores exactly for a query.
 BLOCK_ROWS, BLOCK_QUERIES, RERANK = 8_192, 1_024, 64
 
 
@@ -95,8 +95,10 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int
 
     Codebooks are fitted on a bounded sample and broadcast (a few KB). Every row is coded inside a block of the index, cut
     by hash, so equal vectors spread over blocks; queries come in blocks too, and each pair of blocks is one group: tables
-    of the queries' products with the centres are scanned by code, the best ``rerank`` rows of the block are scored
-    exactly, and the best ``k`` of those go on. Blocks have about the same size at any input.
+    of the queries' products with the centres are scanned by code, the best ``rerank`` rows of the block (and all that equal
+    the last of them) are scored exactly, then twice as many, and so on until a slice adds nothing to the best ``k``, which go
+    on. So near copies, whose rough scores say little about their order, are all scored. Blocks have about the same size at
+    any input.
     """
     spark = embeddings.sparkSession
     base = embeddings.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
@@ -139,6 +141,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int
         order = np.argsort(d_ids.to_numpy(zero_copy_only=False), kind="stable")
         d, d_ids = d[order], d_ids.take(pa.array(order))
         codes = encode(d, books.value).T
+        q_names, d_names = (x.to_numpy(zero_copy_only=False) for x in (q_ids, d_ids))
         out_q, out_d, out_s = [], [], []
         top = min(rerank, len(d))
         for at in range(0, len(q), 64):
@@ -147,24 +150,24 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int
             rough = np.zeros((len(some), len(d)), np.float32)
             for p in range(len(codes)):
                 rough += luts[p][:, codes[p]]
-            # Equal rough scores (equal codes) go to the smaller ids: rows are in the order of ids.
             for i, scores in enumerate(rough):
-                edge = np.partition(scores, len(d) - top)[len(d) - top]
-                above, level = np.flatnonzero(scores > edge), np.flatnonzero(scores == edge)
-                best = np.concatenate([above, level[: max(0, top - len(above))]])
+                best, s, size, done = np.zeros(0, int), np.zeros(0), top, np.zeros(len(d), bool)
+                while True:
+                    near = scores >= np.partition(scores, len(d) - size)[len(d) - size]
+                    more = np.flatnonzero(near & ~done)
+                    more = more[d_names[more] != q_names[at + i]]
+                    # Row by row, so that equal vectors have equal scores; these go to the smaller ids, whose order the rows have.
+                    best, s, seen = np.concatenate([best, more]), np.concatenate([s, (d[more] * some[i]).sum(1)]), len(s)
+                    kept = np.lexsort((best, -s))[:k]
+                    best, s = best[kept], s[kept]
+                    if size == len(d) or (len(s) == k and (kept < seen).all()):
+                        break
+                    done, size = near, min(2 * max(size, int(near.sum())), len(d))
                 out_q.append(np.full(len(best), at + i))
                 out_d.append(best)
-                out_s.append(np.array([some[i] @ d[j] for j in best]))
+                out_s.append(s)
         qi, di, s = map(np.concatenate, (out_q, out_d, out_s))
-        keep = q_ids.take(pa.array(qi)).to_numpy(zero_copy_only=False) != d_ids.take(pa.array(di)).to_numpy(zero_copy_only=False)
-        qi, di, s = qi[keep], di[keep], s[keep]
-        # The best k of each query: by query, score down, then id (rows are in the order of ids).
-        order = np.lexsort((di, -s, qi))
-        qi, di, s = qi[order], di[order], s[order]
-        first = np.concatenate([[0], np.flatnonzero(np.diff(qi)) + 1]) if len(qi) else np.zeros(0, int)
-        place = np.arange(len(qi)) - np.repeat(first, np.diff(np.concatenate([first, [len(qi)]])))
-        best = place < k
-        return pa.table({"query_id": q_ids.take(pa.array(qi[best])), "id": d_ids.take(pa.array(di[best])), "score": pa.array(s[best])})
+        return pa.table({"query_id": q_ids.take(pa.array(qi)), "id": d_ids.take(pa.array(di)), "score": pa.array(s)})
 
     near = rows.unionByName(asks).groupBy("block", "group").applyInArrow(search, schema).dropDuplicates(["query_id", "id"])
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
