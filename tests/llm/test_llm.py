@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -323,6 +323,31 @@ def test_substring_ranks(spark, odd):
     assert substring.drop_repeated(odd.where("doc_id in (5, 6)")).where("doc_id = 6").first()["text"] == ""
 
 
+def test_repeated_passages_against_brute_force(spark):
+    """Passages in short lines, with other line ends, and in a line that differs elsewhere, beside plain lists of windows."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(6))
+    passage = [word() for _ in range(70)]
+    short = "\n".join(" ".join(passage[i : i + 5]) for i in range(0, 70, 5))
+    texts = [f"{word()} {word()}\n{short}\nend {word()}", f"{' '.join(passage)} {word()}", f"{word()} new\n{', '.join(passage).upper().replace('É', 'é')}.\nold {word()}", " ".join(passage[:49]) + f" {word()}", "tick tock " * 60, None, ""]
+    texts += [" ".join(word() for _ in range(200)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t, i * 2) for i, t in enumerate(texts)], "doc_id long, text string, place int")
+    seen, want = {}, set()
+    for i, t in enumerate(texts):
+        w = common.words((t or "").encode())
+        for p in range(len(w) - 49):
+            first = seen.setdefault(tuple(w[p : p + 50]), (i, p))
+            if first[0] != i or p >= first[1] + 50:
+                want.add((i, p))
+    got = substring.repeated_passages(docs).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in got} == Counter(i for i, _ in want) and {i for i, _ in want} == {1, 2, 4}
+    left = {r.doc_id: r.text for r in substring.drop_repeated(docs).collect()}
+    a, b, c = (texts[i].split("\n") for i in range(3))
+    assert left[0] == texts[0] and left[1] == b[0].split()[-1] and left[2] == f"{c[0]}\n{c[2]}"
+    assert common.words(left[4].encode()) == [b"tick", b"tock"] * 25
+    assert all(left[i] == texts[i] for i in range(len(texts)) if i not in (1, 2, 4))
+
+
 def test_filters_judge_each_row_by_its_own_text(spark, bench):
     """Null and repeated ids: what is dropped or cut in one row leaves the others alone."""
     other = "some quite different words that nobody else uses stand on this line as its only text"

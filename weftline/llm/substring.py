@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, words
+from .common import _WORD, materialise, mix64, slices, utf8, words
 
 #: Lines of fewer words repeat by chance in clean text (short answers, headings) and stay.
 MIN_WORDS = 10
+#: So many words in a row are a passage, whatever lines they stand in; passages are looked for by grams of half as many.
+PASSAGE_WORDS = 50
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,12 +77,153 @@ def _repeats(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Dat
     return all_units.join(firsts, F.col("digest") == F.col("__digest")).where(later).select(id_col, "unit", "start", "end", "n_words", "first_doc_id", "first_unit", "row_key")
 
 
+def _cut_words(batch: pa.RecordBatch, text_at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """All words of a batch: row, start and end (bytes in the row's text), first word of the row, and the words."""
+    texts = [t or b"" for t in utf8(batch.column(text_at))]
+    joined = b"\n".join(texts).translate(_WORD)
+    at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.frombuffer(joined, np.uint8) != 32).view(np.int8), [0]])))
+    starts, ends = edges[::2], edges[1::2]
+    row = np.searchsorted(at, starts, side="right") - 1
+    return row, starts - at[row], ends - at[row], np.searchsorted(row, row), joined.split()
+
+
+def _anchors(row: np.ndarray, found: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each passage of ``size`` words (by its first word) the place and the hash of its anchor: its gram of
+    ``size // 2`` words with the smallest hash, the last of equal ones. Equal passages have equal anchors at equal places.
+
+    Passages that reach into the next row have anchors too; the caller leaves them out.
+    """
+    gram = size // 2
+    if len(found) < size:
+        return np.zeros(0, int), np.zeros(0, np.int64)
+    h = mix64(np.fromiter(map(zlib.crc32, found), np.uint64, len(found)))
+    grams = np.zeros(len(h) - gram + 1, np.uint64)
+    for j in range(gram):
+        grams *= np.uint64(0x9E3779B97F4A7C15)
+        grams += h[j : j + len(grams)]
+    grams = mix64(grams)
+
+    def least(v: np.ndarray, p: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        later = v[step:] <= v[:-step]
+        return np.where(later, v[step:], v[:-step]), np.where(later, p[step:], p[:-step])
+
+    v, p, width, want = grams, np.arange(len(grams)), 1, size - gram + 1
+    while width < want:
+        step = min(width, want - width)
+        v, p = least(v, p, step)
+        width += step
+    return p, v.view(np.int64)
+
+
+def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every passage of ``size`` words that repeats an earlier one: the id, ``row_key``, ``start`` and ``end`` (bytes).
+
+    Words are those of the lines' digests. Passages rank by id, text and place; one that overlaps the first of its kind in
+    the same text doesn't repeat it. Longer passages are listed as all passages of ``size`` words in them.
+
+    Of each passage an anchor is chosen by content alone, so equal passages have equal anchors: one word in thirteen or so
+    is the place of one. Only passages whose anchor repeats are then compared, by 128 bits of their words.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    keyed = docs.select(id_col, text_col, F.xxhash64(text_col).alias("row_key"))
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, 1_000_000):
+            row, _, _, first, found = _cut_words(batch, 1)
+            place, value = _anchors(row, found, size)
+            whole = np.flatnonzero(row[: len(place)] == row[size - 1 :][: len(place)])
+            # A run of passages with the same anchor is one row.
+            heads = np.flatnonzero(np.diff(place[whole], prepend=-1))
+            lasts = np.append(heads[1:], len(whole))[: len(heads)] - 1
+            of = pa.array(row[whole[heads]])
+            arrays = [batch.column(0).take(of), batch.column(2).take(of), pa.array(value[whole[heads]]), pa.array((whole[heads] - first[whole[heads]]).astype(np.int32)), pa.array((whole[lasts] - first[whole[lasts]]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "row_key", "anchor", "low", "high"])
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, 1_000_000):
+            row, start, end, first, found = _cut_words(batch, 1)
+            begin = np.searchsorted(row, np.arange(batch.num_rows))
+            for i, runs in enumerate(batch.column(3).to_pylist()):
+                at = np.unique(np.concatenate([np.arange(r["low"], r["high"] + 1) for r in runs]))
+                for some in np.array_split(at, -(-len(at) // 20_000)):
+                    w = some + begin[i]
+                    digests = [hashlib.blake2b(b" ".join(found[j : j + size]), digest_size=16).digest() for j in w.tolist()]
+                    same = pa.array(np.full(len(w), i))
+                    arrays = [batch.column(0).take(same), batch.column(2).take(same), pa.array(some.astype(np.int32)), pa.array(start[w]), pa.array(end[w + size - 1]), pa.array(digests, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "row_key", "place", "start", "end", "digest"])
+
+    runs = materialise(keyed.mapInArrow(anchors, f"`{id_col}` {kind}, row_key long, anchor long, low int, high int"))
+    twice = runs.groupBy("anchor").count().where("count > 1").select("anchor")
+    asked = runs.join(twice, "anchor").groupBy(F.col(id_col).alias("__of"), F.col("row_key").alias("__row_key")).agg(F.collect_set(F.struct("low", "high")).alias("__runs"))
+    near = keyed.join(asked, keyed[id_col].eqNullSafe(asked["__of"]) & (keyed["row_key"] == asked["__row_key"])).select(id_col, text_col, "row_key", "__runs")
+    cut = materialise(near.mapInArrow(passages, f"`{id_col}` {kind}, row_key long, place int, start long, end long, digest binary"))
+    firsts = (
+        cut.groupBy(F.col("digest").alias("__digest"))
+        .agg(F.min(F.struct(F.col(id_col).alias("d"), F.col("row_key").alias("r"), F.col("place").alias("p"))).alias("first"), F.count("*").alias("n"))
+        .where("n > 1")
+    )
+    same_row = F.col(id_col).eqNullSafe(F.col("first.d")) & (F.col("row_key") == F.col("first.r"))
+    later = ~same_row | (F.col("place") >= F.col("first.p") + size)
+    return cut.join(firsts, F.col("digest") == F.col("__digest")).where(later).select(id_col, "row_key", "start", "end")
+
+
+def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the spans (bytes, from the first letter of a word to the last of another), and without what
+    stands between a span and the next word or line end. Lines that lose all their words go with their line ends."""
+    gone = np.zeros(len(text) + 1, np.int32)
+    np.add.at(gone, [a for a, _ in spans], 1)
+    np.add.at(gone, [b for _, b in spans], -1)
+    gone = np.cumsum(gone)[:-1] > 0
+    plain = np.frombuffer(text, np.uint8)
+    # Punctuation and spaces after a span go until a word or a line end.
+    stop = np.frombuffer(text.translate(_WORD), np.uint8) != 32
+    stop |= plain == 10
+    edges = np.flatnonzero(gone[:-1] & ~gone[1:]) + 1
+    stops = np.append(np.flatnonzero(stop), len(text))
+    for a, b in zip(edges, stops[np.searchsorted(stops, edges)], strict=True):
+        gone[a:b] = True
+    lines, at = [], 0
+    for line in text.split(b"\n"):
+        cut = gone[at : at + len(line)]
+        at += len(line) + 1
+        if not cut.any():
+            lines.append(line)
+        elif words(rest := np.frombuffer(line, np.uint8)[~cut].tobytes()):
+            lines.append(rest)
+    return b"\n".join(lines)
+
+
+def drop_passages(docs: DataFrame, size: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All documents, without the passages that ``repeated_passages`` lists; other columns as they were."""
+    of = [F.col(id_col).alias("__of"), F.col("row_key").alias("__row_key")]
+    spans = repeated_passages(docs, size, id_col, text_col).groupBy(*of).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    found = docs.join(spans, docs[id_col].eqNullSafe(spans["__of"]) & (F.xxhash64(docs[text_col]) == spans["__row_key"]), "left").select(*[docs[c] for c in docs.columns], spans["__spans"])
+    names = docs.columns
+    at = names.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            arrays = batch.columns[:-1]
+            hit = np.flatnonzero(pc.is_valid(batch.column(len(arrays))).to_numpy(zero_copy_only=False))
+            if len(hit):
+                texts = utf8(arrays[at])
+                for i in hit.tolist():
+                    texts[i] = without_spans(texts[i], [(s["start"], s["end"]) for s in batch.column(len(arrays))[i].as_py()])
+                arrays[at] = pa.array(texts, pa.binary() if pa.types.is_string(arrays[at].type) else pa.large_binary()).cast(arrays[at].type)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return found.mapInArrow(cut, docs.schema)
+
+
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All documents, without the lines that ``repeated_units`` lists (nor their line ends); other columns as they were.
+    """All documents, without passages of ``PASSAGE_WORDS`` words that repeat an earlier one, then without the lines that
+    ``repeated_units`` lists in what is left (nor their line ends); other columns as they were.
 
-    A document that loses all its lines stays with an empty text; a null text stays null. Rows that share an id (or have
+    Passages go whatever their lines: cut short, or alike but for a word elsewhere in the line. A document that loses all its lines stays with an empty text; a null text stays null. Rows that share an id (or have
     none) but differ in text lose each its own lines.
     """
+    docs = materialise(drop_passages(docs, id_col=id_col, text_col=text_col))
     of = [F.col(id_col).alias("__of"), F.col("row_key").alias("__row_key")]
     gone = _repeats(docs, min_words, id_col, text_col).groupBy(*of).agg(F.collect_set("unit").alias("__gone"))
     lines = F.filter(F.split(docs[text_col], "\n", -1), lambda _, i: ~F.array_contains(gone["__gone"], i.cast("int")))
