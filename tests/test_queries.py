@@ -7,7 +7,11 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+from weftline.functions import text as T
+from weftline.operators import core, models
 from weftline.plans import ORACLE_SQL, QUERIES
+from weftline.sources.tables import interactions, items, read_table
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +45,33 @@ def test_matches_sql(spark, duck, small, name):
 @pytest.mark.parametrize("name", ["als_fold_in", "rank_model", "mmr_diversify", "two_tower_fit", "recommendation_ttl", "item_themes", "fuzzy_match_movie", "new_titles_for_profile"])
 def test_runs(spark, small, name):
     assert not QUERIES[name](spark, small).isEmpty()
+
+
+@pytest.mark.parametrize("domain, name", [("movie", "fuzzy_match_movie"), ("game", "fuzzy_match_game")])
+def test_fuzzy_matches_every_item(spark, small, domain, name):
+    """Brute force over all items of the domain against all others; two of equal key or pool go to the smaller title."""
+    it = items(spark, small).join(core.item_stats(interactions(spark, small)).select("item_id", "rating_count"), "item_id", "left").na.fill(0).collect()
+    near = T.levenshtein_similarity(F.lower("a"), F.lower("b"))
+    titles = spark.createDataFrame([(t,) for t in {r.title for r in it}], "a string")
+    sims = {(r.a, r.b): r.s for r in titles.crossJoin(titles.toDF("b")).withColumn("s", near).where("s >= 0.88").collect()}
+    want = {}
+    for left in (r for r in it if r.domain == domain):
+        others = [r for r in it if r.item_id != left.item_id and (left.title, r.title) in sims and r.title.lower().split(" ")[0] == left.title.lower().split(" ")[0]]
+        if domain == "movie":
+            found = [(-(sims[left.title, r.title] + 0.15 * (r.year == left.year) + 0.03 * math.log1p(r.rating_count)), r.title, r.year) for r in others if abs(r.year - left.year) <= 1]
+        else:
+            first = {t: min(r.year for r in others if r.title == t) for t in {r.title for r in others}}
+            found = [(t != left.title, -sims[left.title, t], t, y) for t, y in first.items() if abs(y - left.year) <= 3]
+        if found:
+            want[left.item_id] = min(found)[-2:]
+    got = QUERIES[name](spark, small).collect()
+    assert {r.item_id: (r.t, r.y) for r in got} == want and len(got) == len(want)
+
+
+def test_new_titles_for_every_profile(spark, small):
+    """Every user with a vector among the likes has five titles, chosen from all."""
+    v = read_table(spark, small, "embeddings").select(F.col("vec_id").alias("item_id"))
+    users = models.signed_history(interactions(spark, small)).where("weight > 0").join(v, "item_id").select("user_id").distinct()
+    got = QUERIES["new_titles_for_profile"](spark, small).collect()
+    assert {r.user_id for r in got} == {r.user_id for r in users.collect()} and len(got) == 5 * users.count()
+    assert {r.item_id % 3 for r in got} == {0, 1, 2}

@@ -350,14 +350,22 @@ def resolve_titles(spark, sf):
     return d.groupBy("title").agg(F.min_by("item_id", F.struct("domain", "item_id")).alias("best"), (F.count("*") > 1).alias("ambiguous"))
 
 
+def _but_own(it: DataFrame, by: list[str], value: str, smallest: bool) -> DataFrame:
+    """For each group the best ``value`` and whose it is (``v1``, ``id1``), and the best among all others' (``v2``)."""
+    two = core.top(it, by, 2, F.asc(value) if smallest else F.desc(value), "item_id")
+    at = lambda r, c: F.max(F.when(F.col("rank") == r, F.col(c)))
+    return two.groupBy(*by).agg(at(1, "item_id").alias("id1"), at(1, value).alias("v1"), at(2, value).alias("v2"))
+
+
 @query()
 def fuzzy_match_movie(spark, sf):
-    """Titles against candidates that share the first word: similarity with a bonus for near years and votes, best each."""
+    """Films against all other items that share the first word: similarity with a bonus for near years and votes, best each."""
     it = items(spark, sf).join(core.item_stats(interactions(spark, sf)).select("item_id", "rating_count"), "item_id", "left").na.fill(0, ["rating_count"])
-    left = it.where("domain = 'movie' and item_id % 5 = 0").select("item_id", "title", "year", F.split(F.lower("title"), " ")[0].alias("block"))
-    right = it.where("item_id % 5 <> 0").groupBy("title", "year").agg(F.max("rating_count").alias("votes")).select(F.col("title").alias("t"), F.col("year").alias("y"), "votes", F.split(F.lower("title"), " ")[0].alias("block"))
+    left = it.where("domain = 'movie'").select("item_id", "title", "year", F.split(F.lower("title"), " ")[0].alias("block"))
+    right = _but_own(it, ["title", "year"], "rating_count", False).select(F.col("title").alias("t"), F.col("year").alias("y"), "id1", "v1", "v2", F.split(F.lower("title"), " ")[0].alias("block"))
     sim = T.levenshtein_similarity(F.lower("title"), F.lower("t"))
-    rows = left.join(right, "block").where(F.abs(F.col("year") - F.col("y")) <= 1).withColumn("sim", sim).where("sim >= 0.88")
+    rows = left.join(right, "block").where(F.abs(F.col("year") - F.col("y")) <= 1).withColumn("votes", F.when(F.col("id1") == F.col("item_id"), F.col("v2")).otherwise(F.col("v1")))
+    rows = rows.where("votes is not null").withColumn("sim", sim).where("sim >= 0.88")
     key = F.col("sim") + F.when(F.col("year") == F.col("y"), 0.15).otherwise(0.0) + 0.03 * F.log1p(F.col("votes").cast("double"))
     return core.top(rows.withColumn("key", key), ["item_id"], 1, F.desc("key"), "t", "y").select("item_id", "t", "y", "sim")
 
@@ -366,10 +374,10 @@ def fuzzy_match_movie(spark, sf):
 def fuzzy_match_game(spark, sf):
     """As for films with three years of tolerance; exact names are tried before similar ones."""
     it = items(spark, sf)
-    left = it.where("domain = 'game' and item_id % 5 = 3").select("item_id", "title", "year", F.split(F.lower("title"), " ")[0].alias("block"))
-    right = it.where("item_id % 5 <> 3").groupBy("title").agg(F.min("year").alias("y")).select(F.col("title").alias("t"), "y", F.split(F.lower("title"), " ")[0].alias("block"))
-    rows = left.join(right, "block").withColumn("pool", F.when(F.col("title") == F.col("t"), 0).otherwise(1)).withColumn("sim", T.levenshtein_similarity(F.lower("title"), F.lower("t")))
-    rows = rows.where("sim >= 0.88 and abs(year - y) <= 3")
+    left = it.where("domain = 'game'").select("item_id", "title", "year", F.split(F.lower("title"), " ")[0].alias("block"))
+    right = _but_own(it, ["title"], "year", True).select(F.col("title").alias("t"), "id1", "v1", "v2", F.split(F.lower("title"), " ")[0].alias("block"))
+    rows = left.join(right, "block").withColumn("y", F.when(F.col("id1") == F.col("item_id"), F.col("v2")).otherwise(F.col("v1"))).where(F.abs(F.col("year") - F.col("y")) <= 3)
+    rows = rows.withColumn("pool", F.when(F.col("title") == F.col("t"), 0).otherwise(1)).withColumn("sim", T.levenshtein_similarity(F.lower("title"), F.lower("t"))).where("sim >= 0.88")
     return core.top(rows, ["item_id"], 1, "pool", F.desc("sim"), "t").select("item_id", "t", "y", "sim")
 
 

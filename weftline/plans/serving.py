@@ -79,8 +79,8 @@ def stand_ins(spark, sf):
 @query()
 def new_titles_for_profile(spark, sf):
     v = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
-    profiles = models.profiles(models.signed_history(interactions(spark, sf)).where("weight > 0 and user_id % 20 = 0"), v)
-    return core.top(models.vector_scores(profiles, v.where("item_id % 3 = 0")), ["user_id"], 5, F.desc("score"), "item_id")
+    profiles = models.profiles(models.signed_history(interactions(spark, sf)).where("weight > 0"), v)
+    return core.top(models.vector_scores(profiles, v, max(16, -(-v.count() // 4096))), ["user_id"], 5, F.desc("score"), "item_id")
 
 
 @query("SELECT vec_id AS item_id, len(embedding)::INTEGER AS width FROM embeddings")
