@@ -318,34 +318,55 @@ def test_toxicity_gradient():
 
 
 def test_substring_ranks(spark, odd):
-    rows = substring.repeated_units(odd.where("doc_id in (5, 6)")).orderBy("doc_id", "unit").collect()
-    assert [(r.doc_id, r.unit, r.first_doc_id, r.first_unit) for r in rows] == [(6, 0, 5, 0), (6, 2, 5, 0)]
+    rows = substring.dedup(odd.where("doc_id in (5, 6)")).orderBy("doc_id").collect()
+    assert rows[0].removed == [] and rows[0].text == f"{LINE}\n{TEXT}"
+    assert [(r.start, r.end, r.first_doc_id, r.first_unit) for r in rows[1].removed] == [(0, len(LINE), 5, 0), (len(LINE) + 2, 2 * len(LINE) + 3, 5, 0)]
     assert substring.drop_repeated(odd.where("doc_id in (5, 6)")).where("doc_id = 6").first()["text"] == ""
+    clashing = odd.withColumn("removed", F.lit("mine"))
+    assert substring.drop_repeated(clashing).columns == clashing.columns and substring.drop_repeated(clashing).where("removed = 'mine'").count() == odd.count()
 
 
-def test_repeated_passages_against_brute_force(spark):
-    """Passages in short lines, with other line ends, and in a line that differs elsewhere, beside plain lists of windows."""
+def test_substring_against_brute_force(spark):
+    """Passages that begin and end inside sentences, in other lines and cases, with lone repeated sentences left alone."""
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(6))
-    passage = [word() for _ in range(70)]
-    short = "\n".join(" ".join(passage[i : i + 5]) for i in range(0, 70, 5))
-    texts = [f"{word()} {word()}\n{short}\nend {word()}", f"{' '.join(passage)} {word()}", f"{word()} new\n{', '.join(passage).upper().replace('É', 'é')}.\nold {word()}", " ".join(passage[:49]) + f" {word()}", "tick tock " * 60, None, ""]
-    texts += [" ".join(word() for _ in range(200)) for _ in range(20)]
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize()
+    passage = [sentence(8) for _ in range(9)]
+    lone = sentence(12)
+    texts = [f"{sentence(5)}. {'. '.join(passage)}. {sentence(6)}.", f"{sentence(9)}!\n{word()} {'.\n'.join(passage)} {word()}. {sentence(3)}", f"{lone}. {sentence(9)}", f"{sentence(9)}. {lone}?", f"{sentence(4)}. {'! '.join(p.upper().replace('É', 'é') for p in passage[2:7])}! {sentence(4)}.", None, "", "tick tock. " * 60, "\n\n..."]
+    texts += [". ".join(sentence(rng.randint(1, 12)) for _ in range(20)) for _ in range(20)]
     docs = spark.createDataFrame([(i, t, i * 2) for i, t in enumerate(texts)], "doc_id long, text string, place int")
-    seen, want = {}, set()
+    seen, left = {}, {}
     for i, t in enumerate(texts):
-        w = common.words((t or "").encode())
-        for p in range(len(w) - 49):
-            first = seen.setdefault(tuple(w[p : p + 50]), (i, p))
-            if first[0] != i or p >= first[1] + 50:
-                want.add((i, p))
-    got = substring.repeated_passages(docs).groupBy("doc_id").count().collect()
-    assert {r.doc_id: r["count"] for r in got} == Counter(i for i, _ in want) and {i for i, _ in want} == {1, 2, 4}
-    left = {r.doc_id: r.text for r in substring.drop_repeated(docs).collect()}
-    a, b, c = (texts[i].split("\n") for i in range(3))
-    assert left[0] == texts[0] and left[1] == b[0].split()[-1] and left[2] == f"{c[0]}\n{c[2]}"
-    assert common.words(left[4].encode()) == [b"tick", b"tock"] * 25
-    assert all(left[i] == texts[i] for i in range(len(texts)) if i not in (1, 2, 4))
+        found = substring.pieces_of((t or "").encode())
+        assert b"".join(found) == (t or "").encode()
+        known = [(k, tuple(w)) for k, p in enumerate(found) if (w := common.words(p))]
+        again = [seen.setdefault(w, (i, u)) != (i, u) for u, (_, w) in enumerate(known)]
+        out, u = set(), 0
+        while u < len(known):
+            v = u
+            while v < len(known) and again[v]:
+                v += 1
+            if v > u and sum(len(known[x][1]) for x in range(u, v)) >= 30:
+                low, high = known[u][0], known[v][0] if v < len(known) else len(found)
+                whole = low == 0 or found[low - 1] == b"\n"
+                out |= set(range(low, high if whole else known[v - 1][0] + 1))
+            u = max(v, u + 1)
+        left[i] = None if t is None else b"".join(p for k, p in enumerate(found) if k not in out).decode()
+    for share in (substring.HOT_SHARE, 1e-9):
+        old, substring.HOT_SHARE = substring.HOT_SHARE, share
+        try:
+            got = {r.doc_id: r for r in substring.dedup(docs).collect()}
+        finally:
+            substring.HOT_SHARE = old
+        assert {i: r.text for i, r in got.items()} == left
+        assert all(r.place == 2 * i for i, r in got.items())
+        for i, r in got.items():
+            for x in r.removed:
+                kept = [p for p in substring.pieces_of(texts[x.first_doc_id].encode()) if common.words(p)][x.first_unit]
+                assert common.words(texts[i][x.start : x.end].encode()) == common.words(kept)
+    assert sorted(i for i, r in got.items() if r.removed) == [1, 4, 7]
+    assert len(common.words(left[1].encode())) == 9 + 1 + 8 + 8 + 1 + 3 and left[7].split() == ["tick", "tock."]
 
 
 def test_filters_judge_each_row_by_its_own_text(spark, bench):
@@ -362,9 +383,10 @@ def test_filters_judge_each_row_by_its_own_text(spark, bench):
     # The other texts compress alike in both languages: ties, which are rejected.
     assert found.where("not rejected").count() == 2 and [r.text for r in kept.collect()] == [TEXT, TEXT]
     assert neardup.drop_near_duplicates(docs).where("doc_id is null").count() == 3
-    lines = spark.createDataFrame([(None, f"a\n{LINE}"), (None, f"b\n{other}"), (1, f"{LINE}\nc"), (1, f"{TEXT}\nd")], "doc_id long, text string")
+    twice = f"{LINE}\n{other}"
+    lines = spark.createDataFrame([(None, f"a\n{twice}"), (None, f"b\n{TEXT}"), (1, f"{twice}\nc"), (1, f"{TEXT}\nd")], "doc_id long, text string")
     texts = {r.text for r in substring.drop_repeated(lines).collect()}
-    assert texts == {f"a\n{LINE}", f"b\n{other}", "c", f"{TEXT}\nd"}
+    assert texts == {f"a\n{twice}", f"b\n{TEXT}", "c", f"{TEXT}\nd"}
 
 
 def test_sql_twins(spark, small):
@@ -396,7 +418,7 @@ def test_pipeline_stages(spark, small):
     groups = neardup.near_duplicates(one).collect()
     assert {r.doc_id for r in two.select("doc_id").collect()} == {r.component_id for r in groups}
     three = common.materialise(cp.substring_dedup(spark, two, small))
-    assert substring.repeated_units(three).isEmpty() and three.count() == two.count()
+    assert substring.dedup(three).where("size(removed) > 0").isEmpty() and three.count() == two.count()
     four = common.materialise(cp.decontamination(spark, three, small))
     assert decontaminate.contamination(four, common.read(spark, small, "benchmark")).where("contaminated").isEmpty()
     five = cp.best_fit_packing(spark, four, small)

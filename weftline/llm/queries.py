@@ -56,7 +56,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_units(read(spark, sf_dir, "documents"))
+    found = substring.dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.size("removed").alias("n_removed"), substring.removed_text().alias("removed"))
 
 
 QUERIES: dict[str, Query] = {
@@ -99,17 +100,33 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
        w.doc_id = least(w.doc_id, coalesce(m.low, w.doc_id)) AS kept
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) m ON w.doc_id = m.a""",
     "op10_substring_dedup": f"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
-  FROM documents WHERE text IS NOT NULL),
+WITH p AS (
+  SELECT doc_id, unnest(x) AS piece, generate_subscripts(x, 1) AS k
+  FROM (SELECT doc_id, regexp_extract_all(text, '\\n|[^.!?\\n]+[.!?]*|[.!?]+') AS x FROM documents WHERE text <> '')),
+w AS (SELECT doc_id, piece, k, regexp_extract_all({_LOWER.format("piece")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM p),
+s AS (
+  SELECT doc_id, k, piece, w, len(w) > 0 AS is_unit, sum(length(piece)) OVER so_far - length(piece) AS start,
+         count_if(len(w) > 0) OVER so_far - 1 AS unit, lag(piece) OVER (PARTITION BY doc_id ORDER BY k) AS before
+  FROM w WINDOW so_far AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 u AS (
-  SELECT doc_id, unit, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-         regexp_extract_all({_LOWER.format("line")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM l),
-k AS (
-  SELECT doc_id, unit, start, length(line) AS size, len(w) AS n_words,
+  SELECT doc_id, k, unit, start, start + length(piece) AS stop, len(w) AS n_words, coalesce(before, chr(10)) = chr(10) AS line_start,
          first_value(doc_id) OVER same AS first_doc_id, first_value(unit) OVER same AS first_unit
-  FROM u WHERE len(w) >= {substring.MIN_WORDS} WINDOW same AS (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, unit))
-SELECT doc_id, unit::INTEGER AS unit, start::BIGINT AS start, (start + size)::BIGINT AS "end", n_words::INTEGER AS n_words,
-       first_doc_id, first_unit::INTEGER AS first_unit
-FROM k WHERE NOT (doc_id = first_doc_id AND unit = first_unit)""",
+  FROM s WHERE is_unit WINDOW same AS (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, unit)),
+later AS (
+  SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM u WHERE NOT (doc_id = first_doc_id AND unit = first_unit)),
+runs AS (
+  SELECT *, sum(n_words) OVER r AS total, max(unit) OVER r AS last_unit, arg_min(line_start, unit) OVER r AS at_line
+  FROM later WINDOW r AS (PARTITION BY doc_id, run)),
+gone AS (SELECT * FROM runs WHERE total >= {substring.MIN_RUN_WORDS}),
+left_over AS (
+  SELECT s.doc_id, string_agg(s.piece, '' ORDER BY s.k) AS text
+  FROM s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.unit = g.unit
+  WHERE g.doc_id IS NULL OR (NOT s.is_unit AND NOT at_line AND g.unit = g.last_unit)
+  GROUP BY s.doc_id),
+lists AS (
+  SELECT doc_id, count(*) AS n, string_agg(start || '-' || stop || ':' || first_doc_id || '.' || first_unit, ',' ORDER BY unit) AS removed
+  FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_over.text, '') END AS text,
+       coalesce(lists.n, 0)::INTEGER AS n_removed, coalesce(lists.removed, '') AS removed
+FROM documents d LEFT JOIN left_over USING (doc_id) LEFT JOIN lists USING (doc_id)""",
 }

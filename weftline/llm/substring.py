@@ -1,9 +1,15 @@
-"""Substring dedup by hashing lines (operator 10)."""
+"""Substring dedup by hashing sentences inside lines (operator 10).
+
+Lines and paragraphs are too coarse as units: a passage that repeats begins and ends inside a line, and one changed word
+frees a whole paragraph. So lines are cut at ``.``, ``!`` and ``?`` too. Every unit's normalised words are hashed and the
+digests are grouped over all documents; the earliest unit of a digest stays. Later ones go where they stand side by side
+with others and hold ``MIN_RUN_WORDS`` words together, since single short sentences repeat by chance.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,221 +18,160 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WORD, materialise, mix64, slices, utf8, words
+from .common import materialise, slices, utf8, words
+
+#: Adjacent repeated units go if they hold so many words together. A passage of 50 words that begins and ends inside a
+#: sentence holds about as many in its whole sentences.
+MIN_RUN_WORDS = 30
+#: A digest with this share of all repeated units is dealt to ``SALTS`` tasks; there are at most ``1 / HOT_SHARE`` such.
+HOT_SHARE, SALTS = 1e-3, 64
+_PIECE = re.compile(rb"\n|[^.!?\n]+[.!?]*|[.!?]+")
 
-#: Lines of fewer words repeat by chance in clean text (short answers, headings) and stay.
-MIN_WORDS = 10
-#: So many words in a row are a passage, whatever lines they stand in; passages are looked for by grams of half as many.
-PASSAGE_WORDS = 50
 
+def pieces_of(text: bytes | None) -> list[bytes]:
+    """The text in pieces that make it up: line ends, and sentences or parts of them with their end marks."""
+    return _PIECE.findall(text) if text else []
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines of at least ``min_words`` words: the id, ``unit`` int, ``start`` and ``end`` long (characters, without the
-    line end), ``n_words`` int, ``digest``, 128 bits of the lower-cased words joined by single spaces, and ``row_key``,
-    64 bits of the whole text, which tells apart the rows of one id."""
+
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pieces with words: the id, ``row_key``, 64 bits of the whole text, which tells apart the rows of one id, ``unit`` int
+    (from 0 in its text), ``n_words`` int, and ``digest``, 128 bits of the lower-cased words joined by single spaces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, unit, start, end, n, digest, keys = [], [], [], [], [], [], []
+        for batch in slices(batches, 1):
+            row, unit, n, digest = [], [], [], []
             for i, text in enumerate(utf8(batch.column(1))):
-                at = 0
-                for k, line in enumerate((text or b"").split(b"\n")):
-                    w = words(line)
-                    size = len(line) if line.isascii() else len(line.decode())
-                    if len(w) >= min_words:
+                k = 0
+                for piece in pieces_of(text):
+                    if w := words(piece):
                         row.append(i)
                         unit.append(k)
-                        start.append(at)
-                        end.append(at + size)
                         n.append(len(w))
                         digest.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest())
-                    at += size + 1
+                        k += 1
             rows = pa.array(row, pa.int64())
-            arrays = [batch.column(0).take(rows), pa.array(unit, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(n, pa.int32()), pa.array(digest, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column(2).take(rows)], names=[id_col, "unit", "start", "end", "n_words", "digest", "row_key"])
+            arrays = [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(unit, pa.int32()), pa.array(n, pa.int32()), pa.array(digest, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "row_key", "unit", "n_words", "digest"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(id_col, text_col, F.xxhash64(text_col))
-    return keyed.mapInArrow(cut, f"`{id_col}` {kind}, unit int, start long, end long, n_words int, digest binary, row_key long")
-
+    return keyed.mapInArrow(cut, f"`{id_col}` {kind}, row_key long, unit int, n_words int, digest binary")
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every line that repeats an earlier one, in whichever document; lines rank by id, then place.
 
-    Columns: the id, ``unit``, ``start``, ``end``, ``n_words``, and the kept occurrence, ``first_doc_id`` and
-    ``first_unit``. Lines are equal if their lower-cased words are; lines of fewer than ``min_words`` words never repeat.
+def later_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every unit but the earliest of its digest: the id, ``row_key``, ``unit``, ``n_words`` and the earliest one's
+    ``first_doc_id`` and ``first_unit``. Units rank by id, text and place.
 
-    Null and empty texts have no lines. Null ids rank first. Rows that share an id are one document, so their equal lines
-    at the same place don't repeat each other. Other columns are not read; an empty table gives no rows.
-
-    Digests are grouped with partial sums, and the lines meet the repeated digests in a join that adaptive execution can
-    split, so a line that a third of all documents share is no single task's work.
+    Digests are grouped with partial minima. The join by digest deals each frequent digest to many tasks.
     """
-    return _repeats(docs, min_words, id_col, text_col).drop("row_key")
-
-
-def _repeats(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    all_units = units(docs, min_words, id_col, text_col)
-    firsts = (
-        all_units.groupBy("digest")
-        .agg(F.min(F.struct(F.col(id_col).alias("d"), F.col("unit").alias("u"))).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select(F.col("digest").alias("__digest"), F.col("first.d").alias("first_doc_id"), F.col("first.u").alias("first_unit"))
-    )
-    later = ~(F.col(id_col).eqNullSafe(F.col("first_doc_id")) & (F.col("unit") == F.col("first_unit")))
-    return all_units.join(firsts, F.col("digest") == F.col("__digest")).where(later).select(id_col, "unit", "start", "end", "n_words", "first_doc_id", "first_unit", "row_key")
-
-
-def _cut_words(batch: pa.RecordBatch, text_at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """All words of a batch: row, start and end (bytes in the row's text), first word of the row, and the words."""
-    texts = [t or b"" for t in utf8(batch.column(text_at))]
-    joined = b"\n".join(texts).translate(_WORD)
-    at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.frombuffer(joined, np.uint8) != 32).view(np.int8), [0]])))
-    starts, ends = edges[::2], edges[1::2]
-    row = np.searchsorted(at, starts, side="right") - 1
-    return row, starts - at[row], ends - at[row], np.searchsorted(row, row), joined.split()
-
-
-def _anchors(row: np.ndarray, found: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each passage of ``size`` words (by its first word) the place and the hash of its anchor: its gram of
-    ``size // 2`` words with the smallest hash, the last of equal ones. Equal passages have equal anchors at equal places.
-
-    Passages that reach into the next row have anchors too; the caller leaves them out.
+    every = units(docs, id_col, text_col)
+    place = F.struct(F.col(id_col).alias("d"), F.col("row_key").alias("r"), F.col("unit").alias("u"))
+    firsts = materialise(every.groupBy(F.col("digest").alias("__digest")).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.col("n") >= max(2, HOT_SHARE * total)
+    hot = firsts.where(often).select(F.col("__digest").alias("__hot"))
+    salt = F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(id_col, "row_key", "unit"), F.lit(SALTS))).cast("int")
+    dealt = every.join(F.broadcast(hot), F.col("digest") == F.col("__hot"), "left").withColumn("__salt", salt).drop("__hot")
+    copies = F.sequence(F.lit(0), F.when(often, SALTS - 1).otherwise(0))
+    target = firsts.select("__digest", "first", F.explode(copies).alias("__to"))
+    same = F.col(id_col).eqNullSafe(F.col("first.d")) & (F.col("row_key") == F.col("first.r")) & (F.col("unit") == F.col("first.u"))
+    found = dealt.join(target, (F.col("digest") == F.col("__digest")) & (F.col("__salt") == F.col("__to"))).where(~same)
+    return found.select(id_col, "row_key", "unit", "n_words", F.col("first.d").alias("first_doc_id"), F.col("first.u").alias("first_unit"))
+
+
+def without_runs(text: bytes, later: dict[int, int], min_words: int) -> tuple[bytes, list[tuple[int, int, int]]]:
+    """The text without its runs of later units (their numbers, each with its number of words) that hold ``min_words``
+    words, and the units taken out: number, start and end in characters.
+
+    What stands without words between two units of a run goes with them. What follows a run goes if the run begins a line.
     """
-    gram = size // 2
-    if len(found) < size:
-        return np.zeros(0, int), np.zeros(0, np.int64)
-    h = mix64(np.fromiter(map(zlib.crc32, found), np.uint64, len(found)))
-    grams = np.zeros(len(h) - gram + 1, np.uint64)
-    for j in range(gram):
-        grams *= np.uint64(0x9E3779B97F4A7C15)
-        grams += h[j : j + len(grams)]
-    grams = mix64(grams)
-
-    def least(v: np.ndarray, p: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-        later = v[step:] <= v[:-step]
-        return np.where(later, v[step:], v[:-step]), np.where(later, p[step:], p[:-step])
-
-    v, p, width, want = grams, np.arange(len(grams)), 1, size - gram + 1
-    while width < want:
-        step = min(width, want - width)
-        v, p = least(v, p, step)
-        width += step
-    return p, v.view(np.int64)
-
-
-def repeated_passages(docs: DataFrame, size: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every passage of ``size`` words that repeats an earlier one: the id, ``row_key``, ``start`` and ``end`` (bytes).
-
-    Words are those of the lines' digests. Passages rank by id, text and place; one that overlaps the first of its kind in
-    the same text doesn't repeat it. Longer passages are listed as all passages of ``size`` words in them.
-
-    Of each passage an anchor is chosen by content alone, so equal passages have equal anchors: one word in thirteen or so
-    is the place of one. Only passages whose anchor repeats are then compared, by 128 bits of their words.
+    going, run = set(), []
+    for u in [*sorted(later), -1]:
+        if run and u != run[-1] + 1:
+            if sum(later[x] for x in run) >= min_words:
+                going.update(run)
+            run = []
+        run.append(u)
+    if not going:
+        return text, []
+    kept, spans = [], []
+    at, unit, line_start, before, gone = 0, -1, False, b"\n", False
+    waiting: list[bytes] = []  # wordless pieces after a unit that goes: they go if the next unit goes too
+    for piece in pieces_of(text):
+        size = len(piece) if piece.isascii() else len(piece.decode())
+        if words(piece):
+            unit += 1
+            goes = unit in going
+            if goes and not gone:
+                line_start = before == b"\n"
+            if not goes and gone and not line_start:
+                kept += waiting
+            waiting, gone = [], goes
+            if goes:
+                spans.append((unit, at, at + size))
+            else:
+                kept.append(piece)
+        elif gone:
+            waiting.append(piece)
+        else:
+            kept.append(piece)
+        at, before = at + size, piece
+    if gone and not line_start:
+        kept += waiting
+    return b"".join(kept), spans
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All documents, their texts without passages that repeat an earlier one, and ``removed``: what was taken out.
+
+    ``removed`` is an array, in order, of ``start`` and ``end`` (characters of the original text), ``first_doc_id`` and
+    ``first_unit`` (the kept occurrence: its document, and which of that document's sentences it is, from 0). Passages are
+    runs of adjacent sentences that each repeat an earlier one, with ``min_words`` words together; sentences are equal if
+    their lower-cased words are, and rank by id, text and place. So each sentence's earliest occurrence stays.
+
+    Null and empty texts lose nothing; a document that loses all its text stays with an empty one. Null ids rank first. Rows
+    that share an id (or have none) but differ in text lose each their own; equal rows are one document. Other columns stay
+    as they were (one named ``removed`` is replaced); an empty table gives no rows.
+
+    Texts are shuffled once, by document, to meet what they lose. A document's own units are the largest group.
     """
+    docs = docs.drop("removed")
+    at, names = docs.columns.index(text_col), docs.columns
+    lost = F.collect_set(F.struct("unit", "n_words", "first_doc_id", "first_unit")).alias("__later")
+    later = later_units(docs, id_col, text_col).groupBy(F.col(id_col).alias("__of"), F.col("row_key").alias("__row_key")).agg(lost)
+    later = later.where(F.aggregate("__later", F.lit(0), lambda s, x: s + x["n_words"]) >= min_words)
+    met = docs.join(later, docs[id_col].eqNullSafe(later["__of"]) & (F.xxhash64(docs[text_col]) == later["__row_key"]), "left")
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(id_col, text_col, F.xxhash64(text_col).alias("row_key"))
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 1_000_000):
-            row, _, _, first, found = _cut_words(batch, 1)
-            place, value = _anchors(row, found, size)
-            whole = np.flatnonzero(row[: len(place)] == row[size - 1 :][: len(place)])
-            # A run of passages with the same anchor is one row.
-            heads = np.flatnonzero(np.diff(place[whole], prepend=-1))
-            lasts = np.append(heads[1:], len(whole))[: len(heads)] - 1
-            of = pa.array(row[whole[heads]])
-            arrays = [batch.column(0).take(of), batch.column(2).take(of), pa.array(value[whole[heads]]), pa.array((whole[heads] - first[whole[heads]]).astype(np.int32)), pa.array((whole[lasts] - first[whole[lasts]]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "row_key", "anchor", "low", "high"])
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 1_000_000):
-            row, start, end, first, found = _cut_words(batch, 1)
-            begin = np.searchsorted(row, np.arange(batch.num_rows))
-            for i, runs in enumerate(batch.column(3).to_pylist()):
-                at = np.unique(np.concatenate([np.arange(r["low"], r["high"] + 1) for r in runs]))
-                for some in np.array_split(at, -(-len(at) // 20_000)):
-                    w = some + begin[i]
-                    digests = [hashlib.blake2b(b" ".join(found[j : j + size]), digest_size=16).digest() for j in w.tolist()]
-                    same = pa.array(np.full(len(w), i))
-                    arrays = [batch.column(0).take(same), batch.column(2).take(same), pa.array(some.astype(np.int32)), pa.array(start[w]), pa.array(end[w + size - 1]), pa.array(digests, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "row_key", "place", "start", "end", "digest"])
-
-    runs = materialise(keyed.mapInArrow(anchors, f"`{id_col}` {kind}, row_key long, anchor long, low int, high int"))
-    twice = runs.groupBy("anchor").count().where("count > 1").select("anchor")
-    asked = runs.join(twice, "anchor").groupBy(F.col(id_col).alias("__of"), F.col("row_key").alias("__row_key")).agg(F.collect_set(F.struct("low", "high")).alias("__runs"))
-    near = keyed.join(asked, keyed[id_col].eqNullSafe(asked["__of"]) & (keyed["row_key"] == asked["__row_key"])).select(id_col, text_col, "row_key", "__runs")
-    cut = materialise(near.mapInArrow(passages, f"`{id_col}` {kind}, row_key long, place int, start long, end long, digest binary"))
-    firsts = (
-        cut.groupBy(F.col("digest").alias("__digest"))
-        .agg(F.min(F.struct(F.col(id_col).alias("d"), F.col("row_key").alias("r"), F.col("place").alias("p"))).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-    )
-    same_row = F.col(id_col).eqNullSafe(F.col("first.d")) & (F.col("row_key") == F.col("first.r"))
-    later = ~same_row | (F.col("place") >= F.col("first.p") + size)
-    return cut.join(firsts, F.col("digest") == F.col("__digest")).where(later).select(id_col, "row_key", "start", "end")
-
-
-def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """The text without the spans (bytes, from the first letter of a word to the last of another), and without what
-    stands between a span and the next word or line end. Lines that lose all their words go with their line ends."""
-    gone = np.zeros(len(text) + 1, np.int32)
-    np.add.at(gone, [a for a, _ in spans], 1)
-    np.add.at(gone, [b for _, b in spans], -1)
-    gone = np.cumsum(gone)[:-1] > 0
-    plain = np.frombuffer(text, np.uint8)
-    # Punctuation and spaces after a span go until a word or a line end.
-    stop = np.frombuffer(text.translate(_WORD), np.uint8) != 32
-    stop |= plain == 10
-    edges = np.flatnonzero(gone[:-1] & ~gone[1:]) + 1
-    stops = np.append(np.flatnonzero(stop), len(text))
-    for a, b in zip(edges, stops[np.searchsorted(stops, edges)], strict=True):
-        gone[a:b] = True
-    lines, at = [], 0
-    for line in text.split(b"\n"):
-        cut = gone[at : at + len(line)]
-        at += len(line) + 1
-        if not cut.any():
-            lines.append(line)
-        elif words(rest := np.frombuffer(line, np.uint8)[~cut].tobytes()):
-            lines.append(rest)
-    return b"\n".join(lines)
-
-
-def drop_passages(docs: DataFrame, size: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All documents, without the passages that ``repeated_passages`` lists; other columns as they were."""
-    of = [F.col(id_col).alias("__of"), F.col("row_key").alias("__row_key")]
-    spans = repeated_passages(docs, size, id_col, text_col).groupBy(*of).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    found = docs.join(spans, docs[id_col].eqNullSafe(spans["__of"]) & (F.xxhash64(docs[text_col]) == spans["__row_key"]), "left").select(*[docs[c] for c in docs.columns], spans["__spans"])
-    names = docs.columns
-    at = names.index(text_col)
+    removed = f"array<struct<start:bigint,end:bigint,first_doc_id:{kind},first_unit:int>>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):
-            arrays = batch.columns[:-1]
-            hit = np.flatnonzero(pc.is_valid(batch.column(len(arrays))).to_numpy(zero_copy_only=False))
-            if len(hit):
+            arrays, lists = batch.columns[:-1], batch.column(len(names))
+            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            hit = np.flatnonzero(pc.is_valid(lists).to_numpy(zero_copy_only=False)).tolist()
+            if hit:
                 texts = utf8(arrays[at])
-                for i in hit.tolist():
-                    texts[i] = without_spans(texts[i], [(s["start"], s["end"]) for s in batch.column(len(arrays))[i].as_py()])
+                for i in hit:
+                    of = {x["unit"]: x for x in lists[i].as_py()}
+                    texts[i], gone = without_runs(texts[i], {u: x["n_words"] for u, x in of.items()}, min_words)
+                    spans[i] = [{"start": a, "end": b, "first_doc_id": of[u]["first_doc_id"], "first_unit": of[u]["first_unit"]} for u, a, b in gone]
                 arrays[at] = pa.array(texts, pa.binary() if pa.types.is_string(arrays[at].type) else pa.large_binary()).cast(arrays[at].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            element = lists.type.value_type
+            of_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_doc_id", element.field("first_doc_id").type), ("first_unit", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(spans, of_type)], names=[*names, "removed"])
 
-    return found.mapInArrow(cut, docs.schema)
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"removed {removed}"])
+    return met.select(*[docs[c] for c in names], "__later").mapInArrow(cut, schema)
 
 
-def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All documents, without passages of ``PASSAGE_WORDS`` words that repeat an earlier one, then without the lines that
-    ``repeated_units`` lists in what is left (nor their line ends); other columns as they were.
+def removed_text(column: str = "removed"):
+    """``removed`` as text: ``start-end:document.sentence``, comma-joined."""
+    one = lambda x: F.concat(x["start"], F.lit("-"), x["end"], F.lit(":"), F.coalesce(x["first_doc_id"].cast("string"), F.lit("")), F.lit("."), x["first_unit"])
+    return F.array_join(F.transform(column, one), ",")
 
-    Passages go whatever their lines: cut short, or alike but for a word elsewhere in the line. A document that loses all its lines stays with an empty text; a null text stays null. Rows that share an id (or have
-    none) but differ in text lose each its own lines.
-    """
-    docs = materialise(drop_passages(docs, id_col=id_col, text_col=text_col))
-    of = [F.col(id_col).alias("__of"), F.col("row_key").alias("__row_key")]
-    gone = _repeats(docs, min_words, id_col, text_col).groupBy(*of).agg(F.collect_set("unit").alias("__gone"))
-    lines = F.filter(F.split(docs[text_col], "\n", -1), lambda _, i: ~F.array_contains(gone["__gone"], i.cast("int")))
-    text = F.when(gone["__gone"].isNull(), docs[text_col]).otherwise(F.array_join(lines, "\n")).alias(text_col)
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["__of"]) & (F.xxhash64(docs[text_col]) == gone["__row_key"]), "left")
-    return out.select(*[text if c == text_col else docs[c] for c in docs.columns])
+
+def drop_repeated(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``dedup`` with the columns of ``docs`` alone."""
+    aside = [F.col(f"`{c}`").alias("__removed" if c == "removed" else c) for c in docs.columns]
+    out = dedup(docs.select(*aside), min_words, id_col, text_col)
+    return out.select(*[F.col("__removed").alias(c) if c == "removed" else F.col(f"`{c}`") for c in docs.columns])
