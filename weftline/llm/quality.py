@@ -39,12 +39,12 @@ ACCURACY = 10_000
 #: Bytes of text by shard, and the least number of shards.
 SHARD_BYTES, SHARDS = 40_000_000, 16
 #: Words of a block of texts, which is worked on at once.
-BLOCK = 1_000_000
+BLOCK = 1_500_000
 #: Words and pairs with at least this share of all words are known to all tasks: at most 2 / HOT of each, however large the input.
 HOT = 1e-5
 #: Bytes of a word's number: of a hundred million words, one in ten thousand shares its number with another.
 WORD_BYTES = 5
-# Numbers of no word: start and end of a text, and the second half of a word that is looked up alone.
+# Numbers of no word: start and end of a text, and the second half of a word that comes alone.
 START, END, ALONE, FIRST_WORD = 0, 1, 2, 3
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -362,16 +362,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keep_cols: tuple[str, ...]
             with pa.ipc.new_stream(sink, x.rows.schema) as writer:
                 writer.write_table(x.rows)
             yield _row(of_shard, (first + i) % shards, first + i, pickle.dumps((sink.getvalue().to_pybytes(), own, x.sizes)), None)
-            # No text holds the number ALONE; it has the first place but for those of start and end.
-            place = int(np.searchsorted(x.names, ALONE))
-            names = np.insert(x.names, place, np.uint64(ALONE))
-            shift = lambda c: c + (c >= place)
-            rare = ~often[x.b]
-            a, b = np.concatenate([shift(x.a[~here]), shift(x.b[rare])]), np.concatenate([shift(x.b[~here]), np.full(int(rare.sum()), place)])
-            of = np.concatenate([x.of[~here], x.of[rare]])
-            often = np.insert(often, place, False)
-            for s, part in _parts(shard_of(names[a], names[b], often[a], shards), shards):
-                yield _row(of_shard, s, first + i, None, pack_pairs(names, a[part], b[part], [of[part]], []))
+            a, b, of = x.a[~here], x.b[~here], x.of[~here]
+            for s, part in _parts(shard_of(x.names[a], x.names[b], often[a], shards), shards):
+                yield _row(of_shard, s, first + i, None, pack_pairs(x.names, a[part], b[part], [of[part]], []))
 
     def answer(asked: pa.Table, counted: pa.Table) -> pa.Table:
         m = shared.value
@@ -382,11 +375,13 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keep_cols: tuple[str, ...]
         removed = np.bincount(a, weights=np.where(alone, 0, _cut(n, m.pairs)), minlength=len(names))
         seen = np.bincount(a, weights=np.where(alone, 0, n), minlength=len(names))
         removed[often] = m.removed[at[often]]
+        # Each occurrence of a word that isn't frequent is the first of one pair: its own probability is added there.
         weight = np.where((seen > 0) & ~often, np.log(np.maximum(removed, 1e-300) / np.maximum(seen, 1)), 0)
-        value = np.where(alone, m.gain(types[a]), m.value(n, np.where(alone, 1.0, removed[a]), types[b]))
+        weight[a[alone]] += m.gain(types[a[alone]])
+        a, b, n = a[~alone], b[~alone], n[~alone]
         codes = a * len(names) + b
         order = np.argsort(codes)
-        codes, value = codes[order], value[order]
+        codes, value = codes[order], m.value(n, removed[a], types[b])[order]
         out = []
         for block, meta, data in zip(asked["block"].to_pylist(), asked["meta"].to_pylist(), asked["payload"].to_pylist()):
             if meta is None:
@@ -394,7 +389,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keep_cols: tuple[str, ...]
                 where, known = places(some, names)
                 there, hit = places(where[p] * len(names) + where[q], codes)
                 hit &= known[p] & known[q]
-                gain = np.where(hit, value[there] if len(value) else 0, 0) + np.where(known[p] & (some[q] != ALONE), weight[where[p]] if len(weight) else 0, 0)
+                gain = np.where(hit, value[there] if len(value) else 0, 0) + np.where(known[p], weight[where[p]] if len(weight) else 0, 0)
                 sums = np.bincount(of, weights=gain)
                 which = np.flatnonzero(sums)
                 if not len(which):
