@@ -220,6 +220,27 @@ def test_neighbours_recall_among_near_copies(spark, noise):
     assert len(truth & got) >= 0.95 * len(truth)
 
 
+def test_neighbours_ties_and_repeated_ids(spark):
+    """Equal scores go to smaller ids in any block; repeated ids are one candidate with the best score."""
+    rows = [(i, [1.0, 0.0, 0.0, 0.0, 1.0]) for i in range(40)] + [(50, [2.0, 0.0, 0.0, 0.0, 2.0]), (50, [3.0, 0.0, 0.0, 0.0, 3.0]), (50, [3.0, 0.0, 0.0, 0.0, 3.0]), (7, [1.0, 0.0, 0.0, 0.0, 0.5])]
+    table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, code string")
+    for size in (neighbours.BLOCK_ROWS, 9):
+        old, neighbours.BLOCK_ROWS = neighbours.BLOCK_ROWS, size
+        try:
+            got = neighbours.nearest(table, table.where("vec_id in (7, 50)"), k=5).orderBy("query_id", "rank").collect()
+        finally:
+            neighbours.BLOCK_ROWS = old
+        # Row 7 asks with its smaller vector, (1, 0, 0, 0, 0.5).
+        assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(7, 1, 50, 4.5), *[(7, k + 2, k, 1.5) for k in range(4)], *[(50, k + 1, k, 4.0) for k in range(5)]]
+
+
+def test_codes_pack():
+    rng = np.random.default_rng(1)
+    for parts in (1, 6, 7):
+        codes = rng.integers(0, 16, (20, parts)).astype(np.uint8)
+        assert (neighbours.unpacked(neighbours.packed(codes), parts) == codes.T).all() and neighbours.packed(codes).shape == (20, -(-parts // 2))
+
+
 def test_quality_prefers_trusted_text(spark):
     rng = random.Random(4)
     good = [(i, " ".join(rng.choice(["the", "house", "stands", "on", "a", "hill"]) for _ in range(60)) + ".", "en") for i in range(60)]

@@ -17,7 +17,7 @@ SUB_DIMS, CENTRES = 2, 16
 #: Weight of the residual along the vector against the residual across it, for inner products of at least this cosine.
 THRESHOLD = 0.2
 #: Rows of a block of the index, queries of a block, and candidates that each block first scores exactly for a query.
-BLOCK_ROWS, BLOCK_QUERIES, RERANK = 8_192, 1_024, 64
+BLOCK_ROWS, BLOCK_QUERIES, RERANK = 8_192, 16_384, 64
 
 
 def parallel_weight(dims: int) -> float:
@@ -79,6 +79,19 @@ def encode(x: np.ndarray, books: np.ndarray, sweeps: int = 2) -> np.ndarray:
     return codes.astype(np.uint8)
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two codes a byte; an odd last one stands alone."""
+    even = codes if codes.shape[1] % 2 == 0 else np.pad(codes, ((0, 0), (0, 1)))
+    return even[:, 0::2] | even[:, 1::2] << 4
+
+
+def unpacked(codes: np.ndarray, parts: int) -> np.ndarray:
+    """One row for each part, so that a scan reads a part's codes one after the other."""
+    out = np.empty((2 * codes.shape[1], len(codes)), np.uint8)
+    out[0::2], out[1::2] = codes.T & 15, codes.T >> 4
+    return out[:parts]
+
+
 def usable(vector: Column) -> Column:
     """Not null, not all zero, and without null or non-finite components."""
     bad = F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -90,19 +103,21 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int
 
     Columns: ``query_id``, ``rank`` int (from 1), the id, ``score`` double (exact, on the original vectors); equal scores go
     to the smaller id. Rows whose vector is null, all zero or holds null or non-finite components, or whose id is null, take
-    no part, nor do vectors of another length than most in the training sample. Rows that repeat an id are one candidate if
-    equal; other columns are not read; an empty table gives no rows.
-
-    Codebooks are fitted on a bounded sample and broadcast (a few KB). Every row is coded inside a block of the index, cut
-    by hash, so equal vectors spread over blocks; queries come in blocks too, and each pair of blocks is one group: tables
-    of the queries' products with the centres are scanned by code, the best ``rerank`` rows of the block (and all that equal
-    the last of them) are scored exactly, then twice as many, and so on until a slice adds nothing to the best ``k``, which go
-    on. So near copies, whose rough scores say little about their order, are all scored. Blocks have about the same size at
-    any input.
+    no part, nor do vectors of another length than most in the training sample. Rows that repeat an id are one candidate, with
+    the largest of their scores; a query that repeats asks with the smallest of its vectors, component by component. Other
+    columns are not read; an empty table gives no rows.
+
+    Codebooks are fitted on a bounded sample and broadcast (a few KB). Every row is coded once, two codes a byte, and dealt
+    to a block of the index by hash, so equal vectors spread over blocks; queries come in large blocks too, and each pair of
+    blocks is one group: tables of the queries' products with the centres are scanned by code, the best ``rerank`` rows of
+    the block (and all that equal the last of them) are scored exactly, then twice as many, and so on until a slice adds
+    nothing to the best ``k``, which go on. So near copies, whose rough scores say little about their order, are all scored.
+    Blocks have about the same size at any input; rows are sent once for every 16,384 queries, queries once for every 8,192
+    rows.
     """
     spark = embeddings.sparkSession
     base = embeddings.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
-    asked = queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull()).dropDuplicates(["id"])
+    asked = queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
     n, m = base.count(), asked.count()
     share = min(1.0, TRAIN_ROWS / max(n, 1))
     sample = base.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * TRAIN_ROWS).collect()
@@ -126,12 +141,21 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int
     blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // BLOCK_QUERIES))
     cut = lambda name, count: F.pmod(F.xxhash64(F.lit(name), "id"), F.lit(count)).cast("int")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    # A query block meets every block of the index; rows of both sides are told apart by `asks`.
-    rows = base.where(F.size("v") == dims).withColumn("block", cut("row", blocks)).withColumn("group", each(query_blocks)).withColumn("asks", F.lit(False))
-    asks = asked.where(F.size("v") == dims).withColumn("group", cut("query", query_blocks)).withColumn("block", each(blocks)).withColumn("asks", F.lit(True))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_048):
+                some = batch.slice(at, 2_048)
+                codes = packed(encode(matrix(some.column(1)), books.value))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "v", "code"])
+
+    coded = base.where(F.size("v") == dims).mapInArrow(code, f"id {kind}, v array<double>, code binary")
+    # A query block meets every block of the index; queries are the rows without a code.
+    rows = coded.withColumn("block", cut("row", blocks)).withColumn("group", each(query_blocks))
+    asks = asked.where(F.size("v") == dims).withColumn("code", F.lit(None).cast("binary")).withColumn("group", cut("query", query_blocks)).withColumn("block", each(blocks))
 
     def search(table: pa.Table) -> pa.Table:
-        is_query = table.column("asks").to_numpy()
+        is_query = table.column("code").is_null().to_numpy()
         v = matrix(table.column("v").combine_chunks())
         q, d = v[is_query], v[~is_query]
         ids = table.column("id").combine_chunks()
@@ -140,10 +164,11 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int
             return pa.table({"query_id": q_ids[:0], "id": d_ids[:0], "score": pa.array([], pa.float64())})
         order = np.argsort(d_ids.to_numpy(zero_copy_only=False), kind="stable")
         d, d_ids = d[order], d_ids.take(pa.array(order))
-        codes = encode(d, books.value).T
+        raw = b"".join(table.column("code").filter(pa.array(~is_query)).to_pylist())
+        codes = unpacked(np.frombuffer(raw, np.uint8).reshape(len(d), -1)[order], len(books.value))
         q_names, d_names = (x.to_numpy(zero_copy_only=False) for x in (q_ids, d_ids))
         out_q, out_d, out_s = [], [], []
-        top = min(rerank, len(d))
+        top, repeated = min(rerank, len(d)), bool((d_names[1:] == d_names[:-1]).any())
         for at in range(0, len(q), 64):
             some = q[at : at + 64]
             luts = np.einsum("qpd,pcd->pqc", some.reshape(len(some), -1, SUB_DIMS), books.value).astype(np.float32)
@@ -158,7 +183,10 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int
                     more = more[d_names[more] != q_names[at + i]]
                     # Row by row, so that equal vectors have equal scores; these go to the smaller ids, whose order the rows have.
                     best, s, seen = np.concatenate([best, more]), np.concatenate([s, (d[more] * some[i]).sum(1)]), len(s)
-                    kept = np.lexsort((best, -s))[:k]
+                    kept = np.lexsort((best, -s))
+                    if repeated:  # the first, and best, of each id
+                        kept = kept[np.sort(np.unique(d_names[best[kept]], return_index=True)[1])]
+                    kept = kept[:k]
                     best, s = best[kept], s[kept]
                     if size == len(d) or (len(s) == k and (kept < seen).all()):
                         break
@@ -169,6 +197,6 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, rerank: int
         qi, di, s = map(np.concatenate, (out_q, out_d, out_s))
         return pa.table({"query_id": q_ids.take(pa.array(qi)), "id": d_ids.take(pa.array(di)), "score": pa.array(s)})
 
-    near = rows.unionByName(asks).groupBy("block", "group").applyInArrow(search, schema).dropDuplicates(["query_id", "id"])
+    near = rows.unionByName(asks).groupBy("block", "group").applyInArrow(search, schema).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -39,7 +39,7 @@ ACCURACY = 10_000
 #: Bytes of text by shard, and the least number of shards.
 SHARD_BYTES, SHARDS = 40_000_000, 16
 #: Words of a block of texts, which is worked on at once.
-BLOCK = 1_500_000
+BLOCK = 2_500_000
 #: Words and pairs with at least this share of all words are known to all tasks: at most 2 / HOT of each, however large the input.
 HOT = 1e-5
 #: Bytes of a word's number: of a hundred million words, one in ten thousand shares its number with another.
