@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -172,10 +173,39 @@ def test_near_duplicates_against_brute_force(spark, small):
         assert got == {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def test_near_duplicates_apart_from_speakers(spark, monkeypatch):
+    """Pairs alike to each other alone, in buckets that many unlike documents share: every block of a bucket is asked."""
+    monkeypatch.setattr(neardup, "BUCKET_ROWS", 8)
+    monkeypatch.setattr(neardup, "SPEAKERS", 0)
+    # A weak first band makes one bucket of all documents.
+    monkeypatch.setattr(neardup, "band_keys", lambda minima: np.array([7], np.int64))
+    rng = random.Random(2)
+    rows = []
+    for k in range(60):
+        text = [f"p{k}_{rng.randint(0, 1 << 30)}" for _ in range(50)]
+        rows += [(2 * k, " ".join(text)), (1_000 + 2 * k, " ".join([*text[:-1], "other"]))]
+    rows.append((5_000, "nothing like the others at all here"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = neardup.signatures(docs, 4, "doc_id", "text").select(F.lit(7).cast("long").alias("key"), F.col("doc_id").alias("node"), F.col("doc_id").alias("label"), "sig")
+    links = {(min(r), max(r)) for r in neardup.similar_across_blocks(nodes, 0.65).collect()}
+    # The one label left out is the largest: all others ask.
+    assert links == {(2 * k, 1_000 + 2 * k) for k in range(60)}
+
+
+def test_short_documents_in_one_group(spark):
+    """Twenty thousand different short texts that all share most words: blocks are bounded by documents, too."""
+    rows = [(i, f"a b c d e f g h i j k l m n o p q r s t u v w x y z x{i}") for i in range(20_000)]
+    began = time.time()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).agg(F.max("component_id"), F.count_if("kept"), F.count("*")).first()
+    assert tuple(got) == (0, 1, 20_000) and time.time() - began < 120
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (300, 300)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 0, 200: 200, 201: 200, 300: 300}
+    star = spark.createDataFrame([(500, i) for i in range(501, 3_000)] + [(2_999, 1)], "a long, b long")
+    assert components.components(star).where("component = 1").count() == 2_501
 
 
 def test_signature_estimate():
@@ -374,12 +404,12 @@ def test_substring_against_brute_force(spark):
                 out |= set(range(low, high if whole else known[v - 1][0] + 1))
             u = max(v, u + 1)
         left[i] = None if t is None else b"".join(p for k, p in enumerate(found) if k not in out).decode()
-    for share in (substring.HOT_SHARE, 1e-9):
-        old, substring.HOT_SHARE = substring.HOT_SHARE, share
+    for share in (common.HOT_SHARE, 1e-9):
+        old, common.HOT_SHARE = common.HOT_SHARE, share
         try:
             got = {r.doc_id: r for r in substring.dedup(docs).collect()}
         finally:
-            substring.HOT_SHARE = old
+            common.HOT_SHARE = old
         assert {i: r.text for i, r in got.items()} == left
         assert all(r.place == 2 * i for i, r in got.items())
         for i, r in got.items():
@@ -404,6 +434,9 @@ def test_filters_judge_each_row_by_its_own_text(spark, bench):
     # The other texts compress alike in both languages: ties, which are rejected.
     assert found.where("not rejected").count() == 2 and [r.text for r in kept.collect()] == [TEXT, TEXT]
     assert neardup.drop_near_duplicates(docs).where("doc_id is null").count() == 3
+    # Both texts of id 7 stand for themselves: one repeats a smaller id's text, the other doesn't.
+    left = neardup.drop_near_duplicates(docs.where("doc_id is not null").union(spark.createDataFrame([(9, TEXT), (9, TEXT)], docs.schema)))
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == sorted([(7, TEXT), (7, f"{other} too"), (7, "")])
     twice = f"{LINE}\n{other}"
     lines = spark.createDataFrame([(None, f"a\n{twice}"), (None, f"b\n{TEXT}"), (1, f"{twice}\nc"), (1, f"{TEXT}\nd")], "doc_id long, text string")
     texts = {r.text for r in substring.drop_repeated(lines).collect()}

@@ -98,12 +98,21 @@ def with_ids(docs: DataFrame, ids: DataFrame, keep: bool, id_col: str = "doc_id"
     return docs.join(F.broadcast(ids) if small else ids, on, "left_semi" if keep else "left_anti")
 
 
-def distinct_docs(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each id, and every row with a null id. Only ids that occur more than once are shuffled with their texts."""
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
-    if twice.isEmpty():
-        return docs
-    return with_ids(docs, twice, False, id_col).unionByName(with_ids(docs, twice, True, id_col).dropDuplicates([id_col]))
+#: Keys with this share of all rows (at most ``1 / HOT_SHARE`` keys) are dealt to ``SALTS`` tasks by ``join_spread``.
+HOT_SHARE, SALTS = 1e-3, 64
+
+
+def join_spread(rows: DataFrame, key: str, table: DataFrame, table_key: str, count: str, total: int, by: list[str]) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key) where the keys are equal; ``count`` says how many rows have a key.
+
+    The few keys with a large share of the ``total`` are known to all tasks, so that their rows can be dealt by ``by``.
+    """
+    often = F.col(count) >= max(2, HOT_SHARE * total)
+    hot = table.where(often).select(F.col(table_key).alias("__hot"))
+    salt = F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.lit(SALTS))).cast("int")
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", salt).drop("__hot")
+    target = table.withColumn("__to", F.explode(F.sequence(F.lit(0), F.when(often, SALTS - 1).otherwise(0))))
+    return dealt.join(target, (F.col(key) == F.col(table_key)) & (F.col("__salt") == F.col("__to"))).drop("__salt", "__to")
 
 
 def keep_where(docs: DataFrame, text_col: str, accepts: Callable[[], Callable[[bytes | None], bool]]) -> DataFrame:

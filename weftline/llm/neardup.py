@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Numbering, distinct_docs, materialise, mix64, slices, spaced_words, utf8, with_ids
+from .common import BROADCAST_IDS, Numbering, materialise, mix64, slices, spaced_words, utf8, with_ids
 from .components import components
 
 #: Minima of a signature, in bands of ROWS: a pair at similarity 0.8 shares no band with a chance of 5e-8.
@@ -21,8 +21,8 @@ MINIMA = BANDS * ROWS
 BITS = 4
 #: Pairs whose estimate is lower than the threshold by this much aren't compared: about 4 standard deviations.
 SLACK = 0.15
-#: Documents of a bucket's block, and shingles of a block of a candidate group.
-BUCKET_ROWS, BLOCK_SHINGLES = 1_024, 2_000_000
+#: Documents of a bucket's block, and shingles and documents of a block of a candidate group.
+BUCKET_ROWS, BLOCK_SHINGLES, BLOCK_NODES = 1_024, 2_000_000, 4_096
 #: Documents that stand for the largest cluster of a block when blocks are tied to each other.
 SPEAKERS = 16
 
@@ -179,13 +179,52 @@ def similar_in_buckets(buckets: DataFrame, least: float) -> DataFrame:
     return buckets.repartition("key", "block").sortWithinPartitions("key", "block").select("key", "block", "node", "sig").mapInArrow(link, "a long, b long").where("a != b").distinct()
 
 
+def similar_across_blocks(rows: DataFrame, least: float) -> DataFrame:
+    """Edges ``(a, b)`` between what the blocks of divided buckets left apart. Rows: ``key``, ``node``, ``label`` (what is tied
+    already has one), ``sig``. Nodes outside a bucket's largest label are compared with the whole bucket, a slice of them
+    with a slice of it in each task."""
+    top = rows.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("x"), F.sum("count").alias("m"))
+    top = top.select("key", F.col("x.label").alias("top"), F.ceil(F.col("m") / BUCKET_ROWS).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("x.count")) / BUCKET_ROWS).cast("int").alias("ask_blocks"))
+    marked = rows.join(top, "key").where("ask_blocks > 0")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, ["key", "ask_block", "block"]):
+            order = np.argsort(~run.column("asks").to_numpy(), kind="stable")
+            run = run.take(pa.array(order))
+            node, asking = run.column("node").to_numpy(), int(run.column("asks").to_numpy().sum())
+            sig = _bytes_matrix(run.column("sig"), MINIMA * BITS // 8)
+            _, label = np.unique(run.column("label").to_numpy(), return_inverse=True)
+            forest, a_out, b_out = Forest(int(label.max()) + 1), [], []
+            for i in range(asking):
+                near = asking + np.flatnonzero(estimate(sig[i], sig[asking:]) >= least)
+                # One link to each label is enough.
+                for at in near[np.unique(label[near], return_index=True)[1]].tolist():
+                    if forest.join(int(label[i]), int(label[at])):
+                        a_out.append(node[i])
+                        b_out.append(node[at])
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    return _dealt(marked.withColumn("asks", F.col("label") != F.col("top")), ["key"], ["node", "label", "sig"]).mapInArrow(link, "a long, b long")
+
+
+def _dealt(marked: DataFrame, group: list[str], cols: list[str]) -> DataFrame:
+    """For each slice of a group's asking rows and each slice of the group its rows together, those of the first with ``asks``."""
+    deal = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    asking = marked.where("asks").withColumn("ask_block", deal("ask_blocks")).withColumn("block", each("blocks"))
+    asked = marked.withColumn("asks", F.lit(False)).withColumn("block", deal("blocks")).withColumn("ask_block", each("ask_blocks"))
+    keys = [*group, "ask_block", "block"]
+    return asking.unionByName(asked).select(*keys, *cols, "asks").repartition(*keys).sortWithinPartitions(*keys)
+
+
 def exact_links(members: DataFrame, percent: int, least: float) -> DataFrame:
-    """Edges that tie the exact clusters of each ``(group, block)``; rows with ``asks`` are compared with all others,
-    others only with rows that ask. ``cluster`` says what is tied already. Rows: group, block, node, cluster, asks, n, sig, items.
+    """Edges that tie the exact clusters of each ``(group, ask_block, block)``; rows with ``asks`` are compared with all others,
+    others only with rows that ask. ``cluster`` says what is tied already. Other columns: node, n, sig, items. Rows with equal
+    keys come together.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, ["group", "block"]):
+        for run in _runs(batches, ["group", "ask_block", "block"]):
             asks = run.column("asks").to_numpy()
             order = np.argsort(~asks, kind="stable")
             run = run.take(pa.array(order))
@@ -201,8 +240,9 @@ def exact_links(members: DataFrame, percent: int, least: float) -> DataFrame:
             a_out, b_out = [], []
             for i in range(int(asks.sum())):
                 mine = up[cluster[i]]
-                near = (estimate(sig[i], sig) >= least) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])) & (up[cluster] != mine)
+                near = (up[cluster] != mine) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
                 found = np.flatnonzero(near)
+                found = found[estimate(sig[i], sig[found]) >= least]
                 if not len(found):
                     continue
                 present[code[begins[i] : ends[i]]] = True
@@ -218,8 +258,20 @@ def exact_links(members: DataFrame, percent: int, least: float) -> DataFrame:
                 present[code[begins[i] : ends[i]]] = False
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    cols = ["group", "block", "node", "cluster", "asks", "n", "sig", "items"]
-    return members.select(*cols).repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(link, "a long, b long")
+    return members.mapInArrow(link, "a long, b long")
+
+
+def _blocks(rows: int | str, shingles: str):
+    """How many blocks hold so many documents and shingles."""
+    return F.greatest(F.ceil(F.col(rows) / BLOCK_NODES), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _ask(members: DataFrame, percent: int, least: float) -> DataFrame:
+    """``exact_links`` of the members with ``asks`` and all others of their group, slice by slice."""
+    own = members.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n").alias("size"), F.count_if("asks").alias("ask_rows"), F.sum(F.when(F.col("asks"), F.col("n"))).alias("ask_size"))
+    own = own.where("ask_rows > 0").select("group", _blocks("rows", "size").alias("blocks"), _blocks("ask_rows", "ask_size").alias("ask_blocks"))
+    marked = members.drop("blocks").join(own, "group")
+    return exact_links(_dealt(marked, ["group"], ["node", "cluster", "n", "sig", "items"]), percent, least)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,11 +286,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     1. One pass makes signatures. Documents with equal sets are one node from here on (a partial minimum by digest).
     2. Bands shared by two or more nodes are buckets; in blocks of bounded size, signatures' bit counts estimate similarity,
-       and what is alike, with slack, forms candidate groups (connected components).
+       and what is alike, with slack, forms candidate groups (connected components). Where a bucket has several blocks, what
+       is outside its largest group then is compared with the whole bucket.
     3. Only nodes in candidate groups are read again. Inside blocks of a group, pairs that no link ties yet are compared on
        full sets. Where a group has several blocks, the largest clusters of the blocks are tied through speakers, and then
        every node outside the group's largest cluster is compared with all blocks: no link between clusters is lost.
     4. Components of the confirmed links give the result.
+
+    Every task holds one slice of those that ask and one of those asked, however large a bucket or group is. Pairs whose
+    estimate is ``SLACK`` below the threshold are taken as not linked (4 standard deviations of the estimate).
     """
     least = percent / 100 - SLACK
     signed = materialise(signatures(docs, n, id_col, text_col))
@@ -258,11 +314,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     many = many.withColumn("block", F.explode(F.when(F.col("speaks"), every).otherwise(own)))
     buckets = many.join(nodes.select("node", "sig"), "node")
-    groups = materialise(components(similar_in_buckets(buckets, least)).withColumnRenamed("component", "group"))
+    alike = materialise(similar_in_buckets(buckets, least))
+    groups = materialise(components(alike))
+    wide = many.where("blocks > 1").select("key", "node").distinct()
+    if not wide.isEmpty():
+        labelled = wide.join(groups, "node", "left").join(nodes.groupBy("node").agg(F.first("sig").alias("sig")), "node")
+        more = materialise(similar_across_blocks(labelled.select("key", "node", F.coalesce("component", "node").alias("label"), "sig"), least))
+        if not more.isEmpty():
+            groups = materialise(components(alike.union(more)))
+    groups = groups.withColumnRenamed("component", "group")
 
     # Full sets of the candidates' rows alone.
     heads = nodes.join(groups, "node")
-    sizes = heads.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    sizes = heads.groupBy("group").agg(F.count("*").alias("rows"), F.sum("n").alias("size")).select("group", _blocks("rows", "size").alias("blocks"))
     few = groups.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     wanted = heads.join(sizes, "group").select("node", "digest", "group", "blocks", "sig")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
@@ -282,7 +346,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .select("group", "blocks", "block", "node", F.col("node").alias("cluster"), "n", "sig", "items")
     )
-    links = materialise(exact_links(members.withColumn("asks", F.lit(True)), percent, least))
+    inside = members.withColumns({"asks": F.lit(True), "ask_block": F.lit(0)}).repartition("group", "block").sortWithinPartitions("group", "block")
+    links = materialise(exact_links(inside, percent, least))
     links = _across_blocks(members, links, percent, least)
     labels = components(links)
 
@@ -311,20 +376,32 @@ def _across_blocks(members: DataFrame, links: DataFrame, percent: int, least: fl
     largest = now.groupBy("group", "block", "cluster").count().groupBy("group", "block").agg(F.max(F.struct("count", "cluster")).alias("x"))
     heads = now.join(largest.select("group", "block", F.col("x.cluster").alias("cluster"), F.col("x.count").alias("count")), ["group", "block", "cluster"])
     share = F.pmod(order, F.lit(1 << 30)) * F.col("count") < (1 << 30) * SPEAKERS
-    speakers = heads.where(share).withColumn("block", F.lit(0)).withColumn("asks", F.lit(True))
-    links = materialise(links.union(exact_links(speakers, percent, least)))
+    speakers = heads.where(share).withColumn("asks", F.lit(True)).drop("count")
+    links = materialise(links.union(_ask(speakers, percent, least)))
 
     # Whatever is outside the group's largest cluster asks every block.
     now = materialise(clustered(links))
     largest = now.groupBy("group", "cluster").count().groupBy("group").agg(F.max(F.struct("count", "cluster")).alias("x")).select("group", F.col("x.cluster").alias("top"))
     marked = now.join(largest, "group").withColumn("asks", F.col("cluster") != F.col("top")).drop("top")
-    everywhere = marked.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return materialise(links.union(exact_links(everywhere.unionByName(marked.where("not asks")), percent, least)))
+    return materialise(links.union(_ask(marked, percent, least)))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id, columns as before; of rows that repeat an id, one.
-    Rows with a null id all stay."""
-    docs = distinct_docs(docs, id_col)
-    gone = near_duplicates(docs, n, percent, id_col, text_col).where("not kept").select(id_col)
-    return with_ids(docs, gone, False, id_col)
+    """One document of each group, the one with the smallest id; columns as before, which stay as they are.
+
+    Rows with a null id, or without words, all stay. Of rows with equal id and text one stays. Rows that share an id but
+    differ in text are documents of their own; in a group they come before those whose ids are unlike. An empty table gives
+    no rows.
+    """
+    key = F.xxhash64(text_col)
+    several = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__of")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).where("n > 1")
+    several = materialise(several.select("__of", (~F.col("low").eqNullSafe(F.col("high"))).alias("__unlike")))
+    if several.isEmpty():
+        gone = near_duplicates(docs.select(id_col, text_col), n, percent, id_col, text_col).where("not kept").select(id_col)
+        return with_ids(docs, gone, False, id_col)
+    single = with_ids(docs, several.select("__of"), False, id_col).withColumn("__vertex", F.col(id_col).cast("long"))
+    again = with_ids(docs, several.select("__of"), True, id_col).dropDuplicates([id_col, text_col])
+    again = again.join(several, again[id_col] == several["__of"]).withColumn("__vertex", F.when(F.col("__unlike"), F.lit(-(1 << 63)) + F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 62))).otherwise(F.col(id_col)).cast("long"))
+    told = materialise(single.unionByName(again.drop("__of", "__unlike")))
+    gone = near_duplicates(told.select("__vertex", text_col), n, percent, "__vertex", text_col).where("not kept").select("__vertex")
+    return with_ids(told, gone, False, "__vertex").drop("__vertex")

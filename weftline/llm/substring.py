@@ -18,13 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, utf8, words
+from .common import join_spread, materialise, slices, utf8, words
 
 #: Adjacent repeated units go if they hold so many words together. A passage of 50 words that begins and ends inside a
 #: sentence holds about as many in its whole sentences.
 MIN_RUN_WORDS = 30
-#: A digest with this share of all repeated units is dealt to ``SALTS`` tasks; there are at most ``1 / HOT_SHARE`` such.
-HOT_SHARE, SALTS = 1e-3, 64
 _PIECE = re.compile(rb"\n|[^.!?\n]+[.!?]*|[.!?]+")
 
 
@@ -68,15 +66,9 @@ def later_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = F.struct(F.col(id_col).alias("d"), F.col("row_key").alias("r"), F.col("unit").alias("u"))
     firsts = materialise(every.groupBy(F.col("digest").alias("__digest")).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
     total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = F.col("n") >= max(2, HOT_SHARE * total)
-    hot = firsts.where(often).select(F.col("__digest").alias("__hot"))
-    salt = F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(id_col, "row_key", "unit"), F.lit(SALTS))).cast("int")
-    dealt = every.join(F.broadcast(hot), F.col("digest") == F.col("__hot"), "left").withColumn("__salt", salt).drop("__hot")
-    copies = F.sequence(F.lit(0), F.when(often, SALTS - 1).otherwise(0))
-    target = firsts.select("__digest", "first", F.explode(copies).alias("__to"))
+    met = join_spread(every, "digest", firsts, "__digest", "n", total, [id_col, "row_key", "unit"])
     same = F.col(id_col).eqNullSafe(F.col("first.d")) & (F.col("row_key") == F.col("first.r")) & (F.col("unit") == F.col("first.u"))
-    found = dealt.join(target, (F.col("digest") == F.col("__digest")) & (F.col("__salt") == F.col("__to"))).where(~same)
-    return found.select(id_col, "row_key", "unit", "n_words", F.col("first.d").alias("first_doc_id"), F.col("first.u").alias("first_unit"))
+    return met.where(~same).select(id_col, "row_key", "unit", "n_words", F.col("first.d").alias("first_doc_id"), F.col("first.u").alias("first_unit"))
 
 
 def without_runs(text: bytes, later: dict[int, int], min_words: int) -> tuple[bytes, list[tuple[int, int, int]]]:
