@@ -108,24 +108,93 @@ def test_fullest_is_the_fullest():
     for _ in range(60):
         counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(5)}
         taken = packing.fullest(counts, 40)
-        sums = {0}
+        sums, longest = {max(counts)}, max(counts)  # what can be reached with one of the longest length
         for x, n in counts.items():
-            sums = {s + k * x for s in sums for k in range(n + 1) if s + k * x <= 40}
-        with_longest = max(s for s in sums if s >= max(counts))  # some of them hold the longest length; compare with those
-        assert max(counts) in taken and sum(x * k for x, k in taken.items()) <= with_longest
+            sums = {s + k * x for s in sums for k in range(n + (x != longest)) if s + k * x <= 40}
+        assert longest in taken and sum(x * k for x, k in taken.items()) == max(sums)
         assert all(k <= counts[x] for x, k in taken.items())
     assert packing.fullest({7: 1, 5: 1, 3: 2}, 13) == {7: 1, 3: 2}
 
 
 def test_token_counts(spark, odd):
-    rows = tokens.token_counts(odd).groupBy("doc_id", "doc_tokens").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k")).collect()
-    assert all(r.n == r.doc_tokens or r.doc_id == 1 for r in rows)
+    rows = tokens.token_counts(odd.where("doc_id != 1")).groupBy("doc_id", "doc_tokens").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k")).collect()
+    assert len(rows) == 8 and all(r.n == r.doc_tokens for r in rows)
     start, counts, crossing = tokens.section_counts(b"ab\ncd", np.array([0, 1]), np.array([2, 3]), "start")
     assert start.tolist() == [0, 3, 5] and counts.tolist() == [2, 0] and crossing.tolist() == [1, 0]
     assert tokens.section_counts(b"ab\ncd", np.array([0, 1]), np.array([2, 3]), "majority")[1].tolist() == [1, 1]
     assert tokens.section_counts(b"ab\ncd", np.array([0, 1]), np.array([2, 3]), "end")[1].tolist() == [1, 1]
 
 
+def test_token_counts_against_the_tokenizers_offsets(spark, small):
+    """Every token's characters, as the tokenizer itself gives them, put into lines one by one, under each rule."""
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(tokens.default_vocabulary())
+    texts = [r.text for r in docs_of(spark, small).where("length(text) < 3000").limit(60).collect()]
+    texts += ["a\n\n\nb\n", "\n", "x \n \n  y", "one\r\ntwo\n\n  three", "1\n22\n\n\n\n333", "été\nça\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    byte_of = {c: i for i, c in enumerate(_byte_letters())}
+    for rule in tokens.RULES:
+        got = defaultdict(list)
+        for r in tokens.token_counts(docs, rule=rule).orderBy("doc_id", "section").collect():
+            got[r.doc_id].append((r.start, r.end, r.n_tokens, r.n_crossing))
+        for i, text in enumerate(texts):
+            raw = text.encode()
+            lines = text.splitlines(keepends=True) if "\r" not in text else [x + "\n" for x in text.split("\n")[:-1]] + [text.split("\n")[-1]] * (not text.endswith("\n"))
+            line_of = [k for k, x in enumerate(lines) for _ in x.encode()]
+            at, n, crossing = 0, [0] * len(lines), [0] * len(lines)
+            for token in exact.encode(text, add_special_tokens=False).tokens:
+                size = len(bytes(byte_of[c] for c in token))
+                own = line_of[at : at + size]
+                most = max(sorted(set(own)), key=own.count)
+                n[{"start": own[0], "end": own[-1], "majority": most}[rule]] += 1
+                crossing[own[0]] += own[0] != own[-1]
+                at += size
+            assert at == len(raw)
+            begins = [sum(map(len, lines[:k])) for k in range(len(lines) + 1)]
+            assert got[i] == list(zip(begins, begins[1:], n, crossing)), (rule, text)
+
+
+def _byte_letters():
+    """The letters by which a byte-level vocabulary writes the bytes 0 to 255: printable ones as themselves, others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+def test_licenses_against_brute_force(spark, small):
+    """Templates as regular expressions over the joined words, phrases by comparing every place."""
+    import re
+
+    rules = {}
+    for label, markup in licenses.TEMPLATES.items():
+        parts = []
+        for opens, closes, most, word in re.findall(r"(\[\[)|(\]\])|\{\{(\d+)\}\}|([^\s\[\]{}]+)", markup):
+            parts.append("(?:" if opens else ")?" if closes else f"(?:[^ ]+ ){{0,{most}}}" if most else re.escape(word) + " ")
+        rules[label] = re.compile("(?<= )" + "".join(parts))
+    rng = random.Random(9)
+    texts = [r.text for r in docs_of(spark, small).collect()]
+    for _ in range(150):
+        markup = rng.choice(list(licenses.TEMPLATES.values()))
+        text = re.sub(r"\[\[(.*?)\]\]", lambda m: m[1] if rng.random() < 0.5 else "", markup)
+        text = re.sub(r"\{\{(\d+)\}\}", lambda m: " ".join(["zz"] * rng.randint(0, int(m[1]) + 1)), text)
+        w = text.split()
+        if rng.random() < 0.3:
+            w[rng.randrange(len(w))] = rng.choice(["zz", "the", "software"])
+        texts.append(" ".join(["so", *w, "mit"] + ["license"] * rng.randint(0, 2)).title())
+    texts += ["mit license " * 20_000 + "end", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in licenses.scan_licenses(docs).collect():
+        w = [x.decode() for x in common.words((texts[r.doc_id] or "").encode())]
+        line = f" {' '.join(w)} "
+        at = {p: [k for k in range(len(w)) if w[k : k + len(p.split())] == p.split()] for p in licenses.PHRASES}
+        found = sorted(k for x in at.values() for k in x)
+        base = sorted({licenses.PHRASES[p] for p, x in at.items() if x})
+        more = {label for label, rule in rules.items() if rule.search(line)}
+        want = (len(w), len(found), found[0] if found else None, found[-1] if found else None, ",".join(base), ",".join(sorted({*base, *more})), 1.0 if more else 0.5 if base else 0.0)
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == want, texts[r.doc_id]
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["text:mit"].replace("[[the software]]", "").replace("{{4}}", "3").replace("[[including the next paragraph]]", "")
     rows = [(1, "Released under the MIT License."), (2, mit.upper()), (3, mit.replace("granted", "given")), (4, "mit license mit license gnu general public license"), (5, None), (6, "limit license")]
@@ -340,6 +409,59 @@ def test_language_held_out(spark):
     assert [r.lang_pred == "und" for r in language.identify(odd_rows, docs).orderBy("doc_id").collect()] == [True, True, True, False]
 
 
+def test_language_against_brute_force(spark, small):
+    """Whole encodings of each piece with plain dictionaries, beside what the operator says of every text."""
+    import zstandard
+
+    docs = docs_of(spark, small)
+    dicts = language.dictionaries(docs)
+    sizes = lambda raw, lang, level, count: sum(
+        len(zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw[at : at + language.PIECE_BYTES]))
+        for d in dicts[lang][:count] for at in range(0, len(raw), language.PIECE_BYTES)
+    ) / count
+    got = {r.doc_id: r for r in language.identify(docs, docs).collect()}
+    some = docs.orderBy(F.length("text").desc()).limit(3).union(docs.where("length(text) < 2000").limit(30)).collect()
+    for r in some:
+        raw = language.letters(r.text)
+        for level, count in ((language.LEVELS[0], 1), (language.LEVELS[1], None)):
+            by = sorted((sizes(raw, lang, level, count or len(dicts[lang])), k, lang) for k, lang in enumerate(dicts))
+            margin = (by[1][0] - by[0][0]) / by[1][0]
+            if margin >= language.NARROW:
+                break
+        assert got[r.doc_id].lang_pred == by[0][2] and abs(got[r.doc_id].score - 1 / (1 + np.exp(-20 * margin))) < 1e-9
+
+
+def test_all_languages_are_learned(spark):
+    """Hundreds of languages share the bytes of the dictionaries; copies of one text don't crowd out others."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(150):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)]
+        rows += [(f"l{k:03d}", " ".join(rng.choice(own) for _ in range(40)), 200 * k + j) for j in range(4)]
+        rows += [(f"l{k:03d}", rows[-1][1], 200 * k + j) for j in range(10, 30)]
+    train = spark.createDataFrame(rows, "lang string, text string, doc_id long")
+    dicts = language.dictionaries(train)
+    assert len(dicts) == 150 and sum(len(d) for x in dicts.values() for d in x) <= language.ALL_BYTES
+    assert all(r[1].split()[0].encode() in b" ".join(dicts[r[0]]) for r in rows)
+    found = language.identify(train.where("doc_id % 200 = 1"), train).join(train.select("doc_id", "lang"), "doc_id")
+    assert found.where("lang = lang_pred").count() >= 145
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op8_toxicity(spark, sf).where("held_out").join(common.read(spark, sf, "labels").where("toxic is not null").select("doc_id", "toxic"), "doc_id").toPandas()
+    assert got.toxic.sum() > 50 and (got.predicted == got.toxic).mean() > 0.95
+    assert got[got.toxic == 1].predicted.mean() > 0.8 and got[got.toxic == 0].predicted.mean() < 0.04
+
+
+def test_remove_spans_by_join(spark, odd, bench):
+    one = decontaminate.remove_spans(odd, bench).select("doc_id", "text")
+    two = decontaminate.remove_spans(odd, bench, broadcast_bytes=0).select("doc_id", "text")
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect())) and one.where("text is null").count() == 1
+    named = odd.withColumn("__digest0", F.lit("mine"))
+    assert decontaminate.drop_contaminated(named, bench, broadcast_bytes=0).where("__digest0 = 'mine'").count() == decontaminate.drop_contaminated(odd, bench).count()
+
+
 def test_toxicity_learns_marked_words(spark):
     rng = random.Random(6)
     make = lambda bad: [("w%d" % rng.randint(0, 400)).encode() for _ in range(70)] + ([b"nasty"] * 3 if bad else [b"plain"] * 3) + [b"end"] * 5

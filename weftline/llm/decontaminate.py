@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_where, utf8, with_ids, words
+from .common import keep_where, slices, utf8, with_ids, words
 
 #: Window sets of up to so many bytes are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 64_000_000
@@ -23,7 +23,7 @@ def windows(benchmark: DataFrame, size: int, item_col: str = "item_id", text_col
     """Distinct ``(size, gram, item)``: each run of ``size`` words of an item, or all its words if there are fewer."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, 200_000):
             row, sizes, grams = [], [], []
             for i, text in enumerate(utf8(batch.column(1))):
                 w = words(text)
@@ -92,7 +92,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             n, hit, found = [], [], []
             for text in utf8(batch.column(1)):
                 w = words(text)
@@ -110,12 +110,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     return docs.select(id_col, text_col).mapInArrow(scan, schema)
 
 
-def _by_join(docs: DataFrame, gram: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``contamination`` for a window set of any size: an equi-join on the windows, each distinct text's once."""
+def _hits(keyed: DataFrame, gram: DataFrame) -> DataFrame:
+    """``key``, ``pos``, ``n`` and ``item`` of the windows in texts, given as key and text: an equi-join on the windows."""
     sizes = sorted(r[0] for r in gram.select("size").distinct().collect())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, 200_000):
             row, pos, grams, n = [], [], [], []
             for i, text in enumerate(utf8(batch.column(1))):
                 w = words(text)
@@ -128,15 +128,21 @@ def _by_join(docs: DataFrame, gram: DataFrame, id_col: str, text_col: str) -> Da
             keys = batch.column(0).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(grams, pa.binary())], names=["key", "pos", "n", "g"])
 
+    grams = keyed.mapInArrow(cut, "key string, pos int, n int, g binary")
+    return grams.join(gram, (F.col("g") == F.col("gram")) & (F.col("n") == F.col("size"))).select("key", "pos", "n", F.col("item").cast("string").alias("item")).distinct()
+
+
+def _by_join(docs: DataFrame, gram: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``contamination`` for a window set of any size: an equi-join on the windows, each distinct text's once."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             n = pa.array([len(words(t)) for t in utf8(batch.column(2))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], names=[id_col, "__key", "n_words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col), F.sha2(text_col, 256).alias("__key"), F.col(text_col))
-    grams = keyed.select("__key", text_col).mapInArrow(cut, "key string, pos int, n int, g binary")
-    hits = grams.join(gram, (F.col("g") == F.col("gram")) & (F.col("n") == F.col("size"))).select("key", "pos", "n", F.col("item").cast("string").alias("item")).distinct()
+    hits = _hits(keyed.select("__key", text_col), gram)
     spans = hits.select("key", F.explode(F.expr("sequence(pos, pos + n - 1)")).alias("at")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     items = hits.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = spans.join(items, "key").select(F.col("key").alias("__of"), "n_hit", "items")
@@ -159,9 +165,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, tex
     """
     gram = windows(benchmark, size)
     if (gram.agg(F.sum(F.length("gram") + 64)).first()[0] or 0) > broadcast_bytes:
-        keyed = docs.withColumn("__digest", F.sha2(F.col(text_col), 256))
-        hit = _by_join(keyed, gram, "__digest", text_col).where("contaminated").select("__digest")
-        return with_ids(keyed, hit, False, "__digest").drop("__digest")
+        own = next(name for k in range(len(docs.columns) + 1) if (name := f"__digest{k}") not in docs.columns)
+        keyed = docs.withColumn(own, F.sha2(F.col(text_col), 256))
+        hit = _by_join(keyed, gram, own, text_col).where("contaminated").select(own)
+        return with_ids(keyed, hit, False, own).drop(own)
     rows = [(r[0], bytes(r[1]), "") for r in gram.select("size", "gram").distinct().collect()]
     shared = docs.sparkSession.sparkContext.broadcast(rows)
 
@@ -183,21 +190,49 @@ def cut_spans(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text") -> DataFrame:
-    """All documents, with the text of hit words taken out; the benchmark's windows must fit ``BROADCAST_BYTES``."""
+def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """All documents, without the words that ``contamination`` counts as hit and what stands between them; other columns as
+    they were.
+
+    Null texts stay null, and an empty benchmark or table changes nothing. Each row is cut by its own text, so repeated rows
+    give repeated results. Window sets up to ``broadcast_bytes`` are broadcast; beyond that, texts meet their hits by join.
+    """
     gram = windows(benchmark, size)
-    if (gram.agg(F.sum(F.length("gram") + 64)).first()[0] or 0) > BROADCAST_BYTES:
-        raise ValueError("the benchmark is too large to remove spans in one pass: split it and call once for each part")
+    names = docs.columns
+    at = names.index(text_col)
+    if (gram.agg(F.sum(F.length("gram") + 64)).first()[0] or 0) > broadcast_bytes:
+        keyed = docs.select(F.sha2(text_col, 256).alias("__key"), text_col).distinct()
+        hits = _hits(keyed, gram).groupBy(F.col("key").alias("__key")).agg(F.collect_set(F.struct("pos", "n")).alias("__hits"))
+        met = docs.join(hits, F.sha2(docs[text_col], 256) == hits["__key"], "left").select(*[docs[c] for c in docs.columns], "__hits")
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, at):
+                lists = batch.column(batch.num_columns - 1).to_pylist()
+                out = utf8(batch.column(at))
+                for i, found in enumerate(lists):
+                    if found:
+                        edges = np.zeros(len(words(out[i])) + 1, np.int32)
+                        for x in found:
+                            edges[x["pos"]] += 1
+                            edges[x["pos"] + x["n"]] -= 1
+                        out[i] = cut_spans(out[i], np.cumsum(edges[:-1]) > 0)
+                yield batch.select(names).set_column(at, text_col, _texts(out, batch.column(at)))
+
+        return met.mapInArrow(cut, docs.schema)
     shared = docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1]), None) for r in gram.select("size", "gram").distinct().collect()])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            out = []
-            for text in utf8(batch.column(at)):
+        for batch in slices(batches, at):
+            out = utf8(batch.column(at))
+            for i, text in enumerate(out):
                 mask, _ = matcher.hits(words(text))
-                out.append(cut_spans(text, mask).decode() if mask.any() else text and text.decode() if text is not None else None)
-            yield batch.set_column(at, text_col, pa.array(out, pa.string()))
+                if mask.any():
+                    out[i] = cut_spans(text, mask)
+            yield batch.set_column(at, text_col, _texts(out, batch.column(at)))
 
     return docs.mapInArrow(clean, docs.schema)
+
+
+def _texts(raw: list[bytes | None], like: pa.Array) -> pa.Array:
+    return pa.array(raw, pa.binary() if pa.types.is_string(like.type) else pa.large_binary()).cast(like.type)

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import keep_where, utf8
+from .common import keep_where, slices, utf8
 
 #: Training sample: of each language, about so many snippets of so many characters, taken by hash of the id and text.
 SNIPPETS, SNIPPET_CHARS = 600, 600
@@ -17,8 +18,8 @@ SNIPPETS, SNIPPET_CHARS = 600, 600
 #: narrow; then all of them do, at a level that searches longer.
 DICTIONARIES, DICTIONARY_BYTES = 3, 110_000
 LEVELS, NARROW = (6, 12), 0.03
-#: At most so many languages are learned, those with most training texts: what is broadcast stays under 43 MB.
-MAX_LANGUAGES = 128
+#: Bytes of all dictionaries together, which are broadcast: with over 128 languages each one's are smaller.
+ALL_BYTES = 43_000_000
 #: Texts are compressed in pieces of so many bytes, each from the dictionary alone, so margins don't fade with length.
 PIECE_BYTES = 2_000
 #: Rejected: a best language that saves less than this share of the second's bytes.
@@ -44,25 +45,30 @@ def _share(*cols: Column) -> Column:
 def dictionaries(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[bytes]]:
     """Raw-content dictionaries of each language, fitted on a bounded sample of the rows with a language and a letter.
 
-    Texts of each language are counted over all rows; then rows whose hash falls under that language's share are read, a
-    snippet of each, at a place by hash. About ``SNIPPETS`` come to the driver for each language, whatever the input.
+    Distinct texts of each language are counted over all rows (nearly: by a sketch); then texts whose hash falls under that
+    language's share are read, a snippet of each, at a place by hash, so copies count once. About ``SNIPPETS`` come to the
+    driver for each language, whatever the input, and fewer where ``ALL_BYTES`` hold fewer.
     """
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy(lang_col).agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(text_col), 0.02).alias("texts"))
+    counts = counts.orderBy(F.desc("n"), lang_col).collect()  # a row a language
     if not counts:
         return {}
-    wanted = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, 1.5 * SNIPPETS / r[1]))])
-    begin = (_share(F.lit("at"), id_col, text_col) * F.greatest(F.length(text_col) - SNIPPET_CHARS, F.lit(0))).cast("int") + 1
+    size = min(DICTIONARY_BYTES, ALL_BYTES // (DICTIONARIES * len(counts)))
+    wanted = max(1, min(SNIPPETS, 3 * DICTIONARIES * size // SNIPPET_CHARS))
+    shares = train.sparkSession.createDataFrame([(r[0], min(1.0, 1.5 * wanted / max(1, r[2]))) for r in counts], f"__lang {train.schema[lang_col].dataType.simpleString()}, __share double")
+    begin = (_share(F.lit("at"), text_col) * F.greatest(F.length(text_col) - SNIPPET_CHARS, F.lit(0))).cast("int") + 1
     # A text twice in the sample helps nothing: copies share their hash.
-    picked = rows.where(_share(F.lit("row"), text_col) < F.coalesce(wanted[F.col(lang_col)], F.lit(0.0)))
-    sample = picked.select(F.col(lang_col).alias("lang"), _share(F.lit("order"), text_col).alias("o"), F.substring(F.col(text_col), begin, F.lit(SNIPPET_CHARS)).alias("s")).distinct()
+    picked = rows.join(F.broadcast(shares), F.col(lang_col) == F.col("__lang")).where(_share(F.lit("row"), text_col) < F.col("__share"))
+    sample = picked.select(F.col("__lang").alias("lang"), _share(F.lit("order"), text_col).alias("o"), F.substring(F.col(text_col), begin, F.lit(SNIPPET_CHARS)).alias("s")).distinct()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("o", "s"))
     by: dict[str, list[tuple[float, bytes]]] = {}
-    for r in sample.limit(4 * SNIPPETS * len(counts)).collect():
+    for r in sample.withColumn("k", rank).where(F.col("k") <= 4 * wanted).collect():
         by.setdefault(r["lang"], []).append((r["o"], letters(r["s"])))
     out = {}
     for lang in (r[0] for r in counts if r[0] in by):
         found = sorted(by[lang])
-        parts = [b" ".join(s for _, s in found[k::DICTIONARIES])[-DICTIONARY_BYTES:] for k in range(DICTIONARIES)]
+        parts = [b" ".join(s for _, s in found[k::DICTIONARIES])[-size:] for k in range(DICTIONARIES)]
         out[lang] = [p for p in parts if len(p) >= 8] or [b" ".join(s for _, s in found).ljust(8)]
     return out
 
@@ -121,7 +127,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which = Identifier(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [which(t.decode() if t else None) for t in utf8(batch.column(1))]
             lang, score, rejected = map(list, zip(*found, strict=True)) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=names)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import utf8, words
+from .common import slices, utf8, words
 
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -147,7 +147,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
         automata = {label: compile_template(t) for label, t in wanted.items()}
         starts = {label: a.first_words() for label, a in automata.items()}
         base = {f" {p} ".encode(): label for p, label in PHRASES.items()}
-        for batch in batches:
+        for batch in slices(batches, 1):
             out: list[list] = [[], [], [], [], [], [], []]
             for text in utf8(batch.column(1)):
                 w = words(text)

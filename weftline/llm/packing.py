@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, utf8
+from .common import materialise, slices, utf8
 from .tokens import ByteBpe, load_vocabulary
 
 #: Rows that one window partition ranks, about: lengths are split into so many parts that this holds for the mean.
@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, size: int, vocabulary: str | None, end_id: int, id_c
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.of(spec.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, text in enumerate(utf8(batch.column(1))):
                 ids = bpe.ids(text.decode() if text else "")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import utf8
+from .common import slices, utf8
 
 # The split patterns of this public vocabulary family. LIGHT differs only where white space meets white space.
 FULL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -136,7 +136,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, rule: str = "st
     ``rule`` (see ``section_counts``), so a document's ``n_tokens`` sum to ``doc_tokens``.
 
     A null or empty text gives one empty section with no tokens. Repeated rows give repeated results; rows with a null id
-    keep it; other columns are not read; an empty table gives no rows. A pass without shuffle: memory is one Arrow batch.
+    keep it; other columns are not read; an empty table gives no rows. A pass without shuffle: memory is a slice of an Arrow batch.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
@@ -144,7 +144,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, rule: str = "st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe.of(spec.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             row, section, start, end, n, over, total = [], [], [], [], [], [], []
             for i, text in enumerate(utf8(batch.column(1))):
                 ids = np.frombuffer(bpe.ids(text.decode()), np.uint32) if text else np.zeros(0, np.uint32)
