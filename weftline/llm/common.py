@@ -37,7 +37,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 1_500_000) -> Iterator[pa.RecordBatch]:
     """The batches in parts of about ``size`` bytes of text, so that lists of words of a whole part fit a small worker."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
