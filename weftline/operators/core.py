@@ -53,6 +53,39 @@ def bridge_users(inter: DataFrame, least: int = 1) -> DataFrame:
     return user_domain_counts(positives(inter)).where(" AND ".join(f"{d} >= {least}" for d in DOMAINS)).select("user_id")
 
 
+def user_pools(inter: DataFrame, least: int = 1, single: int = 5, cap: int | None = None) -> DataFrame:
+    """``user_id, pool``: ``bridge`` with ``least`` positives in both domains, ``<domain>_only`` with ``single`` in one and
+    none in the other; of each pool the ``cap`` users that come first by hash, if there is a cap."""
+    n = user_domain_counts(positives(inter))
+    movie, game = (F.col(d) for d in DOMAINS)
+    pool = F.when((movie >= least) & (game >= least), "bridge").when((movie >= single) & (game == 0), "movie_only").when((game >= single) & (movie == 0), "game_only")
+    pools = n.select("user_id", pool.alias("pool")).where("pool is not null")
+    return pools if cap is None else hash_sample(pools, cap, "user_id", "pool", ["pool"])
+
+
+def funnel(raw: DataFrame, inter: DataFrame, items: DataFrame) -> DataFrame:
+    """``(metric, value)``: rows, users and works before and after editions are merged, by domain, and what they share."""
+    metric = lambda df, **aggs: df.agg(*[a.cast("double").alias(m) for m, a in aggs.items()]).unpivot([], list(aggs), "metric", "value")
+    by = {}
+    for d in DOMAINS:
+        by |= {f"rows_{d}": F.count_if(F.col("domain") == d), f"works_{d}": F.countDistinct(F.when(F.col("domain") == d, F.col("item_id")))}
+    movie, game = (F.col(d) > 0 for d in DOMAINS)
+    return (
+        metric(raw, raw_rows=F.count("*"), raw_users=F.countDistinct("user_id"))
+        .unionByName(metric(inter, rows=F.count("*"), works=F.countDistinct("item_id"), positive_rate=F.avg((F.col("rating") >= POSITIVE).cast("int")), **by))
+        .unionByName(metric(user_domain_counts(inter), users=F.count("*"), users_movie=F.count_if(movie), users_game=F.count_if(game), users_both=F.count_if(movie & game)))
+        .unionByName(metric(items, themed_share=F.avg((F.size("genres") > 0).cast("int"))))
+    )
+
+
+def year_suffix(items: DataFrame) -> DataFrame:
+    """Games whose title another game has get their year, unless the title ends in one."""
+    same = F.count("*").over(W.partitionBy("domain", F.lower("title")))
+    suffixed = F.concat("title", F.lit(" ("), F.col("year").cast("string"), F.lit(")"))
+    clashes = (F.col("domain") == "game") & (same > 1) & ~F.col("title").rlike(r"\(\d{4}\)$")
+    return items.withColumn("title", F.when(clashes, suffixed).otherwise(F.col("title")))
+
+
 def iterative_prune(inter: DataFrame, item_floor: int = 5, user_floor: int = 3, rounds: int = 3) -> DataFrame:
     """Three rounds, no fixed point: items with enough positives, then users with enough positives."""
     for _ in range(rounds):
@@ -104,17 +137,29 @@ def minmax(value: Column, by: list[str]) -> Column:
 
 
 def gini(counts: DataFrame, by: str, value: str) -> DataFrame:
-    """Gini coefficient of ``value`` in each group. Equal values are counted first, so no window sees single rows."""
+    """Gini coefficient of ``value`` in each group, and ``top_share``, what the top hundredth holds. Equal values are counted first, so no window sees single rows."""
     levels = counts.groupBy(by, value).agg(F.count("*").alias("m"))
     before = F.coalesce(F.sum("m").over(W.partitionBy(by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # The ranks before+1 .. before+m of one level add up to m*before + m(m+1)/2.
     rows = levels.withColumn("ranks", F.col("m") * before + F.col("m") * (F.col("m") + 1) / 2)
-    total = rows.groupBy(by).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col(value)).alias("s"), F.sum(F.col("ranks") * F.col(value)).alias("r"))
-    return total.select(by, ((2 * F.col("r") - (F.col("n") + 1) * F.col("s")) / (F.col("n") * F.col("s"))).alias("gini"))
+    # Of a level, what is among the hundredth of all with the largest values.
+    n = F.sum("m").over(W.partitionBy(by))
+    rows = rows.withColumn("first", F.greatest(F.lit(0), F.least(F.col("m"), F.ceil(0.01 * n) - (n - before - F.col("m")))))
+    total = rows.groupBy(by).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col(value)).alias("s"), F.sum(F.col("ranks") * F.col(value)).alias("r"), F.sum(F.col("first") * F.col(value)).alias("t"))
+    return total.select(by, ((2 * F.col("r") - (F.col("n") + 1) * F.col("s")) / (F.col("n") * F.col("s"))).alias("gini"), (F.col("t") / F.col("s")).alias("top_share"))
+
+
+def missing_columns(df: DataFrame, *needed: str) -> DataFrame:
+    """One row ``(required_columns, violations)``: how many of the columns are missing."""
+    return df.sparkSession.range(1).select(F.lit("required_columns").alias("rule"), F.lit(len(set(needed) - set(df.columns))).cast("long").alias("violations"))
 
 
 def contract_interactions(inter: DataFrame, items: DataFrame) -> DataFrame:
-    """``(rule, violations)``: nulls, rating range, domains, times, unique keys, known items."""
+    """``(rule, violations)``: required columns, nulls, rating range, domains, times, unique keys, known items. With columns
+    missing that is the only rule."""
+    schema = missing_columns(inter, "user_id", "item_id", "domain", "rating", "timestamp")
+    if not {"user_id", "item_id", "domain", "rating", "timestamp"} <= set(inter.columns):
+        return schema
     one = inter.agg(
         F.count_if(F.col("user_id").isNull() | F.col("item_id").isNull() | F.col("rating").isNull()).alias("null_values"),
         F.count_if(~F.col("rating").between(1, 5)).alias("rating_range"),
@@ -124,16 +169,20 @@ def contract_interactions(inter: DataFrame, items: DataFrame) -> DataFrame:
     rules = one.unpivot([], ["null_values", "rating_range", "domain_set", "timestamp_positive"], "rule", "violations")
     twice = inter.groupBy("user_id", "item_id").count().where("count > 1").agg(F.count("*").alias("violations")).select(F.lit("unique_key").alias("rule"), "violations")
     unknown = inter.join(items.select("item_id"), "item_id", "left_anti").agg(F.count("*").alias("violations")).select(F.lit("known_items").alias("rule"), "violations")
-    return rules.unionByName(twice).unionByName(unknown)
+    return rules.unionByName(twice).unionByName(unknown).unionByName(schema)
 
 
 def contract_items(items: DataFrame) -> DataFrame:
+    """``(rule, violations)``: required columns, domains, titles, unique ids. With columns missing that is the only rule."""
+    schema = missing_columns(items, "item_id", "domain", "title", "genres", "year")
+    if not {"item_id", "domain", "title", "genres", "year"} <= set(items.columns):
+        return schema
     one = items.agg(
         F.count_if(~F.col("domain").isin(*DOMAINS)).alias("domain_set"),
         F.count_if(F.col("title").isNull() | (F.trim("title") == "")).alias("title_present"),
     ).unpivot([], ["domain_set", "title_present"], "rule", "violations")
     twice = items.groupBy("item_id").count().where("count > 1").agg(F.count("*").alias("violations")).select(F.lit("unique_key").alias("rule"), "violations")
-    return one.unionByName(twice)
+    return one.unionByName(twice).unionByName(schema)
 
 
 def latest(rows: DataFrame, key: list[str], *order: Column | str) -> DataFrame:

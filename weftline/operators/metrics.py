@@ -46,24 +46,30 @@ def novelty(ranked: DataFrame, pop: DataFrame, n_users: int) -> DataFrame:
 def paired_bootstrap(pairs: DataFrame, draws: int = 2000) -> DataFrame:
     """Mean lift of each task, its 95 % interval over resamples of the users, and whether that excludes 0.
 
-    ``pairs`` has task, user_id, diff. Draw i of resample b takes row md5(task|b|i) mod n. Resamples are averaged task by
+    ``pairs`` has task, user_id, diff and base, what diff is against. Draw i of resample b takes row md5(task|b|i) mod n. Resamples are averaged task by
     task, so what a task holds is its users; the draws are rows that Spark spreads by resample.
     """
-    n = pairs.groupBy("task").agg(F.count("*").alias("n"), F.avg("diff").alias("lift"))
+    n = pairs.groupBy("task").agg(F.count("*").alias("n"), F.avg("diff").alias("lift"), (F.avg("diff") / F.nullif(F.avg("base"), F.lit(0.0))).alias("relative_lift"))
     rows = core.ranked(pairs, ["task"], "user_id", name="at").select("task", (F.col("at") - 1).alias("at"), "diff")
     grid = n.select("task", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).select("task", "n", "b", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
     key = F.concat_ws("|", "task", F.col("b").cast("string"), F.col("i").cast("string"))
     pick = F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("long"), F.col("n"))
     means = grid.withColumn("at", pick).join(rows, ["task", "at"]).groupBy("task", "b").agg(F.avg("diff").alias("m"))
     ci = means.groupBy("task").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    return n.join(ci, "task").select("task", "n", "lift", "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))
+    return n.join(ci, "task").select("task", "n", "lift", "relative_lift", "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))
 
 
 def promotion_gate(old: DataFrame, new: DataFrame, primary: str, primary_drop: float = 0.02, other_drop: float = 0.10) -> DataFrame:
-    """``(metric, ok)`` for tables ``(metric, value)``, and a last row ``verdict``."""
+    """``(metric, ok, reason)`` for tables ``(metric, value, dataset)``, and a last row ``verdict``: every metric holds, on the
+    same data. Metrics that one side lacks, and values of different data, are reasons against."""
     allowed = F.when(F.col("metric") == primary, 1 - primary_drop).otherwise(1 - other_drop)
-    rows = old.select("metric", F.col("value").alias("was")).join(new.select("metric", F.col("value").alias("now")), "metric").select("metric", (F.col("now") >= F.col("was") * allowed).alias("ok"))
-    return rows.unionByName(rows.agg(F.bool_and("ok").alias("ok")).select(F.lit("verdict").alias("metric"), "ok"))
+    was, now = (x.select("metric", F.col("value").alias(v), F.col("dataset").alias(d)) for x, v, d in ((old, "was", "d0"), (new, "now", "d1")))
+    rows = was.join(now, "metric", "full")
+    lost, moved = F.col("was").isNull() | F.col("now").isNull(), ~F.col("d0").eqNullSafe(F.col("d1"))
+    reason = F.when(lost, "missing").when(moved, "other data").when(F.col("now") < F.col("was") * allowed, "dropped").otherwise("")
+    rows = rows.select("metric", (reason == "").alias("ok"), reason.alias("reason"))
+    against = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.concat_ws(" ", "metric", "reason")))), ", ")
+    return rows.unionByName(rows.agg(F.bool_and("ok").alias("ok"), against.alias("reason")).select(F.lit("verdict").alias("metric"), "ok", "reason"))
 
 
 def graded_ndcg(lists: DataFrame, ratings: DataFrame, k: int) -> DataFrame:

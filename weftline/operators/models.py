@@ -12,18 +12,33 @@ from pyspark.sql import functions as F
 from . import core
 
 
+#: Likes of one user that a task pairs with all of that user's.
+SLICE = 2_000
+
+
 def cooccurrence(likes: DataFrame, support: int = 2) -> DataFrame:
     """``(i, j, c)``: users who like both, for i <> j with at least ``support`` of them.
 
-    Pairs are made for i < j only and mirrored after counting. A user's pairs grow with the square of their likes, so rows
-    are spread by user and item: the likes of one heavy user are paired in several tasks.
+    Pairs are made for i < j only and mirrored after counting. A user's pairs grow with the square of their likes, so the
+    likes of a heavy user are cut into slices of about ``SLICE`` by the first item: each meets all of the user's likes in a
+    task of its own.
     """
-    a = likes.select("user_id", F.col("item_id").alias("i"))
-    b = likes.select("user_id", F.col("item_id").alias("j"))
-    half = a.join(b, "user_id").where("i < j").groupBy("i", "j").agg(F.count("*").alias("c")).where(F.col("c") >= support)
+    heavy = likes.groupBy("user_id").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")).where("slices > 1")
+    cut = likes.select("user_id", "item_id").join(heavy, "user_id", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    a = cut.select("user_id", F.pmod(F.xxhash64("item_id"), F.col("slices")).cast("int").alias("slice"), F.col("item_id").alias("i"))
+    b = cut.select("user_id", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("item_id").alias("j"))
+    half = a.join(b, ["user_id", "slice"]).where("i < j").groupBy("i", "j").agg(F.count("*").alias("c")).where(F.col("c") >= support)
     return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "c"))
 
 
+def popularity(likes: DataFrame, items: DataFrame, themes: list[str] | None = None) -> DataFrame:
+    """``item_id, score``: log1p of the number of likes; for a new user 0.5 more for each of the ``themes`` the item carries."""
+    pop = likes.groupBy("item_id").agg(F.count("*").alias("p"))
+    asked = F.array(*[F.lit(t) for t in themes or []]).cast("array<string>")
+    score = F.log1p(F.coalesce("p", F.lit(0)).cast("double")) + 0.5 * F.size(F.array_intersect("genres", asked))
+    return items.join(pop, "item_id", "left").select("item_id", score.alias("score"))
+
+
 def item_knn(likes: DataFrame, neighbours: int = 100, shrink: float = 10.0, support: int = 2) -> DataFrame:
     """``(i, j, sim, rank)``: co-likes over the geometric mean of popularities plus ``shrink``."""
     pop = likes.groupBy("item_id").agg(F.count("*").alias("p"))

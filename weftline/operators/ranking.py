@@ -62,7 +62,7 @@ def domain_quota(ranked: DataFrame, share: DataFrame, k: int) -> DataFrame:
 
 def mmr(rows: DataFrame, k: int, weight: float = 0.15, same_creator: float = 0.05) -> DataFrame:
     """Greedy maximal marginal relevance of each user's pool (user_id, item_id, score, creator, v): at most max(5k, 50) rows
-    of a user reach one group."""
+    of a user reach one group. Items without a vector are like no other; no creator is never the same creator."""
     pool = core.top(rows, ["user_id"], max(5 * k, 50), F.desc("score"), "item_id", name="__r").drop("__r")
     kind, item = rows.schema["user_id"].dataType.simpleString(), rows.schema["item_id"].dataType.simpleString()
 
@@ -70,7 +70,8 @@ def mmr(rows: DataFrame, k: int, weight: float = 0.15, same_creator: float = 0.0
         pdf = pdf.sort_values(["score", "item_id"], ascending=[False, True]).reset_index(drop=True)
         s = pdf["score"].to_numpy()
         rel = (s - s.min()) / (s.max() - s.min() + 1e-9)
-        v = np.array(pdf["v"].tolist(), float)
+        width = max((len(x) for x in pdf["v"] if x is not None), default=1)
+        v = np.array([x if x is not None else np.zeros(width) for x in pdf["v"]], float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         near, same, chosen = np.full(len(s), -np.inf), np.zeros(len(s)), []
         while len(chosen) < min(k, len(s)):
@@ -79,7 +80,8 @@ def mmr(rows: DataFrame, k: int, weight: float = 0.15, same_creator: float = 0.0
             i = int(np.argmax(value))
             chosen.append(i)
             near = np.maximum(near, v @ v[i])
-            same += (pdf["creator"] == pdf["creator"][i]).to_numpy()
+            if pdf["creator"][i]:
+                same += (pdf["creator"] == pdf["creator"][i]).to_numpy()
         return pd.DataFrame({"user_id": pdf["user_id"][chosen], "item_id": pdf["item_id"][chosen], "rank": np.arange(1, len(chosen) + 1)})
 
     return pool.groupBy("user_id").applyInPandas(pick, f"user_id {kind}, item_id {item}, rank int")
@@ -104,3 +106,35 @@ def pairwise_ranker(rows: DataFrame, features: list[str]):
 
 def linear_score(features: list[str], weights: list[float]) -> Column:
     return sum((F.col(f) * float(w) for f, w in zip(features, weights, strict=True)), F.lit(0.0))
+
+
+def quota_lists(rows: DataFrame, share: DataFrame, k: int) -> DataFrame:
+    """``k`` items of each user: diverse lists of each domain, cut by ``domain_quota``. Rows as for ``mmr``, with ``domain``."""
+    lists = None
+    for d in core.DOMAINS:
+        one = mmr(rows.where(F.col("domain") == d), k).withColumn("domain", F.lit(d))
+        lists = one if lists is None else lists.unionByName(one)
+    ordered = lists.select("user_id", "item_id", "domain", (-F.col("rank")).cast("double").alias("score"))
+    return domain_quota(ordered, share, k).select("user_id", "item_id", "domain", "rank")
+
+
+def routed(rows: DataFrame) -> DataFrame:
+    """``route``: ``cross`` for queries all of whose candidates lie where the user has no history (``n_hist_same`` is 0)."""
+    most = F.max("n_hist_same").over(W.partitionBy("user_id"))
+    return rows.withColumn("route", F.when(most == 0, "cross").otherwise("main"))
+
+
+def routed_rank(rows: DataFrame, features: list[str], k: int) -> DataFrame:
+    """The first ``k`` of each query by the model of its route; a route without a relevant row takes the main model.
+
+    Rows as for ``pairwise_ranker``, with ``route``.
+    """
+    weights, out = None, None
+    for route in ("main", "cross"):
+        own = rows.where(F.col("route") == route)
+        has = own.groupBy("user_id").agg(F.max("label").alias("high"), F.min("label").alias("low")).where("high = 1 and low = 0")
+        if weights is None or not has.isEmpty():
+            weights = list(pairwise_ranker(own, features).coefficients.toArray())
+        one = core.top(own.withColumn("ranked", linear_score(features, weights)), ["user_id"], k, F.desc("ranked"), "item_id")
+        out = one if out is None else out.unionByName(one)
+    return out

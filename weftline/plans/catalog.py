@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import core
+from ..functions import kinds
+from ..operators import core, logs, search
 from ..sources.scratch import shared_path
 from ..sources.tables import interactions, items, read_table
 from .registry import query
@@ -143,15 +144,32 @@ def evidence_json(spark, sf):
     return read_table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), F.from_json(F.to_json(parsed), "k int")["k"].alias("again"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\b(licen[sc]ed?|released)\\b') THEN 'license' WHEN n_chars > 3000 THEN 'long' ELSE 'other' END AS kind FROM documents".replace("\\\\", "\\"))
+_DESCRIBED = """d AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 5 < 3 THEN 'movie' ELSE 'game' END AS domain, CASE WHEN p_partkey % 11 = 0 THEN 'movie' END AS external,
+ p_name || CASE p_partkey % 7 WHEN 1 THEN ' Season 2' WHEN 2 THEN ' poster' WHEN 3 THEN ' poster + game' WHEN 4 THEN ' strategy guide' ELSE '' END AS title,
+ repeat('x', CASE WHEN p_partkey % 17 = 0 THEN 1500 ELSE 0 END) || ' ' || CASE WHEN p_partkey % 13 = 0 THEN 'a sitcom, an episode, more episodes' WHEN p_partkey % 13 = 1 THEN 'an episode, a season' WHEN p_partkey % 13 = 2 THEN 'in hardcover' ELSE 'plain' END AS text FROM part)"""
+
+
+def _described(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with titles of series, goods and guides, and descriptions whose words begin before or after the 1500th character."""
+    k = F.col("item_id")
+    tail = F.when(k % 7 == 1, " Season 2").when(k % 7 == 2, " poster").when(k % 7 == 3, " poster + game").when(k % 7 == 4, " strategy guide").otherwise("")
+    words = F.when(k % 13 == 0, "a sitcom, an episode, more episodes").when(k % 13 == 1, "an episode, a season").when(k % 13 == 2, "in hardcover").otherwise("plain")
+    text = F.concat(F.repeat(F.lit("x"), F.when(k % 17 == 0, 1500).otherwise(0)), F.lit(" "), words)
+    return items(spark, sf).select("item_id", "domain", "creator", F.when(k % 11 == 0, "movie").alias("external"), F.concat("title", tail).alias("title"), text.alias("text"))
+
+
+_KIND = "CASE WHEN domain = 'game' THEN 'game' WHEN external IS NOT NULL THEN external WHEN item_id % 7 = 1 OR (item_id % 13 = 0 AND item_id % 17 <> 0) THEN 'tv' ELSE 'movie' END"
+
+
+@query(f"WITH {_DESCRIBED} SELECT item_id, {_KIND} AS kind FROM d")
 def item_kind(spark, sf):
-    kind = F.when(F.col("text").rlike(r"(?i)\b(licen[sc]ed?|released)\b"), "license").when(F.col("n_chars") > 3000, "long").otherwise("other")
-    return read_table(spark, sf, "documents").select("doc_id", kind.alias("kind"))
+    return _described(spark, sf).select("item_id", kinds.item_kind(*[F.col(c) for c in ("domain", "external", "title", "text")]).alias("kind"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '(?i)\\b(license|token|password)\\b') AND NOT contains(text, ' | ') AS blocked FROM documents".replace("\\\\", "\\"))
+@query(f"WITH {_DESCRIBED} SELECT item_id, domain = 'game' AND (item_id % 7 = 2 OR (external IS NULL AND (item_id % 13 = 2 OR item_id % 7 = 4))) AS blocked FROM d")
 def ineligible_items(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", (F.col("text").rlike(r"(?i)\b(license|token|password)\b") & ~F.contains("text", F.lit(" | "))).alias("blocked"))
+    blocked = kinds.ineligible(F.col("domain"), F.col("title"), F.col("text"), F.col("external").isNotNull())
+    return _described(spark, sf).select("item_id", blocked.alias("blocked"))
 
 
 @query("WITH {I} SELECT item_id FROM inter WHERE rating >= 4 GROUP BY 1 HAVING count(*) >= 8")
@@ -159,21 +177,31 @@ def quality_floor(spark, sf):
     return core.item_stats(interactions(spark, sf)).where("popularity >= 8").select("item_id")
 
 
-@query("WITH {T} SELECT item_id, title FROM items WHERE domain = 'game' AND year >= 1990")
+@query(f"WITH {_DESCRIBED}, k AS (SELECT item_id, {_KIND} AS kind FROM d), t(target) AS (VALUES ('film'), ('tv'), ('movie'), ('game'), ('any')) SELECT target, item_id FROM k, t WHERE target = 'any' OR target = kind OR (target = 'film' AND kind IN ('movie', 'tv'))")
 def target_filter(spark, sf):
-    return items(spark, sf).where("domain = 'game' and year >= 1990").select("item_id", "title")
+    rows = _described(spark, sf).select("item_id", kinds.item_kind(*[F.col(c) for c in ("domain", "external", "title", "text")]).alias("kind"))
+    targets = {"film": "film", "tv": "tv", "movie": "movie", "game": "game", "any": None}
+    return rows.select("item_id", F.explode(F.array_compact(F.array(*[F.when(kinds.wanted_kind(F.col("kind"), t), name) for name, t in targets.items()]))).alias("target"))
 
 
-@query("WITH {T} SELECT creator, bool_or(regexp_matches(title, 'a')) AS tv FROM items GROUP BY 1")
+@query(f"WITH {_DESCRIBED}, h AS (SELECT item_id // 3 AS work, bool_or(item_id % 7 = 1) AS tv FROM d GROUP BY 1) SELECT item_id, tv FROM d JOIN h ON item_id // 3 = work")
 def tv_hint(spark, sf):
-    return items(spark, sf).groupBy("creator").agg(F.bool_or(F.col("title").rlike("a")).alias("tv"))
+    """A work is one of series if the title of any of its products says so: here three products are a work."""
+    rows = _described(spark, sf).withColumn("work", F.floor(F.col("item_id") / 3))
+    hints = rows.groupBy("work").agg(F.bool_or(kinds.tv_title(F.col("title"))).alias("tv"))
+    return rows.join(hints, "work", "left").select("item_id", F.coalesce("tv", F.lit(False)).alias("tv"))
 
 
-@query("SELECT source AS kind, CASE WHEN count(*) >= 3 THEN avg(quality) END AS critics, CASE WHEN count(*) >= 10 THEN avg(1 - toxic) END AS audience FROM labels JOIN documents USING (doc_id) GROUP BY 1 HAVING count(*) >= 3")
+@query("""WITH {I}, {T}, s AS (SELECT item_id, count(*) FILTER (user_id % 9 = 0) AS nc, avg(rating) FILTER (user_id % 9 = 0) AS c, count(*) FILTER (user_id % 9 <> 0) AS na, avg(rating) FILTER (user_id % 9 <> 0) AS a FROM inter GROUP BY 1)
+SELECT item_id, CASE WHEN nc >= 3 THEN c END AS critics, CASE WHEN na >= need THEN a END AS audience FROM (SELECT s.*, CASE WHEN domain = 'movie' THEN 50 ELSE 10 END AS need FROM s JOIN items USING (item_id)) WHERE nc >= 3 OR na >= need""")
 def public_scores(spark, sf):
-    rows = read_table(spark, sf, "labels").join(read_table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    by = rows.groupBy(F.col("source").alias("kind")).agg(F.count("*").alias("n"), F.avg("quality").alias("c"), F.avg(1 - F.col("toxic")).alias("a"))
-    return by.select("kind", F.when(F.col("n") >= 3, F.col("c")).alias("critics"), F.when(F.col("n") >= 10, F.col("a")).alias("audience")).where("critics is not null or audience is not null")
+    """Critics' scores need 3 reviews, audiences' 50 votes for films and 10 for games; here one user in nine is a critic."""
+    critic = F.col("user_id") % 9 == 0
+    side = lambda who: (F.count_if(who), F.avg(F.when(who, F.col("rating"))))
+    (nc, c), (na, a) = side(critic), side(~critic)
+    s = interactions(spark, sf).groupBy("item_id").agg(nc.alias("nc"), c.alias("c"), na.alias("na"), a.alias("a")).join(items(spark, sf).select("item_id", "domain"), "item_id")
+    audience = F.when(F.col("na") >= F.when(F.col("domain") == "movie", 50).otherwise(10), F.col("a"))
+    return s.select("item_id", F.when(F.col("nc") >= 3, F.col("c")).alias("critics"), audience.alias("audience")).where("critics is not null or audience is not null")
 
 
 @query("WITH {I}, m AS (SELECT user_id, item_id, 'favourite' AS kind, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS r FROM inter WHERE rating >= 4 UNION ALL SELECT user_id, item_id, 'dislike', row_number() OVER (PARTITION BY user_id ORDER BY rating, item_id) FROM inter WHERE rating <= 1.5) SELECT user_id, item_id, kind FROM m WHERE r <= CASE WHEN kind = 'favourite' THEN 10 ELSE 3 END")
@@ -189,11 +217,18 @@ def anime_tag(spark, sf):
     return items(spark, sf).select("item_id", F.array_join(F.when(F.col("item_id") % 9 == 0, F.concat(F.array(F.lit("anime")), "genres")).otherwise(F.col("genres")), ",").alias("genres"))
 
 
-@query("WITH {I}, {T} SELECT items.item_id, title FROM items JOIN (SELECT item_id, count(*) AS votes FROM inter GROUP BY 1) USING (item_id) WHERE votes >= CASE WHEN domain = 'movie' THEN 25 ELSE 20 END AND year >= 1980 AND NOT list_has_any(genres, ['PROMO'])")
+@query("""WITH {I}, {T}, v AS (SELECT items.*, votes FROM items JOIN (SELECT item_id, count(*) AS votes FROM inter GROUP BY 1) USING (item_id))
+SELECT item_id, title FROM v WHERE votes >= CASE WHEN domain = 'movie' THEN 25 ELSE 20 END AND year >= 1980 AND NOT list_has_any(genres, ['PROMO']) AND item_id % 9 < 7 AND NOT (item_id % 6 = 1)""")
 def release_selection(spark, sf):
+    """Well-known titles of allowed types in a window, without excluded genres, that don't continue a series."""
     votes = core.item_stats(interactions(spark, sf)).select("item_id", F.col("rating_count").alias("votes"))
+    k = F.col("item_id")
+    edges = F.when(k % 6 == 1, F.array(F.struct(F.lit("PREQUEL").alias("relation"), F.lit("TV").alias("format")))).when(k % 6 == 2, F.array(F.struct(F.lit("PREQUEL").alias("relation"), F.lit("MOVIE").alias("format")))).otherwise(F.array())
+    rows = items(spark, sf).join(votes, "item_id").withColumns({"type": (k % 9).cast("int"), "edges": edges})
     need = F.when(F.col("domain") == "movie", 25).otherwise(20)
-    return items(spark, sf).join(votes, "item_id").where((F.col("votes") >= need) & (F.col("year") >= 1980) & ~F.arrays_overlap("genres", F.array(F.lit("PROMO")))).select("item_id", "title")
+    continues = F.exists("edges", lambda e: (e["relation"] == "PREQUEL") & (e["format"] == "TV"))
+    allowed = F.col("type").isin(*range(7)) & ~F.arrays_overlap("genres", F.array(F.lit("PROMO"))) & ~continues
+    return rows.where((F.col("votes") >= need) & (F.col("year") >= 1980) & allowed).select("item_id", "title")
 
 
 @query("""WITH {I}, {T}, n AS (SELECT item_id, count(*) AS n FROM inter GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY domain, title ORDER BY coalesce(n, 0) DESC, item_id) AS k FROM items LEFT JOIN n USING (item_id))
@@ -265,10 +300,10 @@ def franchise_link_contains(spark, sf):
     return it.select("item_id", F.explode(_spans(F.lower("title"))).alias("f")).join(names, "f").select("item_id", F.col("f").alias("franchise"))
 
 
-@query(LINK + ", r AS (SELECT item_id, split_part(name, ' ', 1) AS root FROM k) SELECT r.item_id AS src, min(k.item_id) AS dst FROM r JOIN k ON k.name = r.root OR split_part(k.name, ' ', 1) = r.root WHERE r.item_id % 50 = 0 GROUP BY 1")
+@query(LINK + ", r AS (SELECT item_id, split_part(name, ' ', 1) AS root FROM k) SELECT r.item_id AS src, min(k.item_id) AS dst FROM r JOIN k ON k.name = r.root OR split_part(k.name, ' ', 1) = r.root GROUP BY 1")
 def franchise_link_subtitle(spark, sf):
     k = items(spark, sf).select("item_id", F.split(F.lower("title"), " ")[0].alias("root"))
-    return k.where("item_id % 50 = 0").select(F.col("item_id").alias("src"), "root").join(k.groupBy("root").agg(F.min("item_id").alias("dst")), "root").select("src", "dst")
+    return k.select(F.col("item_id").alias("src"), "root").join(k.groupBy("root").agg(F.min("item_id").alias("dst")), "root").select("src", "dst")
 
 
 @query(LINK + ", l AS (SELECT a.item_id AS src, b.item_id AS dst FROM k a JOIN k b ON a.name = b.name AND (a.domain = 'game') <> (b.domain = 'game')) SELECT src, dst, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst % 100 DESC, dst) AS r FROM l) WHERE r <= 24")
@@ -285,14 +320,14 @@ def franchise_link_adaptation(spark, sf):
     return a.join(b, "name").select("name", "domain", "item_id").union(roots).distinct()
 
 
-STRICT = """WITH {I}, {T}, p AS (SELECT item_id, count(*) AS pop FROM inter GROUP BY 1), q AS (SELECT DISTINCT title AS name, year FROM items WHERE item_id % 10 = 0),
+STRICT = """WITH {I}, {T}, p AS (SELECT item_id, count(*) AS pop FROM inter GROUP BY 1), q AS (SELECT DISTINCT title AS name, year FROM items),
 c AS (SELECT q.name, q.year, item_id, row_number() OVER (PARTITION BY q.name, q.year ORDER BY (items.year = q.year) DESC, coalesce(pop, 0) DESC, item_id) AS r FROM q JOIN items ON title = name AND abs(items.year - q.year) <= 1 LEFT JOIN p USING (item_id))"""
 
 
 @query(STRICT + " SELECT name, year, item_id FROM c WHERE r = 1")
 def strict_title_year(spark, sf):
     it = items(spark, sf).join(core.item_stats(interactions(spark, sf)).select("item_id", F.col("rating_count").alias("pop")), "item_id", "left").na.fill(0, ["pop"])
-    q = it.where("item_id % 10 = 0").select(F.col("title").alias("name"), F.col("year").alias("want")).distinct()
+    q = it.select(F.col("title").alias("name"), F.col("year").alias("want")).distinct()
     rows = q.join(it, (F.col("title") == F.col("name")) & F.col("year").between(F.col("want") - 1, F.col("want") + 1))
     return core.top(rows, ["name", "want"], 1, F.desc(F.col("year") == F.col("want")), F.desc("pop"), "item_id").select("name", F.col("want").alias("year"), "item_id")
 
@@ -325,11 +360,11 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     return words.select("item_id", "title", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("w"), F.lit(12))), lambda n: F.substring("w", 1, n))).alias("prefix")).distinct()
 
 
-@query("""WITH q AS (SELECT DISTINCT substr(split_part(lower(p_name), ' ', 1), 1, 3) || ' ' || substr(split_part(lower(p_name), ' ', 2), 1, 2) AS q FROM part WHERE p_partkey % 40 = 0)
+@query("""WITH q AS (SELECT DISTINCT substr(split_part(lower(p_name), ' ', 1), 1, 3) || ' ' || substr(split_part(lower(p_name), ' ', 2), 1, 2) AS q FROM part)
 SELECT q, p_partkey AS item_id FROM q, part WHERE list_bool_and(list_transform(string_split(q, ' '), lambda x: len(list_filter(string_split(lower(p_name), ' '), lambda w: starts_with(w, x))) > 0))""")
 def prefix_search(spark, sf):
     t = F.lower("title")
-    q = items(spark, sf).where("item_id % 40 = 0").select(F.concat(F.substring(F.split(t, " ")[0], 1, 3), F.lit(" "), F.substring(F.coalesce(F.get(F.split(t, " "), F.lit(1)), F.lit("")), 1, 2)).alias("q")).distinct()
+    q = items(spark, sf).select(F.concat(F.substring(F.split(t, " ")[0], 1, 3), F.lit(" "), F.substring(F.coalesce(F.get(F.split(t, " "), F.lit(1)), F.lit("")), 1, 2)).alias("q")).distinct()
     q = q.withColumn("words", F.array_distinct(F.filter(F.split("q", " "), lambda w: w != "")))
     asked = q.select("q", F.size("words").alias("n"), F.explode("words").alias("prefix"))
     return asked.join(_tokens(spark, sf), "prefix").groupBy("q", "item_id").agg(F.countDistinct("prefix").alias("k"), F.first("n").alias("n")).where("k = n").select("q", "item_id")
@@ -395,18 +430,25 @@ def join_external_id(spark, sf):
     return it.join(s, ["domain", "creator"], "left").select("item_id", "score")
 
 
-@query("WITH k AS (SELECT doc_id, sha1(text) AS text_key FROM documents) SELECT doc_id, text_key FROM k WHERE text_key NOT IN (SELECT text_key FROM k WHERE doc_id % 3 = 0)")
+@query("WITH k AS (SELECT DISTINCT sha1(text) AS text_key, min(length(text)) AS size, bool_or(doc_id % 3 = 0) AS held FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT text_key, size::INTEGER AS size, NOT held AS fresh FROM k")
 def embedding_cache(spark, sf):
-    """Texts that are still to be encoded: those whose key isn't in the cache."""
-    k = read_table(spark, sf, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("text_key"))
-    return k.join(k.where("doc_id % 3 = 0").select("text_key"), "text_key", "left_anti").select("doc_id", "text_key")
+    """A cache that holds a third of the texts, after the rest has been encoded and all was written back."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    encode = lambda rows: rows.select("text_key", F.array(F.length("text").cast("float")).alias("vector"))
+    held = docs.where("doc_id % 3 = 0 and text is not null").select(F.sha1(F.col("text").cast("binary")).alias("text_key"), "text").dropDuplicates(["text_key"])
+    path = shared_path(spark)
+    logs.update_cache(docs, encode(held), encode).write.parquet(path)
+    return spark.read.parquet(path).select("text_key", F.element_at("vector", 1).cast("int").alias("size"), "fresh")
 
 
-@query("SELECT source, lang, avg(n_chars) AS mean_chars FROM documents WHERE n_chars > 0 GROUP BY 1, 2")
+@query("""WITH s AS (SELECT source, lang AS kind, doc_id % 300 AS id, n_chars % 7 AS votes, round(n_chars / 8.0) AS score FROM documents WHERE n_chars % 7 > 0)
+SELECT source, kind, id, votes, score FROM (SELECT *, row_number() OVER (PARTITION BY source, kind, id ORDER BY votes DESC, score DESC) AS r FROM s) WHERE r = 1""")
 def flatten_scores(spark, sf):
-    payload = F.to_json(F.struct("source", "lang", F.struct(F.col("n_chars").alias("count")).alias("votes")))
-    rows = read_table(spark, sf, "documents").select(F.from_json(payload, "source string, lang string, votes struct<count: long>").alias("r"))
-    return rows.select("r.source", "r.lang", F.col("r.votes.count").alias("n")).where("n > 0").groupBy("source", "lang").agg(F.avg("n").alias("mean_chars"))
+    """Landed responses to one row for each source, kind and id with votes, that with most votes."""
+    landed = F.to_json(F.struct("source", F.col("lang").alias("kind"), (F.col("doc_id") % 300).alias("id"), F.struct((F.col("n_chars") % 7).alias("count"), (F.col("n_chars") / 8).alias("mean")).alias("votes")))
+    rows = read_table(spark, sf, "documents").select(F.from_json(landed, "source string, kind string, id long, votes struct<count: long, mean: double>").alias("r"))
+    flat = rows.select("r.source", "r.kind", "r.id", F.col("r.votes.count").alias("votes"), F.round("r.votes.mean").alias("score")).where("votes > 0")
+    return core.latest(flat, ["source", "kind", "id"], F.desc("votes"), F.desc("score"))
 
 
 def _round_trip(df: DataFrame, form: str, **options: str) -> DataFrame:
@@ -436,9 +478,13 @@ def write_tables(spark, sf):
     return spark.read.parquet(path).groupBy("domain").agg(F.count("*").alias("n"))
 
 
-@query("WITH {I} SELECT count(*) AS n_rows, avg(rating) AS mean_rating FROM inter")
+@query("""WITH {I}, {T} SELECT 'n_rows' AS key, count(*)::DOUBLE AS value FROM inter UNION ALL SELECT 'mean_rating', avg(rating) FROM inter UNION ALL SELECT 'remap ' || item_id, item_id - 7 FROM items WHERE item_id % 7 = 0""")
 def write_report(spark, sf):
-    return _round_trip(interactions(spark, sf).agg(F.count("*").alias("n_rows"), F.avg("rating").alias("mean_rating")), "json")
+    """The report as one JSON row, and the remap as a JSON table of two columns."""
+    report = _round_trip(interactions(spark, sf).agg(F.count("*").alias("n_rows"), F.avg("rating").alias("mean_rating")), "json")
+    remap = _round_trip(items(spark, sf).where("item_id % 7 = 0").select(F.col("item_id").alias("source"), (F.col("item_id") - 7).alias("target")), "json")
+    one = report.select(F.col("n_rows").cast("double"), "mean_rating").unpivot([], ["n_rows", "mean_rating"], "key", "value")
+    return one.unionByName(remap.select(F.concat(F.lit("remap "), F.col("source").cast("string")).alias("key"), F.col("target").cast("double").alias("value")))
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
@@ -469,3 +515,20 @@ def flatten_external_titles(spark, sf):
 def data_audit(spark, sf):
     one = interactions(spark, sf).agg(F.countDistinct("user_id").cast("double").alias("users"), F.countDistinct("item_id").cast("double").alias("items"), F.count("*").cast("double").alias("rows"), F.avg((F.col("rating") >= 4).cast("int")).alias("positive"))
     return one.unpivot([], one.columns, "metric", "value").withColumn("section", F.lit("audit"))
+
+
+@query("""WITH {I}, {T}, p AS (SELECT item_id, count(*) FILTER (rating >= 4) AS pop FROM inter GROUP BY 1), t AS (SELECT items.item_id, lower(title) AS t, year, coalesce(pop, 0) AS popularity, year >= 2015 AS new FROM items LEFT JOIN p USING (item_id)),
+q AS (SELECT DISTINCT t AS q FROM t UNION SELECT DISTINCT split_part(t, ' ', 1) FROM t), w AS (SELECT DISTINCT item_id, unnest(string_split(t, ' ')) AS w FROM t),
+f AS (SELECT q, t.*, t = q AS exact, year = 1999 AS same_year, starts_with(t, q) AS prefix FROM q JOIN w ON split_part(q, ' ', 1) = w JOIN t USING (item_id) WHERE starts_with(t, q) OR contains(t, ' ' || q)),
+o AS (SELECT *, row_number() OVER (PARTITION BY q, exact, new ORDER BY same_year DESC, prefix DESC, popularity DESC, item_id) AS k FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN exact AND NOT new THEN 0 WHEN exact THEN 1 WHEN new AND k <= 2 THEN 2 ELSE 3 END, same_year DESC, prefix DESC, popularity DESC, item_id) AS rank FROM o)
+SELECT q, item_id, rank::INTEGER AS rank FROM r WHERE rank <= 20""")
+def search_order(spark, sf):
+    """Whole titles and first words as queries of 1999; items from 2015 on are new ones."""
+    pop = core.item_stats(interactions(spark, sf)).select("item_id", "popularity")
+    t = items(spark, sf).join(pop, "item_id", "left").na.fill(0, ["popularity"]).select("item_id", F.lower("title").alias("t"), "year", "popularity", (F.col("year") >= 2015).alias("new"))
+    first = F.split("q", " ")[0]
+    q = t.select(F.col("t").alias("q")).union(t.select(F.split("t", " ")[0])).distinct().withColumn("w", first)
+    words = t.withColumn("w", F.explode(F.array_distinct(F.split("t", " "))))
+    found = q.join(words, "w").where(F.startswith("t", "q") | F.contains("t", F.concat(F.lit(" "), F.col("q"))))
+    return search.search_order(found.select("q", "item_id", (F.col("t") == F.col("q")).alias("exact"), (F.col("year") == 1999).alias("same_year"), F.startswith("t", "q").alias("prefix"), "new", "popularity"))

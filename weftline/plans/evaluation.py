@@ -110,10 +110,18 @@ def split_summary(spark, sf):
     return _train(spark, sf).agg(F.count("*").alias("n_rows"), F.countDistinct("user_id").alias("n_users")).crossJoin(F.broadcast(grp))
 
 
-@query(f"WITH {TRAIN} SELECT count(*) AS hidden_rows FROM train JOIN grp USING (user_id) WHERE domain <> CASE WHEN grp % 2 = 0 THEN 'movie' ELSE 'game' END")
+@query(f"""WITH {TRAIN}, v AS (SELECT user_id, CASE WHEN grp % 2 = 0 THEN 'movie' ELSE 'game' END AS seen FROM grp)
+SELECT (SELECT count(*) FROM train JOIN v USING (user_id) WHERE domain <> seen) AS hidden_rows,
+ (SELECT count(*) FROM inter i JOIN v USING (user_id) JOIN train t USING (user_id, item_id) WHERE i.domain <> seen AND i.rating >= 4) AS relevant_in_history""")
 def leakage_check(spark, sf):
-    grp = metrics.holdout_groups(interactions(spark, sf))
-    return _train(spark, sf).join(grp, "user_id").where(F.col("domain") != F.when(F.col("grp") % 2 == 0, "movie").otherwise("game")).agg(F.count("*").alias("hidden_rows"))
+    """Rows of hidden domains in the training rows, and relevant items in the histories: both must be 0."""
+    inter = interactions(spark, sf)
+    seen = metrics.holdout_groups(inter).select("user_id", F.when(F.col("grp") % 2 == 0, "movie").otherwise("game").alias("seen"))
+    train = _train(spark, sf)
+    hidden = train.join(seen, "user_id").where("domain <> seen").agg(F.count("*").alias("hidden_rows"))
+    relevant = core.positives(inter).join(seen, "user_id").where("domain <> seen").select("user_id", "item_id")
+    both = relevant.join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi").agg(F.count("*").alias("relevant_in_history"))
+    return hidden.crossJoin(F.broadcast(both))  # one row each
 
 
 @query(f"""WITH {GROUPS} SELECT 'movie_to_game' AS task, user_id, count(*) FILTER (domain = 'movie') AS n_history, count(*) FILTER (domain = 'game' AND rating >= 4) AS n_relevant FROM inter JOIN grp USING (user_id) WHERE grp % 2 = 0 GROUP BY 2
@@ -157,21 +165,25 @@ def headline_metrics(spark, sf):
     return _metrics(spark, sf).agg(*[F.avg(c).alias(c) for c in ("ndcg", "recall", "hit", "map")])
 
 
-@query("""WITH p AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS task, doc_id AS user_id, (quality - toxic)::DOUBLE AS diff FROM labels), n AS (SELECT task, count(*) AS n, avg(diff) AS lift FROM p GROUP BY 1),
-r AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY user_id) - 1 AS pos, diff FROM p), g AS (SELECT task, n, b, unnest(range(0, n)) AS i FROM n, range(0, 100) t(b)),
+@query("""WITH p AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS task, doc_id AS user_id, (quality - toxic)::DOUBLE AS diff, toxic::DOUBLE AS base FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+n AS (SELECT task, count(*) AS n, avg(diff) AS lift, avg(diff) / nullif(avg(base), 0) AS relative_lift FROM p GROUP BY 1),
+r AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY user_id) - 1 AS pos, diff FROM p), g AS (SELECT task, n, b, unnest(range(0, n)) AS i FROM n, range(0, 2000) t(b)),
 d AS (SELECT task, b, ('0x' || substr(md5(task || '|' || b || '|' || i), 1, 12))::BIGINT % n AS pos FROM g), m AS (SELECT task, b, avg(diff) AS m FROM d JOIN r USING (task, pos) GROUP BY 1, 2),
-c AS (SELECT task, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) SELECT task, n, lift, low, high, low > 0 OR high < 0 AS significant FROM n JOIN c USING (task)""")
+c AS (SELECT task, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) SELECT task, n, lift, relative_lift, low, high, low > 0 OR high < 0 AS significant FROM n JOIN c USING (task)""")
 def paired_bootstrap(spark, sf):
-    p = read_table(spark, sf, "labels").select(F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("task"), F.col("doc_id").alias("user_id"), (F.col("quality") - F.col("toxic")).cast("double").alias("diff"))
-    return metrics.paired_bootstrap(p, 100)
+    labels = read_table(spark, sf, "labels").where("quality is not null and toxic is not null")
+    p = labels.select(F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("task"), F.col("doc_id").alias("user_id"), (F.col("quality") - F.col("toxic")).cast("double").alias("diff"), F.col("toxic").cast("double").alias("base"))
+    return metrics.paired_bootstrap(p)
 
 
-@query("""WITH a AS (SELECT event_type AS metric, avg(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, avg(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1),
-r AS (SELECT metric, b.v >= a.v * CASE WHEN metric = 'click' THEN 0.98 ELSE 0.9 END AS ok FROM a JOIN b USING (metric)) SELECT metric, ok FROM r UNION ALL SELECT 'verdict', bool_and(ok) FROM r""")
+@query("""WITH a AS (SELECT event_type AS metric, avg(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, avg(value) AS v, CASE WHEN event_type = 'signup' THEN 'other' ELSE 'one' END AS d FROM events WHERE event_id % 2 = 1 AND event_type <> 'error' GROUP BY ALL),
+r AS (SELECT metric, CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'missing' WHEN d <> 'one' THEN 'other data' WHEN b.v < a.v * CASE WHEN metric = 'click' THEN 0.98 ELSE 0.9 END THEN 'dropped' ELSE '' END AS reason FROM a FULL JOIN b USING (metric))
+SELECT metric, reason = '' AS ok, reason FROM r UNION ALL SELECT 'verdict', bool_and(reason = ''), coalesce(string_agg(metric || ' ' || reason, ', ' ORDER BY metric || ' ' || reason) FILTER (reason <> ''), '') FROM r""")
 def promotion_gate(spark, sf):
     ev = read_table(spark, sf, "events")
     side = lambda k: ev.where(F.col("event_id") % 2 == k).groupBy(F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
-    return metrics.promotion_gate(side(0), side(1), "click")
+    new = side(1).where("metric <> 'error'").withColumn("dataset", F.when(F.col("metric") == "signup", "other").otherwise("one"))
+    return metrics.promotion_gate(side(0).withColumn("dataset", F.lit("one")), new, "click")
 
 
 @query("SELECT event_type AS task, avg(value) FILTER (user_id % 3 = 0) AS low, avg(value) FILTER (user_id % 3 = 1) AS mid, avg(value) FILTER (user_id % 3 = 2) AS high FROM events GROUP BY 1")
@@ -203,15 +215,39 @@ def judged_scores(spark, sf):
     return rows.groupBy("query").agg(F.avg((F.col("rating") >= 2).cast("int")).alias("good"), F.avg((F.col("rating") <= 0).cast("int")).alias("bad"), (F.count("rating") / F.count("*")).alias("judged"))
 
 
-@query(f"WITH {JUDGED} SELECT query, item % 2 = 0 AS setting, avg(rating) AS mean_rating FROM l JOIN d USING (query, item) GROUP BY 1, 2")
+@query("""WITH r AS (SELECT source AS query, doc_id - doc_id % 3 AS item, 2 * quality AS one, 2 * (1 - toxic) AS two FROM labels JOIN documents USING (doc_id)),
+j AS (SELECT 'combined' AS raters, query, item, greatest(max(one), max(two)) AS rating FROM r GROUP BY ALL UNION ALL SELECT 'single', query, item, max(one) FROM r GROUP BY ALL),
+l AS (SELECT s AS setting, source AS query, doc_id AS item, row_number() OVER (PARTITION BY source, s ORDER BY md5('list' || s || '|' || doc_id), doc_id) AS rank FROM documents, range(0, 2) t(s)),
+m AS (SELECT setting, query, item - item % 3 AS item, min(rank) AS rank FROM l WHERE rank <= 10 GROUP BY ALL)
+SELECT setting::INTEGER AS setting, raters, m.query, avg((rating >= 2)::INT) AS good, avg((rating <= 0)::INT) AS bad, count(rating) / count(*) AS judged
+FROM m CROSS JOIN (VALUES ('combined'), ('single')) x(raters) LEFT JOIN j USING (raters, query, item) GROUP BY ALL""")
 def judged_by_setting(spark, sf):
-    lists, ratings = _judged(spark, sf)
-    return lists.join(ratings, ["query", "item"]).groupBy("query", (F.col("item") % 2 == 0).alias("setting")).agg(F.avg("rating").alias("mean_rating"))
-
-
-@query(f"WITH {JUDGED} SELECT DISTINCT query, item FROM l WHERE rank <= 5")
+    """Shares of good, bad and judged items among each setting's first ten, after a remap, by one rater or both."""
+    docs = read_table(spark, sf, "documents").select("doc_id", F.col("source").alias("query"))
+    work = lambda c: F.col(c) - F.col(c) % 3
+    r = read_table(spark, sf, "labels").join(docs, "doc_id").select("query", work("doc_id").alias("item"), (2 * F.col("quality")).alias("one"), (2 * (1 - F.col("toxic"))).alias("two"))
+    by = r.groupBy("query", "item").agg(F.max("one").alias("single"), F.greatest(F.max("one"), F.max("two")).alias("combined"))
+    rated = by.unpivot(["query", "item"], ["single", "combined"], "raters", "rating")
+    lists = docs.withColumn("setting", F.explode(F.array(F.lit(0), F.lit(1))))
+    order = F.md5(F.concat(F.lit("list"), F.col("setting").cast("string"), F.lit("|"), F.col("doc_id").cast("string")).cast("binary"))
+    shown = core.top(lists, ["query", "setting"], 10, order, "doc_id").select("setting", "query", work("doc_id").alias("item")).distinct()
+    rows = shown.withColumn("raters", F.explode(F.array(F.lit("combined"), F.lit("single")))).join(rated, ["raters", "query", "item"], "left")
+    share = lambda c: F.avg(c.cast("int"))
+    return rows.groupBy("setting", "raters", "query").agg(share(F.col("rating") >= 2).alias("good"), share(F.col("rating") <= 0).alias("bad"), (F.count("rating") / F.count("*")).alias("judged"))
+
+
+@query("""WITH s AS (SELECT source AS query, doc_id AS item, row_number() OVER (PARTITION BY source, k ORDER BY md5('setting' || k || '|' || doc_id), doc_id) AS rank FROM documents, range(0, 3) t(k)), p AS (SELECT DISTINCT query, item FROM s WHERE rank <= 5)
+SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY sha1(query || '|' || item), item)::INTEGER AS rank FROM p""")
 def rating_pool(spark, sf):
-    return _judged(spark, sf)[0].where("rank <= 5").select("query", "item").dropDuplicates()
+    """The first five of each query's lists under three settings, each item once, in an order that doesn't tell where it came from."""
+    docs = read_table(spark, sf, "documents").select(F.col("source").alias("query"), F.col("doc_id").alias("item"))
+    lists = None
+    for k in range(3):
+        order = F.md5(F.concat_ws("|", F.lit(f"setting{k}"), F.col("item").cast("string")).cast("binary"))
+        one = core.top(docs, ["query"], 5, order, "item").select("query", "item")
+        lists = one if lists is None else lists.unionByName(one)
+    blind = F.sha1(F.concat_ws("|", "query", F.col("item").cast("string")).cast("binary"))
+    return core.ranked(lists.dropDuplicates(["query", "item"]), ["query"], blind, "item")
 
 
 THEME = """{I}, {T}, th AS (SELECT user_id, genres[1] AS theme, count(*) AS n FROM inter JOIN items USING (item_id) WHERE rating >= 4 GROUP BY 1, 2)"""

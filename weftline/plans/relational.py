@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import core
+from ..operators import core, logs
+from ..sources.scratch import shared_path
 from ..sources.tables import interactions, items, raw_ratings, read_table
 from .registry import query
 
@@ -34,13 +35,13 @@ def pseudonymise(spark, sf):
 @query("""WITH {I} SELECT 'null_values' AS rule, count(*) FILTER (user_id IS NULL OR item_id IS NULL OR rating IS NULL) AS violations FROM inter
 UNION ALL SELECT 'rating_range', count(*) FILTER (rating NOT BETWEEN 1 AND 5) FROM inter UNION ALL SELECT 'domain_set', count(*) FILTER (domain NOT IN ('movie', 'game')) FROM inter
 UNION ALL SELECT 'timestamp_positive', count(*) FILTER (timestamp <= 0) FROM inter UNION ALL SELECT 'unique_key', count(*) FROM (SELECT 1 FROM inter GROUP BY user_id, item_id HAVING count(*) > 1)
-UNION ALL SELECT 'known_items', count(*) FROM inter WHERE item_id NOT IN (SELECT p_partkey FROM part)""")
+UNION ALL SELECT 'known_items', count(*) FROM inter WHERE item_id NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'required_columns', 0""")
 def contract_interactions(spark, sf):
     return core.contract_interactions(interactions(spark, sf), items(spark, sf))
 
 
 @query("""WITH {T} SELECT 'domain_set' AS rule, count(*) FILTER (domain NOT IN ('movie', 'game')) AS violations FROM items UNION ALL
-SELECT 'title_present', count(*) FILTER (title IS NULL OR trim(title) = '') FROM items UNION ALL SELECT 'unique_key', count(*) FROM (SELECT 1 FROM items GROUP BY item_id HAVING count(*) > 1)""")
+SELECT 'title_present', count(*) FILTER (title IS NULL OR trim(title) = '') FROM items UNION ALL SELECT 'unique_key', count(*) FROM (SELECT 1 FROM items GROUP BY item_id HAVING count(*) > 1) UNION ALL SELECT 'required_columns', 0""")
 def contract_items(spark, sf):
     return core.contract_items(items(spark, sf))
 
@@ -100,18 +101,20 @@ def merge_editions(spark, sf):
     return core.merge_editions(raw_ratings(spark, sf))
 
 
-@query("WITH {I} SELECT user_id FROM inter WHERE rating >= 4 GROUP BY 1 HAVING count(*) FILTER (domain = 'movie') >= 1 AND count(*) FILTER (domain = 'game') >= 1")
+@query("""WITH {I}, n AS (SELECT user_id, count(*) FILTER (domain = 'movie') AS m, count(*) FILTER (domain = 'game') AS g FROM inter WHERE rating >= 4 GROUP BY 1),
+p AS (SELECT user_id, CASE WHEN m >= 1 AND g >= 1 THEN 'bridge' WHEN m >= 5 AND g = 0 THEN 'movie_only' WHEN g >= 5 AND m = 0 THEN 'game_only' END AS pool FROM n)
+SELECT user_id, pool FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY md5('pool|' || user_id), user_id) AS k FROM p WHERE pool IS NOT NULL) WHERE k <= 1000""")
 def bridge_users(spark, sf):
-    return core.bridge_users(interactions(spark, sf))
+    return core.user_pools(interactions(spark, sf), cap=1000)
 
 
 _ROUND = """r{n}i AS (SELECT * FROM r{p} WHERE item_id IN (SELECT item_id FROM r{p} WHERE rating >= 4 GROUP BY 1 HAVING count(*) >= {f})),
 r{n} AS (SELECT * FROM r{n}i WHERE user_id IN (SELECT user_id FROM r{n}i WHERE rating >= 4 GROUP BY 1 HAVING count(*) >= {u}))"""
 
 
-@query("WITH {I}, r0 AS (SELECT * FROM inter), " + ", ".join(_ROUND.format(n=k, p=k - 1, f=10, u=12) for k in (1, 2, 3)) + " SELECT user_id, item_id, domain, rating, timestamp FROM r3")
+@query("WITH {I}, r0 AS (SELECT * FROM inter), " + ", ".join(_ROUND.format(n=k, p=k - 1, f=5, u=3) for k in (1, 2, 3)) + " SELECT user_id, item_id, domain, rating, timestamp FROM r3")
 def iterative_prune(spark, sf):
-    return core.iterative_prune(interactions(spark, sf), 10, 12)
+    return core.iterative_prune(interactions(spark, sf), 5, 3)
 
 
 @query("WITH {I} SELECT item_id, count(*) AS popularity FROM inter WHERE rating >= 4 GROUP BY 1")
@@ -124,15 +127,13 @@ def item_rating_stats(spark, sf):
     return core.item_stats(interactions(spark, sf)).select("item_id", "rating_mean", "rating_count")
 
 
-@query("""WITH {R}, {I2} m AS (SELECT count(*)::DOUBLE AS rows_all, count(DISTINCT user_id)::DOUBLE AS users, count(DISTINCT item_id)::DOUBLE AS works, avg((rating >= 4)::INT) AS positive_rate FROM inter)
-SELECT metric, value FROM m UNPIVOT (value FOR metric IN (rows_all, users, works, positive_rate)) UNION ALL SELECT 'rows_raw', count(*)::DOUBLE FROM raw""".replace("{R}, {I2}", "{I},"))
+@query("""WITH {I}, {T}, d AS (SELECT user_id, count(*) FILTER (domain = 'movie') AS m, count(*) FILTER (domain = 'game') AS g FROM inter GROUP BY 1)
+SELECT 'raw_rows' AS metric, count(*)::DOUBLE AS value FROM raw UNION ALL SELECT 'raw_users', count(DISTINCT user_id) FROM raw UNION ALL SELECT 'rows', count(*) FROM inter UNION ALL SELECT 'works', count(DISTINCT item_id) FROM inter
+UNION ALL SELECT 'rows_movie', count(*) FROM inter WHERE domain = 'movie' UNION ALL SELECT 'rows_game', count(*) FROM inter WHERE domain = 'game' UNION ALL SELECT 'works_movie', count(DISTINCT item_id) FROM inter WHERE domain = 'movie' UNION ALL SELECT 'works_game', count(DISTINCT item_id) FROM inter WHERE domain = 'game'
+UNION ALL SELECT 'positive_rate', avg((rating >= 4)::INT) FROM inter UNION ALL SELECT 'users', count(*) FROM d UNION ALL SELECT 'users_movie', count(*) FROM d WHERE m > 0 UNION ALL SELECT 'users_game', count(*) FROM d WHERE g > 0 UNION ALL SELECT 'users_both', count(*) FROM d WHERE m > 0 AND g > 0
+UNION ALL SELECT 'themed_share', avg((len(genres) > 0)::INT) FROM items""")
 def funnel_report(spark, sf):
-    one = interactions(spark, sf).agg(
-        F.count("*").cast("double").alias("rows_all"), F.countDistinct("user_id").cast("double").alias("users"),
-        F.countDistinct("item_id").cast("double").alias("works"), F.avg((F.col("rating") >= 4).cast("int")).alias("positive_rate"),
-    )
-    raw = raw_ratings(spark, sf).agg(F.count("*").cast("double").alias("value")).select(F.lit("rows_raw").alias("metric"), "value")
-    return one.unpivot([], one.columns, "metric", "value").unionByName(raw)
+    return core.funnel(raw_ratings(spark, sf), interactions(spark, sf), items(spark, sf))
 
 
 @query("WITH {I} SELECT rating, count(*) / sum(count(*)) OVER () AS share FROM inter GROUP BY 1")
@@ -149,7 +150,7 @@ def activity_quantiles(spark, sf):
 
 
 @query("""WITH {I}, p AS (SELECT domain, item_id, count(*) AS x FROM inter WHERE rating >= 4 GROUP BY ALL), r AS (SELECT domain, x, row_number() OVER (PARTITION BY domain ORDER BY x, item_id) AS i, count(*) OVER (PARTITION BY domain) AS n FROM p)
-SELECT domain, sum((2 * i - n - 1) * x) / (max(n) * sum(x)) AS gini FROM r GROUP BY 1""")
+SELECT domain, sum((2 * i - n - 1) * x) / (max(n) * sum(x)) AS gini, sum(x) FILTER (i > n - ceil(0.01 * n)) / sum(x) AS top_share FROM r GROUP BY 1""")
 def gini_concentration(spark, sf):
     pop = core.positives(interactions(spark, sf)).groupBy("domain", "item_id").agg(F.count("*").alias("x"))
     return core.gini(pop, "domain", "x")
@@ -201,11 +202,11 @@ def zscore_in_query(spark, sf):
     return interactions(spark, sf).select("user_id", "item_id", core.zscore(F.col("rating"), ["user_id"]).alias("z"), core.minmax(F.col("rating"), ["user_id"]).alias("scaled"))
 
 
-@query("WITH {T}, c AS (SELECT *, count(*) OVER (PARTITION BY domain, lower(title)) AS same FROM items) SELECT item_id, CASE WHEN domain = 'game' AND same > 1 THEN title || ' (' || year || ')' ELSE title END AS title FROM c")
+@query(r"""WITH {T}, d AS (SELECT item_id, domain, year, CASE WHEN item_id % 10 = 3 THEN title || ' (1999)' ELSE title END AS title FROM items), c AS (SELECT *, count(*) OVER (PARTITION BY domain, lower(title)) AS same FROM d)
+SELECT item_id, CASE WHEN domain = 'game' AND same > 1 AND NOT regexp_matches(title, '\(\d{4}\)$') THEN title || ' (' || year || ')' ELSE title END AS title FROM c""")
 def collision_year_suffix(spark, sf):
-    same = F.count("*").over(W.partitionBy("domain", F.lower("title")))
-    suffixed = F.concat("title", F.lit(" ("), F.col("year").cast("string"), F.lit(")"))
-    return items(spark, sf).select("item_id", F.when((F.col("domain") == "game") & (same > 1), suffixed).otherwise(F.col("title")).alias("title"))
+    dated = F.when(F.col("item_id") % 10 == 3, F.concat("title", F.lit(" (1999)"))).otherwise(F.col("title"))
+    return core.year_suffix(items(spark, sf).withColumn("title", dated)).select("item_id", "title")
 
 
 @query("WITH {I}, {T}, m AS (SELECT user_id, median(year) AS y FROM inter JOIN items USING (item_id) WHERE rating >= 5 GROUP BY 1) SELECT user_id, inter.item_id, abs(items.year - y)::DOUBLE AS gap FROM inter JOIN items USING (item_id) LEFT JOIN m USING (user_id)")
@@ -251,10 +252,12 @@ def users_in_both(spark, sf):
     return inter.where("domain = 'movie'").select("user_id").intersect(inter.where("domain = 'game'").select("user_id"))
 
 
-@query("WITH {I} SELECT item_id FROM inter WHERE rating >= 5 EXCEPT SELECT item_id FROM inter WHERE rating < 2")
+@query("WITH {R}, c AS (SELECT user_id, max(timestamp) AS cut FROM raw GROUP BY 1), x AS (SELECT raw.*, cut FROM raw JOIN c USING (user_id)) SELECT user_id, item_id FROM x WHERE timestamp = cut AND rating >= 4 EXCEPT SELECT user_id, item_id FROM x WHERE timestamp < cut")
 def relevant_minus_history(spark, sf):
-    inter = interactions(spark, sf)
-    return inter.where("rating >= 5").select("item_id").distinct().join(inter.where("rating < 2").select("item_id"), "item_id", "left_anti")
+    """Of each user what they liked on their last day and hadn't rated before."""
+    rows = raw_ratings(spark, sf).withColumn("cut", F.max("timestamp").over(W.partitionBy("user_id")))
+    key = ["user_id", "item_id"]
+    return rows.where("timestamp = cut and rating >= 4").select(*key).distinct().join(rows.where("timestamp < cut").select(*key), key, "left_anti")
 
 
 @query("SELECT DISTINCT ON (title) p_name AS title, p_partkey AS item_id FROM part ORDER BY title, item_id")
@@ -262,9 +265,11 @@ def distinct_rows(spark, sf):
     return items(spark, sf).groupBy("title").agg(F.min("item_id").alias("item_id"))
 
 
-@query("WITH {I} SELECT item_id FROM inter WHERE rating < 2 UNION SELECT p_partkey FROM part WHERE p_size > 40")
+@query("WITH {I} SELECT item_id FROM inter WHERE rating < 2 UNION SELECT p_partkey FROM part WHERE p_size > 40 UNION SELECT (props->>'k')::INTEGER FROM events WHERE event_type = 'purchase'")
 def blocked_union(spark, sf):
-    return interactions(spark, sf).where("rating < 2").select("item_id").union(items(spark, sf).where("year > 2010").select("item_id")).distinct()
+    """Ineligible items, compilations and what a user has excluded, here poorly rated, new and bought ones."""
+    bought = read_table(spark, sf, "events").where("event_type = 'purchase'").select(F.get_json_object("props", "$.k").cast("int").alias("item_id"))
+    return interactions(spark, sf).where("rating < 2").select("item_id").union(items(spark, sf).where("year > 2010").select("item_id")).union(bought).distinct()
 
 
 @query("WITH {T} SELECT item_id, title, false AS new FROM items UNION ALL SELECT 1000000 + vec_id, 'new ' || label, true FROM embeddings")
@@ -285,14 +290,27 @@ def dataset_fingerprint(spark, sf):
     return core.fingerprint(read_table(spark, sf, "part"), "p_partkey", "p_name", "p_brand")
 
 
-@query("SELECT conv_id, role, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text) AS r FROM conversations) WHERE r = 1")
+@query("""SELECT doc_id % 3 AS rater, source AS query, doc_id AS item, CASE WHEN doc_id % 4 = 0 THEN -toxic ELSE 2 * quality - toxic END AS rating
+FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL AND doc_id % 3 <> 2""")
 def judgment_log(spark, sf):
-    return core.latest(read_table(spark, sf, "conversations"), ["conv_id", "role"], F.desc("turn"), "text").select("conv_id", "role", "turn", "text")
+    """Two appended batches, the second with new ratings of a quarter of the rows; two of three raters are known."""
+    rows = read_table(spark, sf, "labels").where("quality is not null and toxic is not null").join(read_table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    log = lambda rating, at: rows.select((F.col("doc_id") % 3).alias("rater"), F.col("source").alias("query"), F.col("doc_id").alias("item"), rating.alias("rating"), F.lit(at).alias("rated_at"))
+    path = shared_path(spark)
+    logs.append_judgments(log(2 * F.col("quality") - F.col("toxic"), 1), path)
+    logs.append_judgments(log(-F.col("toxic"), 2).where("item % 4 = 0"), path)
+    return logs.judgments(spark, path, rows.select(F.col("doc_id") % 3).where("`(doc_id % 3)` <> 2"))
 
 
 @query("SELECT conv_id AS k, arg_max(text, turn) AS v FROM conversations GROUP BY 1")
 def compact_kv_log(spark, sf):
-    return read_table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("k")).agg(F.max_by("text", "turn").alias("v"))
+    """A log of JSON lines, some of them cut off in the middle."""
+    rows = read_table(spark, sf, "conversations")
+    line = F.to_json(F.struct(F.col("conv_id").alias("k"), F.col("text").alias("v"), F.col("turn").cast("long").alias("ts")))
+    path = shared_path(spark)
+    cut = rows.where("turn % 3 = 0").select(F.substring(line, F.lit(1), (F.length(line) / 2).cast("int")).alias("value"))
+    rows.select(line.alias("value")).unionByName(cut).write.text(path)
+    return logs.compact_lines(spark, path, rows.schema["conv_id"].dataType.simpleString())
 
 
 @query("""SELECT count(*) AS n, avg((2 * quality = 2 * (1 - toxic))::INT) AS exact, avg((abs(2 * quality - 2 * (1 - toxic)) <= 1)::INT) AS within_one, avg((abs(2 * quality - 2 * (1 - toxic)) >= 2)::INT) AS opposite FROM labels""")

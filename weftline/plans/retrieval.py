@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import core, models, ranking
+from ..operators import core, metrics, models, ranking
 from ..sources.scratch import materialise
 from ..sources.tables import interactions, items, read_table
 from .registry import query
@@ -57,10 +57,13 @@ def recommend_item_knn(spark, sf):
     return models.recommend(scores, interactions(spark, sf)).select("user_id", "item_id", "rank")
 
 
-@query(f"WITH {KNN}{NEW} SELECT user_id, count(*) AS n FROM fresh GROUP BY 1")
+@query(f"WITH {KNN}{NEW} SELECT user_id, item_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM fresh WHERE item_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 40)) WHERE rank <= 20")
 def exclude_history(spark, sf):
-    seen = interactions(spark, sf).select("user_id", "item_id")
-    return _scores(spark, sf).join(seen, ["user_id", "item_id"], "left_anti").groupBy("user_id").agg(F.count("*").alias("n"))
+    """The best twenty that are neither in the user's history nor blocked, here items after 2010."""
+    inter = interactions(spark, sf)
+    blocked = items(spark, sf).where("year > 2010").select("item_id")
+    scores = _scores(spark, sf).withColumn("score", F.round("score", 9)).join(inter.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").join(blocked, "item_id", "left_anti")
+    return core.top(scores, ["user_id"], 20, F.desc("score"), "item_id").select("user_id", "item_id", "rank")
 
 
 @query(f"WITH {BRIDGE} SELECT movie, game, c FROM mg")
@@ -82,9 +85,10 @@ def pair_lift(spark, sf):
     return models.pair_lift(_likes(spark, sf), 2, 25)
 
 
-@query(f"WITH {LIKES} SELECT item_id, ln(1 + p) AS score FROM pop")
+@query(f"WITH {LIKES}, {{T}} SELECT item_id, ln(1 + coalesce(p, 0)) + 0.5 * len(list_intersect(genres, ['PROMO BRUSHED TIN', 'SMALL PLATED COPPER', 'ECONOMY ANODIZED STEEL'])) AS score FROM items LEFT JOIN pop USING (item_id)")
 def popularity_scores(spark, sf):
-    return _likes(spark, sf).groupBy("item_id").agg(F.log1p(F.count("*").cast("double")).alias("score"))
+    """Popularity, and half a point for each theme that a new user asks for and the item has."""
+    return models.popularity(_likes(spark, sf), items(spark, sf), ["PROMO BRUSHED TIN", "SMALL PLATED COPPER", "ECONOMY ANODIZED STEEL"])
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,10 +122,10 @@ def semantic_scores(spark, sf):
     return s.groupBy("user_id").agg(F.count_if(F.round("score", 6) > 0.3).alias("close"))
 
 
-@query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0")
+@query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0")
 def dense_score(spark, sf):
     v = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
-    left = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("i"), F.col("embedding").alias("a")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    left = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("i"), F.col("embedding").alias("a")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
     right = v.select(F.col("vec_id").alias("j"), F.col("embedding").alias("b"), F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int").alias("block"))
     return left.join(right, "block").select("i", "j", F.round(core.dot(F.col("a"), F.col("b")), 6).alias("score"))
 
@@ -266,10 +270,10 @@ def domain_quota(spark, sf):
     return ranking.domain_quota(rows, share, 10).select("user_id", "item_id", "rank")
 
 
-@query("WITH {I}, {T}, w AS (SELECT DISTINCT user_id, genres[1] AS g FROM inter JOIN items USING (item_id) WHERE rating >= 5 AND user_id % 10 = 0) SELECT user_id, item_id, count(*) AS n_match FROM w JOIN items ON list_contains(genres, g) GROUP BY 1, 2")
+@query("WITH {I}, {T}, w AS (SELECT DISTINCT user_id, genres[1] AS g FROM inter JOIN items USING (item_id) WHERE rating >= 5) SELECT user_id, item_id, count(*) AS n_match FROM w JOIN items ON list_contains(genres, g) GROUP BY 1, 2")
 def theme_match(spark, sf):
     it = items(spark, sf)
-    wanted = interactions(spark, sf).where("rating >= 5 and user_id % 10 = 0").join(it.select("item_id", F.explode("genres").alias("g")), "item_id").select("user_id", "g").distinct()
+    wanted = interactions(spark, sf).where("rating >= 5").join(it.select("item_id", F.explode("genres").alias("g")), "item_id").select("user_id", "g").distinct()
     return wanted.join(it.select("item_id", F.explode("genres").alias("g")), "g").groupBy("user_id", "item_id").agg(F.count("*").alias("n_match"))
 
 
@@ -336,23 +340,40 @@ def feature_importance(spark, sf):
     return sd.unpivot([], features, "feature", "spread").join(F.broadcast(spark.createDataFrame([(f, float(x)) for f, x in zip(features, w, strict=True)], "feature string, weight double")), "feature").select("feature", "weight", F.abs(F.col("weight") * F.col("spread")).alias("importance"))
 
 
+def _cross_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of training histories with labels; hold-out users are asked for the domain that they have no history in."""
+    from .evaluation import _train
+
+    inter = interactions(spark, sf)
+    train = materialise(inter.join(_train(spark, sf).select("user_id", "item_id"), ["user_id", "item_id"], "left_semi"))
+    hidden = metrics.holdout_groups(inter).select("user_id", F.when(F.col("grp") % 2 == 0, "game").otherwise("movie").alias("asked"))
+    scores = models.score(models.signed_history(train), models.item_knn(core.positives(train))).where("abs(score) > 1e-12").join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    scores = scores.join(items(spark, sf).select("item_id", "domain"), "item_id").join(hidden, "user_id", "left").where("asked is null or domain = asked")
+    own = train.groupBy("user_id", "domain").agg(F.count("*").cast("double").alias("n_hist_same"))
+    pop = core.positives(train).groupBy("item_id").agg(F.log1p(F.count("*").cast("double")).alias("log_popularity"))
+    hit = core.positives(inter).join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").select("user_id", "item_id").withColumn("label", F.lit(1))
+    best = core.top(scores, ["user_id"], 50, F.desc("score"), "item_id")
+    rows = best.join(own, ["user_id", "domain"], "left").join(pop, "item_id", "left").join(hit, ["user_id", "item_id"], "left").na.fill(0, ["n_hist_same", "log_popularity", "label"])
+    return rows.select("user_id", "item_id", "score", "log_popularity", F.log1p(F.col("rank").cast("double")).alias("log_rank"), "n_hist_same", "label")
+
+
 @query()
 def routed_rank(spark, sf):
-    """Queries with little popularity in their candidates go to a model of their own."""
-    rows = materialise(_labelled(spark, sf).withColumn("route", F.col("user_id") % 2))
-    features = ["score", "log_popularity", "log_rank"]
-    out = None
-    for route in (0, 1):
-        own = rows.where(F.col("route") == route)
-        w = ranking.pairwise_ranker(own, features).coefficients.toArray()
-        one = core.top(own.withColumn("ranked", ranking.linear_score(features, list(w))), ["user_id"], 10, F.desc("ranked"), "item_id")
-        out = one if out is None else out.unionByName(one)
-    return out.select("user_id", "item_id", "route", "rank")
+    """Queries whose candidates all lie in a domain without history go to a model fitted on such queries, others to the main one."""
+    rows = materialise(ranking.routed(_cross_cases(spark, sf)))
+    return ranking.routed_rank(rows, ["score", "log_popularity", "log_rank"], 10).select("user_id", "item_id", "route", "rank")
+
+
+@query()
+def train_report(spark, sf):
+    """What the ranker is fitted on: rows, queries, the share of relevant rows."""
+    rows = _labelled(spark, sf)
+    return rows.agg(F.count("*").cast("double").alias("rows"), F.countDistinct("user_id").cast("double").alias("queries"), F.avg("label").alias("positive_rate")).unpivot([], ["rows", "queries", "positive_rate"], "metric", "value")
 
 
 def _diverse(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    rows = _fused(spark, sf).join(v, "item_id").join(items(spark, sf).select("item_id", "creator", "domain"), "item_id")
+    rows = _fused(spark, sf).join(v, "item_id", "left").join(items(spark, sf).select("item_id", "creator", "domain"), "item_id")
     return rows.select("user_id", "item_id", "domain", "score", "creator", "v")
 
 
@@ -363,15 +384,35 @@ def mmr_diversify(spark, sf):
 
 @query()
 def quota_lists(spark, sf):
-    rows = _diverse(spark, sf)
-    out = None
-    for d in core.DOMAINS:
-        one = ranking.mmr(rows.where(F.col("domain") == d), 3).withColumn("domain", F.lit(d))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Diverse lists of each domain, of which each user gets as many as the shares of the domains in the history say."""
+    share = interactions(spark, sf).groupBy("user_id").agg(F.avg((F.col("domain") == "movie").cast("int")).alias("movie_share"))
+    return ranking.quota_lists(materialise(_diverse(spark, sf)), share, 10)
+
+
+def _live(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of whole histories with the ranker's features."""
+    inter = interactions(spark, sf)
+    pop = core.positives(inter).groupBy("item_id").agg(F.log1p(F.count("*").cast("double")).alias("log_popularity"))
+    new = _scores(spark, sf).join(inter.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    best = core.top(new, ["user_id"], 50, F.desc("score"), "item_id").join(pop, "item_id", "left").na.fill(0, ["log_popularity"])
+    return best.select("user_id", "item_id", "score", "log_popularity", F.log1p(F.col("rank").cast("double")).alias("log_rank"))
 
 
 @query()
 def recommend_batch(spark, sf):
-    rows = ranking.taste_blend(_diverse(spark, sf).withColumn("sim", F.col("score")), 0.5).drop("score", "sim").withColumnRenamed("blended", "score")
-    return ranking.mmr(rows, 10)
+    """Ten items for every user: candidates, ranker, blend with the taste vector, diverse lists by quota, and for each item
+    the liked title that most people like with it."""
+    features = ["score", "log_popularity", "log_rank"]
+    inter, it = interactions(spark, sf), items(spark, sf)
+    weights = list(ranking.pairwise_ranker(materialise(_labelled(spark, sf)), features).coefficients.toArray())
+    history, vectors = models.signed_history(inter), _vectors(spark, sf)
+    taste = models.profiles(history, vectors).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("p"))
+    rows = _live(spark, sf).withColumn("score", ranking.linear_score(features, weights)).join(it.select("item_id", "domain", "creator"), "item_id").join(vectors, "item_id", "left").join(taste, "user_id", "left")
+    rows = rows.withColumn("sim", F.coalesce(core.dot(F.col("p"), F.col("v")), F.lit(0.0))).drop("p")
+    blended = materialise(ranking.taste_blend(rows, 0.5).drop("score", "sim").withColumnRenamed("blended", "score"))
+    share = inter.groupBy("user_id").agg(F.avg((F.col("domain") == "movie").cast("int")).alias("movie_share"))
+    lists = materialise(ranking.quota_lists(blended, share, 10))
+    liked = history.where("weight > 0").select("user_id", F.col("item_id").alias("anchor"))
+    pairs = lists.select("user_id", "item_id").join(liked, "user_id").join(models.cooccurrence(core.positives(inter)), (F.col("anchor") == F.col("i")) & (F.col("item_id") == F.col("j")))
+    why = core.latest(pairs, ["user_id", "item_id"], F.desc("c"), "anchor").select("user_id", "item_id", "anchor", F.col("c").alias("liked_together"))
+    return lists.join(why, ["user_id", "item_id"], "left").select("user_id", "item_id", "domain", "rank", "anchor", "liked_together")

@@ -11,14 +11,14 @@ from ..sources.tables import interactions, items, read_table
 from .registry import query
 from .retrieval import CO, HIST
 
-EXPL = f"""{CO}{HIST}, rec AS (SELECT user_id, j AS item_id, i AS anchor, c, weight FROM hist JOIN co ON item_id = i WHERE weight > 0 AND user_id % 20 = 0),
+EXPL = f"""{CO}{HIST}, rec AS (SELECT user_id, j AS item_id, i AS anchor, c, weight FROM hist JOIN co ON item_id = i WHERE weight > 0),
 ev AS (SELECT user_id, item_id, max(c) AS best_colikes, count(*) AS n_anchors FROM rec GROUP BY 1, 2)"""
 
 
 def _evidence(spark, sf):
     inter = interactions(spark, sf)
     co = models.cooccurrence(core.positives(inter))
-    hist = models.signed_history(inter).where("weight > 0 and user_id % 20 = 0")
+    hist = models.signed_history(inter).where("weight > 0")
     return hist.join(co, F.col("item_id") == F.col("i")).select("user_id", F.col("j").alias("item_id"), F.col("i").alias("anchor"), "c")
 
 
@@ -39,13 +39,13 @@ def evidence_summary(spark, sf):
     return ev.select("user_id", "item_id", text.alias("summary"))
 
 
-UNI = """WITH {I}, {T}, lk AS (SELECT user_id, item_id FROM inter WHERE rating >= 5 AND user_id % 20 = 0), l AS (SELECT lk.user_id, b.item_id, b.title, min(lk.item_id) AS via FROM lk JOIN items a USING (item_id) JOIN items b ON a.title = b.title AND a.domain <> b.domain GROUP BY 1, 2, 3)"""
+UNI = """WITH {I}, {T}, lk AS (SELECT user_id, item_id FROM inter WHERE rating >= 5), l AS (SELECT lk.user_id, b.item_id, b.title, min(lk.item_id) AS via FROM lk JOIN items a USING (item_id) JOIN items b ON a.title = b.title AND a.domain <> b.domain GROUP BY 1, 2, 3)"""
 
 
 @query(UNI + " SELECT user_id, title, item_id, via FROM (SELECT *, row_number() OVER (PARTITION BY user_id, title ORDER BY item_id) AS r FROM l) WHERE r = 1")
 def same_universe(spark, sf):
     it = items(spark, sf)
-    liked = interactions(spark, sf).where("rating >= 5 and user_id % 20 = 0").select("user_id", "item_id").join(it.select("item_id", "title", "domain"), "item_id")
+    liked = interactions(spark, sf).where("rating >= 5").select("user_id", "item_id").join(it.select("item_id", "title", "domain"), "item_id")
     other = it.select(F.col("item_id").alias("dst"), "title", F.col("domain").alias("d2"))
     links = liked.join(other, "title").where("domain <> d2").groupBy("user_id", "title", "dst").agg(F.min("item_id").alias("via"))
     return core.top(links, ["user_id", "title"], 1, "dst").select("user_id", "title", F.col("dst").alias("item_id"), "via")
@@ -66,11 +66,11 @@ def expand_profile(spark, sf):
     return rows.groupBy("user_id", F.coalesce("alt", "item_id").alias("item_id")).agg(F.max(rating).alias("rating"))
 
 
-@query("""WITH s AS (SELECT a.vec_id AS new_id, b.vec_id AS item_id, a.label = b.label AS family, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 25 = 0)
+@query("""WITH s AS (SELECT a.vec_id AS new_id, b.vec_id AS item_id, a.label = b.label AS family, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0)
 SELECT new_id, item_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY family DESC, sim DESC, item_id) AS rank FROM s) WHERE rank <= 2""")
 def stand_ins(spark, sf):
     v = read_table(spark, sf, "embeddings")
-    new = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("new_id"), F.col("embedding").alias("a"), F.col("label").alias("la")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    new = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("new_id"), F.col("embedding").alias("a"), F.col("label").alias("la")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
     old = v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("b"), F.col("label").alias("lb"), F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int").alias("block"))
     pairs = new.join(old, "block").where("new_id <> item_id").withColumn("sim", F.round(core.dot(F.col("a"), F.col("b")), 6))
     return core.top(pairs, ["new_id"], 2, F.desc(F.col("la") == F.col("lb")), F.desc("sim"), "item_id").select("new_id", "item_id", "rank")

@@ -92,3 +92,8 @@ def stream_new_titles(spark, sf):
     """Each micro-batch lands as rows; the newest of each key is what a reader sees."""
     landed = jobs.replay(jobs.events(spark, sf).select("user_id", "event_id", "ts"), "append")
     return core.latest(materialise(landed), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id")
+
+
+@query(_WIN.format(agg="count(*) / 900.0 AS rate", n=3, slide=300) + " HAVING event_type IN ('click', 'purchase')")
+def stream_feedback_rate(spark, sf):
+    return jobs.replay(jobs.feedback_rate(jobs.events(spark, sf)), "complete")

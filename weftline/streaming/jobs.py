@@ -51,6 +51,12 @@ def source_mix(ev: DataFrame) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n")).select(F.unix_seconds("w.start").alias("start"), "event_type", "n")
 
 
+def feedback_rate(ev: DataFrame) -> DataFrame:
+    """Feedback a second by event: clicks and purchases."""
+    rows, by = windowed(ev.where(F.col("event_type").isin("click", "purchase")), "15 minutes", "5 minutes", "event_type")
+    return rows.groupBy(*by).agg((F.count("*") / 900.0).alias("rate")).select(F.unix_seconds("w.start").alias("start"), "event_type", "rate")
+
+
 def coldstart_unknown(ev: DataFrame, known: int) -> DataFrame:
     rows, by = windowed(ev, "1 day", "1 day")
     return rows.groupBy(*by).agg(F.count_if(F.col("event_type") == "signup").alias("cold_starts"), F.count_if(F.col("item") >= known).alias("unknown_items")).select(F.unix_seconds("w.start").alias("start"), "cold_starts", "unknown_items")
