@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
 from . import core
 
 
@@ -132,33 +134,69 @@ def tf_idf(docs: DataFrame, stop: list[str], min_df: int = 2, max_df: float = 0.
     rows = docs.select("doc_id", kept.alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
     tf = rows.select("doc_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = materialise(tf)  # texts are cut once
     n = docs.agg(F.count("*").alias("n"))  # one row
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
     raw = tf.join(df, "term").select("doc_id", "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    length = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return raw.join(length, "doc_id").select("doc_id", "term", (F.col("w") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("doc_id")))
+    return raw.select("doc_id", "term", (F.col("w") / length).alias("weight"))
 
 
-def profiles(history: DataFrame, vectors: DataFrame, half_life: float = 20.0) -> DataFrame:
+def profiles(history: DataFrame, vectors: DataFrame, half_life: float = 20.0, liked_only: bool = False) -> DataFrame:
     """``(user_id, dim, x)``: decayed signed sum of the history's vectors, of length 1."""
     last = W.partitionBy("user_id").orderBy(F.desc("timestamp"), F.desc("item_id"))
     decayed = history.withColumn("a", F.col("weight") * F.pow(F.lit(0.5), (F.row_number().over(last) - 1) / half_life))
-    cells = decayed.join(vectors, "item_id").select("user_id", "a", F.posexplode("v").alias("dim", "c"))
+    cells = (decayed.where("weight > 0") if liked_only else decayed).join(vectors, "item_id").select("user_id", "a", F.posexplode("v").alias("dim", "c"))
     sums = cells.groupBy("user_id", "dim").agg(F.sum(F.col("a") * F.col("c")).alias("x"))
     length = sums.groupBy("user_id").agg(F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(1e-12)).alias("l"))
     return sums.join(length, "user_id").select("user_id", "dim", (F.col("x") / F.col("l")).alias("x"))
 
 
-def vector_scores(users: DataFrame, vectors: DataFrame, blocks: int = 16) -> DataFrame:
-    """``(user_id, item_id, score)``: every profile against every vector.
+#: Users and items of a block of the product of profiles and vectors.
+BLOCK_USERS, BLOCK_ITEMS = 16_384, 8_192
 
-    Profiles become one array each; items are cut into blocks by id, so a task holds one block of items and one part of the
-    users whatever their numbers.
+
+def best_by_vector(users: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """``user_id, item_id, score, rank``: the ``k`` items with the largest product with each profile, to nine decimals, ties by id.
+
+    Users and items are cut into blocks by hash. Each pair of blocks is one group, which multiplies a slice of users with
+    the block's items and passes on ``k`` of them for each user.
     """
-    arrays = users.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("u"))
-    left = arrays.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = vectors.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
-    return left.join(right, "block").select("user_id", "item_id", core.dot(F.col("u"), F.col("v")).alias("score"))
+    arrays = users.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("v"))
+    left, right = arrays.select(F.col("user_id").cast("long").alias("id"), F.col("v").cast("array<double>")), vectors.select(F.col("item_id").cast("long").alias("id"), F.col("v").cast("array<double>"))
+    left, right = materialise(left.where("v is not null")), materialise(right.where("v is not null"))
+    parts, blocks = max(1, -(-left.count() // BLOCK_USERS)), max(1, -(-right.count() // BLOCK_ITEMS))
+    cut = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = left.select("id", "v", cut(parts).alias("part"), each(blocks).alias("block"), F.lit(True).alias("asks")).unionByName(
+        right.select("id", "v", each(parts).alias("part"), cut(blocks).alias("block"), F.lit(False).alias("asks")))
+    kinds = users.schema["user_id"].dataType.simpleString(), vectors.schema["item_id"].dataType.simpleString()
+
+    def search(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        ids = table.column("id").combine_chunks()
+        v = table.column("v").combine_chunks()
+        own, other = (pa.array(np.flatnonzero(x)) for x in (asks, ~asks))
+        if not len(own) or not len(other):
+            return pa.table({"user_id": ids[:0], "item_id": ids[:0], "score": pa.array([], pa.float64())})
+        whole = lambda rows: v.take(rows).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        names = ids.take(other).to_numpy(zero_copy_only=False)
+        order = np.argsort(names, kind="stable")
+        u, x = whole(own), whole(other)[order]
+        at, found, scores = [], [], []
+        for begin in range(0, len(u), 512):
+            s = np.round(u[begin : begin + 512] @ x.T, 9)
+            # A stable sort keeps the order of the ids among equal scores.
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            at.append(np.repeat(np.arange(begin, begin + len(s)), best.shape[1]))
+            found.append(best.ravel())
+            scores.append(np.take_along_axis(s, best, 1).ravel())
+        at, found, scores = map(np.concatenate, (at, found, scores))
+        return pa.table({"user_id": ids.take(own).take(pa.array(at)), "item_id": pa.array(names[order][found]), "score": pa.array(scores)})
+
+    near = rows.groupBy("part", "block").applyInArrow(search, "user_id long, item_id long, score double")
+    near = near.select(F.col("user_id").cast(kinds[0]), F.col("item_id").cast(kinds[1]), "score")
+    return core.top(near, ["user_id"], k, F.desc("score"), "item_id")
 
 
 def two_tower_examples(likes: DataFrame, negatives: int = 4, window: int = 50) -> DataFrame:
@@ -182,6 +220,10 @@ def two_tower_examples(likes: DataFrame, negatives: int = 4, window: int = 50) -
     return target.join(context, "user_id").join(drawn, "user_id").select("user_id", "target", "context", "negatives")
 
 
+#: Examples that one task learns from in an epoch, about.
+PART_EXAMPLES = 20_000
+
+
 def two_tower_fit(examples: DataFrame, dims: int = 16, epochs: int = 3, rate: float = 0.1, seed: int = 7) -> DataFrame:
     """``(item_id, vector)``: item vectors by data-parallel gradient steps with averaging.
 
@@ -192,7 +234,7 @@ def two_tower_fit(examples: DataFrame, dims: int = 16, epochs: int = 3, rate: fl
     start = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (F.pmod(F.xxhash64(F.lit(seed), F.col("item_id"), d), F.lit(1 << 20)) / float(1 << 19) - 1) * 0.1)
     vectors = used.select("item_id", start.alias("vector"))
     kind = examples.schema["target"].dataType.simpleString()
-    parts = examples.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(8)).cast("int"))
+    parts = examples.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(max(8, -(-examples.count() // PART_EXAMPLES)))).cast("int"))
 
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf[pdf["vector"].notna()]
@@ -214,7 +256,5 @@ def two_tower_fit(examples: DataFrame, dims: int = 16, epochs: int = 3, rate: fl
         rows = parts.select("part", "user_id", "target", "context", "negatives").unionByName(need, allowMissingColumns=True)
         local = rows.groupBy("part").applyInPandas(steps, f"item_id {kind}, vector array<double>")
         mean = local.select("item_id", F.posexplode("vector").alias("d", "x")).groupBy("item_id", "d").agg(F.avg("x").alias("x"))
-        from ..sources.scratch import materialise
-
         vectors = materialise(mean.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vector")))
     return vectors

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import core, metrics
+from ..operators import core, metrics, models, tasks
+from ..sources.scratch import materialise
 from ..sources.tables import interactions, items, read_table
 from .registry import query
 
@@ -124,13 +125,22 @@ def leakage_check(spark, sf):
     return hidden.crossJoin(F.broadcast(both))  # one row each
 
 
-@query(f"""WITH {GROUPS} SELECT 'movie_to_game' AS task, user_id, count(*) FILTER (domain = 'movie') AS n_history, count(*) FILTER (domain = 'game' AND rating >= 4) AS n_relevant FROM inter JOIN grp USING (user_id) WHERE grp % 2 = 0 GROUP BY 2
-UNION ALL SELECT 'game_to_movie', user_id, count(*) FILTER (domain = 'game'), count(*) FILTER (domain = 'movie' AND rating >= 4) FROM inter JOIN grp USING (user_id) WHERE grp % 2 = 1 GROUP BY 2""")
+CASES = GROUPS + """, parts AS (SELECT *, CASE WHEN n < 5 THEN 'train' WHEN pos >= n - greatest(1, round_even(n * 0.2, 0)::INT) THEN 'test' ELSE 'train' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, item_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM inter) WHERE user_id NOT IN (SELECT user_id FROM grp)),
+old AS (SELECT * FROM parts WHERE part = 'train'), fut AS (SELECT * FROM parts WHERE part = 'test' AND rating >= 4), two AS (SELECT user_id FROM old WHERE rating >= 4 GROUP BY 1 HAVING count(DISTINCT domain) = 2),
+x AS (SELECT inter.*, CASE WHEN grp % 2 = 0 THEN 'movie' ELSE 'game' END AS src FROM inter JOIN grp USING (user_id) WHERE grp IN (2, 3)),
+h AS (SELECT 'within_' || domain AS task, user_id, item_id, rating, true AS shown FROM old UNION ALL SELECT 'mixed', user_id, item_id, rating, true FROM old WHERE user_id IN (SELECT user_id FROM two) UNION ALL SELECT 'cold_start', user_id, item_id, rating, false FROM old
+ UNION ALL SELECT src || '_to_' || CASE src WHEN 'movie' THEN 'game' ELSE 'movie' END, user_id, item_id, rating, true FROM x WHERE domain = src),
+r AS (SELECT 'within_' || domain AS task, user_id, item_id FROM fut UNION ALL SELECT 'mixed', user_id, item_id FROM fut WHERE user_id IN (SELECT user_id FROM two) UNION ALL SELECT 'cold_start', user_id, item_id FROM fut UNION ALL SELECT src || '_to_' || domain, user_id, item_id FROM x WHERE domain <> src AND rating >= 4)"""
+
+
+@query(f"""WITH {CASES}, a AS (SELECT task, user_id, count(*) FILTER (shown) AS n_history, count(*) AS n_seen, count(*) FILTER (rating >= 4) AS liked FROM h GROUP BY 1, 2), b AS (SELECT task, user_id, count(*) AS n_relevant FROM r GROUP BY 1, 2)
+SELECT task, user_id, n_history, n_seen, n_relevant FROM a JOIN b USING (task, user_id) WHERE liked > 0""")
 def eval_cases(spark, sf):
-    rows = interactions(spark, sf).join(metrics.holdout_groups(interactions(spark, sf)), "user_id")
-    seen = F.when(F.col("grp") % 2 == 0, "movie").otherwise("game")
-    return rows.groupBy(F.when(F.col("grp") % 2 == 0, "movie_to_game").otherwise("game_to_movie").alias("task"), "user_id").agg(
-        F.count_if(F.col("domain") == seen).alias("n_history"), F.count_if((F.col("domain") != seen) & (F.col("rating") >= 4)).alias("n_relevant"))
+    """Six tasks with their histories, seen and relevant items."""
+    history, relevant, seen = tasks.eval_tables(interactions(spark, sf))
+    key = ["task", "user_id"]
+    n = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
+    return n(seen, "n_seen").join(n(relevant, "n_relevant"), key).join(n(history, "n_history"), key, "left").na.fill(0, ["n_history"])
 
 
 SEG = """{I}, n AS (SELECT user_id, count(*) AS n, count(DISTINCT domain) AS d FROM inter GROUP BY 1), cut AS (SELECT quantile_cont(n, 0.75) AS c FROM n),
@@ -283,19 +293,39 @@ def error_cases(spark, sf):
     return ranked.join(users, "user_id", "left_semi").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda s: s["item_id"].cast("string")), ",").alias("recommended"))
 
 
-@query("""WITH {I}, p AS (SELECT item_id, count(*) FILTER (rating >= 4) AS n, md5('sys|' || item_id) AS h FROM inter GROUP BY 1),
-s AS (SELECT 'popular' AS system, item_id, row_number() OVER (ORDER BY n DESC, item_id) AS rank FROM p UNION ALL SELECT 'hash', item_id, row_number() OVER (ORDER BY h, item_id) FROM p),
-rel AS (SELECT user_id, item_id FROM inter WHERE rating >= 5), nu AS (SELECT count(DISTINCT user_id) AS n FROM rel)
-SELECT system, count(rel.user_id) / (SELECT n FROM nu) AS hits_per_user FROM (SELECT * FROM s WHERE rank <= 10) s LEFT JOIN rel USING (item_id) GROUP BY 1""")
+@query()
 def benchmark(spark, sf):
-    """Systems are functions that give (item_id, order): here two, scored by hits in the first ten."""
-    inter = interactions(spark, sf)
-    pop = core.item_stats(inter).select("item_id", "popularity")
-    systems = {"popular": F.desc("popularity"), "hash": F.md5(F.concat_ws("|", F.lit("sys"), F.col("item_id").cast("string")).cast("binary"))}
-    lists = None
-    for name, order in systems.items():
-        one = pop.orderBy(order, "item_id").limit(10).select(F.lit(name).alias("system"), "item_id")
-        lists = one if lists is None else lists.unionByName(one)
-    rel = inter.where("rating >= 5").select("user_id", "item_id")
-    n = rel.agg(F.countDistinct("user_id").alias("n"))  # one row
-    return lists.join(rel, "item_id", "left").groupBy("system").agg(F.count("user_id").alias("hits")).crossJoin(F.broadcast(n)).select("system", (F.col("hits") / F.col("n")).alias("hits_per_user"))
+    """Systems by task by segment: popularity, best rated, item-kNN, content, their fusion, and a random order by hash. Systems
+    that need a history have no lists for new users."""
+    inter, it = interactions(spark, sf), items(spark, sf)
+    train = materialise(inter.join(_train(spark, sf).select("user_id", "item_id"), ["user_id", "item_id"], "left_semi"))
+    cases = tuple(materialise(t) for t in tasks.eval_tables(inter, cap=200))
+    case = F.concat_ws("|", "task", F.col("user_id").cast("string"))
+    history = models.signed_history(cases[0].withColumn("user_id", case))
+    stats = core.item_stats(train).join(it.select("item_id", "domain"), "item_id")
+    mean = stats.agg(F.avg("rating_mean").alias("prior"))  # one row
+    stats = materialise(stats.crossJoin(F.broadcast(mean)).withColumn("bayes", (F.col("rating_mean") * F.col("rating_count") + 10 * F.col("prior")) / (F.col("rating_count") + 10)))
+
+    def fixed(order):
+        """The first hundred of each domain for everyone."""
+        best = F.broadcast(core.top(stats.withColumn("score", order), ["domain"], 100, F.desc("score"), "item_id").select("item_id", "score"))
+        return lambda asked: asked.select("case").crossJoin(best)
+
+    knn = materialise(core.top(models.score(history, models.item_knn(core.positives(train))).where("score > 0"), ["user_id"], 200, F.desc("score"), "item_id").select(F.col("user_id").alias("case"), "item_id", "score"))
+    vectors = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")).join(it.select("item_id"), "item_id", "left_semi")
+    numbered = materialise(history.select("user_id").distinct().select(F.col("user_id").alias("case"), F.xxhash64("user_id").alias("n")))
+    taste = models.profiles(history.join(numbered, F.col("user_id") == F.col("case")).drop("user_id", "case").withColumnRenamed("n", "user_id"), vectors)
+    content = materialise(models.best_by_vector(taste, vectors, 100).join(numbered, F.col("user_id") == F.col("n")).select("case", "item_id", "score"))
+    popular = fixed(F.log1p(F.col("popularity").cast("double")))
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("sys"), F.col("item_id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double")
+
+    def fused(asked):
+        ranks = None
+        for one in (popular(asked), knn, content):
+            r = core.ranked(one, ["case"], F.desc("score"), "item_id").select("case", "item_id", (1 / (60.0 + F.col("rank"))).alias("s"))
+            ranks = r if ranks is None else ranks.unionByName(r)
+        return ranks.groupBy("case", "item_id").agg(F.sum("s").alias("score"))
+
+    systems = {"popularity": popular, "best_rated": fixed(F.col("bayes")), "random": fixed(order), "item_knn": lambda asked: knn, "content": lambda asked: content, "fusion": fused}
+    seg = _segments(spark, sf).select("user_id", F.explode(F.array_compact(F.array("activity", F.when(F.col("bridge"), "bridge"), F.lit("all")))).alias("segment"))
+    return tasks.benchmark(systems, cases, it, seg)

@@ -108,18 +108,19 @@ def signed_vector_mean(spark, sf):
     return rows.where("dim < 4").select("user_id", (F.col("dim") + 1).alias("dim"), F.round("x", 5).alias("x"))
 
 
-@query(f"WITH {VEC}, s AS (SELECT user_id, v.item_id, round(sum(x * c), 4) AS score FROM prof JOIN v USING (dim) GROUP BY 1, 2) SELECT user_id, count(*) AS n, max(score) AS best FROM s GROUP BY 1")
+@query(f"WITH {VEC}, s AS (SELECT user_id, v.item_id, round(sum(x * c), 9) AS score FROM prof JOIN v USING (dim) GROUP BY 1, 2) SELECT user_id, item_id, rank::INTEGER AS rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 20")
 def content_scores(spark, sf):
     inter = interactions(spark, sf)
-    s = models.vector_scores(models.profiles(models.signed_history(inter), _vectors(spark, sf)), _vectors(spark, sf))
-    return s.groupBy("user_id").agg(F.count("*").alias("n"), F.max(F.round("score", 4)).alias("best"))
+    best = models.best_by_vector(models.profiles(models.signed_history(inter), _vectors(spark, sf)), _vectors(spark, sf), 20)
+    return best.select("user_id", "item_id", "rank", F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {VEC}, s AS (SELECT user_id, v.item_id, sum(x * c) AS score FROM prof JOIN v USING (dim) GROUP BY 1, 2) SELECT user_id, count(*) FILTER (score > 0.3) AS close FROM (SELECT user_id, item_id, round(score, 6) AS score FROM s) GROUP BY 1")
+@query(f"WITH {VEC.replace('FROM dec JOIN', 'FROM dec JOIN liked USING (user_id, item_id) JOIN')}, s AS (SELECT user_id, v.item_id, round(sum(x * c), 9) AS score FROM prof JOIN v USING (dim) GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s) SELECT user_id, item_id, rank::INTEGER AS rank FROM t WHERE rank <= 10 AND score > 0.3".replace("dec AS (", "liked AS (SELECT user_id, item_id FROM inter WHERE rating >= 4), dec AS ("))
 def semantic_scores(spark, sf):
+    """By sentence vectors of what a user likes: those that are close, ten at most."""
     inter = interactions(spark, sf)
-    s = models.vector_scores(models.profiles(models.signed_history(inter), _vectors(spark, sf)), _vectors(spark, sf))
-    return s.groupBy("user_id").agg(F.count_if(F.round("score", 6) > 0.3).alias("close"))
+    best = models.best_by_vector(models.profiles(models.signed_history(inter), _vectors(spark, sf), liked_only=True), _vectors(spark, sf), 10)
+    return best.where("score > 0.3").select("user_id", "item_id", "rank")
 
 
 @query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0")
@@ -189,8 +190,7 @@ def two_tower_fit(spark, sf):
 def two_tower_scores(spark, sf):
     inter = interactions(spark, sf)
     vectors = models.two_tower_fit(materialise(models.two_tower_examples(core.positives(inter))), epochs=1).withColumnRenamed("vector", "v")
-    s = models.vector_scores(models.profiles(models.signed_history(inter), vectors), vectors)
-    return core.top(s, ["user_id"], 10, F.desc("score"), "item_id")
+    return models.best_by_vector(models.profiles(models.signed_history(inter), vectors), vectors, 10).select("user_id", "item_id", "score", "rank")
 
 
 @query(f"""WITH {CO}, z AS (SELECT i, j, (sim - avg(sim) OVER w) / nullif(stddev_pop(sim) OVER w, 0) AS z FROM knn WINDOW w AS (PARTITION BY i))
@@ -222,7 +222,8 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.rrf(_candidates(spark, sf), ranking.source_ranks(_sources(spark, sf)), ["item_knn", "popularity"])
+    sources = materialise(_sources(spark, sf))  # read twice
+    return ranking.rrf(ranking.candidates(sources, interactions(spark, sf), 20), ranking.source_ranks(sources), ["item_knn", "popularity"])
 
 
 @query(f"WITH {SRC} SELECT user_id, item_id, array_to_string(sources, ',') AS sources FROM cand")
@@ -230,9 +231,9 @@ def candidates(spark, sf):
     return _candidates(spark, sf).withColumn("sources", F.array_join("sources", ","))
 
 
-@query(f"WITH {SRC} SELECT user_id, len(sources)::INTEGER AS n_sources, count(*) AS n FROM cand GROUP BY 1, 2")
+@query(f"WITH {SRC} SELECT user_id, item_id, len(sources)::INTEGER AS n_sources, sources[1] AS first_source FROM cand")
 def candidate_union(spark, sf):
-    return _candidates(spark, sf).groupBy("user_id", F.size("sources").alias("n_sources")).agg(F.count("*").alias("n"))
+    return _candidates(spark, sf).select("user_id", "item_id", F.size("sources").alias("n_sources"), F.element_at("sources", 1).alias("first_source"))
 
 
 @query(f"WITH {SRC} SELECT user_id, source, item_id, least(row_number() OVER (PARTITION BY user_id, source ORDER BY score DESC, item_id) - 1, 1000)::INTEGER AS rank FROM allsrc WHERE score <> 0")
@@ -270,11 +271,12 @@ def domain_quota(spark, sf):
     return ranking.domain_quota(rows, share, 10).select("user_id", "item_id", "rank")
 
 
-@query("WITH {I}, {T}, w AS (SELECT DISTINCT user_id, genres[1] AS g FROM inter JOIN items USING (item_id) WHERE rating >= 5) SELECT user_id, item_id, count(*) AS n_match FROM w JOIN items ON list_contains(genres, g) GROUP BY 1, 2")
+@query(f"WITH {SRC}, {{T}}, w AS (SELECT DISTINCT user_id, genres[1] AS g FROM inter JOIN items USING (item_id) WHERE rating >= 5) SELECT cand.user_id, cand.item_id, count(w.g) AS n_match FROM cand JOIN items USING (item_id) LEFT JOIN w ON w.user_id = cand.user_id AND list_contains(genres, g) GROUP BY 1, 2")
 def theme_match(spark, sf):
-    it = items(spark, sf)
-    wanted = interactions(spark, sf).where("rating >= 5").join(it.select("item_id", F.explode("genres").alias("g")), "item_id").select("user_id", "g").distinct()
-    return wanted.join(it.select("item_id", F.explode("genres").alias("g")), "g").groupBy("user_id", "item_id").agg(F.count("*").alias("n_match"))
+    """How many of the themes that a user asks for each candidate carries: here themes of what they rated best."""
+    it = items(spark, sf).select("item_id", F.explode(F.array_distinct("genres")).alias("g"))
+    wanted = interactions(spark, sf).where("rating >= 5").join(it, "item_id").select("user_id", "g").distinct().withColumn("hit", F.lit(1))
+    return _candidates(spark, sf).select("user_id", "item_id").join(it, "item_id", "left").join(wanted, ["user_id", "g"], "left").groupBy("user_id", "item_id").agg(F.count("hit").alias("n_match"))
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:

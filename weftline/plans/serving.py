@@ -58,12 +58,15 @@ def dedupe_works(spark, sf):
     return core.ranked(first, ["user_id"], F.desc("rating"), "item_id").select("user_id", "item_id", "rank")
 
 
-@query("WITH {I}, s AS (SELECT p_partkey AS item_id, p_partkey + 1 AS alt FROM part WHERE p_partkey % 11 = 0) SELECT user_id, coalesce(alt, item_id) AS item_id, max(CASE WHEN alt IS NULL THEN rating ELSE least(rating, 4) END) AS rating FROM inter LEFT JOIN s USING (item_id) GROUP BY 1, 2")
+@query("""WITH {I}, s AS (SELECT p_partkey AS item_id, p_partkey + 1 AS alt FROM part WHERE p_partkey % 11 = 0), k AS (SELECT user_id, item_id, rating FROM inter WHERE item_id NOT IN (SELECT item_id FROM s))
+SELECT * FROM k UNION ALL SELECT user_id, alt, max(least(rating, 4)) FROM inter JOIN s USING (item_id) WHERE (user_id, alt) NOT IN (SELECT (user_id, item_id) FROM k) GROUP BY 1, 2""")
 def expand_profile(spark, sf):
+    """New titles in a profile give way to their stand-ins, at most rated 4, unless these are there already."""
+    inter = interactions(spark, sf)
     s = items(spark, sf).where("item_id % 11 = 0").select("item_id", (F.col("item_id") + 1).alias("alt"))
-    rows = interactions(spark, sf).join(s, "item_id", "left")
-    rating = F.when(F.col("alt").isNull(), F.col("rating")).otherwise(F.least("rating", F.lit(4.0)))
-    return rows.groupBy("user_id", F.coalesce("alt", "item_id").alias("item_id")).agg(F.max(rating).alias("rating"))
+    kept = inter.join(s, "item_id", "left_anti").select("user_id", "item_id", "rating")
+    moved = inter.join(s, "item_id").groupBy("user_id", F.col("alt").alias("item_id")).agg(F.max(F.least("rating", F.lit(4.0))).alias("rating"))
+    return kept.unionByName(moved.join(kept, ["user_id", "item_id"], "left_anti").select("user_id", "item_id", "rating"))
 
 
 @query("""WITH s AS (SELECT a.vec_id AS new_id, b.vec_id AS item_id, a.label = b.label AS family, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0)
@@ -80,7 +83,7 @@ def stand_ins(spark, sf):
 def new_titles_for_profile(spark, sf):
     v = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
     profiles = models.profiles(models.signed_history(interactions(spark, sf)).where("weight > 0"), v)
-    return core.top(models.vector_scores(profiles, v, max(16, -(-v.count() // 4096))), ["user_id"], 5, F.desc("score"), "item_id")
+    return models.best_by_vector(profiles, v, 5)
 
 
 @query("SELECT vec_id AS item_id, len(embedding)::INTEGER AS width FROM embeddings")
