@@ -49,6 +49,18 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 1_500_00
             at = to
 
 
+#: Rows of a batch that Spark sends to a Python worker: texts of 3 KB make 3 MB, not the 30 MB of Spark's default.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The same table; its session sends rows to Python ``BATCH_ROWS`` at a time, unless another number than Spark's default is set."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -120,7 +132,7 @@ def keep_where(docs: DataFrame, text_col: str, accepts: Callable[[], Callable[[b
 
     ``accepts`` is called once in each task and gives the test, which takes the text as UTF-8 or null.
     """
-    at = docs.columns.index(text_col)
+    at = in_small_batches(docs).columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accepted = accepts()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_where, slices, utf8, with_ids, words
+from .common import in_small_batches, keep_where, slices, utf8, with_ids, words
 
 #: Window sets of up to so many bytes are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 64_000_000
@@ -107,7 +107,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     names = [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return docs.select(id_col, text_col).mapInArrow(scan, schema)
+    return in_small_batches(docs).select(id_col, text_col).mapInArrow(scan, schema)
 
 
 def _hits(keyed: DataFrame, gram: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import keep_where, slices, utf8
+from .common import in_small_batches, keep_where, slices, utf8
 
 #: Training sample: of each language, about so many snippets of so many characters, taken by hash of the id and text.
 SNIPPETS, SNIPPET_CHARS = 600, 600
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
 
     names = [id_col, "lang_pred", "score", "rejected"]
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    return in_small_batches(docs).select(id_col, text_col).mapInArrow(predict, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def drop_rejected(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

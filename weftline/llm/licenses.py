@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, utf8, words
+from .common import in_small_batches, slices, utf8, words
 
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -167,4 +167,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     names = [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(id_col, text_col).mapInArrow(scan, schema)
+    return in_small_batches(docs).select(id_col, text_col).mapInArrow(scan, schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Numbering, materialise, mix64, slices, spaced_words, utf8, with_ids
+from .common import BROADCAST_IDS, Numbering, in_small_batches, materialise, mix64, slices, spaced_words, utf8, with_ids
 from .components import components
 
 #: Minima of a signature, in bands of ROWS: a pair at similarity 0.8 shares no band with a chance of 5e-8.
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_shingles", "digest", "keys", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(sign, f"`{id_col}` {kind}, n_shingles long, digest binary, keys array<long>, sig binary")
+    return in_small_batches(docs).select(id_col, text_col).mapInArrow(sign, f"`{id_col}` {kind}, n_shingles long, digest binary, keys array<long>, sig binary")
 
 
 class Forest:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, slices, utf8
+from .common import in_small_batches, materialise, slices, utf8
 from .tokens import ByteBpe, load_vocabulary
 
 #: Rows that one window partition ranks, about: lengths are split into so many parts that this holds for the mean.
@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, size: int, vocabulary: str | None, end_id: int, id_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(encode, schema)
+    return in_small_batches(docs).select(id_col, text_col).mapInArrow(encode, schema)
 
 
 def pack(docs: DataFrame, size: int = 1024, vocabulary: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

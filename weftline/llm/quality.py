@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Numbering, materialise, mix64, slices, utf8, words
+from .common import BROADCAST_IDS, Numbering, in_small_batches, materialise, mix64, slices, utf8, words
 
 #: Texts above this quantile of the perplexities of trusted texts of their language are rejected.
 QUANTILE = 0.99
@@ -318,7 +318,7 @@ def _statistics(batches: Iterator[pa.RecordBatch], hot: np.ndarray, hot_pairs: n
 def perplexities(docs: DataFrame, trusted: DataFrame, keep_cols: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """``keep_cols`` and ``perplexity`` (by word) of each ``text`` under a model of all ``trusted`` texts; null for texts
     without words. Texts must be read from a table, so that a task that runs again sees the same rows."""
-    sc = docs.sparkSession.sparkContext
+    sc = in_small_batches(docs).sparkSession.sparkContext
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(SHARDS, math.ceil(size / SHARD_BYTES))
     hot, hot_pairs = frequent(docs)

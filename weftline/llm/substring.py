@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spread, materialise, slices, utf8, words
+from .common import in_small_batches, join_spread, materialise, slices, utf8, words
 
 #: Adjacent repeated units go if they hold so many words together. A passage of 50 words that begins and ends inside a
 #: sentence holds about as many in its whole sentences.
@@ -52,7 +52,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "row_key", "unit", "n_words", "digest"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(id_col, text_col, F.xxhash64(text_col))
+    keyed = in_small_batches(docs).select(id_col, text_col, F.xxhash64(text_col))
     return keyed.mapInArrow(cut, f"`{id_col}` {kind}, row_key long, unit int, n_words int, digest binary")
 
 

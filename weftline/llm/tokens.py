@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, utf8
+from .common import in_small_batches, slices, utf8
 
 # The split patterns of this public vocabulary family. LIGHT differs only where white space meets white space.
 FULL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -165,4 +165,4 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, rule: str = "st
     names = [id_col, "section", "start", "end", "n_tokens", "n_crossing", "doc_tokens"]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, section int, start long, end long, n_tokens long, n_crossing long, doc_tokens long"
-    return docs.select(id_col, text_col).mapInArrow(count, schema)
+    return in_small_batches(docs).select(id_col, text_col).mapInArrow(count, schema)
