@@ -5,38 +5,53 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import core, models
+from ..operators import explain as explaining
 from ..operators.publish import load_version, publish_version
 from ..sources.scratch import shared_path
 from ..sources.tables import interactions, items, read_table
 from .registry import query
-from .retrieval import CO, HIST
-
-EXPL = f"""{CO}{HIST}, rec AS (SELECT user_id, j AS item_id, i AS anchor, c, weight FROM hist JOIN co ON item_id = i WHERE weight > 0),
-ev AS (SELECT user_id, item_id, max(c) AS best_colikes, count(*) AS n_anchors FROM rec GROUP BY 1, 2)"""
+from .retrieval import KNN, NEW, recommend_item_knn
+
+EVIDENCE = f"""WITH {KNN}{NEW}, {{T}}, rec AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, item_id) AS r FROM fresh) WHERE r <= 10),
+tt AS (SELECT item_id, unnest(string_split(genres[1] || ' ' || title, ' ')) AS theme, generate_subscripts(string_split(genres[1] || ' ' || title, ' '), 1) AS pos FROM items),
+df AS (SELECT theme, count(DISTINCT item_id) / (SELECT count(*) FROM items) AS share FROM tt GROUP BY 1),
+pr AS (SELECT user_id, theme, count(*) AS n FROM hist JOIN tt USING (item_id) WHERE weight > 0 AND pos <= 4 GROUP BY 1, 2),
+six AS (SELECT user_id, theme FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, theme) AS r FROM pr) WHERE r <= 6), n6 AS (SELECT user_id, count(*) AS n6 FROM six GROUP BY 1),
+bad AS (SELECT DISTINCT user_id, theme FROM hist JOIN tt USING (item_id) WHERE weight < 0 AND pos <= 3),
+own AS (SELECT rec.user_id, rec.item_id, t.theme, share, pr.theme IS NOT NULL AS known, six.theme IS NOT NULL AS main, bad.theme IS NOT NULL AS low FROM rec JOIN (SELECT DISTINCT item_id, theme FROM tt) t USING (item_id)
+ JOIN df ON df.theme = t.theme LEFT JOIN pr ON pr.user_id = rec.user_id AND pr.theme = t.theme LEFT JOIN six ON six.user_id = rec.user_id AND six.theme = t.theme LEFT JOIN bad ON bad.user_id = rec.user_id AND bad.theme = t.theme),
+tags AS (SELECT user_id, item_id, coalesce(list({{'share': share, 'theme': theme}} ORDER BY share, theme) FILTER (known), [])[1:5] AS rare,
+ coalesce(list(theme ORDER BY theme) FILTER (low), []) AS disliked, CASE WHEN any_value(coalesce(n6, 0)) = 0 THEN 0 ELSE round(count(*) FILTER (main) / (count(*) + any_value(n6) - count(*) FILTER (main)), 3) END AS overlap FROM own LEFT JOIN n6 USING (user_id) GROUP BY 1, 2),
+u AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings),
+facts AS (SELECT rec.user_id, rec.item_id, h.item_id AS anchor, coalesce(c, 0) AS co, CASE WHEN a.l > 0 AND b.l > 0 THEN round(list_dot_product(a.v, b.v) / (a.l * b.l), 6) ELSE 0 END AS sim FROM rec JOIN hist h ON h.user_id = rec.user_id AND weight > 0
+ LEFT JOIN co ON i = h.item_id AND j = rec.item_id LEFT JOIN u a ON a.item_id = rec.item_id LEFT JOIN u b ON b.item_id = h.item_id),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY round(ln(1 + co) + 2 * sim, 6) DESC, anchor) AS r FROM facts),
+best AS (SELECT user_id, item_id, max(co) AS co_likes, max(sim) AS similarity, string_agg(anchor::VARCHAR, ',' ORDER BY r) FILTER (r <= 3) AS anchors, arg_max(r, (co, -r)) FILTER (r <= 3) AS rc, arg_max(r, (sim, -r)) FILTER (r <= 3) AS rs,
+ max(co) FILTER (r <= 3) AS tc, max(sim) FILTER (r <= 3) AS ts FROM f GROUP BY 1, 2)"""
 
 
 def _evidence(spark, sf):
-    inter = interactions(spark, sf)
-    co = models.cooccurrence(core.positives(inter))
-    hist = models.signed_history(inter).where("weight > 0")
-    return hist.join(co, F.col("item_id") == F.col("i")).select("user_id", F.col("j").alias("item_id"), F.col("i").alias("anchor"), "c")
+    """Evidence for the ten best of every user by item neighbours; themes are the words of an item's type and title."""
+    inter, it = interactions(spark, sf), items(spark, sf)
+    vectors = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
+    themes = it.select("item_id", F.split(F.concat_ws(" ", F.col("genres")[0], "title"), " ").alias("themes"))
+    return explaining.evidence(recommend_item_knn(spark, sf), models.signed_history(inter), themes, models.cooccurrence(core.positives(inter)), vectors, it)
 
 
-@query(f"WITH {EXPL}, a AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY c DESC, anchor) AS r FROM rec) SELECT ev.user_id, ev.item_id, best_colikes, n_anchors, string_agg(anchor::VARCHAR, ',' ORDER BY c DESC, anchor) AS anchors, CASE WHEN best_colikes >= 3 THEN 'high' WHEN n_anchors >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM ev JOIN a USING (user_id, item_id) WHERE r <= 3 GROUP BY 1, 2, 3, 4")
+@query(EVIDENCE + """ SELECT user_id, item_id, array_to_string(list_transform(rare, lambda x: x.theme), ',') AS shared, overlap::DOUBLE AS overlap, co_likes, similarity, anchors, array_to_string(disliked, ',') AS disliked,
+CASE WHEN (co_likes >= 20 OR similarity >= 0.6) AND len(rare) > 0 THEN 'high' WHEN co_likes >= 5 OR similarity >= 0.4 OR len(rare) > 0 THEN 'medium' ELSE 'low' END AS confidence FROM tags JOIN best USING (user_id, item_id)""")
 def explain(spark, sf):
-    ev = _evidence(spark, sf)
-    totals = ev.groupBy("user_id", "item_id").agg(F.max("c").alias("best_colikes"), F.count("*").alias("n_anchors"))
-    best = core.top(ev, ["user_id", "item_id"], 3, F.desc("c"), "anchor")
-    anchors = best.groupBy("user_id", "item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "anchor"))), lambda s: s["anchor"].cast("string")), ",").alias("anchors"))
-    confidence = F.when(F.col("best_colikes") >= 3, "high").when(F.col("n_anchors") >= 2, "medium").otherwise("low")
-    return totals.join(anchors, ["user_id", "item_id"]).withColumn("confidence", confidence)
+    ids = F.array_join(F.transform("anchors", lambda s: s["anchor"].cast("string")), ",").alias("anchors")
+    shared = F.array_join(F.transform("shared", lambda s: s["theme"]), ",").alias("shared")
+    return _evidence(spark, sf).select("user_id", "item_id", shared, "overlap", "co_likes", "similarity", ids, F.array_join("disliked", ",").alias("disliked"), "confidence")
 
 
-@query(f"WITH {EXPL} SELECT user_id, item_id, CASE WHEN best_colikes >= 3 THEN 'liked together by ' || best_colikes || ' people' ELSE 'close to ' || n_anchors || ' of your titles' END AS summary FROM ev")
+@query(EVIDENCE + """, s AS (SELECT tags.*, list_transform(list_filter(rare, lambda x: x.share <= 0.2), lambda x: x.theme)[1:3] AS telling, tc, ts, rc, rs, x.title AS ct, y.title AS st FROM tags JOIN best USING (user_id, item_id) JOIN f c ON c.user_id = tags.user_id AND c.item_id = tags.item_id AND c.r = rc JOIN f d ON d.user_id = tags.user_id AND d.item_id = tags.item_id AND d.r = rs
+ JOIN items x ON x.item_id = c.anchor JOIN items y ON y.item_id = d.anchor),
+k AS (SELECT *, list_filter([CASE WHEN tc >= 3 THEN tc || ' people liked both this and ' || ct END, CASE WHEN ts >= 0.35 AND (tc < 3 OR rc <> rs) THEN 'it is close to ' || st END, CASE WHEN len(telling) > 0 THEN 'you like ' || array_to_string(telling, ', ') END], lambda x: x IS NOT NULL) AS claims FROM s)
+SELECT user_id, item_id, 'Chosen since ' || CASE WHEN len(claims) > 0 THEN array_to_string(claims, '; ') ELSE 'people who liked your titles liked it too' END || '.' || CASE WHEN len(disliked) > 0 THEN ' It has themes you rated low: ' || array_to_string(disliked, ', ') || '.' ELSE '' END AS summary FROM k""")
 def evidence_summary(spark, sf):
-    ev = _evidence(spark, sf).groupBy("user_id", "item_id").agg(F.max("c").alias("c"), F.count("*").alias("n"))
-    text = F.when(F.col("c") >= 3, F.concat(F.lit("liked together by "), F.col("c").cast("string"), F.lit(" people"))).otherwise(F.concat(F.lit("close to "), F.col("n").cast("string"), F.lit(" of your titles")))
-    return ev.select("user_id", "item_id", text.alias("summary"))
+    return _evidence(spark, sf).select("user_id", "item_id", explaining.summary("people who liked your titles liked it too").alias("summary"))
 
 
 UNI = """WITH {I}, {T}, lk AS (SELECT user_id, item_id FROM inter WHERE rating >= 5), l AS (SELECT lk.user_id, b.item_id, b.title, min(lk.item_id) AS via FROM lk JOIN items a USING (item_id) JOIN items b ON a.title = b.title AND a.domain <> b.domain GROUP BY 1, 2, 3)"""
