@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import kinds
-from ..operators import core, logs, search
+from ..operators import core, franchise, logs, search
 from ..sources.scratch import shared_path
 from ..sources.tables import interactions, items, read_table
 from .registry import query
@@ -306,9 +306,17 @@ def franchise_link_subtitle(spark, sf):
     return k.select(F.col("item_id").alias("src"), "root").join(k.groupBy("root").agg(F.min("item_id").alias("dst")), "root").select("src", "dst")
 
 
-@query(LINK + ", l AS (SELECT a.item_id AS src, b.item_id AS dst FROM k a JOIN k b ON a.name = b.name AND (a.domain = 'game') <> (b.domain = 'game')) SELECT src, dst, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst % 100 DESC, dst) AS r FROM l) WHERE r <= 24")
+@query("""WITH {I}, {T}, p AS (SELECT item_id, count(*) AS p FROM inter GROUP BY 1), k AS (SELECT items.*, coalesce(p, 0) AS p, genres[1] IN ('STANDARD', 'ECONOMY') AS named, genres[1] = 'PROMO' AS flagged FROM items LEFT JOIN p USING (item_id)),
+l AS (SELECT a.item_id AS src, b.item_id AS dst, b.p FROM k a JOIN k b ON a.title = b.title AND (a.domain = 'game') <> (b.domain = 'game') AND (a.named OR b.named OR a.flagged OR b.flagged))
+SELECT src, dst, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY p DESC, dst) AS r FROM l) WHERE r <= 24""")
 def franchise_links(spark, sf):
-    return core.top(franchise_link_names(spark, sf), ["src"], 24, F.desc(F.col("dst") % 100), "dst")
+    """All items: titles get their type as subtitle, standard and economy ones are their franchise's, promotions adaptations."""
+    pop = core.item_stats(interactions(spark, sf)).select("item_id", F.col("rating_count").alias("popularity"))
+    kind, word = F.col("genres")[0], F.array(T.collection_key(F.col("title")))
+    rows = items(spark, sf).join(pop, "item_id", "left").select(
+        "item_id", F.col("domain").alias("kind"), F.concat_ws(": ", "title", kind).alias("title"), F.when(kind.isin("STANDARD", "ECONOMY"), word).alias("franchises"),
+        (kind == "PROMO").alias("flagged"), F.lit(False).alias("blocked"), "popularity")
+    return franchise.franchise_links(rows)
 
 
 @query(LINK + ", a AS (SELECT DISTINCT name FROM k WHERE item_id % 3 = 0), b AS (SELECT name, domain, min(item_id) AS item_id FROM k WHERE item_id % 3 <> 0 GROUP BY 1, 2) SELECT name, domain, item_id FROM a JOIN b USING (name) UNION SELECT b.name, domain, item_id FROM b JOIN a ON split_part(b.name, ' ', 1) = a.name")
