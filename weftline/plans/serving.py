@@ -38,16 +38,16 @@ def _evidence(spark, sf):
     return explaining.evidence(recommend_item_knn(spark, sf), models.signed_history(inter), themes, models.cooccurrence(core.positives(inter)), vectors, it)
 
 
-@query(EVIDENCE + """ SELECT user_id, item_id, array_to_string(list_transform(rare, lambda x: x.theme), ',') AS shared, overlap::DOUBLE AS overlap, co_likes, similarity, anchors, array_to_string(disliked, ',') AS disliked,
-CASE WHEN (co_likes >= 20 OR similarity >= 0.6) AND len(rare) > 0 THEN 'high' WHEN co_likes >= 5 OR similarity >= 0.4 OR len(rare) > 0 THEN 'medium' ELSE 'low' END AS confidence FROM tags JOIN best USING (user_id, item_id)""")
+@query(EVIDENCE + """ SELECT user_id, item_id, array_to_string(list_transform(rare, lambda x: x.theme), ',') AS shared, overlap::DOUBLE AS overlap, coalesce(co_likes, 0) AS co_likes, coalesce(similarity, 0) AS similarity, anchors, array_to_string(disliked, ',') AS disliked,
+CASE WHEN (best.co_likes >= 20 OR best.similarity >= 0.6) AND len(rare) > 0 THEN 'high' WHEN best.co_likes >= 5 OR best.similarity >= 0.4 OR len(rare) > 0 THEN 'medium' ELSE 'low' END AS confidence FROM tags LEFT JOIN best USING (user_id, item_id)""")
 def explain(spark, sf):
     ids = F.array_join(F.transform("anchors", lambda s: s["anchor"].cast("string")), ",").alias("anchors")
     shared = F.array_join(F.transform("shared", lambda s: s["theme"]), ",").alias("shared")
     return _evidence(spark, sf).select("user_id", "item_id", shared, "overlap", "co_likes", "similarity", ids, F.array_join("disliked", ",").alias("disliked"), "confidence")
 
 
-@query(EVIDENCE + """, s AS (SELECT tags.*, list_transform(list_filter(rare, lambda x: x.share <= 0.2), lambda x: x.theme)[1:3] AS telling, tc, ts, rc, rs, x.title AS ct, y.title AS st FROM tags JOIN best USING (user_id, item_id) JOIN f c ON c.user_id = tags.user_id AND c.item_id = tags.item_id AND c.r = rc JOIN f d ON d.user_id = tags.user_id AND d.item_id = tags.item_id AND d.r = rs
- JOIN items x ON x.item_id = c.anchor JOIN items y ON y.item_id = d.anchor),
+@query(EVIDENCE + """, s AS (SELECT tags.*, list_transform(list_filter(rare, lambda x: x.share <= 0.2), lambda x: x.theme)[1:3] AS telling, tc, ts, rc, rs, x.title AS ct, y.title AS st FROM tags LEFT JOIN best USING (user_id, item_id) LEFT JOIN f c ON c.user_id = tags.user_id AND c.item_id = tags.item_id AND c.r = rc LEFT JOIN f d ON d.user_id = tags.user_id AND d.item_id = tags.item_id AND d.r = rs
+ LEFT JOIN items x ON x.item_id = c.anchor LEFT JOIN items y ON y.item_id = d.anchor),
 k AS (SELECT *, list_filter([CASE WHEN tc >= 3 THEN tc || ' people liked both this and ' || ct END, CASE WHEN ts >= 0.35 AND (tc < 3 OR rc <> rs) THEN 'it is close to ' || st END, CASE WHEN len(telling) > 0 THEN 'you like ' || array_to_string(telling, ', ') END], lambda x: x IS NOT NULL) AS claims FROM s)
 SELECT user_id, item_id, 'Chosen since ' || CASE WHEN len(claims) > 0 THEN array_to_string(claims, '; ') ELSE 'people who liked your titles liked it too' END || '.' || CASE WHEN len(disliked) > 0 THEN ' It has themes you rated low: ' || array_to_string(disliked, ', ') || '.' ELSE '' END AS summary FROM k""")
 def evidence_summary(spark, sf):
