@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, neardup, neighbours, packing, quality, substring, tokens, toxicity
+from . import decontaminate, language, licenses, neardup, neighbours, packing, quality, spelling, substring, tokens, toxicity, whitening
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,9 +60,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("removed").alias("n_removed"), substring.removed_text().alias("removed"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_pack, op3_licenses, op4_neighbours, op5_near_duplicates, op6_quality, op7_language, op8_toxicity, op9_token_counts, op10_substring_dedup)
+    for f in (
+        op1_decontaminate, op2_pack, op3_licenses, op4_neighbours, op5_near_duplicates, op6_quality, op7_language, op8_toxicity, op9_token_counts, op10_substring_dedup,
+        op11_spelling_variants, op12_whitening,
+    )
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
