@@ -61,6 +61,14 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with as many lines under it as it takes to differ from all of ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, neardup, neighbours, packing, quality, spelling, substring, tokens, toxicity, whitening
+from . import decontaminate, language, licenses, neardup, neighbours, packing, parsing, quality, spelling, substring, tokens, toxicity, whitening
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,11 +68,19 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parsing.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.length("kept").cast("long")
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_pack, op3_licenses, op4_neighbours, op5_near_duplicates, op6_quality, op7_language, op8_toxicity, op9_token_counts, op10_substring_dedup,
-        op11_spelling_variants, op12_whitening,
+        op11_spelling_variants, op12_whitening, op13_suffix_dedup,
     )
 }
 
@@ -140,4 +148,29 @@ lists AS (
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(left_over.text, '') END AS text,
        coalesce(lists.n, 0)::INTEGER AS n_removed, coalesce(lists.removed, '') AS removed
 FROM documents d LEFT JOIN left_over USING (doc_id) LEFT JOIN lists USING (doc_id)""",
+    # The checksum: its table by rule, then over the bytes of "<doc_id>:<run>", whose characters are all under U+0100.
+    "op11_spelling_variants": f"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+b AS (
+  SELECT run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)]::BIGINT[] END)) AS bytes
+  FROM r),
+h AS (SELECT run, n, xor(list_reduce([4294967295] || bytes, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM b, tab),
+o AS (SELECT CASE WHEN h % 97 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM v),
+gaps AS (SELECT DISTINCT word, word[1 : p - 1] || '*' || word[p + 1 :] AS pattern, word[1 : p - 1] || word[p + 1 :] AS shorter, p FROM places),
+pairs AS (
+  SELECT a.word AS x, b.word AS y FROM gaps a JOIN gaps b ON a.pattern = b.pattern AND a.word <> b.word
+  UNION SELECT gaps.word, v.word FROM gaps JOIN v ON gaps.shorter = v.word
+  UNION SELECT v.word, gaps.word FROM gaps JOIN v ON gaps.shorter = v.word),
+near AS (SELECT x AS word, count(*) AS n_near, arg_min(y, (-n, y)) AS form, max(n) AS form_n FROM pairs JOIN v ON v.word = y GROUP BY x),
+told AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n
+  FROM v LEFT JOIN near USING (word)),
+chain AS (SELECT word, word AS root, form AS following FROM told UNION ALL SELECT chain.word, told.word, told.form FROM chain JOIN told ON told.word = chain.following)
+SELECT told.word, told.form, chain.root, told.n, told.n_near, told.form_n FROM told JOIN chain ON chain.word = told.word AND chain.following IS NULL""",
 }

@@ -126,8 +126,8 @@ def _places(hashes: np.ndarray, blocks: int) -> np.ndarray:
 class Filters:
     """Bloom filters by length: ``blocks[length]`` is how many blocks a length has in all, ``shards[length, shard]`` holds some."""
 
-    def __init__(self, blocks: dict[int, int], shards: dict[tuple[int, int], bytes]):
-        self.blocks = blocks
+    def __init__(self, blocks: dict[int, int], shards: dict[tuple[int, int], bytes], shard_blocks: int = SHARD_BLOCKS):
+        self.blocks, self.shard_blocks = blocks, shard_blocks
         self.shards = {key: np.frombuffer(bits, np.uint64).reshape(-1, 8) for key, bits in shards.items()}
 
     def maybe(self, hashes: np.ndarray, length: int) -> np.ndarray:
@@ -138,16 +138,16 @@ class Filters:
         place, found = _places(hashes, total), []
         for (of, shard), bits in self.shards.items():
             if of == length:
-                mine = np.flatnonzero(place // SHARD_BLOCKS == shard) if total > SHARD_BLOCKS else np.arange(len(hashes))
+                mine = np.flatnonzero(place // self.shard_blocks == shard) if total > self.shard_blocks else np.arange(len(hashes))
                 for p in range(PROBES):  # most fall at the first bits
                     bit = _bit(hashes[mine], p)
-                    word = bits[place[mine] - shard * SHARD_BLOCKS, (bit >> np.uint64(6)).astype(np.int64)]
+                    word = bits[place[mine] - shard * self.shard_blocks, (bit >> np.uint64(6)).astype(np.int64)]
                     mine = mine[(word >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
                 found.append(mine)
         return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def filters(words: DataFrame, sizes: dict[int, int]) -> DataFrame:
+def filters(words: DataFrame, sizes: dict[int, int], shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """``length``, ``shard``, ``bits``: the filters of all words, each shard built by one task from its words alone.
 
     ``sizes`` says how many blocks the filter of a length has. A shard's task holds its bits, not its words.
@@ -156,7 +156,7 @@ def filters(words: DataFrame, sizes: dict[int, int]) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = [(len(w), word_hash(w)) for w in batch.column(0).to_pylist()]
-            shard = [int(_places(np.array([h], np.uint64), sizes[n])[0]) // SHARD_BLOCKS for n, h in of]
+            shard = [int(_places(np.array([h], np.uint64), sizes[n])[0]) // shard_blocks for n, h in of]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in of], pa.int32()), pa.array(shard, pa.int32()), pa.array(np.array([h for _, h in of], np.uint64).view(np.int64))], names=["length", "shard", "hash"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +168,9 @@ def filters(words: DataFrame, sizes: dict[int, int]) -> DataFrame:
                 if key not in held:
                     if held:  # shards come one after the other
                         yield out(held)
-                    held = {key: np.zeros((min(SHARD_BLOCKS, sizes[key[0]] - key[1] * SHARD_BLOCKS), 8), np.uint64)}
+                    held = {key: np.zeros((min(shard_blocks, sizes[key[0]] - key[1] * shard_blocks), 8), np.uint64)}
                 h = hashes[(length == key[0]) & (shard == key[1])]
-                row = _places(h, sizes[key[0]]) - key[1] * SHARD_BLOCKS
+                row = _places(h, sizes[key[0]]) - key[1] * shard_blocks
                 for bit in (_bit(h, p) for p in range(PROBES)):
                     np.bitwise_or.at(held[key], (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
         if held:
@@ -184,12 +184,12 @@ def filters(words: DataFrame, sizes: dict[int, int]) -> DataFrame:
     return placed.repartition("length", "shard").sortWithinPartitions("length", "shard").mapInArrow(build, "length int, shard int, bits binary")
 
 
-def _passes(sizes: dict[int, int], most: int) -> Iterator[list[tuple[int, int]]]:
+def _passes(sizes: dict[int, int], most: int, shard_blocks: int) -> Iterator[list[tuple[int, int]]]:
     """Shards in groups of up to ``most`` blocks (one shard at least)."""
     group, held = [], 0
     for length in sorted(sizes):
-        for shard in range(-(-sizes[length] // SHARD_BLOCKS)):
-            n = min(SHARD_BLOCKS, sizes[length] - shard * SHARD_BLOCKS)
+        for shard in range(-(-sizes[length] // shard_blocks)):
+            n = min(shard_blocks, sizes[length] - shard * shard_blocks)
             if group and held + n > most:
                 yield group
                 group, held = [], 0
@@ -199,7 +199,7 @@ def _passes(sizes: dict[int, int], most: int) -> Iterator[list[tuple[int, int]]]
         yield group
 
 
-def candidates(words: DataFrame, pass_blocks: int = PASS_BLOCKS) -> DataFrame:
+def candidates(words: DataFrame, pass_blocks: int = PASS_BLOCKS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """``word``, ``n``, ``other``: edits of the words that the filters let through, each pair of words once.
 
     The driver holds how many words each length has, the letters in use, and the shards of one pass.
@@ -209,12 +209,12 @@ def candidates(words: DataFrame, pass_blocks: int = PASS_BLOCKS) -> DataFrame:
     sizes = {r["length"]: -(-r["count"] // BLOCK_WORDS) for r in by_length}
     letters = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> ''").distinct().collect()
     alphabet = np.array(sorted(ord(r["c"]) for r in letters), np.uint64)
-    built = materialise(filters(words, sizes))
+    built = materialise(filters(words, sizes, shard_blocks))
     found = None
-    for group in _passes(sizes, pass_blocks):
+    for group in _passes(sizes, pass_blocks, shard_blocks):
         wanted = spark.createDataFrame(group, "length int, shard int")
         shards = {(r["length"], r["shard"]): r["bits"] for r in built.join(F.broadcast(wanted), ["length", "shard"]).collect()}
-        held = spark.sparkContext.broadcast((sizes, shards))
+        held = spark.sparkContext.broadcast((sizes, shards, shard_blocks))
         lengths = sorted({n + d for n, _ in group for d in (0, 1)})
 
         def probe(batches: Iterator[pa.RecordBatch], held=held, alphabet=alphabet) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,7 @@ def roots(forms: DataFrame) -> DataFrame:
             return now
 
 
-def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_blocks: int = PASS_BLOCKS) -> DataFrame:
+def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_blocks: int = PASS_BLOCKS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """All words of the texts, grouped with the more frequent word that each is likely a misspelling of.
 
     A word: a maximal run of letters a-z (A-Z being lower-cased) and U+00C0 to U+00FF, of at least ``LETTERS`` letters and
@@ -266,7 +266,7 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     """
     words = materialise(vocabulary(docs, id_col, text_col))
     of = words.select(F.col("word").alias("__of"), F.col("n").alias("__n"))
-    pairs = materialise(candidates(words, pass_blocks).join(of, F.col("other") == F.col("__of")).select("word", "n", "other", F.col("__n").alias("other_n")))
+    pairs = materialise(candidates(words, pass_blocks, shard_blocks).join(of, F.col("other") == F.col("__of")).select("word", "n", "other", F.col("__n").alias("other_n")))
     both = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     near = both.groupBy(F.col("word").alias("__word")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("n"), F.col("other").alias("form"))).alias("best"))
     joined = words.join(near, F.col("word") == F.col("__word"), "left")

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, join_spread, materialise, slices, utf8, words
+from .common import free, in_small_batches, join_spread, materialise, slices, utf8, words
 
 #: Adjacent repeated units go if they hold so many words together. A passage of 50 words that begins and ends inside a
 #: sentence holds about as many in its whole sentences.
@@ -153,7 +153,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_RUN_WORDS, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(spans, of_type)], names=[*names, "removed"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"removed {removed}"])
-    return met.select(*[docs[c] for c in names], "__later").mapInArrow(cut, schema)
+    return met.select(*[docs[c] for c in names], later["__later"].alias(free("__later", names))).mapInArrow(cut, schema)
 
 
 def removed_text(column: str = "removed"):
