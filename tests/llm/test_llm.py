@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -499,47 +500,87 @@ def test_substring_ranks(spark, odd):
     assert substring.drop_repeated(clashing).columns == clashing.columns and substring.drop_repeated(clashing).where("removed = 'mine'").count() == odd.count()
 
 
-def test_substring_against_brute_force(spark):
-    """Passages that begin and end inside sentences, in other lines and cases, with lone repeated sentences left alone."""
+def brute_substring(texts, min_words):
+    """What is left of the texts, and of which the lines of ten words or more go, or the common ones."""
+    parts = [substring.pieces_of((t or "").encode()) for t in texts]
+    known = [[(k, tuple(w)) for k, p in enumerate(found) if (w := common.words(p))] for found in parts]
+    lines = []
+    for i, found in enumerate(parts):
+        unit, line = 0, []
+        for p in [*found, b"\n"]:
+            if common.words(p):
+                line.append(unit)
+                unit += 1
+            elif p == b"\n" and line:
+                lines.append((i, line, tuple(w for u in line for w in known[i][u][1])))
+                line = []
+    count, seen_lines, seen, left = Counter(w for _, _, w in lines), set(), set(), {}
+    whole = defaultdict(set)
+    for i, line, w in lines:
+        if w in seen_lines and (len(w) >= 10 or count[w] >= max(20, 0.05 * len(texts))):
+            whole[i] |= set(line)
+        seen_lines.add(w)
+    for i, found in enumerate(parts):
+        again = []
+        for _, w in known[i]:
+            again.append(w in seen)
+            seen.add(w)
+        going, u = set(whole[i]), 0
+        while u < len(again):
+            v = u
+            while v < len(again) and again[v]:
+                v += 1
+            if sum(len(known[i][x][1]) for x in range(u, v)) >= min_words:
+                going |= set(range(u, v))
+            u = max(v, u + 1)
+        out, u = set(), 0
+        while u < len(again):
+            v = u
+            while v in going:
+                v += 1
+            if v > u:
+                low, high = known[i][u][0], known[i][v][0] if v < len(again) else len(found)
+                at_line = low == 0 or found[low - 1] == b"\n"
+                out |= set(range(low, high if at_line else known[i][v - 1][0] + 1))
+            u = max(v, u + 1)
+        left[i] = None if texts[i] is None else b"".join(p for k, p in enumerate(found) if k not in out).decode()
+    return left
+
+
+@pytest.mark.parametrize("min_words", [30, 1])
+def test_substring_against_brute_force(spark, min_words):
+    """Passages that begin and end inside sentences, in other lines and cases, lone repeated sentences, and repeated lines of
+    few and many words; with ``min_words`` 1 nothing repeats any more."""
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(6))
     sentence = lambda n: " ".join(word() for _ in range(n)).capitalize().replace("É", "é")
     passage = [sentence(8) for _ in range(9)]
-    lone = sentence(12)
+    lone, nine, ten, long, common_line = sentence(12), sentence(9), f"{sentence(4)}. {sentence(6)}", f"{sentence(20)}! {sentence(9)}", sentence(3)
     texts = [f"{sentence(5)}. {'. '.join(passage)}. {sentence(6)}.", f"{sentence(9)}!\n{word()} {'.\n'.join(passage)} {word()}. {sentence(3)}", f"{lone}. {sentence(9)}", f"{sentence(9)}. {lone}?", f"{sentence(4)}. {'! '.join(p.upper().replace('É', 'é') for p in passage[2:7])}! {sentence(4)}.", None, "", "tick tock. " * 60, "\n\n..."]
     texts += [". ".join(sentence(rng.randint(1, 12)) for _ in range(20)) for _ in range(20)]
+    texts += [f"{sentence(5)}\n{x}\n{sentence(5)}\n{y}" for x in (nine, ten, long) for y in (x, ten.replace(".", ","), f"{x} {word()}")] + [f"{common_line}\n{sentence(4)}. {nine}" for _ in range(21)]
     docs = spark.createDataFrame([(i, t, i * 2) for i, t in enumerate(texts)], "doc_id long, text string, place int")
-    seen, left = {}, {}
-    for i, t in enumerate(texts):
-        found = substring.pieces_of((t or "").encode())
-        assert b"".join(found) == (t or "").encode()
-        known = [(k, tuple(w)) for k, p in enumerate(found) if (w := common.words(p))]
-        again = [seen.setdefault(w, (i, u)) != (i, u) for u, (_, w) in enumerate(known)]
-        out, u = set(), 0
-        while u < len(known):
-            v = u
-            while v < len(known) and again[v]:
-                v += 1
-            if v > u and sum(len(known[x][1]) for x in range(u, v)) >= 30:
-                low, high = known[u][0], known[v][0] if v < len(known) else len(found)
-                whole = low == 0 or found[low - 1] == b"\n"
-                out |= set(range(low, high if whole else known[v - 1][0] + 1))
-            u = max(v, u + 1)
-        left[i] = None if t is None else b"".join(p for k, p in enumerate(found) if k not in out).decode()
+    left = brute_substring(texts, min_words)
     for share in (common.HOT_SHARE, 1e-9):
         old, common.HOT_SHARE = common.HOT_SHARE, share
         try:
-            got = {r.doc_id: r for r in substring.dedup(docs).collect()}
+            got = {r.doc_id: r for r in substring.dedup(docs, min_words).collect()}
         finally:
             common.HOT_SHARE = old
         assert {i: r.text for i, r in got.items()} == left
         assert all(r.place == 2 * i for i, r in got.items())
         for i, r in got.items():
             for x in r.removed:
-                kept = [p for p in substring.pieces_of(texts[x.first_doc_id].encode()) if common.words(p)][x.first_unit]
-                assert common.words(texts[i][x.start : x.end].encode()) == common.words(kept)
-    assert sorted(i for i, r in got.items() if r.removed) == [1, 4, 7]
-    assert len(common.words(left[1].encode())) == 9 + 1 + 8 + 8 + 1 + 3 and left[7].split() == ["tick", "tock."]
+                kept = [w for p in substring.pieces_of(texts[x.first_doc_id].encode()) if (w := common.words(p))][x.first_unit :]
+                assert b" ".join(common.words(texts[i][x.start : x.end].encode())) in b" ".join(sum(kept, []))
+    lines = [w for t in left.values() for line in (t or "").split("\n") if len(w := tuple(common.words(line.encode()))) >= 10]
+    assert len(lines) == len(set(lines))
+    if min_words == 1:
+        units = [w for t in left.values() for p in substring.pieces_of((t or "").encode()) if (w := tuple(common.words(p)))]
+        assert len(units) == len(set(units))
+    else:
+        assert sum(t.count(common_line) for t in left.values() if t) == 1 and sum(t.count(nine) for t in left.values() if t) > 20
+        assert left[7].split() == ["tick", "tock."]
 
 
 def test_filters_judge_each_row_by_its_own_text(spark, bench):
@@ -599,3 +640,83 @@ def test_pipeline_stages(spark, small):
     assert decontaminate.contamination(four, common.read(spark, small, "benchmark")).where("contaminated").isEmpty()
     five = cp.best_fit_packing(spark, four, small)
     assert {r.doc_id for r in five.select("doc_id").collect()} == {r.doc_id for r in four.select("doc_id").collect()}
+
+
+def test_toxicity_scores_by_plain_loops(spark, labels):
+    """The forward pass of whole texts, window by window and step by step, against the operator's scores."""
+    docs = docs_of(spark, "/root/testdata/sf0.001")
+    known = common.read(spark, "/root/testdata/sf0.001", "labels")
+    p = toxicity.train(*toxicity.training_sample(docs, known, "doc_id", "text", "toxic"))
+    again = toxicity.train(*toxicity.training_sample(docs.repartition(5), known, "doc_id", "text", "toxic"))
+    assert all(np.array_equal(p[k], again[k]) for k in p)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    s = toxicity.STATE
+
+    def word_input(w):
+        padded = np.frombuffer(b"<" + w + b">", np.uint8).astype(np.int64)
+        rows = [int((((a * 961 + b) * 961 + c) * 0x9E3779B1 & 0xFFFFFFFF) >> 7) % toxicity.CHAR_ROWS for a, b, c in zip(padded, padded[1:], padded[2:])]
+        return np.concatenate([p["word"][zlib.crc32(w) % toxicity.WORD_ROWS], np.mean([p["char"][r] for r in rows], 0)])
+
+    def states(xs, side):
+        h, out = np.zeros(s), []
+        for x in xs:
+            g, a = x @ p[f"w{side}"] + p[f"b{side}"], h @ p[f"u{side}"]
+            z, r = sigmoid(g[:s] + a[:s]), sigmoid(g[s : 2 * s] + a[s : 2 * s])
+            cand = np.tanh(g[2 * s :] + r * a[2 * s :])
+            h = (1 - z) * cand + z * h
+            out.append(h)
+        return out
+
+    def score(text):
+        w, best = common.words(text.encode()), -np.inf
+        for at in range(0, max(len(w) - (toxicity.WINDOW - toxicity.STRIDE), 1), toxicity.STRIDE):
+            xs = [word_input(x) for x in w[at : at + toxicity.WINDOW]]
+            hidden = [np.concatenate(pair) for pair in zip(states(xs, "f"), states(xs[::-1], "b")[::-1])]
+            e = np.array([np.tanh(h @ p["wa"] + p["ba"]) @ p["va"] for h in hidden])
+            a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+            best = max(best, sum(x * h for x, h in zip(a, hidden)) @ p["wo"] + p["bo"][0])
+        return sigmoid(best) if w else 0.0
+
+    some = [r for r in docs.orderBy("doc_id").limit(40).collect() if r.text]
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, known).collect()}
+    assert max(abs(got[r.doc_id] - score(r.text)) for r in some) < 1e-4
+
+
+def test_toxicity_takes_one_text_an_id(spark):
+    docs = spark.createDataFrame([(1, f"vile words {i % 3}") for i in range(500)] + [(2, "kind words"), (3, "plain words")], "doc_id long, text string")
+    found = toxicity.training_sample(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int"), "doc_id", "text", "toxic")
+    assert sorted(zip(found[1], map(tuple, found[0]))) == [(0, (b"kind", b"words")), (0, (b"plain", b"words")), (1, (b"vile", b"words", b"0"))]
+
+
+def test_toxicity_of_odd_rows(spark, labels):
+    """Clashing columns, a null id, and a text of 40,000 words, whose worst window decides."""
+    known = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    rows = [(i, ("rotten scum " if i % 2 else "sunny meadow ") * 20, 0.5, 9) for i in range(200)] + [(None, "rotten scum " * 20, 0.5, 9), (900, "sunny meadow " * 20_000 + "rotten scum " * 16 + "sunny meadow " * 20_000, 0.5, 9), (901, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, known).collect()}
+    assert len(got) == 203 and got[None].predicted == 1 and got[901].score == 0
+    assert got[900].predicted == 1 and all(got[i].predicted == i % 2 for i in range(200))
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """With a slack of 1 every pair that shares a band is compared on full sets: links of exactly 0.8 are all found."""
+    base = [f"w{i}" for i in range(404)]
+    rows = [(2 * g, " ".join(f"{w}g{g}" for w in base)) for g in range(60)]
+    # 400 shingles of five words; eight changed words take 5 of them, one takes 4: 356 / 444 = 0.8018.
+    for g in range(60):
+        w = [f"{x}g{g}" for x in base]
+        for at in (50, 130, 210, 290, 370, 398 - 6, 340, 20, 3):
+            w[at] = f"x{at}g{g}"
+        rows.append((2 * g + 1, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    same = {g for g in range(60) if 100 * len(sets[2 * g] & sets[2 * g + 1]) >= 80 * len(sets[2 * g] | sets[2 * g + 1])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, slack=1.0).collect()}
+    assert same and got == {i: i - 1 if i % 2 and i // 2 in same else i for i, _ in rows}
+
+
+def test_dropping_keeps_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "a", 1, 2), (1, text, "a", 1, 2), (1, text + " more", "b", 1, 2), (2, "other words stand here", "c", 1, 2)], "doc_id long, text string, __vertex string, __of int, __unlike int")
+    left = neardup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and {r["__vertex"] for r in left.collect()} <= {"a", "b", "c"} and left.count() == 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -77,10 +78,13 @@ _scratch: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, as in tests, one of our own."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where that is unset on one machine, as in tests, one of our
+    own. A cluster must name it: other machines don't see a folder of the driver's."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     sc = spark.sparkContext
+    if not sc.getCheckpointDir() and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
     return sc.getCheckpointDir()

@@ -125,18 +125,31 @@ WITH p AS (
 w AS (SELECT doc_id, piece, k, regexp_extract_all({_LOWER.format("piece")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM p),
 s AS (
   SELECT doc_id, k, piece, w, len(w) > 0 AS is_unit, sum(length(piece)) OVER so_far - length(piece) AS start,
-         count_if(len(w) > 0) OVER so_far - 1 AS unit, lag(piece) OVER (PARTITION BY doc_id ORDER BY k) AS before
+         count_if(len(w) > 0) OVER so_far - 1 AS unit, count_if(piece = chr(10)) OVER so_far AS line, lag(piece) OVER (PARTITION BY doc_id ORDER BY k) AS before
   FROM w WINDOW so_far AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 u AS (
   SELECT doc_id, k, unit, start, start + length(piece) AS stop, len(w) AS n_words, coalesce(before, chr(10)) = chr(10) AS line_start,
          first_value(doc_id) OVER same AS first_doc_id, first_value(unit) OVER same AS first_unit
   FROM s WHERE is_unit WINDOW same AS (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, unit)),
+lines AS (
+  SELECT doc_id, min(unit) AS unit, count(*) AS span, sum(len(w)) AS n_words, string_agg(array_to_string(w, ' '), ' ' ORDER BY k) AS g
+  FROM s WHERE is_unit GROUP BY doc_id, line),
+again AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY g ORDER BY doc_id, unit) AS first_doc_id, first_value(unit) OVER (PARTITION BY g ORDER BY doc_id, unit) AS first_unit,
+         count(*) OVER (PARTITION BY g) AS n
+  FROM lines),
+whole AS (
+  SELECT doc_id, unnest(range(unit::BIGINT, (unit + span)::BIGINT)) AS unit, first_doc_id, first_unit FROM again
+  WHERE NOT (doc_id = first_doc_id AND unit = first_unit) AND (n_words >= {substring.LINE_WORDS} OR n >= greatest({substring.COMMON}, {substring.COMMON_SHARE}::DOUBLE * (SELECT count(*) FROM documents)))),
 later AS (
   SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM u WHERE NOT (doc_id = first_doc_id AND unit = first_unit)),
-runs AS (
-  SELECT *, sum(n_words) OVER r AS total, max(unit) OVER r AS last_unit, arg_min(line_start, unit) OVER r AS at_line
-  FROM later WINDOW r AS (PARTITION BY doc_id, run)),
-gone AS (SELECT * FROM runs WHERE total >= {substring.MIN_RUN_WORDS}),
+runs AS (SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS total FROM later),
+going AS (
+  SELECT u.doc_id, u.unit, u.start, u.stop, u.line_start, coalesce(whole.first_doc_id, runs.first_doc_id) AS first_doc_id, coalesce(whole.first_unit, runs.first_unit) AS first_unit
+  FROM u LEFT JOIN whole ON u.doc_id = whole.doc_id AND u.unit = whole.unit LEFT JOIN runs ON u.doc_id = runs.doc_id AND u.unit = runs.unit AND total >= {substring.MIN_RUN_WORDS}
+  WHERE whole.unit IS NOT NULL OR runs.unit IS NOT NULL),
+grouped AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS part FROM going),
+gone AS (SELECT *, max(unit) OVER r AS last_unit, arg_min(line_start, unit) OVER r AS at_line FROM grouped WINDOW r AS (PARTITION BY doc_id, part)),
 left_over AS (
   SELECT s.doc_id, string_agg(s.piece, '' ORDER BY s.k) AS text
   FROM s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.unit = g.unit
