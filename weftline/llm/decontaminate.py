@@ -142,7 +142,7 @@ def _by_join(docs: DataFrame, gram: DataFrame, id_col: str, text_col: str) -> Da
 
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col), F.sha2(text_col, 256).alias("__key"), F.col(text_col))
-    hits = _hits(keyed.select("__key", text_col), gram)
+    hits = _hits(keyed.select("__key", text_col).dropDuplicates(["__key"]), gram)
     spans = hits.select("key", F.explode(F.expr("sequence(pos, pos + n - 1)")).alias("at")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
     items = hits.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = spans.join(items, "key").select(F.col("key").alias("__of"), "n_hit", "items")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Numbering, in_small_batches, materialise, mix64, slices, spaced_words, utf8, with_ids
+from .common import BROADCAST_IDS, Numbering, free, in_small_batches, materialise, mix64, slices, spaced_words, utf8, with_ids
 from .components import components
 
 #: Minima of a signature, in bands of ROWS: a pair at similarity 0.8 shares no band with a chance of 5e-8.
@@ -19,7 +19,8 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Low bits kept of each minimum.
 BITS = 4
-#: Pairs whose estimate is lower than the threshold by this much aren't compared: about 4 standard deviations.
+#: Pairs whose estimate is lower than the threshold by this much aren't compared: about 4 standard deviations, beyond which
+#: lies one link in 21,000 of those at a similarity of exactly 0.8. A slack of 1 compares all that share a band.
 SLACK = 0.15
 #: Documents of a bucket's block, and shingles and documents of a block of a candidate group.
 BUCKET_ROWS, BLOCK_SHINGLES, BLOCK_NODES = 1_024, 2_000_000, 4_096
@@ -274,7 +275,7 @@ def _ask(members: DataFrame, percent: int, least: float) -> DataFrame:
     return exact_links(_dealt(marked, ["group"], ["node", "cluster", "n", "sig", "items"]), percent, least)
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slack: float = SLACK) -> DataFrame:
     """Groups of documents linked by shingle sets with ``100 * intersection >= percent * union``.
 
     Columns: the id (an integer), ``n_shingles`` long (distinct runs of ``n`` words; the whole sequence if shorter),
@@ -294,9 +295,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     4. Components of the confirmed links give the result.
 
     Every task holds one slice of those that ask and one of those asked, however large a bucket or group is. Pairs whose
-    estimate is ``SLACK`` below the threshold are taken as not linked (4 standard deviations of the estimate).
+    estimate is ``slack`` below the threshold are taken as not linked; with a slack of 1 all candidates are compared on full sets.
     """
-    least = percent / 100 - SLACK
+    least = percent / 100 - slack
     signed = materialise(signatures(docs, n, id_col, text_col))
     nodes = materialise(
         signed.where(F.col("digest").isNotNull() & F.col(id_col).isNotNull())
@@ -386,7 +387,7 @@ def _across_blocks(members: DataFrame, links: DataFrame, percent: int, least: fl
     return materialise(links.union(_ask(marked, percent, least)))
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slack: float = SLACK) -> DataFrame:
     """One document of each group, the one with the smallest id; columns as before, which stay as they are.
 
     Rows with a null id, or without words, all stay. Of rows with equal id and text one stays. Rows that share an id but
@@ -394,14 +395,15 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col:
     no rows.
     """
     key = F.xxhash64(text_col)
-    several = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__of")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).where("n > 1")
-    several = materialise(several.select("__of", (~F.col("low").eqNullSafe(F.col("high"))).alias("__unlike")))
+    of, unlike, vertex = (free(name, docs.columns) for name in ("__of", "__unlike", "__vertex"))
+    several = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(of)).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).where("n > 1")
+    several = materialise(several.select(of, (~F.col("low").eqNullSafe(F.col("high"))).alias(unlike)))
     if several.isEmpty():
-        gone = near_duplicates(docs.select(id_col, text_col), n, percent, id_col, text_col).where("not kept").select(id_col)
+        gone = near_duplicates(docs.select(id_col, text_col), n, percent, id_col, text_col, slack).where("not kept").select(id_col)
         return with_ids(docs, gone, False, id_col)
-    single = with_ids(docs, several.select("__of"), False, id_col).withColumn("__vertex", F.col(id_col).cast("long"))
-    again = with_ids(docs, several.select("__of"), True, id_col).dropDuplicates([id_col, text_col])
-    again = again.join(several, again[id_col] == several["__of"]).withColumn("__vertex", F.when(F.col("__unlike"), F.lit(-(1 << 63)) + F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 62))).otherwise(F.col(id_col)).cast("long"))
-    told = materialise(single.unionByName(again.drop("__of", "__unlike")))
-    gone = near_duplicates(told.select("__vertex", text_col), n, percent, "__vertex", text_col).where("not kept").select("__vertex")
-    return with_ids(told, gone, False, "__vertex").drop("__vertex")
+    single = with_ids(docs, several.select(of), False, id_col).withColumn(vertex, F.col(id_col).cast("long"))
+    again = with_ids(docs, several.select(of), True, id_col).dropDuplicates([id_col, text_col])
+    again = again.join(several, again[id_col] == several[of]).withColumn(vertex, F.when(F.col(unlike), F.lit(-(1 << 63)) + F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 62))).otherwise(F.col(id_col)).cast("long"))
+    told = materialise(single.unionByName(again.drop(of, unlike)))
+    gone = near_duplicates(told.select(vertex, text_col), n, percent, vertex, text_col, slack).where("not kept").select(vertex)
+    return with_ids(told, gone, False, vertex).drop(vertex)

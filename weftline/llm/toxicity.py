@@ -254,14 +254,15 @@ def score_texts(texts: list[list[bytes]], p: dict[str, np.ndarray]) -> np.ndarra
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[list[bytes]], list[int]]:
-    """Words and labels of a bounded sample; a text with contrary labels counts as toxic."""
+    """Words and labels of a bounded sample; a text with contrary labels counts as toxic. Of rows with one id the first text
+    in order counts, so the sample is the same in every run."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__of")).agg(F.max(label_col).cast("int").alias("__y"))
     counts = {r[0]: r[1] for r in known.groupBy("__y").count().collect()}
     unit = F.pmod(F.xxhash64(F.lit("toxicity"), "__of"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("__y") == 1, min(1.0, 1.1 * TRAIN_TEXTS / max(counts.get(1, 0), 1))).otherwise(min(1.0, 1.1 * TRAIN_TEXTS / max(counts.get(0, 0), 1)))
     picked = known.withColumn("__u", unit).where(F.col("__u") < share)  # at most about 2.2 * TRAIN_TEXTS ids, whatever the input
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t"))
-    rows = texts.join(F.broadcast(picked), F.col("__id") == F.col("__of")).select("__y", "__u", "t").where("t is not null").limit(3 * TRAIN_TEXTS).collect()
+    rows = texts.join(F.broadcast(picked), F.col("__id") == F.col("__of")).where("t is not null").groupBy("__of", "__y", "__u").agg(F.min("t").alias("t")).select("__y", "__u", "t").collect()
     texts, ys, total, of = [], [], 0, {0: 0, 1: 0}
     for r in sorted(rows, key=lambda r: (r[1], r[2])):
         w = words(r[2].encode())
