@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,18 +45,27 @@ def novelty(ranked: DataFrame, pop: DataFrame, n_users: int) -> DataFrame:
     return rows.groupBy("user_id").agg(F.avg(-F.log2((F.col("popularity") + 1) / (n_users + 1))).alias("novelty"))
 
 
+#: Draws that one md5 gives: eight times 16 bits. ``LAW``: from which of the 65,536 values a row is drawn once, twice, ...: Poisson(1).
+DRAWS_A_HASH = 8
+LAW = [int(65_536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
+
+
 def paired_bootstrap(pairs: DataFrame, draws: int = 2000) -> DataFrame:
     """Mean lift of each task, its 95 % interval over resamples of the users, and whether that excludes 0.
 
-    ``pairs`` has task, user_id, diff and base, what diff is against. Draw i of resample b takes row md5(task|b|i) mod n. Resamples are averaged task by
-    task, so what a task holds is its users; the draws are rows that Spark spreads by resample.
+    ``pairs`` has task, user_id, diff and base, what diff is against. In a resample every row counts as often as a hash of task,
+    user and resample says, by a Poisson law of mean 1. So rows stay where they lie: each task sums its own, and ``draws``
+    sums are shuffled, whatever the number of rows.
     """
     n = pairs.groupBy("task").agg(F.count("*").alias("n"), F.avg("diff").alias("lift"), (F.avg("diff") / F.nullif(F.avg("base"), F.lit(0.0))).alias("relative_lift"))
-    rows = core.ranked(pairs, ["task"], "user_id", name="at").select("task", (F.col("at") - 1).alias("at"), "diff")
-    grid = n.select("task", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).select("task", "n", "b", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
-    key = F.concat_ws("|", "task", F.col("b").cast("string"), F.col("i").cast("string"))
-    pick = F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("long"), F.col("n"))
-    means = grid.withColumn("at", pick).join(rows, ["task", "at"]).groupBy("task", "b").agg(F.avg("diff").alias("m"))
+    each = pairs.select("task", "user_id", "diff", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAWS_A_HASH) - 1))).alias("part"))
+    digest = F.md5(F.concat_ws("|", "task", F.col("user_id").cast("string"), F.col("part").cast("string")).cast("binary"))
+    drawn = lambda u: sum(((u >= t).cast("int") for t in LAW[1:]), (u >= LAW[0]).cast("int"))
+    rows = each.withColumn("h", digest).select("task", "part", "diff", *[F.conv(F.substring("h", 4 * k + 1, 4), 16, 10).cast("int").alias(f"u{k}") for k in range(DRAWS_A_HASH)])
+    rows = rows.select("task", "part", "diff", *[drawn(F.col(f"u{k}")).alias(f"w{k}") for k in range(DRAWS_A_HASH)])
+    sums = rows.groupBy("task", "part").agg(*[F.sum(F.col(f"w{k}") * F.col("diff")).alias(f"s{k}") for k in range(DRAWS_A_HASH)], *[F.sum(f"w{k}").alias(f"w{k}") for k in range(DRAWS_A_HASH)])
+    one = F.explode(F.array(*[F.struct((F.col("part") * DRAWS_A_HASH + k).alias("b"), (F.col(f"s{k}") / F.nullif(F.col(f"w{k}"), F.lit(0))).alias("m")) for k in range(DRAWS_A_HASH)]))
+    means = sums.select("task", one.alias("x")).where(F.col("x.b") < draws).select("task", "x.m")
     ci = means.groupBy("task").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return n.join(ci, "task").select("task", "n", "lift", "relative_lift", "low", "high", ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))
 
@@ -78,3 +89,21 @@ def graded_ndcg(lists: DataFrame, ratings: DataFrame, k: int) -> DataFrame:
     dcg = lists.where(F.col("rank") <= k).join(ratings, ["query", "item"]).groupBy("query").agg(F.sum(gain / F.log2(F.col("rank") + 1)).alias("dcg"))
     ideal = core.top(ratings, ["query"], k, F.desc("rating"), "item", name="r").groupBy("query").agg(F.sum(gain / F.log2(F.col("r") + 1)).alias("ideal"))
     return ideal.join(dcg, "query", "left").select("query", F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).otherwise(0.0).alias("ndcg"))
+
+
+def ring_quality(served: DataFrame, popularity: DataFrame, n_items: int, size: int = 20_000) -> DataFrame:
+    """``source, event_id, coverage, popularity`` after each served item, over the source's last ``size`` of them.
+
+    Distinct items come from where each item is next served: it counts in all rings from its place to the one before that, or
+    until it falls out. So the number is a running sum of +1 and -1, and no ring is ever gathered. A source's items are one
+    window partition. ``streaming.jobs.ring_quality`` is the same over a stream.
+    """
+    order = W.partitionBy("source").orderBy("ts", "event_id")
+    rows = served.where("item is not null").join(popularity, "item", "left").withColumn("at", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy("source")))
+    rows = rows.withColumn("until", F.least(F.lead("at").over(W.partitionBy("source", "item").orderBy("at")), F.col("at") + size))
+    mean = F.avg(F.coalesce("pct", F.lit(0.0))).over(order.rowsBetween(-(size - 1), 0))
+    rows = rows.select("source", "event_id", "at", F.coalesce("until", F.col("at") + size).alias("until"), "n", mean.alias("popularity"))
+    leave = rows.where("until <= n").groupBy("source", F.col("until").alias("at")).agg(F.count("*").alias("left"))
+    met = rows.join(leave, ["source", "at"], "left")
+    distinct = F.sum(1 - F.coalesce("left", F.lit(0))).over(W.partitionBy("source").orderBy("at"))
+    return met.select("source", "event_id", (distinct / F.lit(float(n_items))).alias("coverage"), "popularity")

@@ -177,8 +177,8 @@ def headline_metrics(spark, sf):
 
 @query("""WITH p AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS task, doc_id AS user_id, (quality - toxic)::DOUBLE AS diff, toxic::DOUBLE AS base FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
 n AS (SELECT task, count(*) AS n, avg(diff) AS lift, avg(diff) / nullif(avg(base), 0) AS relative_lift FROM p GROUP BY 1),
-r AS (SELECT task, row_number() OVER (PARTITION BY task ORDER BY user_id) - 1 AS pos, diff FROM p), g AS (SELECT task, n, b, unnest(range(0, n)) AS i FROM n, range(0, 2000) t(b)),
-d AS (SELECT task, b, ('0x' || substr(md5(task || '|' || b || '|' || i), 1, 12))::BIGINT % n AS pos FROM g), m AS (SELECT task, b, avg(diff) AS m FROM d JOIN r USING (task, pos) GROUP BY 1, 2),
+h AS (SELECT task, diff, part, md5(task || '|' || user_id || '|' || part) AS h FROM p, range(0, 250) t(part)), u AS (SELECT task, part * 8 + k AS b, diff, ('0x' || substr(h, 4 * k + 1, 4))::INTEGER AS u FROM h, range(0, 8) t(k)),
+m AS (SELECT task, b, sum(w * diff) / nullif(sum(w), 0) AS m FROM (SELECT *, list_sum(list_transform(""" + str(metrics.LAW) + """, lambda t: (u >= t)::INTEGER)) AS w FROM u) GROUP BY 1, 2),
 c AS (SELECT task, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) SELECT task, n, lift, relative_lift, low, high, low > 0 OR high < 0 AS significant FROM n JOIN c USING (task)""")
 def paired_bootstrap(spark, sf):
     labels = read_table(spark, sf, "labels").where("quality is not null and toxic is not null")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import core
-from ..sources.scratch import materialise
+from ..operators import metrics
+from ..operators.publish import load_version
+from ..sources.scratch import materialise, shared_path
+from ..sources.tables import read_table
 from ..streaming import jobs
 from .registry import query
 
@@ -54,6 +56,36 @@ def stream_coverage(spark, sf):
     return jobs.replay(jobs.coverage(jobs.events(spark, sf), 100), "complete")
 
 
+_RING = """WITH e AS (SELECT event_type AS source, event_id, ts, (props->>'k')::INTEGER AS item FROM events), pop AS (SELECT item, count(*) AS n FROM e WHERE item IS NOT NULL GROUP BY 1),
+pct AS (SELECT item, (row_number() OVER (ORDER BY n, item) - 1) / (SELECT count(*) FROM pop)::DOUBLE AS pct FROM pop)
+SELECT source, event_id, round(count(DISTINCT item) OVER w / 100.0::DOUBLE, 9) AS coverage, round(avg(pct) OVER w, 9) AS popularity FROM e JOIN pct USING (item)
+WINDOW w AS (PARTITION BY source ORDER BY ts, event_id ROWS BETWEEN 19999 PRECEDING AND CURRENT ROW)"""
+
+
+def _percentiles(spark, sf):
+    """``item, pct``: the share of items that are served less often; as many rows as there are items."""
+    pop = jobs.events(spark, sf, streaming=False).where("item is not null").groupBy("item").agg(F.count("*").alias("n"))
+    return materialise(pop.select("item", (F.expr("(row_number() OVER (ORDER BY n, item) - 1)") / pop.count()).alias("pct")))
+
+
+def _rounded(rows):
+    return rows.select("source", "event_id", F.round("coverage", 9).alias("coverage"), F.round("popularity", 9).alias("popularity"))
+
+
+@query(_RING)
+def stream_ring_quality(spark, sf):
+    """After each served item: coverage and mean popularity percentile of the source's last 20,000, from a stream's state."""
+    served = jobs.events(spark, sf).withColumnRenamed("event_type", "source")
+    with jobs.with_rocksdb(spark):
+        return _rounded(jobs.replay(jobs.ring_quality(served, _percentiles(spark, sf), 100), "append"))
+
+
+@query(_RING)
+def ring_quality(spark, sf):
+    """The same from the table of events."""
+    return _rounded(metrics.ring_quality(jobs.events(spark, sf, streaming=False).withColumnRenamed("event_type", "source"), _percentiles(spark, sf), 100))
+
+
 @query("SELECT DISTINCT event_id, user_id, event_type FROM events")
 def stream_dedupe_log(spark, sf):
     return jobs.replay(jobs.dedupe_log(jobs.events(spark, sf)), "append")
@@ -87,11 +119,18 @@ def rolling_quality(spark, sf):
     return last.agg(F.count("*").alias("n_events"), F.countDistinct("item").alias("n_items"), F.percentile("value", 0.95).alias("p95"))
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+@query("SELECT p_partkey AS item_id, p_name AS title, p_size AS updated FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 25 = 0)")
 def stream_new_titles(spark, sf):
-    """Each micro-batch lands as rows; the newest of each key is what a reader sees."""
-    landed = jobs.replay(jobs.events(spark, sf).select("user_id", "event_id", "ts"), "append")
-    return core.latest(materialise(landed), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id")
+    """Titles that land as JSON files, several batches of them, without those that the catalogue knows: here by maker. Each batch
+    publishes a version; the result is the live one."""
+    landing, root, checkpoint = shared_path(spark), shared_path(spark), shared_path(spark)
+    part = read_table(spark, sf, "part")
+    rows = part.select(F.col("p_partkey").alias("item_id"), F.col("p_brand").alias("key"), F.col("p_name").alias("title"), F.col("p_size").cast("long").alias("updated"))
+    rows.repartition(4, "item_id").write.json(landing)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).json(landing)
+    jobs.publish_new_titles(stream, part.where("p_partkey % 25 = 0").select("p_brand"), root, checkpoint)
+    live = load_version(spark, root)
+    return (rows.limit(0) if live is None else live).select("item_id", "title", "updated")
 
 
 @query(_WIN.format(agg="count(*) / 900.0 AS rate", n=3, slide=300) + " HAVING event_type IN ('click', 'purchase')")

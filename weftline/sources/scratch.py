@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; where that is unset, as in tests, under one of our own."""
+    """A new folder name under ``spark.checkpoint.dir``; where that is unset on one machine, as in tests, under one of our own.
+    A cluster must name it: other machines don't see a folder of the driver's."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-        base = spark.sparkContext.getCheckpointDir()
+        sc = spark.sparkContext
+        if not sc.getCheckpointDir():
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+        base = sc.getCheckpointDir()
     return f"{base}/weftline-{uuid.uuid4().hex}"
 
 

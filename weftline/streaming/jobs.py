@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators import core
+from ..operators.publish import load_version, publish_version
 
 from ..sources.scratch import shared_path
 
@@ -68,6 +74,67 @@ def coverage(ev: DataFrame, n_items: int) -> DataFrame:
     return rows.groupBy(*by).agg((F.size(F.collect_set("item")) / float(n_items)).alias("coverage")).select(F.unix_seconds("w.start").alias("start"), "coverage")
 
 
+#: Served items of a ring, the newest ones.
+RING = 20_000
+
+
+class _Ring(StatefulProcessor):
+    """State of a key: its last ``size`` served items with their popularity percentiles, oldest first, as a list."""
+
+    def __init__(self, n_items: int, size: int):
+        self.n_items, self.size = n_items, size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", "item int, pct double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        ring = deque(self.ring.get())
+        count, total = Counter(item for item, _ in ring), sum(pct for _, pct in ring)
+        coverage, mean = [], []
+        for item, pct in zip(new["item"].tolist(), new["pct"].tolist()):
+            ring.append((item, pct))
+            count[item] += 1
+            total += pct
+            if len(ring) > self.size:
+                item, pct = ring.popleft()
+                count[item] -= 1
+                total -= pct
+                if not count[item]:
+                    del count[item]
+            coverage.append(len(count) / self.n_items)
+            mean.append(total / len(ring))
+        self.ring.put(list(ring))
+        yield pd.DataFrame({"source": [key[0]] * len(new), "event_id": new["event_id"], "coverage": coverage, "popularity": mean})
+
+    def close(self) -> None:
+        pass
+
+
+def ring_quality(served: DataFrame, popularity: DataFrame, n_items: int, size: int = RING) -> DataFrame:
+    """``source, event_id, coverage, popularity`` after each served item: the share of all items among the source's last ``size``,
+    and their mean popularity percentile. ``served``: source, event_id, ts, item; ``popularity``: item, pct (0 where it lacks one).
+
+    A source's ring is its state; in a batch its items count in the order of time and id. ``metrics.ring_quality`` is the same
+    over a table. The state store must be RocksDB (``with_rocksdb``).
+    """
+    rows = served.where("item is not null").join(popularity, "item", "left").select("source", "event_id", "ts", "item", F.coalesce("pct", F.lit(0.0)).alias("pct"))
+    out = "source string, event_id long, coverage double, popularity double"
+    return rows.groupBy("source").transformWithStateInPandas(_Ring(n_items, size), out, "Append", "none")
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB; afterwards the session is as it was."""
+    name, of = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, of)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def dedupe_log(ev: DataFrame) -> DataFrame:
     return ev.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type")
 
@@ -101,6 +168,28 @@ def ttl_requests(ev: DataFrame, seconds: int = 300) -> DataFrame:
     return keyed.applyInPandasWithState(serve, "user_id long, item int, event_id long", "last long", "append", "EventTimeTimeout")
 
 
+def publish_new_titles(landing: DataFrame, known: DataFrame, root: str, checkpoint: str, keep: int = 3) -> None:
+    """Publishes a version of the new-title table for each micro-batch of landed titles, and ends when all are in.
+
+    ``landing``: a stream of item_id, key, vector, updated. Titles whose ``key`` is in ``known`` (one column) are left out; what is
+    live stays, and of rows with one item_id the latest counts. A version is named by its batch, so that a batch which runs again
+    after a failure publishes once; a batch that changes nothing publishes nothing. Readers see whole versions only.
+    """
+    spark = landing.sparkSession
+    names = known.toDF("key").distinct()
+
+    def publish(batch: DataFrame, number: int) -> None:
+        fresh = batch.join(names, "key", "left_anti")
+        if fresh.isEmpty():
+            return
+        live = load_version(spark, root)
+        rows = fresh if live is None else live.unionByName(fresh)
+        publish_version(core.latest(rows, ["item_id"], F.desc("updated"), "key").select(*batch.columns), root, version=f"batch-{number:010d}", keep=keep)
+
+    query = landing.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def replay(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there and gives its result: what ``complete`` last wrote, or all that was appended."""
     spark = stream.sparkSession
