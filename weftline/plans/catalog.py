@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import kinds
-from ..operators import core, franchise, logs, search
+from ..operators import content, core, franchise, logs, matching, search, works
 from ..sources.scratch import shared_path
 from ..sources.tables import interactions, items, read_table
 from .registry import query
@@ -41,10 +41,21 @@ def stable_id(spark, sf):
     return items(spark, sf).select("item_id", T.stable_id(F.col("domain"), F.col("title")).alias("id"))
 
 
-@query()
+def _noisy(it: DataFrame) -> DataFrame:
+    """Items whose titles sellers have dressed up: a studio, a year and a format for films, a platform for games."""
+    film = F.concat(F.lit("Disney's "), "title", F.lit(" ("), F.col("year").cast("string"), F.lit(") [Blu-ray + DVD] - Special Edition"))
+    return it.withColumn("title", F.when(F.col("domain") == "game", F.concat("title", F.lit(" - Xbox 360"))).otherwise(film))
+
+
+@query("WITH {T} SELECT item_id, CASE WHEN domain = 'game' THEN title ELSE 'Disney''s ' || title || ' (' || year || ')' END AS title FROM items")
 def display_title(spark, sf):
-    noisy = F.concat("title", F.lit(", The [Blu-ray] - Deluxe Edition PS4"))
-    return items(spark, sf).select("item_id", T.display_title(noisy).alias("title"))
+    return _noisy(items(spark, sf)).select("item_id", T.display_title(F.col("title"), F.col("domain")).alias("title"))
+
+
+@query("WITH {T} SELECT item_id, title AS query, CASE WHEN domain = 'movie' THEN year END AS year FROM items")
+def search_title(spark, sf):
+    it = _noisy(items(spark, sf))
+    return it.select("item_id", T.search_title(F.col("title"), F.col("domain")).alias("query"), T.title_year(F.col("title"), F.col("domain")).alias("year"))
 
 
 @query("SELECT p_partkey AS item_id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key FROM part")
@@ -132,6 +143,13 @@ def title_similarity(spark, sf):
     return pairs.select("a", "b", T.levenshtein_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
+@query()
+def title_ratio(spark, sf):
+    """Ratcliff and Obershelp's ratio of all titles that share a word's first letters."""
+    names = items(spark, sf).select(T.norm_words(F.col("title")).alias("key")).distinct()
+    return matching.similar_keys(names, names.select(F.col("key").alias("name"), F.lit(1.0).alias("cap"), F.lit(0).alias("votes"))).select("key", "name", "sim")
+
+
 @query("SELECT doc_id, log2(1 + n_chars) AS a, ln(1 + n_chars) AS b, sqrt(n_chars) AS c, greatest(least(n_chars, 1000), 10) AS d FROM documents")
 def math_scalars(spark, sf):
     n = F.col("n_chars")
@@ -256,9 +274,18 @@ def _canonical(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("item_id", "domain", "title", key.alias("key"), T.stable_id(F.col("domain"), key).alias("work_id"))
 
 
-@query(CANON + " SELECT item_id, substr(domain, 1, 1) || '_' || substr(sha1(domain || '|' || key), 1, 10) AS work_id FROM w")
+@query("""WITH {T}, r AS (SELECT item_id, domain, regexp_replace(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an) ', '') AS norm, CASE WHEN item_id % 3 = 0 THEN year END AS stated, CASE WHEN item_id % 7 > 0 THEN year END AS meta FROM items),
+c AS (SELECT *, coalesce(stated, CASE WHEN domain = 'game' THEN meta END) AS y, min(CASE WHEN stated IS NULL THEN 3 ELSE 1 END) OVER (PARTITION BY domain, norm) AS tol FROM r), ys AS (SELECT domain, norm, y, tol, count(*) AS n FROM c WHERE y IS NOT NULL GROUP BY ALL),
+g AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY domain, norm ORDER BY y) > tol THEN 1 ELSE 0 END AS nw FROM ys), k AS (SELECT *, sum(nw) OVER (PARTITION BY domain, norm ORDER BY y) AS cl FROM g),
+f AS (SELECT *, min(y) OVER (PARTITION BY domain, norm, cl) AS first, sum(n) OVER (PARTITION BY domain, norm, cl) AS size FROM k), h AS (SELECT domain, norm, count(DISTINCT first) AS clusters, arg_max(first, (size, -first)) AS largest FROM f GROUP BY ALL),
+o AS (SELECT item_id, c.domain, c.norm, CASE WHEN clusters > 1 THEN coalesce(first, largest) END AS cluster FROM c LEFT JOIN f ON f.domain = c.domain AND f.norm = c.norm AND f.y = c.y LEFT JOIN h ON h.domain = c.domain AND h.norm = c.norm)
+SELECT item_id, cluster::INTEGER AS cluster, substr(domain, 1, 1) || '_' || substr(sha1(domain || '|' || CASE WHEN cluster IS NULL THEN norm ELSE norm || '|' || cluster END), 1, 10) AS work_id FROM o""")
 def canonicalize(spark, sf):
-    return _canonical(spark, sf).select("item_id", "work_id")
+    """Products as editions of works; a third of the titles states its year, and a seventh of the metadata has none."""
+    it = items(spark, sf)
+    rows = it.withColumn("title", F.when(F.col("item_id") % 3 == 0, F.concat("title", F.lit(" ("), F.col("year").cast("string"), F.lit(")"))).otherwise(F.col("title")))
+    rows = rows.withColumn("year", F.when(F.col("item_id") % 7 > 0, F.col("year"))).select("item_id", "domain", "title", "year")
+    return works.canonicalize(rows).select("item_id", F.col("cluster").cast("int").alias("cluster"), "work_id")
 
 
 @query(CANON + " SELECT domain, key, count(*) AS n_products, min(item_id) AS first_item FROM w GROUP BY 1, 2")
@@ -380,11 +407,11 @@ def prefix_search(spark, sf):
 
 @query()
 def suggest_titles(spark, sf):
-    """Misspelt titles: those that share a four-letter prefix, by similarity, three each."""
-    names = items(spark, sf).select("title").distinct()
-    bad = names.select(F.concat("title", F.lit("x")).alias("q")).withColumn("prefix", F.substring(F.lower("q"), 1, 4))
-    near = bad.join(names.withColumn("prefix", F.substring(F.lower("title"), 1, 4)), "prefix").withColumn("s", T.levenshtein_similarity(F.col("q"), F.col("title"))).where("s >= 0.5")
-    return core.top(near, ["q"], 3, F.desc("s"), "title").select("q", "title", "s", "rank")
+    """Misspelt titles, here each without its third letter: the three most alike of the popular ones that share a word's first letters."""
+    it = items(spark, sf)
+    titles = it.join(core.item_stats(interactions(spark, sf)).select("item_id", "popularity"), "item_id", "left").na.fill(0, ["popularity"])
+    asked = it.select(F.concat(F.substring("title", 1, 2), F.substr("title", F.lit(4))).alias("q"))
+    return matching.suggest(asked, titles).select("q", "item_id", "title", "s", "rank")
 
 
 @query("WITH {T}, d AS (SELECT title, domain, min(item_id) AS item_id FROM items GROUP BY 1, 2) SELECT title, arg_min(item_id, (domain, item_id)) AS best, count(*) > 1 AS ambiguous FROM d GROUP BY 1")
@@ -393,35 +420,65 @@ def resolve_titles(spark, sf):
     return d.groupBy("title").agg(F.min_by("item_id", F.struct("domain", "item_id")).alias("best"), (F.count("*") > 1).alias("ambiguous"))
 
 
-def _but_own(it: DataFrame, by: list[str], value: str, smallest: bool) -> DataFrame:
-    """For each group the best ``value`` and whose it is (``v1``, ``id1``), and the best among all others' (``v2``)."""
-    two = core.top(it, by, 2, F.asc(value) if smallest else F.desc(value), "item_id")
-    at = lambda r, c: F.max(F.when(F.col("rank") == r, F.col(c)))
-    return two.groupBy(*by).agg(at(1, "item_id").alias("id1"), at(1, value).alias("v1"), at(2, value).alias("v2"))
+def _works(spark: SparkSession, sf: str) -> DataFrame:
+    """Works of another source: the titles as they are, with the number of ratings as votes; every third title has a series' name in front."""
+    n = core.item_stats(interactions(spark, sf)).select("item_id", "rating_count")
+    it = items(spark, sf).join(n, "item_id", "left").na.fill(0, ["rating_count"])
+    title = F.when(F.col("item_id") % 3 == 0, F.concat_ws(": ", "creator", "title")).otherwise(F.col("title"))
+    kind = F.when(F.col("domain") == "game", "game").when(F.col("item_id") % 2 == 0, "tv").otherwise("movie")
+    return it.select(F.col("item_id").alias("ext_id"), "domain", kind.alias("kind"), title.alias("title"), F.lit(None).cast("string").alias("original_title"), "year", F.col("rating_count").alias("votes"))
+
+
+def _asked(spark: SparkSession, sf: str, domain: str) -> DataFrame:
+    return _noisy(items(spark, sf).where(F.col("domain") == domain)).select("item_id", "title", "year", (F.col("item_id") % 2 == 0).alias("tv_hint"))
 
 
 @query()
 def fuzzy_match_movie(spark, sf):
-    """Films against all other items that share the first word: similarity with a bonus for near years and votes, best each."""
-    it = items(spark, sf).join(core.item_stats(interactions(spark, sf)).select("item_id", "rating_count"), "item_id", "left").na.fill(0, ["rating_count"])
-    left = it.where("domain = 'movie'").select("item_id", "title", "year", F.split(F.lower("title"), " ")[0].alias("block"))
-    right = _but_own(it, ["title", "year"], "rating_count", False).select(F.col("title").alias("t"), F.col("year").alias("y"), "id1", "v1", "v2", F.split(F.lower("title"), " ")[0].alias("block"))
-    sim = T.levenshtein_similarity(F.lower("title"), F.lower("t"))
-    rows = left.join(right, "block").where(F.abs(F.col("year") - F.col("y")) <= 1).withColumn("votes", F.when(F.col("id1") == F.col("item_id"), F.col("v2")).otherwise(F.col("v1")))
-    rows = rows.where("votes is not null").withColumn("sim", sim).where("sim >= 0.88")
-    key = F.col("sim") + F.when(F.col("year") == F.col("y"), 0.15).otherwise(0.0) + 0.03 * F.log1p(F.col("votes").cast("double"))
-    return core.top(rows.withColumn("key", key), ["item_id"], 1, F.desc("key"), "t", "y").select("item_id", "t", "y", "sim")
+    """Films as sellers call them against the works of another source."""
+    return matching.match_films(_asked(spark, sf, "movie"), _works(spark, sf).where("domain = 'movie'").drop("domain"))
 
 
 @query()
 def fuzzy_match_game(spark, sf):
-    """As for films with three years of tolerance; exact names are tried before similar ones."""
+    return matching.match_games(_asked(spark, sf, "game"), _works(spark, sf).where("domain = 'game'").drop("domain"))
+
+
+@query()
+def external_merge_map(spark, sf):
+    """Items that matched the same work for sure, and the most popular of them."""
+    works_of = _works(spark, sf)
+    films, games = (match(_asked(spark, sf, d), works_of.where(F.col("domain") == d).drop("domain")).withColumn("domain", F.lit(d)) for match, d in ((matching.match_films, "movie"), (matching.match_games, "game")))
+    return matching.merge_map(films.unionByName(games), core.item_stats(interactions(spark, sf)).select("item_id", "popularity"))
+
+
+_LANDED = """WITH {T}, g AS (SELECT item_id, domain, title, creator, year, genres[1] AS g FROM items),
+b AS (SELECT 'screen' AS source, item_id AS ext_id, 'movie' AS domain, CASE WHEN item_id % 2 = 0 THEN 'movie' ELSE 'tv' END AS kind, title, year, item_id % 1000 AS votes, [g] AS genres FROM g WHERE domain = 'movie'
+ UNION ALL SELECT 'games', item_id, 'game', 'game', title, year, item_id % 1000, [g] FROM g WHERE domain = 'game'),
+r AS (SELECT source || '_' || kind || '_' || ext_id AS id, * FROM b),
+a AS (SELECT item_id AS ext_id, CASE WHEN item_id % 2 = 0 THEN 'movie' ELSE 'tv' END AS kind, title, creator, year + 1 AS year, item_id % 500 AS votes FROM g WHERE item_id % 9 = 0),
+n AS (SELECT ext_id, kind, year, unnest([title, creator]) AS name FROM a), m AS (SELECT n.ext_id, min(r.id) AS same FROM n JOIN r ON r.domain = 'movie' AND lower(r.title) = lower(name) AND r.kind = n.kind AND abs(r.year - n.year) <= 1 GROUP BY 1),
+t AS (SELECT id, source, ext_id, domain, title, year, votes, CASE WHEN id IN (SELECT same FROM m) THEN list_concat(['Anime'], genres) ELSE genres END AS genres FROM r
+ UNION ALL SELECT 'anime_' || kind || '_' || ext_id, 'anime', ext_id, 'movie', title, year, votes, ['Anime', 'Action'] FROM a WHERE ext_id NOT IN (SELECT ext_id FROM m))"""
+
+
+@query(_LANDED + """ SELECT id AS item_id, title, year::INTEGER AS year, votes, array_to_string(genres, ',') AS genres FROM t WHERE NOT (source = 'screen' AND ext_id % 10 = 0)
+ AND NOT (year <= 2023 AND (domain, lower(title)) IN (SELECT (domain, lower(title)) FROM items WHERE item_id <= 3))""")
+def new_title_table(spark, sf):
+    """New titles from landed responses of four shapes, anime merged into films and series, without what the catalogue has."""
     it = items(spark, sf)
-    left = it.where("domain = 'game'").select("item_id", "title", "year", F.split(F.lower("title"), " ")[0].alias("block"))
-    right = _but_own(it, ["title"], "year", True).select(F.col("title").alias("t"), "id1", "v1", "v2", F.split(F.lower("title"), " ")[0].alias("block"))
-    rows = left.join(right, "block").withColumn("y", F.when(F.col("id1") == F.col("item_id"), F.col("v2")).otherwise(F.col("v1"))).where(F.abs(F.col("year") - F.col("y")) <= 3)
-    rows = rows.withColumn("pool", F.when(F.col("title") == F.col("t"), 0).otherwise(1)).withColumn("sim", T.levenshtein_similarity(F.lower("title"), F.lower("t"))).where("sim >= 0.88")
-    return core.top(rows, ["item_id"], 1, "pool", F.desc("sim"), "t").select("item_id", "t", "y", "sim")
+    date, some = F.concat_ws("-", F.col("year").cast("string"), F.lit("05-01")), F.array(F.struct(F.col("genres")[0].alias("name")))
+    votes, even = (F.col("item_id") % 1000), F.col("item_id") % 2 == 0
+    film = it.where((F.col("domain") == "movie") & even).select(F.to_json(F.struct(F.col("item_id").alias("id"), "title", date.alias("release_date"), votes.alias("vote_count"), some.alias("genres"))).alias("json"))
+    series = it.where((F.col("domain") == "movie") & ~even).select(F.to_json(F.struct(F.col("item_id").alias("id"), F.col("title").alias("name"), date.alias("first_air_date"), votes.alias("vote_count"), some.alias("genres"))).alias("json"))
+    game = it.where("domain = 'game'").select(F.to_json(F.struct(F.col("item_id").alias("id"), F.col("title").alias("name"), F.unix_seconds(F.to_timestamp(date)).alias("first_release_date"), votes.alias("total_rating_count"), some.alias("genres"))).alias("json"))
+    anime = it.where("item_id % 9 = 0").select(F.to_json(F.struct(
+        F.col("item_id").alias("id"), F.struct(F.col("title").alias("english"), F.col("creator").alias("romaji")).alias("title"), F.struct((F.col("year") + 1).alias("year")).alias("startDate"),
+        F.when(even, "MOVIE").otherwise("TV").alias("format"), (F.col("item_id") % 500).alias("popularity"), F.array(F.lit("Action")).alias("genres"))).alias("json"))
+    rows = works.flatten_titles(film, "film").unionByName(works.flatten_titles(series, "series")).unionByName(works.flatten_titles(game, "game"))
+    merged = works.merge_sources(rows, works.flatten_titles(anime, "anime"))
+    known = it.where("domain = 'movie' and item_id % 10 = 0").select(F.lit("screen").alias("source"), F.col("item_id").alias("ext_id"))
+    return works.new_titles(merged, known, it.where("item_id <= 3").select("domain", "title")).select("item_id", "title", "year", "votes", F.array_join("genres", ",").alias("genres"))
 
 
 @query("WITH {T} SELECT item_id, coalesce(label, -1)::INTEGER AS ext_id, CASE WHEN label IS NULL THEN title ELSE title || ' #' || label END AS text FROM items LEFT JOIN embeddings ON item_id = vec_id")
@@ -442,7 +499,7 @@ def join_external_id(spark, sf):
 def embedding_cache(spark, sf):
     """A cache that holds a third of the texts, after the rest has been encoded and all was written back."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    encode = lambda rows: rows.select("text_key", F.array(F.length("text").cast("float")).alias("vector"))
+    encode = lambda rows: content.encode_texts(rows.select("text_key", "text")).select("text_key", F.concat(F.array(F.length("text").cast("double")), "vector").alias("vector"))
     held = docs.where("doc_id % 3 = 0 and text is not null").select(F.sha1(F.col("text").cast("binary")).alias("text_key"), "text").dropDuplicates(["text_key"])
     path = shared_path(spark)
     logs.update_cache(docs, encode(held), encode).write.parquet(path)

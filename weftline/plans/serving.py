@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import core, models
+from ..operators import core, models, works
 from ..operators import explain as explaining
 from ..operators.publish import load_version, publish_version
 from ..sources.scratch import shared_path
@@ -66,11 +66,13 @@ def same_universe(spark, sf):
     return core.top(links, ["user_id", "title"], 1, "dst").select("user_id", "title", F.col("dst").alias("item_id"), "via")
 
 
-@query("WITH {I}, {T}, o AS (SELECT user_id, title, item_id, row_number() OVER (PARTITION BY user_id, title ORDER BY rating DESC, item_id) AS r, rating FROM inter JOIN items USING (item_id)) SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id)::INTEGER AS rank FROM o WHERE r = 1")
+@query("""WITH {I}, {T}, o AS (SELECT user_id, items.item_id, items.creator, row_number() OVER (PARTITION BY user_id, items.domain, title ORDER BY rating DESC, items.item_id) AS r, rating FROM inter JOIN items USING (item_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id, creator ORDER BY rating DESC, item_id) AS q FROM o WHERE r = 1) SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id)::INTEGER AS rank FROM f WHERE q = 1""")
 def dedupe_works(spark, sf):
-    rows = interactions(spark, sf).join(items(spark, sf).select("item_id", "title"), "item_id")
-    first = core.top(rows, ["user_id", "title"], 1, F.desc("rating"), "item_id", name="r")
-    return core.ranked(first, ["user_id"], F.desc("rating"), "item_id").select("user_id", "item_id", "rank")
+    """Each user's ratings, best first: one for each kind and title, then one for each maker."""
+    it = items(spark, sf).select("item_id", F.col("domain").alias("kind"), F.col("title").alias("key"), F.col("creator").alias("family"))
+    rows = core.ranked(interactions(spark, sf).select("user_id", "item_id", "rating"), ["user_id"], F.desc("rating"), "item_id").join(it, "item_id")
+    return works.dedupe_works(rows).select("user_id", "item_id", "rank")
 
 
 @query("""WITH {I}, s AS (SELECT p_partkey AS item_id, p_partkey + 1 AS alt FROM part WHERE p_partkey % 11 = 0), k AS (SELECT user_id, item_id, rating FROM inter WHERE item_id NOT IN (SELECT item_id FROM s))
