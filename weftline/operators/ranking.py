@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,10 +22,17 @@ def source_ranks(scores: DataFrame) -> DataFrame:
     return ordered.withColumn("rank", F.least(F.col("rank") - 1, F.lit(RANK_CAP)))
 
 
-def candidates(scores: DataFrame, seen: DataFrame, k: int = 100) -> DataFrame:
-    """``(user_id, item_id, sources)``: the ``k`` best unseen items of every source with the sources that name them."""
+#: Unseen items that each source names, and what sources name fewer.
+PER_SOURCE, FEWER = 100, {"popularity": 50}
+
+
+def candidates(scores: DataFrame, seen: DataFrame, k: int = PER_SOURCE, fewer: dict[str, int] = FEWER) -> DataFrame:
+    """``(user_id, item_id, sources)``: the ``k`` best unseen items of every source with the sources that name them; of the sources
+    in ``fewer`` so many. A source without a score other than 0 names nothing."""
     new = scores.where("score <> 0").join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     best = core.top(new, ["user_id", "source"], k, F.desc("score"), "item_id")
+    for source, most in fewer.items():
+        best = best.where((F.col("source") != source) | (F.col("rank") <= most))
     return best.groupBy("user_id", "item_id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
 
 
@@ -104,6 +112,34 @@ def pairwise_ranker(rows: DataFrame, features: list[str]):
     return LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", fitIntercept=False, regParam=0.01, maxIter=20).fit(data)
 
 
+#: Of the queries, those that stop the trees; rounds, depth and step of the trees.
+HELD_BACK, ROUNDS, DEPTH, STEP = 0.15, 60, 4, 0.1
+
+
+def held_back(query: Column, share: float = HELD_BACK) -> Column:
+    """Whole queries, by hash of their id."""
+    return F.pmod(F.xxhash64(F.lit("held back"), query), F.lit(10_000)) < int(10_000 * share)
+
+
+def tree_ranker(rows: DataFrame, features: list[str], rounds: int = ROUNDS, depth: int = DEPTH, step: float = STEP, seed: int = 7):
+    """Boosted trees over ``features`` (nulls count as 0), which stop where the loss on held-back queries falls no more.
+
+    ``rows`` as for ``pairwise_ranker``. Queries weigh the same, and in each the relevant rows as much as all others together.
+    """
+    own = W.partitionBy("user_id", "label")
+    rows = rows.na.fill(0.0, features).withColumns({"__w": 1.0 / F.count("*").over(own), "__held": held_back(F.col("user_id")), "__y": F.col("label").cast("double")})
+    data = VectorAssembler(inputCols=features, outputCol="x").transform(rows)
+    trees = GBTClassifier(featuresCol="x", labelCol="__y", weightCol="__w", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed, validationIndicatorCol="__held")
+    return trees.fit(data)
+
+
+def tree_scores(rows: DataFrame, model, features: list[str], out: str = "ranked") -> DataFrame:
+    """``rows`` with the trees' probability that a row is relevant."""
+    data = VectorAssembler(inputCols=features, outputCol="__x").transform(rows.na.fill(0.0, features))
+    scored = model.setFeaturesCol("__x").setPredictionCol("__prediction").setProbabilityCol("__probability").setRawPredictionCol("__raw").transform(data)
+    return scored.withColumn(out, vector_to_array("__probability")[1]).drop("__x", "__prediction", "__probability", "__raw")
+
+
 def linear_score(features: list[str], weights: list[float]) -> Column:
     return sum((F.col(f) * float(w) for f, w in zip(features, weights, strict=True)), F.lit(0.0))
 

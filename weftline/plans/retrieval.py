@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import core, metrics, models, ranking
+from ..operators import content, core, features, metrics, models, ranking
 from ..sources.scratch import materialise
 from ..sources.tables import interactions, items, read_table
 from .registry import query
@@ -141,12 +141,50 @@ t AS (SELECT doc_id, unnest(w) AS term FROM w UNION ALL SELECT doc_id, unnest(li
 tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 raw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n WHERE df >= 2 AND df <= 0.5 * n),
 l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM raw GROUP BY 1) SELECT doc_id, count(*) AS n_terms, round(max(w / l), 6) AS top FROM raw JOIN l USING (doc_id) GROUP BY 1""")
-def content_embeddings(spark, sf):
+def content_terms(spark, sf):
+    """TF-IDF of words and word pairs: how many terms a document has and the largest weight among them."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     rows = models.tf_idf(docs, ["the", "and", "of", "to", "der", "die", "le", "la"])
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top"))
 
 
+def _item_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with their text and themes: title, type and maker, and the words of the type."""
+    return items(spark, sf).select("item_id", F.concat_ws(". ", "title", F.array_join("genres", ", "), "creator").alias("text"), F.split(F.col("genres")[0], " ").alias("themes"))
+
+
+def _content_model(spark: SparkSession, sf: str) -> tuple[DataFrame, content.ContentModel]:
+    rows = _item_texts(spark, sf)
+    themes = sorted(r["t"] for r in rows.select(F.explode("themes").alias("t")).distinct().limit(1_000).collect())  # types are made of fifteen words
+    return rows, content.fit_content(rows, ["the", "and", "of", "to"], themes, "item_id")
+
+
+@query()
+def content_embeddings(spark, sf):
+    """Every item's vector: the text's projection on the singular vectors of all texts, and its themes."""
+    rows, model = _content_model(spark, sf)
+    return model.transform(rows, themes_col="themes").select("item_id", "vector")
+
+
+@query()
+def content_query(spark, sf):
+    """The twenty items nearest to wishes in free words and themes, here one for each maker: its name and the type it makes most."""
+    rows, model = _content_model(spark, sf)
+    kinds = core.top(items(spark, sf).groupBy("creator", F.col("genres")[0].alias("kind")).count(), ["creator"], 1, F.desc("count"), "kind")
+    asked = kinds.select("creator", F.concat_ws(" ", F.lit("something by"), "creator").alias("words"), F.split("kind", " ").alias("themes"))
+    asked = asked.withColumn("text", F.concat_ws(" ", "words", F.array_join("themes", " ")))
+    wishes = model.transform(asked, themes_col="themes").select(F.xxhash64("creator").alias("user_id"), "creator", F.posexplode("vector").alias("dim", "x"))
+    wishes = materialise(wishes)
+    best = models.best_by_vector(wishes.drop("creator"), model.transform(rows, themes_col="themes").select("item_id", F.col("vector").alias("v")), 20)
+    return best.join(wishes.select("user_id", "creator").distinct(), "user_id").select("creator", "item_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def encode_texts(spark, sf):
+    """Vectors of the items' texts by an encoder that each task makes for itself."""
+    return content.encode_texts(_item_texts(spark, sf)).select("item_id", "vector")
+
+
 def _als(spark: SparkSession, sf: str, domain: str | None) -> DataFrame:
     likes = _likes(spark, sf)
     model = models.als(likes.where(F.col("domain") == domain) if domain else likes, rank=16, rounds=5)
@@ -204,26 +242,31 @@ def similar_items(spark, sf):
 SRC = KNN + """, popsrc AS (SELECT user_id, pop.item_id, ln(1 + p) AS score FROM (SELECT DISTINCT user_id FROM inter), (SELECT * FROM pop ORDER BY p DESC, item_id LIMIT 50) pop),
 allsrc AS (SELECT user_id, item_id, 'item_knn' AS source, round(score, 9) AS score FROM scores WHERE abs(score) > 1e-12 UNION ALL SELECT user_id, item_id, 'popularity', round(score, 9) FROM popsrc),
 unseen AS (SELECT * FROM allsrc a WHERE NOT EXISTS (SELECT 1 FROM inter x WHERE x.user_id = a.user_id AND x.item_id = a.item_id)),
-cand AS (SELECT user_id, item_id, list_sort(list(source)) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY user_id, source ORDER BY score DESC, item_id) AS r FROM unseen) WHERE r <= 20 GROUP BY 1, 2)"""
+cand AS (SELECT user_id, item_id, list_sort(list(source)) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY user_id, source ORDER BY score DESC, item_id) AS r FROM unseen) WHERE r <= CASE WHEN source = 'popularity' THEN 50 ELSE 100 END GROUP BY 1, 2)"""
 RRF = SRC + """, rk AS (SELECT *, least(row_number() OVER (PARTITION BY user_id, source ORDER BY score DESC, item_id) - 1, 1000) AS rank FROM allsrc WHERE score <> 0),
 kn AS (SELECT user_id, item_id, sum(1 / (60 + rank)) AS s, count(*) AS n FROM rk GROUP BY 1, 2),
 fused AS (SELECT cand.user_id, cand.item_id, sources, coalesce(s, 0) + (2 - coalesce(n, 0)) / 1060.0 AS score FROM cand LEFT JOIN kn USING (user_id, item_id))"""
 
 
-def _sources(spark: SparkSession, sf: str) -> DataFrame:
-    inter = interactions(spark, sf)
+def _sources_of(inter: DataFrame) -> DataFrame:
+    """``user_id, item_id, source, score`` of neighbours and popularity."""
     best = core.positives(inter).groupBy("item_id").agg(F.count("*").alias("p")).orderBy(F.desc("p"), "item_id").limit(50)  # fifty rows, whatever the input
     popular = inter.select("user_id").distinct().crossJoin(F.broadcast(best)).select("user_id", "item_id", F.lit("popularity").alias("source"), F.round(F.log1p(F.col("p").cast("double")), 9).alias("score"))
-    return _scores(spark, sf).select("user_id", "item_id", F.lit("item_knn").alias("source"), F.round("score", 9).alias("score")).unionByName(popular)
+    near = models.score(models.signed_history(inter), models.item_knn(core.positives(inter))).where("abs(score) > 1e-12")
+    return near.select("user_id", "item_id", F.lit("item_knn").alias("source"), F.round("score", 9).alias("score")).unionByName(popular)
+
+
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    return _sources_of(materialise(interactions(spark, sf)))
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.candidates(_sources(spark, sf), interactions(spark, sf), 20)
+    return ranking.candidates(_sources(spark, sf), interactions(spark, sf))
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
     sources = materialise(_sources(spark, sf))  # read twice
-    return ranking.rrf(ranking.candidates(sources, interactions(spark, sf), 20), ranking.source_ranks(sources), ["item_knn", "popularity"])
+    return ranking.rrf(ranking.candidates(sources, interactions(spark, sf)), ranking.source_ranks(sources), ["item_knn", "popularity"])
 
 
 @query(f"WITH {SRC} SELECT user_id, item_id, array_to_string(sources, ',') AS sources FROM cand")
@@ -279,45 +322,73 @@ def theme_match(spark, sf):
     return _candidates(spark, sf).select("user_id", "item_id").join(it, "item_id", "left").join(wanted, ["user_id", "g"], "left").groupBy("user_id", "item_id").agg(F.count("hit").alias("n_match"))
 
 
+SOURCES = ["item_knn", "popularity"]
+_HIST = """, hf AS (SELECT user_id, count(*)::DOUBLE AS n_hist, count(*) FILTER (weight > 0) AS n_pos, count(*) FILTER (weight > 0 AND d = 'movie') AS n_movie, count(*) FILTER (weight > 0 AND d = 'game') AS n_game, count(*) FILTER (weight < 0)::DOUBLE AS n_dislikes,
+ median(year) FILTER (weight > 0) AS mid, list_distinct(list(creator) FILTER (weight > 0)) AS creators, list_distinct(flatten(list(themes[1:3]) FILTER (weight < 0))) AS avoided
+ FROM hist JOIN (SELECT item_id, domain AS d, year, creator, string_split(genres[1], ' ') AS themes FROM items) USING (item_id) GROUP BY 1),
+pt AS (SELECT user_id, theme, count(*) AS n FROM (SELECT user_id, unnest(string_split(genres[1], ' ')[1:4]) AS theme FROM hist JOIN items USING (item_id) WHERE weight > 0) GROUP BY 1, 2),
+pf AS (SELECT user_id, list(theme) AS known, sum(n) AS total, list(theme ORDER BY n DESC, theme)[1:6] AS top FROM pt GROUP BY 1),
+st AS (SELECT item_id, count(*) FILTER (rating >= 4) AS pop, avg(rating) AS m, count(*) AS n FROM inter GROUP BY 1),
+e AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings),
+sm AS (SELECT c.user_id, c.item_id, greatest(max(x) FILTER (weight > 0), -2) AS hi, avg(x) FILTER (weight > 0) AS mean, max(x) FILTER (weight < 0) AS lo
+ FROM (SELECT c.user_id, c.item_id, weight, CASE WHEN a.l > 0 AND b.l > 0 THEN list_dot_product(a.v, b.v) / (a.l * b.l) ELSE 0 END AS x FROM cand c JOIN hist h USING (user_id) LEFT JOIN e a ON a.item_id = c.item_id LEFT JOIN e b ON b.item_id = h.item_id) c GROUP BY 1, 2),
+cl AS (SELECT c.user_id, c.item_id, max(co.c) AS hi, sum(co.c) AS total FROM cand c JOIN hist h ON h.user_id = c.user_id AND weight > 0 JOIN co ON i = h.item_id AND j = c.item_id GROUP BY 1, 2),
+sp AS (SELECT c.user_id, c.item_id, coalesce(max(a.score) FILTER (a.source = 'item_knn'), 0) AS item_knn_score, coalesce(max(a.score) FILTER (a.source = 'popularity'), 0) AS popularity_score,
+ ln(1 + coalesce(min(a.rank) FILTER (a.source = 'item_knn'), 1000)) AS item_knn_rank, ln(1 + coalesce(min(a.rank) FILTER (a.source = 'popularity'), 1000)) AS popularity_rank FROM cand c LEFT JOIN rk a ON a.user_id = c.user_id AND a.item_id = c.item_id GROUP BY 1, 2),
+fz AS (SELECT *, CASE WHEN stddev_pop(item_knn_score) OVER w > 0 THEN (item_knn_score - avg(item_knn_score) OVER w) / stddev_pop(item_knn_score) OVER w ELSE 0 END AS item_knn_z,
+ CASE WHEN stddev_pop(popularity_score) OVER w > 0 THEN (popularity_score - avg(popularity_score) OVER w) / stddev_pop(popularity_score) OVER w ELSE 0 END AS popularity_z FROM sp WINDOW w AS (PARTITION BY user_id)),
+own AS (SELECT c.user_id, c.item_id, len(sources) AS n_sources, domain, year, creator, list_distinct(string_split(genres[1], ' ')) AS own FROM cand c JOIN items USING (item_id)),
+af AS (SELECT o.user_id, o.item_id, sum(pt.n) AS n FROM (SELECT user_id, item_id, unnest(own) AS theme FROM own) o JOIN pt ON pt.user_id = o.user_id AND pt.theme = o.theme GROUP BY 1, 2)"""
+
+
+def _history_inputs(spark: SparkSession, sf: str, inter: DataFrame) -> dict[str, DataFrame]:
+    """What features are made of besides candidates and scores."""
+    return {
+        "history": models.signed_history(inter), "items": items(spark, sf).withColumn("themes", F.split(F.col("genres")[0], " ")), "stats": core.item_stats(inter),
+        "vectors": _vectors(spark, sf), "pairs": models.cooccurrence(core.positives(inter)),
+    }
+
+
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates with features: sources, fused score, popularity, bayes rating, creator matches, year gap."""
-    inter, it = interactions(spark, sf), items(spark, sf)
-    stats = core.item_stats(inter)
-    prior = stats.agg(F.avg("rating_mean").alias("prior"))  # one row
-    stats = stats.crossJoin(F.broadcast(prior)).select("item_id", "popularity", ((F.col("rating_mean") * F.col("rating_count") + F.col("prior") * 10) / (F.col("rating_count") + 10)).alias("bayes"))
-    liked = core.positives(inter).join(it.select("item_id", "creator", "year"), "item_id")
-    creators = liked.select("user_id", "creator").distinct().withColumn("creator_match", F.lit(1))
-    taste = liked.groupBy("user_id").agg(F.median("year").alias("mid"), F.count("*").alias("n_history"))
-    rows = _fused(spark, sf).join(it.select("item_id", "creator", "year"), "item_id").join(stats, "item_id").join(creators, ["user_id", "creator"], "left").join(taste, "user_id", "left")
-    return rows.select(
-        "user_id", "item_id", "score", F.size("sources").cast("double").alias("n_sources"), F.log1p(F.col("popularity").cast("double")).alias("log_popularity"), "bayes",
-        F.coalesce("creator_match", F.lit(0)).cast("double").alias("creator_match"), F.coalesce(F.abs(F.col("year") - F.col("mid")), F.lit(0.0)).alias("year_gap"), F.coalesce("n_history", F.lit(0)).cast("double").alias("n_history"),
-    )
-
-
-FEATURES = ["n_sources", "log_popularity", "bayes", "creator_match", "year_gap"]
-
-
-@query(f"""WITH {RRF}, {{T}}, st AS (SELECT item_id, count(*) FILTER (rating >= 4) AS pop, avg(rating) AS m, count(*) AS n FROM inter GROUP BY 1), li AS (SELECT user_id, creator, year FROM likes JOIN items USING (item_id)),
-ta AS (SELECT user_id, median(year) AS mid, count(*) AS n_history FROM li GROUP BY 1)
-SELECT f.user_id, f.item_id, len(sources)::DOUBLE AS n_sources, ln(1 + pop) AS log_popularity, (m * n + (SELECT avg(m) FROM st) * 10) / (n + 10) AS bayes,
- (EXISTS (SELECT 1 FROM li WHERE li.user_id = f.user_id AND li.creator = items.creator))::INT::DOUBLE AS creator_match, coalesce(abs(items.year - mid), 0)::DOUBLE AS year_gap, coalesce(n_history, 0)::DOUBLE AS n_history
-FROM fused f JOIN items USING (item_id) JOIN st USING (item_id) LEFT JOIN ta USING (user_id)""")
+    inter = materialise(interactions(spark, sf))
+    scores = materialise(_sources_of(inter))
+    return features.features(ranking.candidates(scores, inter), scores, SOURCES, **_history_inputs(spark, sf, inter))
+
+
+@query(f"""WITH {RRF}, {{T}}{_HIST}
+SELECT fz.user_id, fz.item_id, item_knn_score, item_knn_rank, round(item_knn_z, 5) + 0::DOUBLE AS item_knn_z, popularity_score, popularity_rank, round(popularity_z, 5) + 0::DOUBLE AS popularity_z, n_sources::DOUBLE AS n_sources, (domain = 'game')::INT::DOUBLE AS is_game,
+ coalesce(CASE WHEN domain = 'game' THEN n_movie ELSE n_game END, 0) / greatest(coalesce(n_pos, 0), 1) AS cross_domain_frac, coalesce(n_hist, 0) AS n_hist, coalesce(CASE WHEN domain = 'game' THEN n_game ELSE n_movie END, 0)::DOUBLE AS n_hist_same,
+ coalesce(CASE WHEN domain = 'game' THEN n_movie ELSE n_game END, 0)::DOUBLE AS n_hist_other, coalesce(n_dislikes, 0) AS n_dislikes, ln(1 + coalesce(pop, 0)) AS log_pop,
+ coalesce((m * st.n + (SELECT avg(m) FROM st) * 10) / (st.n + 10), (SELECT avg(m) FROM st)) AS bayes_rating, ln(1 + coalesce(st.n, 0)) AS log_rating_count, coalesce(af.n / pf.total, 0) AS theme_affinity,
+ CASE WHEN top IS NULL THEN 0 ELSE len(list_intersect(own, top)) / len(list_distinct(list_concat(own, top))) END AS theme_jaccard, coalesce(len(list_intersect(own, avoided)) / len(own), 0) AS disliked_theme_overlap,
+ coalesce(round(sm.hi, 5), 0) + 0::DOUBLE AS max_sim_pos, coalesce(round(sm.mean, 5), 0) + 0::DOUBLE AS mean_sim_pos, coalesce(round(sm.lo, 5), 0) + 0::DOUBLE AS max_sim_neg, coalesce(cl.hi, 0)::DOUBLE AS max_colikes, ln(1 + coalesce(cl.total, 0)) AS log_sum_colikes,
+ abs(year - mid)::DOUBLE AS year_gap, coalesce(list_contains(creators, creator), false)::INT::DOUBLE AS creator_match, (coalesce(n_hist, 0) = 0)::INT::DOUBLE AS cold_start
+FROM fz JOIN own USING (user_id, item_id) LEFT JOIN hf ON hf.user_id = fz.user_id LEFT JOIN pf ON pf.user_id = fz.user_id LEFT JOIN st ON st.item_id = fz.item_id LEFT JOIN sm ON sm.user_id = fz.user_id AND sm.item_id = fz.item_id
+ LEFT JOIN cl ON cl.user_id = fz.user_id AND cl.item_id = fz.item_id LEFT JOIN af ON af.user_id = fz.user_id AND af.item_id = fz.item_id""")
 def rank_features(spark, sf):
-    return _features(spark, sf).drop("score")
+    """27 columns for each candidate of two sources; a source more is three columns more."""
+    rounded = {c: F.round(c, 5) + 0.0 for c in (  # no negative zeros
+        "item_knn_z", "popularity_z", "max_sim_pos", "mean_sim_pos", "max_sim_neg")}
+    return _features(spark, sf).withColumns(rounded)
+
+
+#: Rows without a hit that a query brings to the ranker's data, by hash; rows with one all come.
+OTHERS = 60
+RANKED = features.names(SOURCES)
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates from training rows, with label 1 for those in the validation rows; queries without a positive go."""
+    """Candidates of training histories with their features and ``label`` 1 for those among the validation rows; queries without
+    a hit among their candidates go. ``score`` is the fused one, the order before ranking."""
     parts = materialise(core.chronological_split(interactions(spark, sf)).select("user_id", "item_id", "domain", "rating", "timestamp", "part"))
-    train, val = parts.where("part = 'train'"), core.positives(parts.where("part <> 'train'"))
-    scores = models.score(models.signed_history(train), models.item_knn(core.positives(train)))
-    pop = core.positives(train).groupBy("item_id").agg(F.log1p(F.count("*").cast("double")).alias("log_popularity"))
-    best = core.top(scores.where("abs(score) > 1e-12").join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"), ["user_id"], 50, F.desc("score"), "item_id")
-    hit = val.select("user_id", "item_id").withColumn("label", F.lit(1))
-    rows = best.join(pop, "item_id", "left").join(hit, ["user_id", "item_id"], "left").na.fill(0, ["label", "log_popularity"])
-    useful = rows.where("label = 1").select("user_id").distinct()
-    return rows.join(useful, "user_id", "left_semi").select("user_id", "item_id", "score", "log_popularity", F.log1p(F.col("rank").cast("double")).alias("log_rank"), "label")
+    train, hits = parts.where("part = 'train'").drop("part"), core.positives(parts.where("part = 'val'")).select("user_id", "item_id").withColumn("label", F.lit(1))
+    scores = materialise(_sources_of(train))
+    fused = ranking.rrf(ranking.candidates(scores, train), ranking.source_ranks(scores), SOURCES).join(hits, ["user_id", "item_id"], "left").na.fill(0, ["label"])
+    fused = materialise(fused)
+    useful = fused.join(fused.where("label = 1").select("user_id").distinct(), "user_id", "left_semi")
+    kept = materialise(core.ranked(useful, ["user_id", "label"], F.xxhash64("user_id", "item_id"), "item_id", name="__r").where(f"label = 1 or __r <= {OTHERS}").drop("__r"))
+    told = features.features(kept.select("user_id", "item_id", "sources"), scores, SOURCES, **_history_inputs(spark, sf, train))
+    return kept.select("user_id", "item_id", "score", "label").join(told, ["user_id", "item_id"])
 
 
 @query()
@@ -327,19 +398,17 @@ def rank_dataset(spark, sf):
 
 @query()
 def rank_model(spark, sf):
+    """Boosted trees over all features, stopped by held-back queries; the ten best of each query."""
     rows = materialise(_labelled(spark, sf))
-    features = ["score", "log_popularity", "log_rank"]
-    w = ranking.pairwise_ranker(rows, features).coefficients.toArray()
-    return core.top(rows.withColumn("ranked", ranking.linear_score(features, list(w))), ["user_id"], 10, F.desc("ranked"), "item_id").select("user_id", "item_id", "ranked", "rank", "label")
+    scored = ranking.tree_scores(rows, ranking.tree_ranker(rows, RANKED), RANKED)
+    return core.top(scored.withColumn("held_back", ranking.held_back(F.col("user_id"))), ["user_id"], 10, F.desc("ranked"), "item_id").select("user_id", "item_id", "ranked", "rank", "label", "held_back")
 
 
 @query()
 def feature_importance(spark, sf):
-    rows = materialise(_labelled(spark, sf))
-    features = ["score", "log_popularity", "log_rank"]
-    w = ranking.pairwise_ranker(rows, features).coefficients.toArray()
-    sd = rows.agg(*[F.coalesce(F.stddev_pop(f), F.lit(0.0)).alias(f) for f in features])  # one row
-    return sd.unpivot([], features, "feature", "spread").join(F.broadcast(spark.createDataFrame([(f, float(x)) for f, x in zip(features, w, strict=True)], "feature string, weight double")), "feature").select("feature", "weight", F.abs(F.col("weight") * F.col("spread")).alias("importance"))
+    """Each feature's share in what the trees' splits gain."""
+    model = ranking.tree_ranker(materialise(_labelled(spark, sf)), RANKED)
+    return spark.createDataFrame([(f, float(x)) for f, x in zip(RANKED, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
 
 
 def _cross_cases(spark: SparkSession, sf: str) -> DataFrame:
@@ -391,30 +460,24 @@ def quota_lists(spark, sf):
     return ranking.quota_lists(materialise(_diverse(spark, sf)), share, 10)
 
 
-def _live(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates of whole histories with the ranker's features."""
-    inter = interactions(spark, sf)
-    pop = core.positives(inter).groupBy("item_id").agg(F.log1p(F.count("*").cast("double")).alias("log_popularity"))
-    new = _scores(spark, sf).join(inter.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    best = core.top(new, ["user_id"], 50, F.desc("score"), "item_id").join(pop, "item_id", "left").na.fill(0, ["log_popularity"])
-    return best.select("user_id", "item_id", "score", "log_popularity", F.log1p(F.col("rank").cast("double")).alias("log_rank"))
-
-
 @query()
 def recommend_batch(spark, sf):
-    """Ten items for every user: candidates, ranker, blend with the taste vector, diverse lists by quota, and for each item
-    the liked title that most people like with it."""
-    features = ["score", "log_popularity", "log_rank"]
-    inter, it = interactions(spark, sf), items(spark, sf)
-    weights = list(ranking.pairwise_ranker(materialise(_labelled(spark, sf)), features).coefficients.toArray())
-    history, vectors = models.signed_history(inter), _vectors(spark, sf)
+    """Ten items for every user: candidates of all sources, trees over all features, blend with the taste vector, diverse lists by
+    quota, and for each item the liked title that most people like with it."""
+    rows = materialise(_labelled(spark, sf))
+    model = ranking.tree_ranker(rows, RANKED)
+    inter, it = materialise(interactions(spark, sf)), items(spark, sf)
+    scores, of = materialise(_sources_of(inter)), _history_inputs(spark, sf, inter)
+    told = materialise(features.features(ranking.candidates(scores, inter), scores, SOURCES, **of))
+    ranked = ranking.tree_scores(told, model, RANKED, "score").select("user_id", "item_id", "score")
+    history, vectors = of["history"], of["vectors"]
     taste = models.profiles(history, vectors).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("p"))
-    rows = _live(spark, sf).withColumn("score", ranking.linear_score(features, weights)).join(it.select("item_id", "domain", "creator"), "item_id").join(vectors, "item_id", "left").join(taste, "user_id", "left")
+    rows = ranked.join(it.select("item_id", "domain", "creator"), "item_id").join(vectors, "item_id", "left").join(taste, "user_id", "left")
     rows = rows.withColumn("sim", F.coalesce(core.dot(F.col("p"), F.col("v")), F.lit(0.0))).drop("p")
     blended = materialise(ranking.taste_blend(rows, 0.5).drop("score", "sim").withColumnRenamed("blended", "score"))
     share = inter.groupBy("user_id").agg(F.avg((F.col("domain") == "movie").cast("int")).alias("movie_share"))
     lists = materialise(ranking.quota_lists(blended, share, 10))
     liked = history.where("weight > 0").select("user_id", F.col("item_id").alias("anchor"))
-    pairs = lists.select("user_id", "item_id").join(liked, "user_id").join(models.cooccurrence(core.positives(inter)), (F.col("anchor") == F.col("i")) & (F.col("item_id") == F.col("j")))
+    pairs = lists.select("user_id", "item_id").join(liked, "user_id").join(of["pairs"], (F.col("anchor") == F.col("i")) & (F.col("item_id") == F.col("j")))
     why = core.latest(pairs, ["user_id", "item_id"], F.desc("c"), "anchor").select("user_id", "item_id", "anchor", F.col("c").alias("liked_together"))
     return lists.join(why, ["user_id", "item_id"], "left").select("user_id", "item_id", "domain", "rank", "anchor", "liked_together")
