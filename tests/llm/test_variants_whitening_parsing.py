@@ -72,8 +72,8 @@ def test_spelling_variants_of_the_tables(spark, small):
 
 
 def test_filters_miss_no_word():
-    words = [f"word{i}" for i in range(2_000)]
-    hashes = np.array([spelling.word_hash(w) for w in words], np.uint64)
+    words = [f"word{i}" for i in range(1_000, 3_000)]
+    hashes = spelling.word_hashes(words)
     bits = np.zeros((64, 8), np.uint64)
     for p in range(spelling.PROBES):
         bit = spelling._bit(hashes, p)
@@ -82,10 +82,18 @@ def test_filters_miss_no_word():
     assert len(known.maybe(hashes, 8)) == 2_000 and not len(known.maybe(hashes, 9))
     others = np.random.default_rng(1).integers(0, 1 << 63, 100_000).astype(np.uint64)
     assert len(known.maybe(others, 8)) < 2_000
-    alphabet = np.array(sorted(map(ord, "abdorw0123")), np.uint64)
-    for hashes, place, letter, length in spelling.edits("woord0", alphabet):
-        made = [spelling.edited("woord0", int(p), int(c)) for p, c in zip(place, letter)]
-        assert [spelling.word_hash(w) for w in made] == hashes.tolist() and {len(w) for w in made} <= {length} and len(set(made)) == len(made)
+    alphabet = np.array(sorted(map(ord, "abdorw0123é")), np.uint32)
+    pair = ["woord0", "aaébbw"]
+    (rows, c), = spelling.by_length(pair, 1_000)
+    made = defaultdict(list)
+    for hashes, is_edit, letter, length in spelling.edits(c, alphabet):
+        for i, place in zip(*np.nonzero(is_edit)):
+            word = spelling.edited(pair[rows[i]], int(place), letter)
+            assert len(word) == length and spelling.word_hashes([word])[0] == hashes[i, place]
+            made[pair[rows[i]]].append(word)
+    for word in pair:
+        want = {word[:i] + word[i + 1 :] for i in range(6)} | {word[:i] + chr(a) + word[i + 1 :] for i in range(6) for a in alphabet if a > ord(word[i])}
+        assert sorted(made[word]) == sorted(want)
 
 
 def test_roots_follow_long_chains(spark):

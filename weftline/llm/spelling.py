@@ -34,8 +34,8 @@ FORM_SHARE = 2
 #: filter of the words of one length and one range of hashes, of at most ``SHARD_BLOCKS`` blocks or 2 MB; a pass over the words
 #: broadcasts ``PASS_BLOCKS`` blocks or 64 MB of shards at most.
 PROBES, BLOCK_WORDS, SHARD_BLOCKS, PASS_BLOCKS = 8, 32, 1 << 15, 1 << 20
-#: Different words a task counts before it sends them on; edits that are looked up at once.
-HELD_WORDS, HELD_EDITS = 200_000, 1 << 20
+#: Different words a task counts before it sends them on; code points of words whose edits are looked up at once.
+HELD_WORDS, HELD_EDITS = 200_000, 1 << 18
 
 
 def runs(doc_id: object, text: bytes | None) -> Counter:
@@ -72,40 +72,45 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= OCCURRENCES)
 
 
-def codes(word: str) -> np.ndarray:
-    return np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
+def by_length(words: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``words`` and code points (a row for each word) of words of one length, about ``most`` code points at a time."""
+    size = np.array([len(w) for w in words], np.int64)
+    for n in np.unique(size[size > 0]).tolist():
+        of = np.flatnonzero(size == n)
+        for rows in np.array_split(of, -(-len(of) * n // most)):
+            text = "".join([words[i] for i in rows])
+            yield rows, np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(rows), n)
 
 
 def terms(letters: np.ndarray, places: np.ndarray) -> np.ndarray:
     """A number for each letter at its place."""
-    return mix64(letters * np.uint64(0x9E3779B97F4A7C15) + places.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return mix64(letters.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + places.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def word_hash(word: str) -> int:
-    c = codes(word)
-    return int(np.bitwise_xor.reduce(terms(c, np.arange(len(c))), initial=np.uint64(0)))
+def word_hashes(words: list[str]) -> np.ndarray:
+    out = np.zeros(len(words), np.uint64)
+    for rows, c in by_length(words, HELD_EDITS):
+        out[rows] = np.bitwise_xor.reduce(terms(c, np.arange(c.shape[1])), axis=1)
+    return out
 
 
-def edits(word: str, alphabet: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Hashes of deletions (letter 0) and of replacements by larger letters, with place, letter and length of the result.
+def edits(c: np.ndarray, alphabet: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Edits of words of one length, given as code points: hashes by word and place, which of them are edits, the letter that is
+    put there and the length of the result. First deletions (letter 0), then replacements by each letter that is larger.
 
-    Of equal neighbours only the last is deleted, so that no word comes twice. Long words come in parts.
+    Of equal neighbours only the last is deleted, so that no word comes twice.
     """
-    c = codes(word)
-    size, at = len(c), np.arange(len(c))
+    n, size = c.shape
+    at, none = np.arange(size), np.zeros((n, 1), np.uint64)
     own = terms(c, at)
-    whole = np.bitwise_xor.reduce(own)
-    before = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(own)[:-1]])
-    moved = np.bitwise_xor.accumulate(terms(c[1:], at[:-1])[::-1])[::-1] if size > 1 else np.zeros(0, np.uint64)
-    after = np.append(moved, np.uint64(0))
-    last = np.append(c[1:] != c[:-1], True)
-    yield (before ^ after)[last], at[last], np.zeros(int(last.sum()), np.uint32), size - 1
-    step = max(1, HELD_EDITS // max(1, len(alphabet)))
-    for low in range(0, size, step):
-        place = at[low : low + step]
-        larger = alphabet[None, :] > c[place][:, None]
-        i, j = np.nonzero(larger)
-        yield whole ^ own[place[i]] ^ terms(alphabet[j], place[i]), place[i], alphabet[j].astype(np.uint32), size
+    reach = np.bitwise_xor.accumulate(own, axis=1)
+    before = np.concatenate([none, reach[:, :-1]], 1)
+    moved = np.bitwise_xor.accumulate(terms(c[:, 1:], at[:-1])[:, ::-1], axis=1)[:, ::-1]
+    last = np.concatenate([c[:, 1:] != c[:, :-1], np.ones((n, 1), bool)], 1)
+    yield before ^ np.concatenate([moved, none], 1), last, 0, size - 1
+    without = reach[:, -1:] ^ own
+    for letter in alphabet.tolist():
+        yield without ^ terms(np.full(size, letter), at), c < letter, letter, size
 
 
 def edited(word: str, place: int, letter: int) -> str:
@@ -113,9 +118,9 @@ def edited(word: str, place: int, letter: int) -> str:
 
 
 def _bit(hashes: np.ndarray, probe: int) -> np.ndarray:
-    """The bit (0 to 511) that each hash sets in its block: two probes in each quarter of it."""
-    h = mix64(hashes ^ np.uint64(0xD6E8FEB86659FD93))
-    return h >> np.uint64(7 * probe) & np.uint64(127) | np.uint64((probe % 4) << 7)
+    """The bit (0 to 511) that each hash sets in its block: two probes in each quarter of it. The first four are in the hash."""
+    h = hashes if probe < 4 else mix64(hashes ^ np.uint64(0xD6E8FEB86659FD93))
+    return h >> np.uint64(7 * (probe % 4)) & np.uint64(127) | np.uint64((probe % 4) << 7)
 
 
 def _places(hashes: np.ndarray, blocks: int) -> np.ndarray:
@@ -128,7 +133,7 @@ class Filters:
 
     def __init__(self, blocks: dict[int, int], shards: dict[tuple[int, int], bytes], shard_blocks: int = SHARD_BLOCKS):
         self.blocks, self.shard_blocks = blocks, shard_blocks
-        self.shards = {key: np.frombuffer(bits, np.uint64).reshape(-1, 8) for key, bits in shards.items()}
+        self.shards = {key: np.frombuffer(bits, np.uint64) for key, bits in shards.items()}
 
     def maybe(self, hashes: np.ndarray, length: int) -> np.ndarray:
         """Positions whose hash may be that of a word; hashes that belong to other shards aren't looked up."""
@@ -141,7 +146,7 @@ class Filters:
                 mine = np.flatnonzero(place // self.shard_blocks == shard) if total > self.shard_blocks else np.arange(len(hashes))
                 for p in range(PROBES):  # most fall at the first bits
                     bit = _bit(hashes[mine], p)
-                    word = bits[place[mine] - shard * self.shard_blocks, (bit >> np.uint64(6)).astype(np.int64)]
+                    word = bits[(place[mine] - shard * self.shard_blocks) * 8 + (bit >> np.uint64(6)).astype(np.int64)]
                     mine = mine[(word >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
                 found.append(mine)
         return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
@@ -155,9 +160,11 @@ def filters(words: DataFrame, sizes: dict[int, int], shard_blocks: int = SHARD_B
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = [(len(w), word_hash(w)) for w in batch.column(0).to_pylist()]
-            shard = [int(_places(np.array([h], np.uint64), sizes[n])[0]) // shard_blocks for n, h in of]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in of], pa.int32()), pa.array(shard, pa.int32()), pa.array(np.array([h for _, h in of], np.uint64).view(np.int64))], names=["length", "shard", "hash"])
+            words = batch.column(0).to_pylist()
+            length, hashes = np.array([len(w) for w in words], np.int32), word_hashes(words)
+            total = np.array([sizes[n] for n in length.tolist()], np.uint64)
+            shard = ((hashes >> np.uint64(32)) * total >> np.uint64(32)).astype(np.int64) // shard_blocks
+            yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(shard.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["length", "shard", "hash"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
@@ -205,8 +212,8 @@ def candidates(words: DataFrame, pass_blocks: int = PASS_BLOCKS, shard_blocks: i
     The driver holds how many words each length has, the letters in use, and the shards of one pass.
     """
     spark = words.sparkSession
-    by_length = words.groupBy(F.length("word").alias("length")).count().collect()
-    sizes = {r["length"]: -(-r["count"] // BLOCK_WORDS) for r in by_length}
+    counts = words.groupBy(F.length("word").alias("length")).count().collect()
+    sizes = {r["length"]: -(-r["count"] // BLOCK_WORDS) for r in counts}
     letters = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).where("c <> ''").distinct().collect()
     alphabet = np.array(sorted(ord(r["c"]) for r in letters), np.uint64)
     built = materialise(filters(words, sizes, shard_blocks))
@@ -221,11 +228,14 @@ def candidates(words: DataFrame, pass_blocks: int = PASS_BLOCKS, shard_blocks: i
             known = Filters(*held.value)
             for batch in batches:
                 row, other = [], []
-                for i, word in enumerate(batch.column(0).to_pylist()):
-                    for hashes, place, letter, length in edits(word, alphabet):
-                        for at in known.maybe(hashes, length).tolist():
+                own = batch.column(0).to_pylist()
+                for rows, c in by_length(own, HELD_EDITS):
+                    for hashes, is_edit, letter, length in edits(c, alphabet):
+                        which = np.flatnonzero(is_edit)
+                        for at in which[known.maybe(hashes.ravel()[which], length)].tolist():
+                            i = int(rows[at // c.shape[1]])
                             row.append(i)
-                            other.append(edited(word, int(place[at]), int(letter[at])))
+                            other.append(edited(own[i], at % c.shape[1], letter))
                 rows = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(other, pa.string())], names=["word", "n", "other"])
 
