@@ -280,24 +280,38 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lim
     kind = docs.schema[id_col].dataType.simpleString()
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bytes of phrases with their trigger; for those of crowded triggers, digests of strings, each in its first place of
+        the slice alone, and without bytes the spans of starts that repeat those."""
         names = ["trigger", "id", "row_key", "at", "n", "bytes"]
-        for batch in slices(batches, 2, limits.piece):
-            trigger, row, at, n, content = [], [], [], [], []
+        for batch in slices(batches, 2):
+            row, at, n, trigger, content = [], [], [], [], []
+
+            def add(*values) -> None:
+                for column, value in zip((row, at, n, trigger, content), values):
+                    column.append(value)
+
+            strings = []
+            order = _ranked(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))) if batch.num_rows else []
             for i, (text, asked) in enumerate(zip(utf8(batch.column(2)), batch.column(3).to_pylist())):
                 for x in asked:
                     if x["crowded"]:
-                        for start in range(x["at"], x["at"] + x["n"]):
-                            content.append(hashlib.blake2b(text[start : start + length], digest_size=16).digest())
-                            at.append(start)
-                        trigger += [None] * x["n"]
-                        row += [i] * x["n"]
-                        n += [1] * x["n"]
+                        strings += [(order[i], start, i, hashlib.blake2b(text[start : start + length], digest_size=16).digest()) for start in range(x["at"], x["at"] + x["n"])]
                     else:
-                        content.append(text[x["at"] : x["at"] + x["n"] + length - 1])
-                        trigger.append(x["trigger"])
-                        row.append(i)
-                        at.append(x["at"])
-                        n.append(x["n"])
+                        add(i, x["at"], x["n"], x["trigger"], text[x["at"] : x["at"] + x["n"] + length - 1])
+            seen: set[bytes] = set()
+            span = None  # row, first start and number of starts of what repeats
+            for _, start, i, digest in sorted(strings):
+                if digest not in seen:
+                    seen.add(digest)
+                    add(i, start, 1, None, digest)
+                elif span and span[0] == i and span[1] + span[2] == start:
+                    span[2] += 1
+                else:
+                    if span:
+                        add(*span, None, None)
+                    span = [i, start, 1]
+            if span:
+                add(*span, None, None)
             of = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(trigger, pa.int64()), batch.column(0).take(of), batch.column(1).take(of), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(content, pa.binary())], names=names)
 
@@ -307,7 +321,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lim
     else:
         fetched = materialise(fetched)
         found.append(repeats_of_dictionary(fetched.where("trigger is not null"), length, limits))
-        strings = fetched.where("trigger is null")
+        found.append(fetched.where("bytes is null").select(span))
+        strings = fetched.where("trigger is null and bytes is not null")
         firsts = materialise(strings.groupBy(F.col("bytes").alias("__bytes")).agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("m")).where("m > 1"))
         total = firsts.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
         later = join_spread(strings, "bytes", firsts, "__bytes", "m", total, place).where(~F.struct(*place).eqNullSafe(F.col("first")))
