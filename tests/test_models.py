@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from weftline.operators import content, core, features, models, ranking
+from weftline.operators import content, core, features, ranking, two_tower
 from weftline.plans import QUERIES
 
 WORDS = "copper knights harbour lights winter ferry violet stone lantern loom river town paper moons iron tide forest anvil".split()
@@ -163,3 +163,43 @@ def test_recommend_batch_fills_every_list(spark, small):
     per = Counter(r.user_id for r in rows)
     assert set(per.values()) == {10} and {(r.user_id, r["rank"]) for r in rows} == {(u, k) for u in per for k in range(1, 11)}
     assert len({(r.user_id, r.item_id) for r in rows}) == len(rows) and any(r.anchor is not None for r in rows)
+
+
+def test_two_tower_learns_and_scores(spark):
+    """Two tastes: users like items of one half alone. Loss falls each epoch, scores are u v + b, and lists keep to the half."""
+    rng = random.Random(1)
+    items = [(i, "movie" if i % 2 else "game", [1.0, 0.0] if i < 20 else [0.0, 1.0]) for i in range(40)] + [(40, "movie", None)]
+    history = []
+    for u in range(120):
+        half = range(20) if u % 2 else range(20, 40)
+        history += [(u, i, items[i][1], rng.randint(0, 999), rng.choice([1.0, 0.75])) for i in rng.sample(half, 8)]
+        history += [(u, i, items[i][1], rng.randint(0, 999), -1.0) for i in rng.sample([i for i in range(40) if i not in half], 2)]
+    df = spark.createDataFrame(history, "user_id long, item_id long, domain string, timestamp long, weight double")
+    it = spark.createDataFrame(items, "item_id long, domain string, x array<double>")
+    law = two_tower.negatives_law(it, df.where("weight > 0")).collect()
+    for kind in ("uniform", "popular"):
+        for domain in core.DOMAINS:
+            line = sorted((r.low, r.high) for r in law if r.law == kind and r.domain == domain)
+            assert line[0][0] == 0 and abs(line[-1][1] - 1) < 1e-12 and all(abs(a[1] - b[0]) < 1e-12 for a, b in zip(line, line[1:]))
+    told = two_tower.examples(df, two_tower.negatives_law(it, df.where("weight > 0"))).collect()
+    of = {i: d for i, d, _ in items}
+    assert len(told) == 120 and all(len(r.negatives) == 16 and {of[n] for n in r.negatives} == {of[r.target]} for r in told)
+    assert all(r.target not in {s.item_id for s in r.context} for r in told)
+    crossed = [r for r in told if all(of[s.item_id] != of[r.target] for s in r.context)]
+    assert 0.3 < len(crossed) / 120 < 0.75
+    model = two_tower.fit(df, it, dims=8, epochs=5, batch=16, part_examples=60)
+    assert all(a > b for a, b in zip(model.losses, model.losses[1:])), model.losses
+    v = {r.item_id: (np.array(r.v), r.b, r.domain) for r in model.vectors().collect()}
+    raw = {r.item_id: (np.array(r.e), np.array(r.x)) for r in model.items.collect()}
+    assert all(np.allclose(v[i][0], raw[i][0] + raw[i][1] @ model.w[core.DOMAINS.index(v[i][2])]) for i in v) and len(v) == 41
+    best = model.best(df, 5).collect()
+    for u in (0, 1, 77):
+        newest = sorted((h for h in history if h[0] == u), key=lambda h: (-h[3], -h[1]))[:50]
+        a = np.array([h[4] * 0.5 ** (k / 20) for k, h in enumerate(newest)])
+        mix = np.array([sum(abs(x) for x, h in zip(a, newest) if h[2] == d) for d in core.DOMAINS]) / (np.abs(a).sum() + 1e-6)
+        user = sum(x * v[h[1]][0] for x, h in zip(a, newest)) / (np.abs(a).sum() + 1e-6) + mix @ model.d
+        want = sorted(((round(float(user @ x + b), 9), i) for i, (x, b, _) in v.items()), key=lambda s: (-s[0], s[1]))[:5]
+        got = [(r.score, r.item_id) for r in sorted((r for r in best if r.user_id == u), key=lambda r: r["rank"])]
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-7)
+    inside = [(r.item_id < 20) == bool(r.user_id % 2) for r in best]
+    assert sum(inside) / len(inside) > 0.9

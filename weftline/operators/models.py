@@ -197,64 +197,3 @@ def best_by_vector(users: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     near = rows.groupBy("part", "block").applyInArrow(search, "user_id long, item_id long, score double")
     near = near.select(F.col("user_id").cast(kinds[0]), F.col("item_id").cast(kinds[1]), "score")
     return core.top(near, ["user_id"], k, F.desc("score"), "item_id")
-
-
-def two_tower_examples(likes: DataFrame, negatives: int = 4, window: int = 50) -> DataFrame:
-    """``(user_id, target, context, negatives)``: one positive of each user by hash, the others before it newest first, and
-    negatives drawn by hash in proportion to popularity^0.75 within the target's domain."""
-    pick = W.partitionBy("user_id").orderBy(F.md5(F.concat_ws("|", F.lit("target"), F.col("user_id").cast("string"), F.col("item_id").cast("string")).cast("binary")), "item_id")
-    marked = likes.withColumn("pick", F.row_number().over(pick))
-    target = marked.where("pick = 1").select("user_id", F.col("item_id").alias("target"), "domain")
-    rest = core.top(marked.where("pick > 1"), ["user_id"], window, F.desc("timestamp"), F.desc("item_id"), name="pos")
-    context = rest.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item_id"))), lambda s: s["item_id"]).alias("context"))
-    # Cumulative shares by domain; a draw u falls into the item with low <= u < high.
-    pop = likes.groupBy("domain", "item_id").agg(F.pow(F.count("*"), F.lit(0.75)).alias("w"))
-    high = F.sum("w").over(W.partitionBy("domain").orderBy("item_id"))
-    total = F.sum("w").over(W.partitionBy("domain"))
-    law = pop.select("domain", F.col("item_id").alias("negative"), ((high - F.col("w")) / total).alias("low"), (high / total).alias("high"))
-    cell = F.explode(F.sequence(F.floor(F.col("low") * 64).cast("int"), F.least(F.floor(F.col("high") * 64), F.lit(63)).cast("int")))
-    draws = target.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(negatives))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("neg"), F.col("user_id").cast("string"), F.col("k").cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    draws = draws.withColumn("u", u).withColumn("cell", F.floor(F.col("u") * 64).cast("int"))
-    drawn = draws.join(law.withColumn("cell", cell), ["domain", "cell"]).where("low <= u and u < high").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "negative"))), lambda s: s["negative"]).alias("negatives"))
-    return target.join(context, "user_id").join(drawn, "user_id").select("user_id", "target", "context", "negatives")
-
-
-#: Examples that one task learns from in an epoch, about.
-PART_EXAMPLES = 20_000
-
-
-def two_tower_fit(examples: DataFrame, dims: int = 16, epochs: int = 3, rate: float = 0.1, seed: int = 7) -> DataFrame:
-    """``(item_id, vector)``: item vectors by data-parallel gradient steps with averaging.
-
-    Each epoch, every part of the examples takes steps from the current vectors of its own items (joined to it, not
-    broadcast) and the parts' results are averaged by item.
-    """
-    used = examples.select(F.explode(F.concat(F.array("target"), "context", "negatives")).alias("item_id")).distinct()
-    start = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (F.pmod(F.xxhash64(F.lit(seed), F.col("item_id"), d), F.lit(1 << 20)) / float(1 << 19) - 1) * 0.1)
-    vectors = used.select("item_id", start.alias("vector"))
-    kind = examples.schema["target"].dataType.simpleString()
-    parts = examples.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(max(8, -(-examples.count() // PART_EXAMPLES)))).cast("int"))
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[pdf["vector"].notna()]
-        e = {i: np.array(v) for i, v in zip(known["item_id"], known["vector"], strict=True)}
-        for r in pdf[pdf["context"].notna()].sort_values("user_id").itertuples():
-            ctx, cand = list(r.context), [r.target, *r.negatives]
-            u = np.mean([e[i] for i in ctx], 0)
-            x = np.array([e[i] for i in cand])
-            p = np.exp(x @ u - (x @ u).max())
-            d = p / p.sum() - (np.arange(len(cand)) == 0)
-            for i, g in zip(cand, d, strict=True):
-                e[i] = e[i] - rate * g * u
-            for i in ctx:
-                e[i] = e[i] - rate * (d @ x) / len(ctx)
-        return pd.DataFrame({"item_id": list(e), "vector": list(e.values())})
-
-    for _ in range(epochs):
-        need = parts.select("part", F.explode(F.concat(F.array("target"), "context", "negatives")).alias("item_id")).distinct().join(vectors, "item_id")
-        rows = parts.select("part", "user_id", "target", "context", "negatives").unionByName(need, allowMissingColumns=True)
-        local = rows.groupBy("part").applyInPandas(steps, f"item_id {kind}, vector array<double>")
-        mean = local.select("item_id", F.posexplode("vector").alias("d", "x")).groupBy("item_id", "d").agg(F.avg("x").alias("x"))
-        vectors = materialise(mean.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vector")))
-    return vectors

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import content, core, features, metrics, models, ranking
+from ..operators import content, core, features, metrics, models, ranking, two_tower
 from ..sources.scratch import materialise
 from ..sources.tables import interactions, items, read_table
 from .registry import query
@@ -213,22 +213,37 @@ def als_fold_in(spark, sf):
     return models.fold_in(models.signed_history(inter), model.itemFactors)
 
 
-@query(f"""WITH {LIKES}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('target|' || user_id || '|' || item_id), item_id) AS pick FROM likes)
-SELECT user_id, max(item_id) FILTER (pick = 1) AS target, least(count(*) FILTER (pick > 1), 50)::INTEGER AS n_context, 4::INTEGER AS n_negatives FROM k GROUP BY 1 HAVING count(*) > 1""")
+def _signed(inter: DataFrame) -> DataFrame:
+    return inter.select("user_id", "item_id", "domain", "timestamp", core.signed_weight(F.col("rating")).alias("weight")).where("weight <> 0")
+
+
+def _tower_items(spark: SparkSession, sf: str) -> DataFrame:
+    return items(spark, sf).select("item_id", "domain").join(_vectors(spark, sf).withColumnRenamed("v", "x"), "item_id", "left")
+
+
+_DIGIT = "('0x' || substr(md5({}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+
+
+@query("WITH {I}, h AS (SELECT user_id, item_id, domain, rating >= 4 AS liked FROM inter WHERE rating >= 4 OR rating < 3), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY " + _DIGIT.format("'target|0|' || user_id || '|' || item_id") + """, item_id) AS pick FROM h WHERE liked),
+t AS (SELECT user_id, item_id AS target, domain AS dom FROM k WHERE pick = 1), o AS (SELECT h.user_id, target, domain <> dom AS other, """ + _DIGIT.format("'cross|0|' || h.user_id") + """ < 0.5 AND bool_or(domain <> dom) OVER (PARTITION BY h.user_id) AS alone FROM h JOIN t ON h.user_id = t.user_id WHERE item_id <> target)
+SELECT user_id, target, least(count(*), 50)::INTEGER AS n_context, 16::INTEGER AS n_negatives FROM o WHERE other OR NOT alone GROUP BY 1, 2""")
 def two_tower_examples(spark, sf):
-    return models.two_tower_examples(_likes(spark, sf)).select("user_id", "target", F.size("context").alias("n_context"), F.size("negatives").alias("n_negatives"))
+    history = materialise(_signed(interactions(spark, sf)))
+    law = two_tower.negatives_law(items(spark, sf), history.where("weight > 0"))
+    return two_tower.examples(history, law).select("user_id", "target", F.size("context").alias("n_context"), F.size("negatives").alias("n_negatives"))
 
 
 @query()
 def two_tower_fit(spark, sf):
-    return models.two_tower_fit(materialise(models.two_tower_examples(_likes(spark, sf))), epochs=2)
+    """Every item's vector and bias after two epochs."""
+    return two_tower.fit(materialise(_signed(interactions(spark, sf))), _tower_items(spark, sf), epochs=2).vectors().select("item_id", F.col("v").alias("vector"), F.col("b").alias("bias"))
 
 
 @query()
 def two_tower_scores(spark, sf):
-    inter = interactions(spark, sf)
-    vectors = models.two_tower_fit(materialise(models.two_tower_examples(core.positives(inter))), epochs=1).withColumnRenamed("vector", "v")
-    return models.best_by_vector(models.profiles(models.signed_history(inter), vectors), vectors, 10).select("user_id", "item_id", "score", "rank")
+    """The ten best items of each user by the model."""
+    history = materialise(_signed(interactions(spark, sf)))
+    return two_tower.fit(history, _tower_items(spark, sf), epochs=2).best(history, 10).select("user_id", "item_id", "score", "rank")
 
 
 @query(f"""WITH {CO}, z AS (SELECT i, j, (sim - avg(sim) OVER w) / nullif(stddev_pop(sim) OVER w, 0) AS z FROM knn WINDOW w AS (PARTITION BY i))
