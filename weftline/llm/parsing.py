@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free, in_small_batches, join_spread, materialise, mix64, slices, utf8
+from .common import free, in_small_batches, materialise, mix64, slices, utf8
 
 #: Bytes of a repeated string, and of a trigger. Longer triggers stand in fewer places by chance but make shorter phrases.
 LENGTH, GRAM = 100, 32
@@ -41,7 +41,7 @@ class Limits(NamedTuple):
     held: int = 1_000_000
     #: Bytes of phrases that are sorted at once.
     sorted_bytes: int = 1_500_000
-    #: Triggers with more different phrases send the digests of their strings instead, which Spark groups with partial minima.
+    #: Triggers with more different phrases send the digests of their strings instead, each once for a slice of texts.
     sorted_phrases: int = 4_096
     #: So do triggers with at least ``crowd`` different phrases among the ones a task holds, and 1 in ``crowd_share`` of them;
     #: the ``crowds`` most frequent of these are known to all tasks.
@@ -323,10 +323,9 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, lim
         found.append(repeats_of_dictionary(fetched.where("trigger is not null"), length, limits))
         found.append(fetched.where("bytes is null").select(span))
         strings = fetched.where("trigger is null and bytes is not null")
-        firsts = materialise(strings.groupBy(F.col("bytes").alias("__bytes")).agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("m")).where("m > 1"))
-        total = firsts.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-        later = join_spread(strings, "bytes", firsts, "__bytes", "m", total, place).where(~F.struct(*place).eqNullSafe(F.col("first")))
-        found.append(later.select(span))
+        # A string is one row for each slice of texts that holds it, however often it stands there.
+        nth = F.rank().over(W.partitionBy("bytes").orderBy(*place))
+        found.append(strings.withColumn("nth", nth).where("nth > 1").select(span))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
