@@ -345,7 +345,7 @@ pt AS (SELECT user_id, theme, count(*) AS n FROM (SELECT user_id, unnest(string_
 pf AS (SELECT user_id, list(theme) AS known, sum(n) AS total, list(theme ORDER BY n DESC, theme)[1:6] AS top FROM pt GROUP BY 1),
 st AS (SELECT item_id, count(*) FILTER (rating >= 4) AS pop, avg(rating) AS m, count(*) AS n FROM inter GROUP BY 1),
 e AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings),
-sm AS (SELECT c.user_id, c.item_id, greatest(max(x) FILTER (weight > 0), -2) AS hi, avg(x) FILTER (weight > 0) AS mean, max(x) FILTER (weight < 0) AS lo
+sm AS (SELECT c.user_id, c.item_id, max(x) FILTER (weight > 0) AS hi, avg(x) FILTER (weight > 0) AS mean, max(x) FILTER (weight < 0) AS lo
  FROM (SELECT c.user_id, c.item_id, weight, CASE WHEN a.l > 0 AND b.l > 0 THEN list_dot_product(a.v, b.v) / (a.l * b.l) ELSE 0 END AS x FROM cand c JOIN hist h USING (user_id) LEFT JOIN e a ON a.item_id = c.item_id LEFT JOIN e b ON b.item_id = h.item_id) c GROUP BY 1, 2),
 cl AS (SELECT c.user_id, c.item_id, max(co.c) AS hi, sum(co.c) AS total FROM cand c JOIN hist h ON h.user_id = c.user_id AND weight > 0 JOIN co ON i = h.item_id AND j = c.item_id GROUP BY 1, 2),
 sp AS (SELECT c.user_id, c.item_id, coalesce(max(a.score) FILTER (a.source = 'item_knn'), 0) AS item_knn_score, coalesce(max(a.score) FILTER (a.source = 'popularity'), 0) AS popularity_score,
