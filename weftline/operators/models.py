@@ -69,10 +69,12 @@ def signed_history(inter: DataFrame) -> DataFrame:
 
 
 def bipartite(likes: DataFrame, support: int = 3) -> DataFrame:
-    """``(movie, game, c)``: users who like both."""
-    m = likes.where("domain = 'movie'").select("user_id", F.col("item_id").alias("movie"))
-    g = likes.where("domain = 'game'").select("user_id", F.col("item_id").alias("game"))
-    return m.join(g, "user_id").groupBy("movie", "game").agg(F.count("*").alias("c")).where(F.col("c") >= support)
+    """``(movie, game, c)``: users who like both. A heavy user's films are cut into slices, each of which meets the games in a task of its own."""
+    heavy = likes.groupBy("user_id").agg(F.ceil(F.count_if(F.col("domain") == "movie") / SLICE).cast("int").alias("slices")).where("slices > 1")
+    cut = likes.select("user_id", "item_id", "domain").join(heavy, "user_id", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    m = cut.where("domain = 'movie'").select("user_id", F.pmod(F.xxhash64("item_id"), F.col("slices")).cast("int").alias("slice"), F.col("item_id").alias("movie"))
+    g = cut.where("domain = 'game'").select("user_id", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("item_id").alias("game"))
+    return m.join(g, ["user_id", "slice"]).groupBy("movie", "game").agg(F.count("*").alias("c")).where(F.col("c") >= support)
 
 
 def copreference(inter: DataFrame, alpha: float = 0.5, support: int = 3, neighbours: int = 200) -> DataFrame:
@@ -156,6 +158,18 @@ def profiles(history: DataFrame, vectors: DataFrame, half_life: float = 20.0, li
 BLOCK_USERS, BLOCK_ITEMS = 16_384, 8_192
 
 
+def _best(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest numbers of each row, largest first; of equal ones the first columns."""
+    if s.shape[1] > 4 * k:
+        # Rows where the k-th largest number stands once need a sort of k numbers alone.
+        some = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(s, some, 1).min(1)
+        if ((s >= least[:, None]).sum(1) == k).all():
+            some.sort(axis=1)
+            return np.take_along_axis(some, np.argsort(-np.take_along_axis(s, some, 1), axis=1, kind="stable"), 1)
+    return np.argsort(-s, axis=1, kind="stable")[:, :k]
+
+
 def best_by_vector(users: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """``user_id, item_id, score, rank``: the ``k`` items with the largest product with each profile, to nine decimals, ties by id.
 
@@ -186,8 +200,7 @@ def best_by_vector(users: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         at, found, scores = [], [], []
         for begin in range(0, len(u), 512):
             s = np.round(u[begin : begin + 512] @ x.T, 9)
-            # A stable sort keeps the order of the ids among equal scores.
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            best = _best(s, k)
             at.append(np.repeat(np.arange(begin, begin + len(s)), best.shape[1]))
             found.append(best.ravel())
             scores.append(np.take_along_axis(s, best, 1).ravel())

@@ -114,9 +114,9 @@ def theme_vector(spark, sf):
     return _sets(spark, sf).select("user_id", F.posexplode("s").alias("p", "theme")).select("user_id", "theme", (1 / (1 + 0.25 * F.col("p"))).alias("weight"))
 
 
-@query("WITH {T} SELECT item_id, substr(title || '. Themes: ' || array_to_string(genres, ', ') || '. ' || creator, 1, 40) AS text FROM items")
+@query("WITH {T} SELECT item_id, substr(title || '. Themes: ' || array_to_string(genres, ', ') || '. ' || creator, 1, 1500) AS text FROM items")
 def embedding_text(spark, sf):
-    return items(spark, sf).select("item_id", F.substring(F.concat("title", F.lit(". Themes: "), F.array_join("genres", ", "), F.lit(". "), "creator"), 1, 40).alias("text"))
+    return items(spark, sf).select("item_id", F.substring(F.concat("title", F.lit(". Themes: "), F.array_join("genres", ", "), F.lit(". "), "creator"), 1, 1500).alias("text"))
 
 
 @query("WITH {T} SELECT item_id, title || '. Genres: ' || array_to_string(genres, ', ') || CASE WHEN year > 2000 THEN ' Series: ' || creator ELSE '' END AS text FROM items")
@@ -383,7 +383,7 @@ def merge_sources(spark, sf):
 WHERE new_id NOT IN (SELECT item_id FROM items WHERE item_id < 100) AND NOT (year <= 2023 AND title IN (SELECT title FROM items))""")
 def drop_known_titles(spark, sf):
     it = items(spark, sf)
-    names = core.ranked(it.select("title").distinct().withColumn("one", F.lit(1)), ["one"], "title", name="k").select("title", "k")  # the titles of 64 names in the test tables
+    names = core.numbered(it.select("title").distinct(), "title", "k").withColumn("k", F.col("k") + 1)
     n = read_table(spark, sf, "documents").select(F.col("doc_id").alias("new_id"), (1970 + F.col("doc_id") % 60).alias("year"), (1 + F.col("doc_id") % 50).alias("k")).join(names, "k")
     by_id = n.join(it.where("item_id < 100").select(F.col("item_id").alias("new_id")), "new_id", "left_anti")
     known = it.select(F.col("title").alias("t")).distinct()
@@ -564,7 +564,10 @@ def write_csv(spark, sf):
 
 @query("SELECT source AS query, doc_id AS item FROM documents")
 def scan_query_set(spark, sf):
-    by = read_table(spark, sf, "documents").groupBy("source").agg(F.collect_list("doc_id").alias("items"))
+    """Lists of a source's items in JSON rows of about ten thousand each."""
+    docs = read_table(spark, sf, "documents").select("source", "doc_id")
+    size = docs.groupBy("source").agg(F.ceil(F.count("*") / 10_000).cast("int").alias("rows"))
+    by = docs.join(size, "source").groupBy("source", F.pmod(F.xxhash64("doc_id"), F.col("rows")).alias("row")).agg(F.collect_list("doc_id").alias("items")).drop("row")
     back = _round_trip(by, "json")
     return back.select(F.col("source").alias("query"), F.explode("items").alias("item"))
 

@@ -48,12 +48,8 @@ def contract_items(spark, sf):
 
 @query("WITH ids AS (SELECT DISTINCT p_partkey AS item_id FROM part) SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_index FROM ids")
 def index_items(spark, sf):
-    ids = items(spark, sf).select("item_id").distinct()
-    # Dense numbers without one global window: ids are range-partitioned, counted by part, and numbered within the part.
-    parts = ids.repartitionByRange(8, "item_id").withColumn("part", F.spark_partition_id())
-    before = parts.groupBy("part").count().select(F.col("part").alias("p"), (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("before"))
-    local = F.row_number().over(W.partitionBy("part").orderBy("item_id")) - 1
-    return parts.withColumn("i", local).join(F.broadcast(before), F.col("part") == F.col("p")).select("item_id", (F.col("i") + F.col("before")).cast("long").alias("item_index"))
+    """Dense numbers of the items in the order of their ids."""
+    return core.numbered(items(spark, sf).select("item_id").distinct(), "item_id", "item_index")
 
 
 @query("WITH {I}, {T} SELECT inter.domain, creator, count(*) AS n FROM inter JOIN items USING (item_id) GROUP BY 1, 2")

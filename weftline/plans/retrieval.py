@@ -101,11 +101,11 @@ cells AS (SELECT user_id, dim, sum(a * c) AS x FROM dec JOIN v USING (item_id) G
 prof AS (SELECT user_id, dim, x / greatest(l, 1e-12) AS x FROM cells JOIN len USING (user_id))"""
 
 
-@query(f"WITH {VEC} SELECT user_id, dim::INTEGER AS dim, round(x, 5) AS x FROM prof WHERE dim <= 4")
+@query(f"WITH {VEC} SELECT user_id, dim::INTEGER AS dim, round(x, 5) + 0::DOUBLE AS x FROM prof")
 def signed_vector_mean(spark, sf):
     inter = interactions(spark, sf)
     rows = models.profiles(models.signed_history(inter), _vectors(spark, sf))
-    return rows.where("dim < 4").select("user_id", (F.col("dim") + 1).alias("dim"), F.round("x", 5).alias("x"))
+    return rows.select("user_id", (F.col("dim") + 1).alias("dim"), (F.round("x", 5) + 0.0).alias("x"))
 
 
 @query(f"WITH {VEC}, s AS (SELECT user_id, v.item_id, round(sum(x * c), 9) AS score FROM prof JOIN v USING (dim) GROUP BY 1, 2) SELECT user_id, item_id, rank::INTEGER AS rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 20")
@@ -123,12 +123,13 @@ def semantic_scores(spark, sf):
     return best.where("score > 0.3").select("user_id", "item_id", "rank")
 
 
-@query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0")
+@query("""WITH s AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+SELECT i, j, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS rank FROM s) WHERE rank <= 20""")
 def dense_score(spark, sf):
-    v = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
-    left = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("i"), F.col("embedding").alias("a")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    right = v.select(F.col("vec_id").alias("j"), F.col("embedding").alias("b"), F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int").alias("block"))
-    return left.join(right, "block").select("i", "j", F.round(core.dot(F.col("a"), F.col("b")), 6).alias("score"))
+    """The twenty largest products of one vector in twenty with all of them."""
+    v = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
+    asked = v.where("item_id % 20 = 0").select(F.col("item_id").alias("user_id"), F.posexplode("v").alias("dim", "x"))
+    return models.best_by_vector(asked, v, 20).select(F.col("user_id").alias("i"), F.col("item_id").alias("j"), F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length FROM embeddings")
@@ -187,7 +188,7 @@ def encode_texts(spark, sf):
 
 def _als(spark: SparkSession, sf: str, domain: str | None) -> DataFrame:
     likes = _likes(spark, sf)
-    model = models.als(likes.where(F.col("domain") == domain) if domain else likes, rank=16, rounds=5)
+    model = models.als(likes.where(F.col("domain") == domain) if domain else likes)
     return model.recommendForAllUsers(10).select("user_id", F.explode("recommendations").alias("r")).select("user_id", F.col("r.item_id").alias("item_id"), F.col("r.rating").cast("double").alias("score"))
 
 
@@ -209,7 +210,7 @@ def als_game(spark, sf):
 @query()
 def als_fold_in(spark, sf):
     inter = interactions(spark, sf)
-    model = models.als(core.positives(inter), rank=8, rounds=5)
+    model = models.als(core.positives(inter))
     return models.fold_in(models.signed_history(inter), model.itemFactors)
 
 

@@ -61,7 +61,7 @@ UNI = """WITH {I}, {T}, lk AS (SELECT user_id, item_id FROM inter WHERE rating >
 def same_universe(spark, sf):
     it = items(spark, sf)
     liked = interactions(spark, sf).where("rating >= 5").select("user_id", "item_id").join(it.select("item_id", "title", "domain"), "item_id")
-    other = it.select(F.col("item_id").alias("dst"), "title", F.col("domain").alias("d2"))
+    other = it.groupBy("title", F.col("domain").alias("d2")).agg(F.min("item_id").alias("dst"))  # no other of them can be first
     links = liked.join(other, "title").where("domain <> d2").groupBy("user_id", "title", "dst").agg(F.min("item_id").alias("via"))
     return core.top(links, ["user_id", "title"], 1, "dst").select("user_id", "title", F.col("dst").alias("item_id"), "via")
 
