@@ -307,10 +307,10 @@ def rrf(spark, sf):
 
 @query(f"""WITH {RRF}, q AS (SELECT user_id, item_id, round(score, 9) AS score, len(sources) AS sim FROM fused),
 b AS (SELECT user_id, item_id, 0.2 * (row_number() OVER (PARTITION BY user_id ORDER BY score, item_id) - 1) / greatest(count(*) OVER (PARTITION BY user_id) - 1, 1) + 0.8 * (row_number() OVER (PARTITION BY user_id ORDER BY sim, item_id) - 1) / greatest(count(*) OVER (PARTITION BY user_id) - 1, 1) AS blended FROM q)
-SELECT user_id, item_id, blended FROM b""")
+SELECT user_id, item_id, round(blended, 9) AS blended FROM b""")
 def taste_blend(spark, sf):
     rows = _fused(spark, sf).select("user_id", "item_id", F.round("score", 9).alias("score"), F.size("sources").alias("sim"))
-    return ranking.taste_blend(rows, 0.8).select("user_id", "item_id", "blended")
+    return ranking.taste_blend(rows, 0.8).select("user_id", "item_id", F.round("blended", 9).alias("blended"))
 
 
 @query(f"""WITH {RRF}, q AS (SELECT user_id, item_id, score, (item_id % 6 = 0)::INT AS m FROM fused) SELECT user_id, item_id, score + CASE WHEN count(*) FILTER (m > 0) OVER (PARTITION BY user_id) >= 5 THEN 1000.0 * m ELSE 0 END AS tiered FROM q""")
