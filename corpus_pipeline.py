@@ -13,17 +13,26 @@ from weftline.llm.common import materialise, read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found with a margin; null texts, texts without letters and ties go."""
+    """Documents whose language is found with a margin; null texts, texts without letters and ties go.
+
+    Rows are judged one by one, so null and repeated ids and repeated rows stay with their texts. Where no text has a language to
+    learn from, all go; an empty table stays empty."""
     return language.drop_rejected(docs, docs.where(~language.held_out()))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Rows without an id, a text or words all stay; of rows with equal id and text one stays; rows that share an id but not their
+    text are documents of their own. An empty table stays empty."""
     return neardup.drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one are taken out of the texts; ``n_chars`` follows."""
+    """Passages and whole lines that repeat an earlier one are taken out of the texts; ``n_chars`` follows.
+
+    Null texts and ids stay, null ids rank first, equal rows are one document, and a document that loses all its text stays with
+    an empty one. An empty table stays empty."""
     from pyspark.sql import functions as F
 
     out = substring.drop_repeated(docs)
@@ -31,12 +40,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of ten words with the benchmark."""
+    """Documents that share no window of ten words with the benchmark.
+
+    Rows are judged one by one; null and empty texts share nothing and stay. An empty table stays empty."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents' tokens in sequences of 1024."""
+    """Places of the documents' tokens in sequences of 1024.
+
+    Null texts are packed as empty ones, null ids and repeated rows as they come. An empty table gives no sequences."""
     return packing.pack(docs)
 
 
