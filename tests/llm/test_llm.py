@@ -720,3 +720,20 @@ def test_dropping_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(1, text, "a", 1, 2), (1, text, "a", 1, 2), (1, text + " more", "b", 1, 2), (2, "other words stand here", "c", 1, 2)], "doc_id long, text string, __vertex string, __of int, __unlike int")
     left = neardup.drop_near_duplicates(docs)
     assert left.columns == docs.columns and {r["__vertex"] for r in left.collect()} <= {"a", "b", "c"} and left.count() == 2
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, small):
+    """Every stage keeps the columns, whatever their names, and takes nulls, empty texts and repeated rows."""
+    import corpus_pipeline as cp
+
+    docs = odd.withColumns({"n_chars": F.lit(7), "__later": F.lit(1), "__of": F.lit(2)})
+    kept = {}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns
+        kept[name] = [r.doc_id for r in out.collect()]
+        assert stage(spark, docs.limit(0), small).count() == 0
+    assert 2 not in kept["language ID"] and 9 not in kept["language ID"] and kept["language ID"].count(1) == 2
+    assert kept["MinHash near-dedup"].count(1) == 1 and {None, 2, 3, 4} <= set(kept["MinHash near-dedup"])
+    assert len(kept["substring dedup"]) == docs.count() == len(kept["benchmark decontamination"])
+    assert cp.STAGES[-1][1](spark, docs, small).count() >= docs.count() and cp.STAGES[-1][1](spark, docs.limit(0), small).count() == 0
