@@ -203,3 +203,13 @@ def test_two_tower_learns_and_scores(spark):
         assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-7)
     inside = [(r.item_id < 20) == bool(r.user_id % 2) for r in best]
     assert sum(inside) / len(inside) > 0.9
+
+
+@pytest.mark.parametrize("have", [[], [1], [1, 2]])
+def test_similarities_of_users_without_vectors(spark, have):
+    """A user none of whose titles has a vector makes a group without any: cosines are 0."""
+    cands = spark.createDataFrame([(1, 1), (2, 3)], "user_id long, item_id long")
+    history = spark.createDataFrame([(1, 2, 1.0), (2, 4, 1.0)], "user_id long, item_id long, weight double")
+    vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in have], "item_id long, v array<double>")
+    got = {(r.user_id, r.item_id): r.max_sim_pos for r in features.similarities(cands, history, vectors).collect()}
+    assert got == {(1, 1): 1.0 if len(have) == 2 else 0.0, (2, 3): 0.0}
