@@ -144,28 +144,41 @@ def latest_value(rows: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
+#: Groups that users and items are dealt to by hash; each keeps the times of its own.
+TTL_GROUPS = 256
+
+
 def ttl_requests(ev: DataFrame, seconds: int = 300) -> DataFrame:
     """Events that aren't a repeat of the same user and item within ``seconds`` of the last one that was served: a cached
-    answer lives that long. State is one time for each user and item and expires with the watermark."""
+    answer lives that long. State is one time for each user and item and expires with the watermark; users and items share
+    ``TTL_GROUPS`` states, so Python is called once a group and batch, not once for each of them."""
 
     def serve(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        last = state.get[0] if state.exists else None
+        users, items, lasts = state.get if state.exists else ([], [], [])
+        ended = state.getCurrentWatermarkMs()
+        served = {(u, i): at for u, i, at in zip(users, items, lasts) if (at + seconds) * 1000 >= ended}
         kept = []
-        for r in rows.itertuples():
-            at = int(r.ts.timestamp())
-            if last is None or at - last >= seconds:
-                kept.append(r.event_id)
-                last = at
-        state.update((last,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), last * 1000) + seconds * 1000 + 1)
-        yield pd.DataFrame({"user_id": [key[0]] * len(kept), "item": [key[1]] * len(kept), "event_id": kept})
-
-    keyed = ev.where("item is not null").withWatermark("ts", LATENESS).groupBy("user_id", "item")
-    return keyed.applyInPandasWithState(serve, "user_id long, item int, event_id long", "last long", "append", "EventTimeTimeout")
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["at", "ts", "event_id"])
+            for u, i, at, event in zip(rows["user"].tolist(), rows["item"].tolist(), rows["at"].tolist(), rows["event_id"].tolist()):
+                last = served.get((u, i))
+                if last is None or at - last >= seconds:
+                    kept.append((u, i, event))
+                    served[u, i] = at
+        if served:
+            state.update(([u for u, _ in served], [i for _, i in served], list(served.values())))
+            state.setTimeoutTimestamp(max(ended, min(served.values()) * 1000) + seconds * 1000 + 1)
+        elif state.exists:
+            state.remove()
+        if kept:
+            yield pd.DataFrame(kept, columns=["user", "item", "event_id"])
+
+    # Ids travel as text, so that an unknown user stays apart from all others.
+    rows = ev.where("item is not null").withWatermark("ts", LATENESS).select(
+        F.pmod(F.xxhash64("user_id", "item"), F.lit(TTL_GROUPS)).cast("int").alias("group"), F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user"), "item", "ts", F.unix_seconds("ts").alias("at"), "event_id"
+    )
+    kept = rows.groupBy("group").applyInPandasWithState(serve, "user string, item int, event_id long", "users array<string>, items array<int>, lasts array<long>", "append", "EventTimeTimeout")
+    return kept.select(F.nullif("user", F.lit("")).cast("long").alias("user_id"), "item", "event_id")
 
 
 def publish_new_titles(landing: DataFrame, known: DataFrame, root: str, checkpoint: str, keep: int = 3) -> None:
