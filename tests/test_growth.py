@@ -27,3 +27,10 @@ def test_ttl_state_is_a_row_a_group(spark):
             last[user, item] = at
     assert {tuple(r) for r in spark.read.parquet(out).collect()} == want
     assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= jobs.TTL_GROUPS
+
+
+def test_rings_are_running_sums(spark):
+    """No frame of the ring's length is added up at each row."""
+    served = spark.createDataFrame([("a", 1, 1), ("a", 2, 2)], "source string, event_id long, item int").withColumn("ts", F.timestamp_seconds("event_id"))
+    plan = metrics.ring_quality(served, spark.createDataFrame([(1, 0.5)], "item int, pct double"), 2, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "-6" not in plan and "unboundedpreceding" in plan
