@@ -43,3 +43,8 @@ def test_themes_look_for_each_pattern_once(spark):
     out = df.select("id", T.item_themes(F.array(F.lit("Love")), F.col("t"), lexicon, ["epic"]).alias("themes"))
     assert {r.id: r.themes for r in out.collect()} == {0: ["love", "sea", "war"], 1: ["love"], 2: ["love", "epic", "war"], 3: ["love"], 4: ["love"]}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("RegExpCount") + out._jdf.queryExecution().optimizedPlan().toString().count("regexp_count") <= 2 * len(lexicon)
+
+
+def test_lists_without_repeated_works_are_dealt_once(spark, small):
+    plan = QUERIES["dedupe_works"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(user_id") == 2 and "REPARTITION_BY_NUM" in plan  # the one of interactions, and that of all windows
