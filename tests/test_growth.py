@@ -45,6 +45,23 @@ def test_themes_look_for_each_pattern_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("RegExpCount") + out._jdf.queryExecution().optimizedPlan().toString().count("regexp_count") <= 2 * len(lexicon)
 
 
+def test_sources_of_one_title(spark):
+    """Titles that many rows share, with and without years, like a loop over all pairs; no pair of years is compared."""
+    rng = random.Random(5)
+    kind = "item_id string, domain string, kind string, title string, year int, genres array<string>"
+    year = lambda: rng.choice([None, *range(1990, 2000)])
+    rows = [(f"r{i:03}", "movie", rng.choice(["tv", "movie"]), rng.choice(["Tin", "Kite"]), year(), []) for i in range(12)]
+    more = [(f"m{i:03}", "movie", rng.choice(["tv", "movie"]), "x", year(), ["Anime"], rng.sample(["Tin", "Kite", "Oar"], 2)) for i in range(60)]
+    out = works.merge_sources(spark.createDataFrame(rows, kind), spark.createDataFrame(more, kind + ", names array<string>"))
+    tagged, rest = set(), set()
+    for m in more:
+        fit = [r[0] for r in rows if r[2] == m[2] and r[3] in m[6] and (r[4] is None or m[4] is None or abs(r[4] - m[4]) <= 1)]
+        (tagged if fit else rest).add(min(fit) if fit else m[0])
+    got = {r.item_id: r.genres for r in out.collect()}
+    assert {i for i, g in got.items() if i[0] == "r" and g == ["Anime"]} == tagged and {i for i in got if i[0] == "m"} == rest
+    assert "abs(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lists_without_repeated_works_are_dealt_once(spark, small):
     plan = QUERIES["dedupe_works"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(user_id") == 2 and "REPARTITION_BY_NUM" in plan  # the one of interactions, and that of all windows

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import materialise
 from . import core
 
 # Years that editions of one work may lie apart, where the title states a year and where it doesn't; the genre of anime.
@@ -46,11 +49,19 @@ def merge_sources(rows: DataFrame, more: DataFrame, tag: str = ANIME) -> DataFra
     the first by item_id, whose genres then begin with ``tag``. Names are exploded and joined by key, so no pairs are made.
     """
     plain = lambda c: T.norm_words(F.regexp_replace(c, "['’‘`]", ""))
-    named = more.select(F.col("item_id").alias("__of"), F.col("kind").alias("__kind"), F.col("year").alias("__year"), F.explode("names").alias("__name")).withColumn("__key", plain(F.col("__name")))
-    own = rows.where("domain = 'movie'").select("item_id", "kind", "year", plain(F.col("title")).alias("__key"))
-    fits = F.coalesce(F.abs(F.col("year") - F.col("__year")) <= 1, F.lit(True))
-    met = own.join(named, (own["__key"] == named["__key"]) & (F.col("kind") == F.col("__kind")) & fits)
-    found = met.groupBy("__of").agg(F.min("item_id").alias("__same"))
+    named = more.select(F.col("item_id").alias("__of"), F.col("kind").alias("__kind"), F.col("year").alias("__year"), F.explode("names").alias("__name")).withColumn("__key", plain(F.col("__name"))).drop("__name")
+    named = materialise(named)
+    # Of the rows with one key, kind and year only the first can be found, so names meet a row a year and never all of a frequent title.
+    own = rows.where("domain = 'movie'").select("item_id", F.col("kind").alias("__kind"), F.col("year").alias("__year"), plain(F.col("title")).alias("__key"))
+    same, first = ["__kind", "__key"], F.min("item_id").alias("__same")
+    own = materialise(own.groupBy(*same, "__year").agg(F.min("item_id").alias("item_id")))
+    close = own.withColumn("__year", F.explode(F.array(*[F.col("__year") + d for d in (-1, 0, 1)])))
+    met = [
+        named.join(close.groupBy(*same, "__year").agg(first), [*same, "__year"]),
+        named.join(own.where("__year is null").groupBy(*same).agg(first), same),
+        named.where("__year is null").join(own.groupBy(*same).agg(first), same),
+    ]
+    found = reduce(DataFrame.unionByName, [m.select("__of", "__same") for m in met]).groupBy("__of").agg(F.min("__same").alias("__same"))
     tagged = found.select(F.col("__same").alias("item_id")).distinct().withColumn("__tagged", F.lit(True))
     has = F.array_contains("genres", tag)
     kept = rows.join(tagged, "item_id", "left").withColumn("genres", F.when(F.col("__tagged") & ~has, F.concat(F.array(F.lit(tag)), "genres")).otherwise(F.col("genres"))).select(*rows.columns)
@@ -64,11 +75,15 @@ def new_titles(rows: DataFrame, known: DataFrame, catalog_titles: DataFrame, las
     Known are ids among ``known`` (source, ext_id), and, for works out by ``last_year`` or without a year, titles among
     ``catalog_titles`` (domain, title) by their words. Rows without a title go.
     """
+    rows = materialise(rows)
+    n = rows.count()
     by_id = rows.where(F.trim("title") != "").join(known.select("source", "ext_id").distinct(), ["source", "ext_id"], "left_anti")
     names = catalog_titles.select(F.col("domain").alias("__domain"), T.norm_words(F.col("title")).alias("__key")).distinct()
     old = F.coalesce(F.col("year"), F.lit(0)) <= last_year
     left = by_id.join(names, (F.col("domain") == F.col("__domain")) & (T.norm_words(F.col("title")) == F.col("__key")) & old, "left_anti")
-    return core.latest(left, ["item_id"], F.desc("votes"), "title").withColumn("year", F.coalesce("year", F.lit(0))).orderBy(F.desc("votes"), "item_id")
+    first = core.latest(core.dealt(left, n, "item_id"), ["item_id"], F.desc("votes"), "title").withColumn("year", F.coalesce("year", F.lit(0)))
+    order = [F.desc("votes"), "item_id"]
+    return first.repartitionByRange(core.parts_of(first, n), *order).sortWithinPartitions(*order)  # in order as a whole
 
 
 #: What landed responses of each source look like.
