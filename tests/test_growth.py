@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 from weftline.functions import text as T
-from weftline.operators import metrics, works
+from weftline.operators import metrics, models, works
 from weftline.plans import QUERIES
 from weftline.sources.scratch import shared_path
 from weftline.streaming import jobs
@@ -65,3 +65,11 @@ def test_sources_of_one_title(spark):
 def test_lists_without_repeated_works_are_dealt_once(spark, small):
     plan = QUERIES["dedupe_works"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(user_id") == 2 and "REPARTITION_BY_NUM" in plan  # the one of interactions, and that of all windows
+
+
+def test_terms_are_counted_where_documents_lie(spark):
+    """Two documents with one id count as one; null and empty texts have no terms."""
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None), (1, ["b", "c"]), (4, ["a"])], "doc_id int, w array<string>")
+    told = lambda rows: {r.id: dict(zip(r.terms, r.counts)) for r in rows.collect()}
+    assert told(models.counted_terms(df, F.col("w"))) == {1: {"a": 2, "b": 2, "c": 1}, 2: {}, 3: {}, 4: {"a": 1}}
+    assert told(models.counted_terms(df.where("doc_id <> 1"), F.col("w"))) == {2: {}, 3: {}, 4: {"a": 1}}
