@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from ..sources.scratch import materialise
-from .models import WORD
+from .models import WORD, counted_terms
 
 #: Terms of the vocabulary at most; with the dimensions it bounds what the driver and tasks hold: 60,000 x 128 doubles, 61 MB.
 VOCABULARY, DIMS = 60_000, 128
@@ -96,9 +96,10 @@ def fit_content(docs: DataFrame, stop: list[str], themes: list[str], id_col: str
     most frequent. Where none is left, all terms count. The decomposition multiplies the distributed rows by vectors as long as
     the vocabulary, until ``dims`` singular vectors have converged. Their signs are such that the largest entry is positive.
     """
-    tf = materialise(docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col), stop)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")))
+    tf = counted_terms(docs, terms(F.col(text_col), stop), id_col)
     n = docs.count()
-    df = materialise(tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")))
+    each = tf.select(F.explode(F.arrays_zip("terms", "counts")).alias("x"))
+    df = materialise(each.groupBy(F.col("x.terms").alias("term")).agg(F.count("*").alias("df"), F.sum("x.counts").alias("total")))
     kept = df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     if kept.isEmpty():
         kept = df
@@ -107,13 +108,23 @@ def fit_content(docs: DataFrame, stop: list[str], themes: list[str], id_col: str
     if not words:
         return ContentModel([], idf, np.zeros((0, 0)), themes, stop, np.zeros(0))
     spark = docs.sparkSession
-    law = spark.createDataFrame([(t, i, float(x)) for i, (t, x) in enumerate(zip(words, idf))], "term string, at int, idf double")
-    cells = tf.join(F.broadcast(law), "term").select("id", "at", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    rows = cells.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("cells"))
-    length = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    size = len(words)
+    shared, size = spark.sparkContext.broadcast(({t: i for i, t in enumerate(words)}, idf)), len(words)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of length 1 over the vocabulary; documents without any of its terms go."""
+        places, law = shared.value
+        for rows in batches:
+            out = []
+            for found, counts in zip(rows["terms"], rows["counts"]):
+                cells = sorted((places[t], c) for t, c in zip(found, counts) if t in places)
+                if cells:
+                    at, c = (np.array(x, np.int64) for x in zip(*cells))
+                    out.append((at, _unit((1 + np.log(c)) * law[at])))
+            yield pd.DataFrame(out, columns=["at", "w"])
+
     sparse = F.udf(lambda at, w: Vectors.sparse(size, at, w), VectorUDT())
-    matrix = materialise(rows.select(F.transform("cells", lambda x: x["at"]).alias("at"), F.transform("cells", lambda x: x["w"] / length).alias("w"))).select(sparse("at", "w").alias("row")).persist()
+    rows = materialise(tf.select("terms", "counts").mapInPandas(weigh, "at array<int>, w array<double>"))
+    matrix = rows.select(sparse("at", "w").alias("row")).persist()
     k = max(1, min(dims, size - 1, matrix.count() - 1))
     found = RowMatrix(matrix).computeSVD(k)
     v, s = found.V.toArray(), found.s.toArray()
