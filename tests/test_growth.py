@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.operators import metrics, models, works
@@ -74,3 +75,19 @@ def test_terms_are_counted_where_documents_lie(spark):
     told = lambda rows: {r.id: dict(zip(r.terms, r.counts)) for r in rows.collect()}
     assert told(models.counted_terms(df, F.col("w"))) == {1: {"a": 2, "b": 2, "c": 1}, 2: {}, 3: {}, 4: {"a": 1}}
     assert told(models.counted_terms(df.where("doc_id <> 1"), F.col("w"))) == {2: {}, 3: {}, 4: {"a": 1}}
+
+
+def test_best_of_a_first_block_without_sorting_it(monkeypatch):
+    """Numbers that can't be among the k best are neither sorted nor rounded, in the first block either; ties go to smaller ids."""
+    monkeypatch.setattr(models, "_best", None)
+    rng = np.random.default_rng(3)
+    for kind in (float, np.float32):
+        u, x = rng.integers(-3, 4, (50, 4)).astype(kind), rng.integers(-3, 4, (900, 4)).astype(kind)
+        running, names = models._Running(np.arange(50), u, 7), rng.permutation(900)
+        for part in np.array_split(np.arange(900), [5, 400]):  # a block of fewer than k
+            running.meet(names[part], x[part])
+        s = u @ x.T
+        want = [np.lexsort((names, -s[i]))[:7] for i in range(50)]
+        out = running.table()
+        assert out.column("item_id").to_pylist() == [int(names[j]) for w in want for j in w]
+        assert out.column("score").to_pylist() == [float(s[i, j]) for i, w in enumerate(want) for j in w]
