@@ -1,13 +1,15 @@
 """States, joins and windows that grow with the rows alone, against plain Python."""
 
 import random
+import threading
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.operators import metrics, models, works
 from weftline.plans import QUERIES
-from weftline.sources.scratch import shared_path
+from weftline.sources.scratch import shared_path, shuffles_deleted
 from weftline.streaming import jobs
 
 
@@ -91,3 +93,17 @@ def test_best_of_a_first_block_without_sorting_it(monkeypatch):
         out = running.table()
         assert out.column("item_id").to_pylist() == [int(names[j]) for w in want for j in w]
         assert out.column("score").to_pylist() == [float(s[i, j]) for i, w in enumerate(want) for j in w]
+
+
+def test_factor_shuffles_are_deleted_early(spark, monkeypatch):
+    """Factors are written each round, and files of a shuffle that nothing refers to are gone inside ``shuffles_deleted``."""
+    seen = []
+    monkeypatch.setattr(models.ALS, "fit", lambda self, df: seen.append(self.getCheckpointInterval()))
+    models.als(spark.createDataFrame([(1, 2)], "user_id long, item_id long"))
+    assert seen == [1]
+    asked = []
+    with shuffles_deleted(spark, 0.05):
+        spark.range(100).repartition(3).count()
+        time.sleep(0.5)
+        asked = [t.is_alive() for t in threading.enumerate() if "collect" in t.name]
+    assert asked == [True] and not any("collect" in t.name for t in threading.enumerate())
