@@ -7,7 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 from weftline.functions import text as T
-from weftline.operators import metrics, models, works
+from weftline.operators import metrics, models, two_tower, works
 from weftline.plans import QUERIES
 from weftline.sources.scratch import shared_path, shuffles_deleted
 from weftline.streaming import jobs
@@ -107,3 +107,17 @@ def test_factor_shuffles_are_deleted_early(spark, monkeypatch):
         time.sleep(0.5)
         asked = [t.is_alive() for t in threading.enumerate() if "collect" in t.name]
     assert asked == [True] and not any("collect" in t.name for t in threading.enumerate())
+
+
+def test_two_tower_keeps_few_tables(spark):
+    """More parts than cores learn in turns; of all that epochs write only the law's and the last items stay, and users come as vectors."""
+    from pathlib import Path
+
+    history = [(u, i, "movie" if i % 2 else "game", i, 1.0) for u in range(40) for i in range(u % 5, 30, 5)]
+    df = spark.createDataFrame(history, "user_id long, item_id long, domain string, timestamp long, weight double")
+    it = spark.createDataFrame([(i, "movie" if i % 2 else "game", [1.0]) for i in range(30)], "item_id long, domain string, x array<double>")
+    folder = Path(shared_path(spark).removeprefix("file:")).parent
+    before = set(folder.glob("weftline-*"))
+    model = two_tower.fit(df, it, dims=4, epochs=2, batch=4, part_examples=4)
+    assert len(set(folder.glob("weftline-*")) - before) == 3  # two of the law
+    assert len(model.losses) == 2 and model.losses[1] < model.losses[0] and model.users(df, model.vectors()).columns == ["user_id", "v"]
