@@ -7,7 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 from weftline.functions import text as T
-from weftline.operators import metrics, models, two_tower, works
+from weftline.operators import metrics, models, ranking, two_tower, works
 from weftline.plans import QUERIES
 from weftline.sources.scratch import shared_path, shuffles_deleted
 from weftline.streaming import jobs
@@ -121,3 +121,16 @@ def test_two_tower_keeps_few_tables(spark):
     model = two_tower.fit(df, it, dims=4, epochs=2, batch=4, part_examples=4)
     assert len(set(folder.glob("weftline-*")) - before) == 3  # two of the law
     assert len(model.losses) == 2 and model.losses[1] < model.losses[0] and model.users(df, model.vectors()).columns == ["user_id", "v"]
+
+
+def test_fusion_deals_rows_once(spark):
+    """The same as fused ranks of the union of candidates, with one exchange."""
+    rng = random.Random(9)
+    rows = [(u, i, s, float(rng.randint(0, 6))) for u in range(6) for s in ("a", "b") for i in rng.sample(range(60), 40)]
+    scores = spark.createDataFrame(rows, "user_id long, item_id long, source string, score double")
+    seen = spark.createDataFrame([(u, i) for u in range(5) for i in rng.sample(range(60), 20)], "user_id long, item_id long")
+    told = lambda df: {(r.user_id, r.item_id): (tuple(r.sources), r.score) for r in df.collect()}
+    want = told(ranking.rrf(ranking.candidates(scores, seen, 9, {"b": 4}), ranking.source_ranks(scores), ["a", "b"]))
+    out = ranking.fused(scores, seen, ["a", "b"], 9, {"b": 4})
+    assert told(out) == want and len(want) > 60
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
