@@ -134,3 +134,13 @@ def test_fusion_deals_rows_once(spark):
     out = ranking.fused(scores, seen, ["a", "b"], 9, {"b": 4})
     assert told(out) == want and len(want) > 60
     assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_neighbours_of_wanted_items(spark):
+    """Those of all, kept for the wanted, and pairs are made for these alone."""
+    rng = random.Random(4)
+    likes = spark.createDataFrame([(u, i) for u in range(40) for i in rng.sample(range(25), 8)], "user_id long, item_id long")
+    wanted = spark.createDataFrame([(3,), (7,), (7,), (99,)], "item_id long")
+    told = lambda df: {(r.i, r.j): (r.sim, r["rank"]) for r in df.collect()}
+    want = {k: v for k, v in told(models.item_knn(likes)).items() if k[0] in (3, 7)}
+    assert told(models.item_knn(likes, wanted=wanted)) == want and len(want) > 20
