@@ -7,7 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 from weftline.functions import text as T
-from weftline.operators import metrics, models, ranking, two_tower, works
+from weftline.operators import franchise, metrics, models, ranking, two_tower, works
 from weftline.plans import QUERIES
 from weftline.sources.scratch import shared_path, shuffles_deleted
 from weftline.streaming import jobs
@@ -144,3 +144,12 @@ def test_neighbours_of_wanted_items(spark):
     told = lambda df: {(r.i, r.j): (r.sim, r["rank"]) for r in df.collect()}
     want = {k: v for k, v in told(models.item_knn(likes)).items() if k[0] in (3, 7)}
     assert told(models.item_knn(likes, wanted=wanted)) == want and len(want) > 20
+
+
+def test_equal_names_are_cut_into_slices(spark, monkeypatch):
+    """A name that many share meets itself in several tasks; titles without a name or medium have no links."""
+    monkeypatch.setattr(franchise, "SLICE", 2)
+    rows = [(i, [True, False, None][i % 3], [None, "a", "a", "b"][i % 4]) for i in range(48)]
+    out = franchise.equal_names(spark.createDataFrame(rows, "item_id long, game boolean, name string"))
+    want = sorted((x[0], y[0]) for x in rows for y in rows if x[2] and x[2] == y[2] and {x[1], y[1]} == {True, False})
+    assert sorted((r.src, r.dst) for r in out.collect()) == want
