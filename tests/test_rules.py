@@ -52,6 +52,17 @@ def test_routes_and_quotas(spark):
     assert len(lists) == 10 and sum(r.domain == "movie" for r in lists) == 7 and sorted(r.rank for r in lists) == list(range(1, 11))
 
 
+def test_routes_without_a_hit_keep_their_order(spark):
+    """No candidate of the main route, or none at all, is among the hits: nothing can be fitted there."""
+    rows = [(u, i, float(-i), int(u < 10 and i == 2), 0.0 if u < 20 else 1.0) for u in range(40) for i in range(3)]
+    routed = ranking.routed(spark.createDataFrame(rows, "user_id int, item_id int, score double, label int, n_hist_same double"))
+    first = ranking.routed_rank(routed, ["score"], 1).collect()
+    assert {(r.route, r.item_id) for r in first} == {("cross", 2), ("main", 0)} and len(first) == 40
+    first = ranking.routed_rank(routed.withColumn("label", F.lit(0)), ["score"], 1).collect()
+    assert {(r.route, r.item_id) for r in first} == {("cross", 0), ("main", 0)} and len(first) == 40
+    assert ranking.routed_rank(routed.where("user_id < 0"), ["score"], 1).isEmpty()
+
+
 def test_best_by_vector_in_blocks(spark, monkeypatch):
     import numpy as np
 
