@@ -1,9 +1,11 @@
 """Franchise links against brute force over all pairs; explanations in odd cases."""
 
+import math
 import random
 import re
 
 from weftline.operators import explain, franchise
+from weftline.plans import QUERIES
 
 SCHEMA = "item_id int, kind string, title string, franchises array<string>, flagged boolean, blocked boolean, popularity long, extra int"
 
@@ -77,3 +79,34 @@ def test_evidence_without_likes_vectors_or_themes(spark):
     assert got[1].text == "Chosen since 25 people liked both this and Star. It has themes you rated low: war."
     assert got[2].anchors is None and got[2].confidence == "low" and got[2].text == "Chosen since it fits."
     assert not got[3].shared and got[3].co_likes == 0 and got[3].confidence == "low"
+
+
+def test_anchors_are_rows_only_where_something_is_known(spark, small):
+    """Against a loop over all liked titles; interactions are read once, and pairs are made of titles liked together or with vectors."""
+    pick = random.Random(9)
+    recs = [(u, i) for u in range(30) for i in pick.sample(range(40), 3)]
+    history = [(u, i, pick.choice([1.0, 0.75, 0.75, -1.0])) for u in range(30) for i in pick.sample(range(40), pick.randrange(1, 12))]
+    likes = {(i, j): pick.randrange(2, 9) for i in range(40) for j in pick.sample(range(40), i % 3 * 4)}
+    vectors = {i: [pick.choice([-1.0, 0.5, 0.0]) for _ in range(2)] for i in range(0, 40, 2)} | {0: [1.0, 0.0], 2: [-1.0, 0.0]}
+    recs, history = [*recs, (30, 0)], [*history, (30, 2, 1.0)]  # nothing but what is far
+
+    def cosine(i, j):
+        a, b = vectors.get(i, [0.0, 0.0]), vectors.get(j, [0.0, 0.0])
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round((a[0] * b[0] + a[1] * b[1]) / size, 6) if size else 0.0
+
+    want = {}
+    for u, i in recs:
+        of = [(likes.get((a, i), 0), cosine(i, a), a) for v, a, w in history if v == u and w > 0]
+        best = sorted((-round(math.log1p(c) + 2 * s, 6), a, c, s) for c, s, a in of)[:3]
+        if of:
+            want[u, i] = (max(c for c, _, _ in of), max(s for _, s, _ in of), [(k + 1, a, f"t{a}", c, s) for k, (_, a, c, s) in enumerate(best)])
+    frames = [
+        spark.createDataFrame(recs, "user_id int, item_id int"), spark.createDataFrame(history, "user_id int, item_id int, weight double"),
+        spark.createDataFrame([(*k, c) for k, c in likes.items()], "i int, j int, c long"), spark.createDataFrame(list(vectors.items()), "item_id int, v array<double>"),
+        spark.createDataFrame([(i, f"t{i}") for i in range(40)], "item_id int, title string"),
+    ]
+    got = {(r.user_id, r.item_id): (r.co_likes, r.similarity, [tuple(x) for x in r.anchors]) for r in explain.anchors(*frames).collect()}
+    assert got == want and any(s < 0 for _, s, _ in want.values())
+    plan = QUERIES["evidence_summary"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan  # written once

@@ -23,36 +23,65 @@ def theme_shares(themes: DataFrame) -> DataFrame:
 
 def taste(history: DataFrame, themes: DataFrame) -> DataFrame:
     """``user_id, profile, avoided``: themes of liked items by count, and those of the disliked ones."""
-    rows = history.join(themes, "item_id")
-    liked = rows.where("weight > 0").select("user_id", F.explode(F.slice("themes", 1, 4)).alias("theme")).groupBy("user_id", "theme").agg(F.count("*").alias("n"))
-    profile = liked.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "theme"))).alias("ranked"))
-    avoided = rows.where("weight < 0").select("user_id", F.explode(F.slice("themes", 1, 3)).alias("theme")).groupBy("user_id").agg(F.collect_set("theme").alias("avoided"))
-    both = profile.select("user_id", F.transform("ranked", lambda s: s["theme"]).alias("profile")).join(avoided, "user_id", "full")
-    return both.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("profile", "avoided")})
+    liked, low = F.col("weight") > 0, F.col("weight") < 0
+    rows = history.join(themes.select("item_id", F.slice("themes", 1, 4).alias("t")), "item_id").select("user_id", "weight", "t").repartition("user_id")  # for both groupings
+    each = rows.select("user_id", "weight", F.explode(F.when(liked, F.col("t")).when(low, F.slice("t", 1, 3))).alias("theme"))
+    counts = each.groupBy("user_id", "theme").agg(F.count_if(liked).alias("n"), F.count_if(low).alias("n_low"))
+    return counts.groupBy("user_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("n"), "theme")))), lambda s: s["theme"]).alias("profile"),
+        F.collect_set(F.when(F.col("n_low") > 0, F.col("theme"))).alias("avoided"),
+    )
+
+
+def liked_together(recs: DataFrame, liked: DataFrame, likes: DataFrame) -> DataFrame:
+    """``user_id, item_id, anchor, co``: the user's liked titles that stand with the item in ``likes``.
+
+    An item with fewer partners than the user has liked titles meets its partners, another one the liked titles, so that no more
+    rows are made than the smaller side has.
+    """
+    co = likes.select(F.col("j").alias("item_id"), F.col("i").alias("anchor"), F.col("c").alias("co"))
+    known = recs.join(co.groupBy("item_id").agg(F.count("*").alias("partners")), "item_id").join(liked.groupBy("user_id").agg(F.count("*").alias("titles")), "user_id")
+    few, many = (known.where(c).select("user_id", "item_id") for c in ("partners <= titles", "partners > titles"))
+    return few.join(co, "item_id").join(liked, ["user_id", "anchor"]).unionByName(many.join(liked, "user_id").join(co, ["item_id", "anchor"]))
+
+
+def alike(recs: DataFrame, liked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``user_id, item_id, anchor, sim``: cosines of items and liked titles that both have a vector other than 0. Vectors are dealt to
+    the user's items and titles before these are paired, not to pairs."""
+    known = vectors.select("item_id", "v", core.norm(F.col("v")).alias("l")).where("l > 0")
+    a = recs.join(known.withColumnsRenamed({"v": "a", "l": "la"}), "item_id")
+    b = liked.join(known.select(F.col("item_id").alias("anchor"), F.col("v").alias("b"), F.col("l").alias("lb")), "anchor")
+    return a.join(b, "user_id").select("user_id", "item_id", "anchor", F.round(core.dot(F.col("a"), F.col("b")) / (F.col("la") * F.col("lb")), 6).alias("sim"))
 
 
 def anchors(recs: DataFrame, history: DataFrame, likes: DataFrame, vectors: DataFrame, titles: DataFrame) -> DataFrame:
     """``user_id, item_id, co_likes, similarity, anchors``: the best of all liked titles, and the three strongest.
 
-    ``likes`` holds pairs ``i, j, c`` of items liked together, ``vectors`` ``item_id, v``; missing ones count as 0. Cosines are
-    computed once for each pair of items, however many users ask for it.
+    ``likes`` holds pairs ``i, j, c`` of items liked together, ``vectors`` ``item_id, v``; missing ones count as 0. Rows are made of
+    liked titles with one or the other; of the rest, which are all as strong, only the first three can be among the strongest.
     """
     liked = history.where("weight > 0").select("user_id", F.col("item_id").alias("anchor"))
-    asked = recs.select("user_id", "item_id").join(liked, "user_id")
-    unit = vectors.where(core.norm(F.col("v")) > 0).select("item_id", F.transform("v", lambda x: x / core.norm(F.col("v"))).alias("v"))
-    pairs = asked.select("item_id", "anchor").distinct()
-    near = (
-        pairs.join(unit.withColumnRenamed("v", "a"), "item_id").join(unit.select(F.col("item_id").alias("anchor"), F.col("v").alias("b")), "anchor")
-        .select("item_id", "anchor", F.round(core.dot(F.col("a"), F.col("b")), 6).alias("sim"))
+    recs = recs.select("user_id", "item_id")
+    some = liked_together(recs, liked, likes).withColumn("sim", F.lit(None).cast("double")).unionByName(alike(recs, liked, vectors).withColumn("co", F.lit(None).cast("long")))
+    some = some.groupBy("user_id", "item_id", "anchor").agg(F.coalesce(F.max("co"), F.lit(0)).alias("co"), F.coalesce(F.max("sim"), F.lit(0.0)).alias("sim"))
+    place = lambda co, sim, anchor: F.struct((-F.round(F.log1p(co) + 2 * sim, 6)).alias("place"), anchor.alias("anchor"), co.alias("co"), sim.alias("sim"))
+    some = some.groupBy("user_id", "item_id").agg(F.max("co").alias("co"), F.max("sim").alias("sim"), F.array_sort(F.collect_list(place(F.col("co"), F.col("sim"), F.col("anchor")))).alias("some"))
+    own = liked.groupBy("user_id").agg(F.array_sort(F.collect_set("anchor")).alias("liked"))
+    none = F.transform(
+        F.slice(F.array_except(F.slice("liked", F.lit(1), 3 + F.size("some")), F.transform("some", lambda s: s["anchor"])), 1, 3),
+        lambda x: place(F.lit(0).cast("long"), F.lit(0.0), x),
+    )
+    rows = recs.join(own, "user_id").join(some, ["user_id", "item_id"], "left")
+    rows = rows.withColumn("some", F.coalesce("some", F.array().cast(some.schema["some"].dataType)))
+    best = rows.select(
+        "user_id", "item_id", F.coalesce("co", F.lit(0)).alias("co_likes"), F.when(F.size("some") < F.size("liked"), F.greatest("sim", F.lit(0.0))).otherwise(F.col("sim")).alias("similarity"),
+        F.slice(F.array_sort(F.concat(F.slice("some", 1, 3), none)), 1, 3).alias("three"),
+    )
+    three = best.select("user_id", "item_id", "co_likes", "similarity", F.posexplode("three").alias("at", "s")).select("user_id", "item_id", "co_likes", "similarity", (F.col("at") + 1).alias("rank"), "s.anchor", "s.co", "s.sim")
+    named = three.join(titles.select(F.col("item_id").alias("anchor"), "title"), "anchor", "left")
+    return named.groupBy("user_id", "item_id").agg(
+        F.first("co_likes").alias("co_likes"), F.first("similarity").alias("similarity"), F.array_sort(F.collect_list(F.struct("rank", "anchor", "title", "co", "sim"))).alias("anchors"),
     )
-    co = likes.select(F.col("i").alias("anchor"), F.col("j").alias("item_id"), F.col("c").alias("co"))
-    facts = pairs.join(co, ["item_id", "anchor"], "left").join(near, ["item_id", "anchor"], "left").na.fill(0, ["co", "sim"])
-    rows = asked.join(facts, ["item_id", "anchor"])
-    best = rows.groupBy("user_id", "item_id").agg(F.max("co").alias("co_likes"), F.max("sim").alias("similarity"))
-    strength = F.round(F.log1p("co") + 2 * F.col("sim"), 6)
-    three = core.top(rows, ["user_id", "item_id"], 3, F.desc(strength), "anchor").join(titles.select(F.col("item_id").alias("anchor"), "title"), "anchor", "left")
-    listed = three.groupBy("user_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "anchor", "title", "co", "sim"))).alias("anchors"))
-    return best.join(listed, ["user_id", "item_id"])
 
 
 def evidence(recs: DataFrame, history: DataFrame, themes: DataFrame, likes: DataFrame, vectors: DataFrame, titles: DataFrame) -> DataFrame:
