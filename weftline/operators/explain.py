@@ -92,18 +92,18 @@ def evidence(recs: DataFrame, history: DataFrame, themes: DataFrame, likes: Data
     themes that disliked titles have; ``confidence``. A user without likes has no anchors, zeros and low confidence.
     """
     out = recs.select("user_id", "item_id").join(theme_shares(themes), "item_id", "left").join(taste(history, themes), "user_id", "left")
-    out = out.join(anchors(recs, history, likes, vectors, titles), ["user_id", "item_id"], "left")
     for column in ("profile", "avoided"):
         out = out.withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
     rare = F.coalesce("rare", F.array().cast("array<struct<share:double,theme:string>>"))
     own = F.transform(rare, lambda s: s["theme"])
     first = F.slice("profile", 1, 6)
     overlap = F.when((F.size(own) == 0) | (F.size(first) == 0), 0.0).otherwise(F.round(F.size(F.array_intersect(own, first)) / F.size(F.array_union(own, first)), 3))
-    out = out.select(
+    out = out.select(  # before the join of anchors, which then carries no profiles
         "user_id", "item_id", F.slice(F.filter(rare, lambda s: F.array_contains("profile", s["theme"])), 1, 5).alias("shared"), overlap.alias("overlap"),
-        F.coalesce("co_likes", F.lit(0)).alias("co_likes"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
-        "anchors", F.array_sort(F.array_intersect(own, "avoided")).alias("disliked"),
+        F.array_sort(F.array_intersect(own, "avoided")).alias("disliked"),
     )
+    out = out.join(anchors(recs, history, likes, vectors, titles), ["user_id", "item_id"], "left")
+    out = out.select("user_id", "item_id", "shared", "overlap", F.coalesce("co_likes", F.lit(0)).alias("co_likes"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "anchors", "disliked")
     some = F.size("shared") > 0
     high = ((F.col("co_likes") >= HIGH_LIKES) | (F.col("similarity") >= HIGH_SIM)) & some
     medium = (F.col("co_likes") >= SOME_LIKES) | (F.col("similarity") >= SOME_SIM) | some
