@@ -1,7 +1,12 @@
 """Queries that do their whole job: no sample, no cap, no narrower rule."""
 
+import hashlib
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
-from weftline.operators import core, ranking
+from weftline.operators import core, metrics, ranking
 from weftline.plans import QUERIES, retrieval
 from weftline.sources.scratch import materialise
 from weftline.sources.tables import interactions
@@ -18,3 +23,21 @@ def test_ranker_data_hold_every_candidate(spark, small):
     assert set(told) == {tuple(r) for r in want.select("user_id", "item_id").collect()}
     assert {k for k, label in told.items() if label} == {tuple(r) for r in cands.join(hits, ["user_id", "item_id"]).select("user_id", "item_id").collect()}
     assert rows.where("label = 0").groupBy("user_id").count().agg(F.max("count")).first()[0] > 60
+
+
+def test_resamples_have_as_many_draws_as_rows(spark, monkeypatch):
+    """Draw i of resample b takes row md5(task|b|i) mod n in the order of the users, in whatever blocks and calls."""
+    rng = random.Random(4)
+    rows = [(t, u, None if rng.random() < 0.1 else rng.gauss(0.1, 1.0), 1.0) for t, n in (("a", 37), ("b", 1), ("c|d", 90)) for u in rng.sample(range(1_000), n)]
+    monkeypatch.setattr(metrics, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(metrics, "CALL_DRAWS", 1_000)
+    monkeypatch.setattr(metrics, "TEXTS", 20)
+    got = {r.task: (r.low, r.high) for r in metrics.paired_bootstrap(spark.createDataFrame(rows, "task string, user_id long, diff double, base double"), 60).collect()}
+    for task in ("a", "b", "c|d"):
+        own = [r[2] for r in sorted(r for r in rows if r[0] == task)]
+        means = []
+        for b in range(60):
+            at = [int(hashlib.md5(f"{task}|{b}|{i}".encode()).hexdigest()[:12], 16) % len(own) for i in range(len(own))]
+            drawn = [own[i] for i in at if own[i] is not None]
+            means += [sum(drawn) / len(drawn)] if drawn else []
+        assert got[task] == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
