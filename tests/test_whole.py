@@ -5,9 +5,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from weftline.operators import core, matching, metrics, ranking
+from weftline.operators import core, matching, metrics, ranking, two_tower
 from weftline.plans import QUERIES, retrieval
 from weftline.sources.scratch import materialise
 from weftline.sources.tables import interactions
@@ -59,3 +60,26 @@ def test_every_name_of_a_block_is_compared(spark, monkeypatch):
     want = {(a, b, cap) for a in left for b in right for cap in (1.0, 0.95) if blocks(a) & blocks(b) and cap * (1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()) >= matching.MATCH}
     got = matching.similar_keys(spark.createDataFrame([(a,) for a in left], "key string"), spark.createDataFrame([(b, cap) for b in right for cap in (1.0, 0.95)], "name string, cap double")).collect()
     assert {(r.key, r.name, r.cap) for r in got} == want and len(got) == len(want) > 300
+
+
+def test_parts_stream_their_items(spark, monkeypatch):
+    """Items come a batch at a time and go out so, in files between; turns don't change what is learned."""
+    monkeypatch.setattr(two_tower, "TOLD", 16)
+    history = [(u, i, "movie" if i % 2 else "game", i, 1.0) for u in range(40) for i in range(u % 5, 60, 5)]
+    df = spark.createDataFrame(history, "user_id long, item_id long, domain string, timestamp long, weight double")
+    it = spark.createDataFrame([(i, "movie" if i % 2 else "game", [1.0, float(i % 3)] if i % 4 else None) for i in range(60)], "item_id long, domain string, x array<double>")
+    learned = []
+    for turn in (1, 3_000_000):
+        monkeypatch.setattr(two_tower, "TURN_ITEMS", turn)
+        learned.append({r.item_id: r.v + [r.b] for r in two_tower.fit(df, it, dims=4, epochs=2, batch=4, part_examples=12).vectors().collect()})
+    assert all(np.allclose(learned[0][i], learned[1][i], rtol=1e-4, atol=1e-6) for i in range(60))
+    single = lambda n: pa.array([[0.1 * k, 0.2] for k in range(n)], pa.list_(pa.float32()))
+    context = pa.struct([("item_id", pa.int64()), ("a", pa.float64())])
+    nothing = {"target": pa.nulls(40, pa.int64()), "context": pa.nulls(40, pa.list_(context)), "negatives": pa.nulls(40, pa.list_(pa.int64()))}
+    items = pa.RecordBatch.from_pydict({"part": np.zeros(40, np.int32), "item_id": np.arange(40), "domain": ["movie"] * 40, "x": pa.array([[1.0]] + [None] * 39, pa.list_(pa.float32())), "e": single(40), "ge": single(40), "b": np.zeros(40), "gb": np.ones(40), **nothing})
+    one = pa.RecordBatch.from_pydict({"part": np.zeros(1, np.int32), "target": [3], "context": pa.array([[{"item_id": 5, "a": 1.0}]], pa.list_(context)), "negatives": [[7, 8]]})
+    state = (np.ones((2, 1, 2)), np.zeros((2, 2)), np.ones((2, 1, 2)), np.ones((2, 2)))
+    told = list(two_tower._learner(state, 0.05, 4)(iter([items.slice(0, 7), items.slice(7), one])))
+    assert [b.num_rows for b in told] == [16, 16, 8, 5] and told[-1].column("gb").to_pylist()[-1] == 1.0
+    e = np.concatenate([b.column("e").flatten().to_numpy().reshape(-1, 2) for b in told[:-1]])
+    assert set(np.flatnonzero((e != single(40).flatten().to_numpy().reshape(-1, 2)).any(1))) == {3, 5, 7, 8}
