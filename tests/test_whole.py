@@ -3,14 +3,15 @@
 import difflib
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from weftline.operators import core, matching, metrics, ranking, two_tower
+from weftline.operators import core, features, matching, metrics, ranking, two_tower
 from weftline.plans import QUERIES, retrieval
-from weftline.sources.scratch import materialise
+from weftline.sources.scratch import materialise, shared_path
 from weftline.sources.tables import interactions
 
 
@@ -83,3 +84,14 @@ def test_parts_stream_their_items(spark, monkeypatch):
     assert [b.num_rows for b in told] == [16, 16, 8, 5] and told[-1].column("gb").to_pylist()[-1] == 1.0
     e = np.concatenate([b.column("e").flatten().to_numpy().reshape(-1, 2) for b in told[:-1]])
     assert set(np.flatnonzero((e != single(40).flatten().to_numpy().reshape(-1, 2)).any(1))) == {3, 5, 7, 8}
+
+
+def test_features_are_dealt_by_user(spark, small):
+    """What is known of candidates is written in steps, whose shuffles and tables go; what is read in the end is one table."""
+    folder = Path(shared_path(spark).removeprefix("file:")).parent
+    inter = materialise(interactions(spark, small))
+    scores, of = materialise(retrieval._sources_of(inter)), retrieval._history_inputs(spark, small, inter)
+    before = set(folder.glob("weftline-*"))
+    rows = features.features(ranking.candidates(scores, inter), scores, retrieval.SOURCES, **of)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert len(set(folder.glob("weftline-*")) - before) == 1 and rows.count() == ranking.candidates(scores, inter).count()
