@@ -95,3 +95,10 @@ def test_features_are_dealt_by_user(spark, small):
     rows = features.features(ranking.candidates(scores, inter), scores, retrieval.SOURCES, **of)
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     assert len(set(folder.glob("weftline-*")) - before) == 1 and rows.count() == ranking.candidates(scores, inter).count()
+
+
+def test_batch_counts_pairs_once(spark, small, monkeypatch):
+    """Pairs liked together are made once for training histories' neighbours, once for their features, and once for all the rest."""
+    made, real = [], retrieval.models.cooccurrence
+    monkeypatch.setattr(retrieval.models, "cooccurrence", lambda *of, **by: made.append(1) or real(*of, **by))
+    assert QUERIES["recommend_batch"](spark, small).columns == ["user_id", "item_id", "domain", "rank", "anchor", "liked_together"] and len(made) == 3
