@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from weftline.operators import core, features, matching, metrics, ranking, two_tower
+from weftline.operators import core, features, matching, metrics, models, ranking, two_tower
 from weftline.plans import QUERIES, retrieval
 from weftline.sources.scratch import materialise, shared_path
 from weftline.sources.tables import interactions
@@ -102,3 +102,12 @@ def test_batch_counts_pairs_once(spark, small, monkeypatch):
     made, real = [], retrieval.models.cooccurrence
     monkeypatch.setattr(retrieval.models, "cooccurrence", lambda *of, **by: made.append(1) or real(*of, **by))
     assert QUERIES["recommend_batch"](spark, small).columns == ["user_id", "item_id", "domain", "rank", "anchor", "liked_together"] and len(made) == 3
+
+
+def test_factors_have_blocks_by_likes(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(models, "ALS", lambda **of: made.append(of) or type("Fit", (), {"fit": lambda self, rows: rows})())
+    monkeypatch.setattr(models, "ALS_LIKES", 20)
+    for n in (5, 1_000):
+        models.als(spark.range(n).select(F.col("id").alias("user_id"), F.col("id").alias("item_id")))
+    assert [(m["numUserBlocks"], m["numItemBlocks"]) for m in made] == [(10, 10), (50, 50)]
